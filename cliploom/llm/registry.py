@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import exact_dedup, simhash
+from cliploom.llm import exact_dedup, mixing, simhash
 from cliploom.llm.common import table
 
 OP7_SQL = r"""
@@ -31,10 +31,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), share=1.5, most=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash_neardup": op3_simhash_neardup,
         "op7_exact_dedup": op7_exact_dedup,
+        "op10_source_mixing": op10_source_mixing,
     }
 
 
