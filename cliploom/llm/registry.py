@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import exact_dedup, mixing, simhash
+from cliploom.llm import exact_dedup, mixing, quality, simhash, toxicity
 from cliploom.llm.common import table
 
 OP7_SQL = r"""
@@ -35,11 +35,21 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), share=1.5, most=2)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash_neardup": op3_simhash_neardup,
         "op7_exact_dedup": op7_exact_dedup,
         "op10_source_mixing": op10_source_mixing,
+        "op4_toxicity": op4_toxicity,
+        "op8_quality_classifier": op8_quality_classifier,
     }
 
 
