@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import exact_dedup, mixing, quality, simhash, toxicity
+from cliploom.llm import exact_dedup, mixing, quality, sharding, simhash, token_counts, token_files, toxicity
 from cliploom.llm.common import table
 
+#: Files of public tokenizers, given by the installed package; never copied here.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 OP7_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -43,8 +47,23 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_ids(table(spark, sf_dir, "documents"), WORD_BPE, end=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sharding": op2_sharding,
+        "op5_token_counts": op5_token_counts,
+        "op6_token_ids": op6_token_ids,
         "op3_simhash_neardup": op3_simhash_neardup,
         "op7_exact_dedup": op7_exact_dedup,
         "op10_source_mixing": op10_source_mixing,

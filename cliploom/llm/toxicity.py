@@ -20,12 +20,12 @@ from cliploom.llm.labelled import held_out, sample
 
 #: General insults, the part of the lexicon that needs no labels.
 SEED_WORDS = frozenset(
-    "bastard clown coward creep cretin crook degenerate despicable disgusting dumb dumbass filth fool freak garbage "
-    "idiot imbecile jerk liar loser lunatic maggot moron pathetic pig rat revolting scum shameful slob stupid "
+    "bastard clown coward cretin degenerate despicable disgusting dumb dumbass filth fool freak garbage "
+    "idiot imbecile jerk liar loser lunatic maggot moron pathetic revolting scum shameful slob stupid "
     "trash useless vermin vile worthless wretch "
     "arschloch abschaum dummkopf trottel versager widerlich wertlos "
     "abruti connard cretin imbecile minable ordure pourri salaud "
-    "asqueroso basura escoria estupido imbecil inutil patetico tonto".split()
+    "asqueroso basura escoria estupido imbecil inutil patetico".split()
 )
 #: Second-person words of the four languages.
 SECOND_PERSON = frozenset(
