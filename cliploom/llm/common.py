@@ -52,6 +52,33 @@ def utf8(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def row_hash():
+    """Tells rows of one doc_id apart by their raw text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def keep_one(docs: DataFrame, decided: DataFrame, *group: str) -> DataFrame:
+    """docs with one row of each group: the smallest doc_id (null last), then the smallest row_hash.
+
+    decided (doc_id, row_hash, *group) has a row for each row of docs. The rows that go are a written
+    table, which Spark broadcasts only if its size allows; texts are shuffled otherwise.
+    """
+    last = F.lit((1 << 63) - 1)
+    key = decided.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), "row_hash", *group)
+    stay = key.groupBy(*group).agg(F.min(F.struct("_id", "row_hash")).alias("_stay"))
+    gone = stored(
+        key.join(stay, list(group)).filter(F.struct("_id", "row_hash") != F.col("_stay")).select("_id", F.col("row_hash").alias("_hash")).distinct(),
+        "gone",
+    )
+    again = stored(key.groupBy("_id", F.col("row_hash").alias("_hash")).count().filter("count > 1").drop("count"), "again")
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), last), "_hash": row_hash()})
+    left = keyed.join(gone, ["_id", "_hash"], "left_anti")
+    if not again.isEmpty():  # rows repeated whole
+        once = left.join(again, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+        left = left.join(again, ["_id", "_hash"], "left_anti").unionByName(once)
+    return left.select(*docs.columns)
+
+
 def parts(df: DataFrame, least: int = 8) -> int:
     """How many partitions a keyed repartition gets: the session's setting, or `least`."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

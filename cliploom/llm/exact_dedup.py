@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import SPACE, checkpoint, stored
+from cliploom.llm.common import SPACE, checkpoint, keep_one, row_hash, stored
 
 #: Distinct digests to one filter; filters are built and probed bucket by bucket.
 BUCKET = 1 << 16
@@ -101,6 +101,7 @@ def digests(docs: DataFrame, bits: int = 256) -> DataFrame:
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("row_key"),
         F.col("doc_id").cast("long").alias("doc_id"),
+        row_hash().alias("row_hash"),
         sha.alias("sha"),
     ).withColumn("digest", F.substring("sha", 1, bits // 8))
 
@@ -143,7 +144,7 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, bits: int = 256, cut: int | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row_hash.
 
     Texts are equal when identical after each run of white space became one blank; null is empty. Of
     equal texts the row with the smallest doc_id stays. Rows up to doc_id `cut` (default: the median)
@@ -187,9 +188,15 @@ def exact_dedup(docs: DataFrame, bits: int = 256, cut: int | None = None) -> Dat
         F.col("n").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "row_hash",
     )
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of equal texts, all columns kept."""
+    return keep_one(docs, stored(exact_dedup(docs), "copies"), "keep_id", "text_sha256")
+
+
 def _unequal(docs: DataFrame, doubled: DataFrame) -> DataFrame:
     """Byte check: of the rows in groups, those whose text differs from that of the row that stays."""
     texts = docs.select(

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import checkpoint, stored
+from cliploom.llm.common import checkpoint, row_hash, stored
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -162,7 +162,7 @@ def copies_per_class(classes: DataFrame, tilt: DataFrame, most: int, repairs: in
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken (= copies * size).
+    """One row per document: doc_id, size, source_size, target, copies, taken (= copies * size), row_hash.
 
     Copies are dealt inside a class of equal source and size by the order of a hash of doc_id, in
     blocks of about `block` documents with exact quotas, so a class that holds much of the table is
@@ -171,7 +171,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256) ->
     like others; an empty table gives no rows. No source exceeds `most` times its words, no document
     `most` copies.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", row_hash().alias("row_hash"))
     sizes = stored(with_words(docs, "text", "size").drop("text"), "sizes")
     goal = checkpoint(targets(sizes, share, most))
     classes = checkpoint(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
@@ -219,5 +219,16 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256) ->
             F.col("_s").eqNullSafe(F.col("_qs")) & (F.col("_z") == F.col("_qz")) & (F.col("b") == F.col("_qb")),
         )
         .withColumn("copies", (F.expr("k div n") + F.when(F.col("place") <= F.col("quota"), 1).otherwise(0)).cast("int"))
-        .select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"), "row_hash")
     )
+
+
+def mixed(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
+    """docs in the mix: each row as often as it has copies, all columns kept."""
+    plan = mix(docs, share, most).groupBy(
+        F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.col("row_hash").alias("_hash")
+    ).agg(F.max("copies").alias("_copies"))
+    plan = stored(plan.filter("_copies > 0"), "copies")
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_hash": row_hash()})
+    taken = keyed.join(plan, ["_id", "_hash"])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -7,12 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.llm import exact_dedup, mixing, quality, sharding, simhash, token_counts, token_files, toxicity
+from cliploom.llm import embeddings, exact_dedup, mixing, pieces, quality, sharding, simhash, token_counts, token_files, toxicity
 from cliploom.llm.common import table
 
 #: Files of public tokenizers, given by the installed package; never copied here.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
 OP7_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -32,7 +34,7 @@ def op3_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,14 +61,24 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_ids(table(spark, sf_dir, "documents"), WORD_BPE, end=1)
 
 
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_BPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_sharding": op2_sharding,
         "op5_token_counts": op5_token_counts,
         "op6_token_ids": op6_token_ids,
         "op3_simhash_neardup": op3_simhash_neardup,
         "op7_exact_dedup": op7_exact_dedup,
         "op10_source_mixing": op10_source_mixing,
+        "op9_embedding_neardup": op9_embedding_neardup,
         "op4_toxicity": op4_toxicity,
         "op8_quality_classifier": op8_quality_classifier,
     }

@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import (
+    keep_one,
     local_roots,
     pairs_in_cells,
     parts,
+    row_hash,
     split_buckets,
     stored,
     utf8,
@@ -59,19 +61,20 @@ def fingerprint(text: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp long) of every document: lower-cased A-Z, words, shingles of `width` words.
+    """(doc_id, row_hash, fp long) of every document: lower-cased A-Z, words, shingles of `width` words.
 
     Texts of fewer words hash as one shingle; null, empty and blank texts get fingerprint zero.
     """
 
     def run(batches):
         for batch in batches:
-            fp = [fingerprint(t, width) for t in batch.column(1).to_pylist()]
+            fp = [fingerprint(t, width) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"]
+                [*batch.columns[:2], pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "row_hash", "fp"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), utf8().alias("t")).mapInArrow(run, "doc_id long, fp long")
+    given = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), utf8().alias("t"))
+    return given.mapInArrow(run, "doc_id long, row_hash long, fp long")
 
 
 def _pivots(n: int) -> np.ndarray:
@@ -134,7 +137,7 @@ def links(fps: DataFrame, k: int = 4, pivots: int = 24, limit: int = 512) -> Dat
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, width: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document.
+    """(doc_id, fingerprint, component_id, row_hash) of every document.
 
     component_id is the smallest doc_id reachable over links of at most k bits. Copies share one
     fingerprint, so only distinct fingerprints are compared. Null doc_ids keep their row and take the
@@ -150,5 +153,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, width: int = 4) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     label = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return each.join(label, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_hash"
     )
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 4, width: int = 4) -> DataFrame:
+    """docs with one row of each component, all columns kept."""
+    decided = stored(near_duplicates(docs, k, width), "components")
+    # a class without any id is its fingerprint's
+    decided = decided.withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
+    named = decided.select("doc_id", "row_hash", F.coalesce("alone", F.col("component_id").cast("string")).alias("class"))
+    return keep_one(docs, named, "class")

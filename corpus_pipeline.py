@@ -1,15 +1,57 @@
-"""A corpus pipeline over `documents`."""
+"""From raw documents to token ids of a training mix, stage by stage.
+
+Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from cliploom.llm import exact_dedup, mixing, pieces, quality, simhash
+from cliploom.llm.common import stored, table
+from cliploom.llm.registry import PIECE_BPE
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranking, learnt from the labels table, doesn't reject."""
+    return quality.without_rejects(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id."""
+    return exact_dedup.without_copies(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row with the smallest doc_id."""
+    return simhash.without_near_duplicates(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target has it."""
+    return mixing.mixed(docs)
+
+
+def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, and whether they decode to its text."""
+    return pieces.encode_decode(docs, PIECE_BPE, with_ids=True)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_deduplication),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece_ids),
+]
+
+#: Trained scores, SimHash and token ids can't be had from SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
