@@ -194,7 +194,8 @@ def exact_dedup(docs: DataFrame, bits: int = 256, cut: int | None = None) -> Dat
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns kept."""
-    return keep_one(docs, stored(exact_dedup(docs), "copies"), "keep_id", "text_sha256")
+    decided = stored(exact_dedup(docs), "copies").withColumn("keep_id", F.coalesce("keep_id", F.lit(-(1 << 63))))
+    return keep_one(docs, decided, "keep_id", "text_sha256")
 
 
 def _unequal(docs: DataFrame, doubled: DataFrame) -> DataFrame:

@@ -13,23 +13,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import parts, stored, utf8
+from cliploom.llm.common import stored, utf8
 from cliploom.llm.words import encoder, ended
 
 BLOCK = 1 << 18
 
 
 def write_flat(docs: DataFrame, path: str, end: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Token files in ascending doc_id order: (files (part, block, ids binary), order (part, place, doc_id)).
+    """Token files of docs as they come: (files (part, block, ids binary), order (part, place, doc_id)).
 
-    One file for each range of doc_ids, in blocks of `block` ids. `order` only names the documents of
+    One file for each partition of docs, in blocks of `block` ids. `order` only names the documents of
     a file in their order, for reports; the scan doesn't read it.
     """
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t"))
-        .repartitionByRange(parts(docs), "doc_id")
-        .sortWithinPartitions("doc_id")
-    )
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t"))
 
     def run(batches):
         part, number, place, held, n = TaskContext.get().partitionId(), 0, 0, [], 0
@@ -65,7 +61,7 @@ def write_flat(docs: DataFrame, path: str, end: int, block: int = BLOCK) -> tupl
         if n:
             yield rows(np.concatenate(held))
 
-    table = stored(ordered.mapInArrow(run, "part int, number long, ids binary, doc_id long"), "flat-tokens")
+    table = stored(ordered.mapInArrow(run, "part int, number long, ids binary, doc_id long"), "flat-tokens", compression="zstd")
     files = table.filter("ids is not null").select("part", F.col("number").alias("block"), "ids")
     return files, table.filter("ids is null").select("part", F.col("number").alias("place"), "doc_id")
 

@@ -25,35 +25,20 @@ BLOCK = 1 << 20
 _NULL = -(1 << 63)
 
 
-def id_counts(docs: DataFrame, path: str, end: int, vocabulary: int) -> np.ndarray:
-    """How often each id occurs in all documents; the result is as long as the vocabulary."""
-
-    def count(batches):
-        seen = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            ids, size = encoder(path).encode(batch.column(0).to_pylist())
-            seen += np.bincount(ids, minlength=vocabulary)
-            seen[end] += len(size)
-        found = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(seen[found])], names=["id", "n"])
-
-    total = docs.select(utf8()).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    out = np.zeros(vocabulary, np.int64)
-    for r in total.collect():  # one row for each id of the vocabulary at most
-        out[r["id"]] = r["n"]
-    return out
-
+def encoded(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFrame:
+    """Blocks (part, block, docs, ids) of all documents in ascending doc_id order, written as plain ids.
 
-def write(docs: DataFrame, path: str, end: int, freq: np.ndarray) -> DataFrame:
-    """The blocks (part, block, docs, payload) of all documents in ascending doc_id order, written."""
+    Texts go through the tokenizer once; the counts and the coding read these blocks.
+    """
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t"))
         .repartitionByRange(parts(docs), "doc_id")
         .sortWithinPartitions("doc_id")
     )
+    kind = _kind(vocabulary)
 
     def run(batches):
-        part, block, coder = TaskContext.get().partitionId(), 0, Coder(freq)
+        part, block = TaskContext.get().partitionId(), 0
         doc_ids, sizes, held, n = [], [], [], 0
 
         def flush():
@@ -64,9 +49,9 @@ def write(docs: DataFrame, path: str, end: int, freq: np.ndarray) -> DataFrame:
                     pa.array([part], pa.int32()),
                     pa.array([block], pa.int32()),
                     pa.array([packed], pa.binary()),
-                    pa.array([coder.encode(np.concatenate(held))], pa.binary()),
+                    pa.array([np.concatenate(held).tobytes()], pa.binary()),
                 ],
-                names=["part", "block", "docs", "payload"],
+                names=["part", "block", "docs", "ids"],
             )
             block, n = block + 1, 0
             doc_ids.clear(), sizes.clear(), held.clear()
@@ -76,6 +61,7 @@ def write(docs: DataFrame, path: str, end: int, freq: np.ndarray) -> DataFrame:
             texts, own = batch.column(1).to_pylist(), batch.column(0).fill_null(_NULL).to_pylist()
             for i in range(0, len(texts), 512):
                 ids, size = ended(*encoder(path).encode(texts[i : i + 512]), end)
+                ids = ids.astype(kind)
                 at = np.concatenate([[0], np.cumsum(size)])
                 for k in range(len(size)):
                     if n and n + size[k] > BLOCK:
@@ -88,7 +74,51 @@ def write(docs: DataFrame, path: str, end: int, freq: np.ndarray) -> DataFrame:
             yield flush()
 
     return stored(
-        ordered.mapInArrow(run, "part int, block int, docs binary, payload binary"), "token-file", compression="none"
+        ordered.mapInArrow(run, "part int, block int, docs binary, ids binary"), "plain-ids", compression="zstd"
+    )
+
+
+def _kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def id_counts(plain: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs in all documents; the result is as long as the vocabulary."""
+    kind = _kind(vocabulary)
+
+    def count(batches):
+        seen = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                seen += np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=vocabulary)
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(seen[found])], names=["id", "n"])
+
+    total = plain.select("ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    out = np.zeros(vocabulary, np.int64)
+    for r in total.collect():  # one row for each id of the vocabulary at most
+        out[r["id"]] = r["n"]
+    return out
+
+
+def write(plain: DataFrame, freq: np.ndarray) -> DataFrame:
+    """The token file (part, block, docs, payload): every block coded with the shared table, written."""
+    kind = _kind(len(freq))
+
+    def run(batches):
+        coder = Coder(freq)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(batch.column(3)[i].as_buffer(), kind)
+                payload = pa.array([coder.encode(ids)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(i, 1) for c in range(3)), payload], names=["part", "block", "docs", "payload"]
+                )
+
+    return stored(
+        plain.select("part", "block", "docs", "ids").mapInArrow(run, "part int, block int, docs binary, payload binary"),
+        "token-file",
+        compression="none",
     )
 
 
@@ -149,10 +179,9 @@ def token_ids(docs: DataFrame, path: str, end: int = 1, vocabulary: int = 49_408
     """One row per document: doc_id, start, n_tokens, ids_crc32, read back from the written file.
 
     Null and empty texts have the end id alone; null doc_ids come first and stay null; repeated rows
-    are documents like others, in any order among equals; an empty table gives no rows. Two passes
-    over the texts: the counts that all blocks share, then the coding.
+    are documents like others, in any order among equals; an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
-    freq = frequencies(id_counts(docs, path, end, vocabulary))
-    found = stored(read(write(docs, path, end, freq), freq), "token-rows")
+    plain = encoded(docs.select("doc_id", "text"), path, end, vocabulary)
+    freq = frequencies(id_counts(plain, vocabulary))
+    found = stored(read(write(plain, freq), freq), "token-rows")
     return documents(found).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -6,7 +6,9 @@ from itertools import chain
 
 import numpy as np
 
-_KEPT = 400_000
+_KEPT = 600_000
+_AT_ONCE = 1 << 20
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 class WordEncoder:
@@ -31,27 +33,63 @@ class WordEncoder:
         self.flat = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
+    def _split(self, word: bytes) -> tuple[bytes, bytes] | None:
+        """A word that ends in one comma or stop behind an ASCII letter: the library cuts it there too."""
+        if word[-1] in b",." and len(word) > 1 and word[-2] in _LETTERS:
+            return word[:-1], word[-1:]
+        return None
+
     def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words, in one flat store; words with a comma or stop are put together from two."""
+        index = self.index
+        cut = {w: c for w in words if (c := self._split(w))}
+        plain = {w for w in words if w not in cut}
+        plain.update(x for c in cut.values() for x in c if x not in index)
+        self._encode_words(list(plain))
+        if cut:
+            a = np.fromiter((index[c[0]] for c in cut.values()), np.int64, len(cut))
+            b = np.fromiter((index[c[1]] for c in cut.values()), np.int64, len(cut))
+            both = np.stack([a, b], axis=1).ravel()
+            size = self.size[both]
+            ends = np.cumsum(size)
+            ids = self.flat[np.arange(int(ends[-1])) + np.repeat(self.start[both] - (ends - size), size)]
+            self._store(list(cut), ids, size.reshape(-1, 2).sum(axis=1))
+
+    def _encode_words(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
             ids = [e.ids for e in found]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, m = len(self.index), int(size.sum())
-            while n + len(ids) > len(self.start):
-                self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
-            while self.used + m > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.size[n : n + len(ids)] = size
-            self.start[n : n + len(ids)] = self.used + np.cumsum(size) - size
-            self.flat[self.used : self.used + m] = np.fromiter(chain.from_iterable(ids), np.uint32, m)
-            self.used += m
-            for k, w in enumerate(some):
-                self.index[w] = n + k
+            self._store(some, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+
+    def _store(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        n, m = len(self.index), len(ids)
+        while n + len(words) > len(self.start):
+            self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
+        while self.used + m > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.size[n : n + len(words)] = size
+        self.start[n : n + len(words)] = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + m] = ids
+        self.used += m
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids of each text)."""
-        split = [t.split() for t in texts]
+        """(all ids, number of ids of each text); works through about a megabyte of text at a time."""
+        found, held, n = [], [], 0
+        for t in texts:
+            held.append(t)
+            n += len(t)
+            if n >= _AT_ONCE:
+                found.append(self._encode(held))
+                held, n = [], 0
+        found.append(self._encode(held))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # the library lower-cases anyway; only its special tokens are told apart by case
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.index) > _KEPT:
             self._forget()
         index = self.index
