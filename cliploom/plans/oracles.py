@@ -87,8 +87,8 @@ VIEWS: dict[str, str] = {
     "samples": "SELECT l_orderkey AS job_id, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS frame, l_suppkey % 2 AS channel,"
     " least(greatest(floor(l_extendedprice) - 32768, -32768), 32767) AS value FROM lineitem",
     "logev": "SELECT job_id, event_id, start_ms, len_ms, start_ms + len_ms AS end_ms, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM ev WHERE event_type IN ('error', 'signup')",
-    "logmix": "SELECT job_id, start_ms * 2 AS at, event_id, true AS opens, start_ms AS ms, 0 AS len FROM logev WHERE k % 10 <> 0 UNION ALL SELECT job_id, end_ms * 2 + 1, event_id, false, end_ms, len_ms FROM logev",
-    "logs": "SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY at, event_id) AS line_no FROM logmix",
+    "logmix": "SELECT job_id, start_ms * 2 AS pos, event_id, true AS opens, start_ms AS ms, 0 AS len FROM logev WHERE k % 10 <> 0 UNION ALL SELECT job_id, end_ms * 2 + 1, event_id, false, end_ms, len_ms FROM logev",
+    "logs": "SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY pos, event_id) AS line_no FROM logmix",
 }
 
 
