@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from cliploom.llm.common import utf8
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
 _KEPT = 400_000
+_AT_ONCE = 1 << 20
 #: Units with more characters than this are relaxed one by one.
 _LONG = 96
 
@@ -145,7 +147,27 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.start = np.zeros(1 << 12, np.int32)
+        self.size = np.zeros(1 << 12, np.int32)
+        self.flat = np.zeros(1 << 14, np.uint16)
+        self.used = 0
+        self._store(["\n"], np.array([self.vocabulary.of_byte[10]]), np.array([1]))
+
+    def _store(self, units: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.index)
+        while n + len(units) > len(self.start):
+            self.start, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.size[n : n + len(units)] = size
+        self.start[n : n + len(units)] = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.index.update(zip(units, range(n, n + len(units)), strict=True))
 
     def _learn(self, units: list[str]) -> None:
         v = self.vocabulary
@@ -155,41 +177,59 @@ class Encoder:
         size = np.fromiter(map(len, units), np.int64, len(units))
         begin = np.cumsum(size + 1) - size - 1
         unit_of = np.searchsorted(begin, start, side="right") - 1
-        wall = np.ones(len(text) + 1, bool)
         short = size[unit_of] <= _LONG
-        wall &= relax(len(text), unit_of[short], start[short], end[short], rank[short])
+        wall = relax(len(text), unit_of[short], start[short], end[short], rank[short])
         for u in np.flatnonzero(size > _LONG):
             a, b = np.searchsorted(unit_of, [u, u + 1])
             wall[begin[u] : begin[u] + size[u] + 1] = relax_long(
                 int(size[u]), start[a:b] - begin[u], end[a:b] - begin[u], rank[a:b]
             )
         cuts = np.flatnonzero(wall).tolist()
-        pieces: dict[str, list[int]] = {}
-        k = 0
-        for u, a, n in zip(units, begin.tolist(), size.tolist(), strict=True):
-            ids: list[int] = []
-            while cuts[k] < a:
-                k += 1
-            while cuts[k] < a + n:
-                piece = text[cuts[k] : cuts[k + 1]]
-                if piece not in pieces:
-                    i = v.id.get(piece)
-                    pieces[piece] = [i] if i is not None else [v.of_byte[b] for b in piece.encode()]
-                ids += pieces[piece]
-                k += 1
-            self.known[u] = np.array(ids, np.uint16)
+        known: dict[str, list[int]] = {"\n": []}  # the breaks between units
+        ids, many, upto = [], [], 0
+        ends = (begin + size).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            while upto < len(ends) and a >= ends[upto]:
+                many.append(len(ids))
+                upto += 1
+            piece = text[a:b]
+            own = known.get(piece)
+            if own is None:
+                i = v.id.get(piece)
+                own = known[piece] = [i] if i is not None else [v.of_byte[x] for x in piece.encode()]
+            ids += own
+        many += [len(ids)] * (len(units) - len(many))
+        self._store(units, np.array(ids, np.int64), np.diff([0, *many]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text: blanks become marks, one mark goes in front of a text that isn't empty."""
+        out: list[np.ndarray] = []
+        held, n = [], 0
+        for t in texts:
+            held.append(t)
+            n += len(t)
+            if n >= _AT_ONCE:
+                out += self._encode(held)
+                held, n = [], 0
+        return out + self._encode(held)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.known) > _KEPT:
-            self.known.clear()
-        fresh = list({u for units in split for u in units if u not in self.known})
-        for i in range(0, len(fresh), 40_000):
-            self._learn([u for u in fresh[i : i + 40_000] if u != "\n"])
-        self.known.setdefault("\n", np.array([self.vocabulary.of_byte[10]], np.uint16))
-        get = self.known.__getitem__
-        return [np.concatenate(list(map(get, units))) if units else np.zeros(0, np.uint16) for units in split]
+        if len(self.index) > _KEPT:
+            self._forget()
+        units = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.index.get, units, repeat(-1)), np.int32, len(units))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            fresh = list({units[i] for i in new})
+            for i in range(0, len(fresh), 30_000):
+                self._learn(fresh[i : i + 30_000])
+            at[new] = [self.index[units[i]] for i in new]
+        size = self.size[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[at] - (ends - size), size)]
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        return [ids[a:b] for a, b in zip(upto, upto[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces joined to characters, marks to blanks, the first mark dropped."""
@@ -238,8 +278,8 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, with_text:
         code = encoder(path)
         for batch in batches:
             own, texts = batch.column(0), [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 2048):
-                some = texts[i : i + 2048]
+            for i in range(0, len(texts), 512):
+                some = texts[i : i + 512]
                 ids = code.encode(some)
                 back = [code.decode(x.tolist()) for x in ids]
                 columns = [

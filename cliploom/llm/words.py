@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
-_KEPT = 600_000
+_KEPT = 1_000_000
 _AT_ONCE = 1 << 20
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
@@ -28,15 +29,22 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.start = np.zeros(1 << 12, np.int64)
-        self.size = np.zeros(1 << 12, np.int64)
+        self.start = np.zeros(1 << 12, np.int32)
+        self.size = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
     def _split(self, word: bytes) -> tuple[bytes, bytes] | None:
-        """A word that ends in one comma or stop behind an ASCII letter: the library cuts it there too."""
-        if word[-1] in b",." and len(word) > 1 and word[-2] in _LETTERS:
-            return word[:-1], word[-1:]
+        """A word that ends in punctuation behind a letter (ASCII or Latin-1): the library cuts it there too.
+
+        Apostrophes begin contractions and special tokens hold punctuation, so such words stay whole.
+        """
+        head = word.rstrip(_PUNCTUATION)
+        if len(head) == len(word) or not head or b"<|" in word:
+            return None
+        last = head[-1]
+        if last in _LETTERS or len(head) > 1 and head[-2] == 0xC3 and 0x80 <= last <= 0xBF and last not in (0x97, 0xB7):
+            return head, word[len(head) :]
         return None
 
     def _learn(self, words: list[bytes]) -> None:
@@ -92,14 +100,17 @@ class WordEncoder:
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.index) > _KEPT:
             self._forget()
-        index = self.index
-        self._learn([w for w in set(chain.from_iterable(split)) if w not in index])
         n = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn(list({words[i] for i in new}))
+            at[new] = [self.index[words[i]] for i in new]
         size = self.size[at]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int32)  # a megabyte or one text at a time
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
+        ids = self.flat[np.arange(total, dtype=np.int32) + np.repeat(self.start[at] - (ends - size), size)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
         return ids, np.diff(upto)
 
