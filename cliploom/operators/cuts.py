@@ -74,7 +74,7 @@ def rank_clips(clips: DataFrame, score: str, out: str) -> DataFrame:
 
 def clean_highlights(highlights: DataFrame) -> DataFrame:
     start = F.greatest(F.lit(0), F.col("start_ms")).cast("long")
-    return highlights.select(
+    return highlights.filter("start_ms is not null and end_ms is not null").select(
         "job_id",
         "idx",
         start.alias("start_ms"),
@@ -117,8 +117,10 @@ def semantic_score(clips: DataFrame, highlights: DataFrame) -> DataFrame:
 
 def validate_edited_clips(clips: DataFrame, durations: DataFrame) -> DataFrame:
     """Clips of an editor (start, end in seconds), clamped and sorted; `error` where a clip is empty."""
-    start = F.greatest(F.lit(0), F.floor(F.col("start").try_cast("double") * 1000 + 0.5)).cast("long")
-    end = F.least(F.col("duration_ms"), F.floor(F.col("end").try_cast("double") * 1000 + 0.5))
+    given = lambda c: F.floor(F.col(c).try_cast("double") * 1000 + 0.5)
+    # least and greatest pass over nulls; a time that is no number stays null
+    start = F.when(given("start").isNotNull(), F.greatest(F.lit(0), given("start"))).cast("long")
+    end = F.when(given("end").isNotNull(), F.least(F.col("duration_ms"), given("end")))
     out = clips.join(durations, "job_id").select(
         "job_id",
         start.alias("start_ms"),

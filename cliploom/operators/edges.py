@@ -76,7 +76,8 @@ def edge_proposal(
     x = excluded.select(F.col("job_id").alias("_job"), F.col("start_ms").alias("x_start"), F.col("end_ms").alias("x_end"))
     over = lambda a, b: F.greatest(F.lit(0), F.least(b, F.col("x_end")) - F.greatest(a, F.col("x_start")))
     near = (F.col("job_id") == F.col("_job")) & (F.col("x_start") < F.col("_e")) & (F.col("_s") < F.col("x_end"))
-    grows = over(F.col("_s"), F.col("_e")) > over(F.col("start_ms"), F.col("end_ms")) + 1
+    # least and greatest pass over nulls, so candidates without any excluded part are told apart
+    grows = F.col("x_start").isNotNull() & (over(F.col("_s"), F.col("_e")) > over(F.col("start_ms"), F.col("end_ms")) + 1)
     key = ["job_id", "idx", "edge", "at_ms"]
     safe = (
         c.join(x, near, "left")

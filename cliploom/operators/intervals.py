@@ -30,7 +30,8 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", bucket_m
 def valid_ranges(ranges: DataFrame, durations: DataFrame) -> DataFrame:
     """Ranges cut to [0, duration] of their recording; empty and null ones go."""
     return (
-        ranges.join(durations, "job_id")
+        ranges.filter("start_ms is not null and end_ms is not null")
+        .join(durations, "job_id")
         .select(
             "job_id",
             F.greatest(F.lit(0), F.col("start_ms")).cast("long").alias("start_ms"),

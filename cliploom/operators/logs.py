@@ -29,13 +29,15 @@ def parse_range_log(lines: DataFrame, kind: str = "silence") -> DataFrame:
         _ms("line", rf"{kind}_duration:\s*{_MS}").alias("d"),
     ).filter("s is not null or e is not null")
     counted = (
-        marked.withColumn("S", F.count("s").over(run))
-        .withColumn("E", F.count("e").over(run))
-        .withColumn("U", F.greatest(F.lit(0), F.max(F.col("E") - F.col("S")).over(run)))
-        .withColumn("U0", F.coalesce(F.lag("U").over(order), F.lit(0)))
+        marked.withColumn("n_starts", F.count("s").over(run))
+        .withColumn("n_ends", F.count("e").over(run))
+        .withColumn("surplus", F.greatest(F.lit(0), F.max(F.col("n_ends") - F.col("n_starts")).over(run)))
+        .withColumn("surplus_before", F.coalesce(F.lag("surplus").over(order), F.lit(0)))
+    )
+    starts = counted.filter("s is not null").select("job_id", F.col("n_starts").alias("no"), F.col("s").alias("from_start"))
+    ends = counted.filter("e is not null").withColumn(
+        "no", F.when(F.col("surplus") == F.col("surplus_before"), F.col("n_ends") - F.col("surplus"))
     )
-    starts = counted.filter("s is not null").select("job_id", F.col("S").alias("no"), F.col("s").alias("from_start"))
-    ends = counted.filter("e is not null").withColumn("no", F.when(F.col("U") == F.col("U0"), F.col("E") - F.col("U")))
     return (
         ends.join(starts, ["job_id", "no"], "left")
         .select(

@@ -242,7 +242,7 @@ _EDGE = (
     " CASE WHEN (n = 0) = (edge = 'start') THEN w_start ELSE w_end END AS to_ms FROM edges_hit h JOIN nb USING (job_id, idx), (VALUES (0), (1)) t(n))),"
     " okc AS (SELECT * FROM cand WHERE abs(to_ms - at_ms) <= 750 AND s2 >= lo AND e2 <= hi AND e2 - s2 >= 2000),"
     " safe AS (SELECT c.job_id, c.idx, edge, at_ms, nth, to_ms FROM okc c LEFT JOIN invalid x ON x.job_id = c.job_id AND x.start_ms < e2 AND s2 < x.end_ms GROUP BY ALL"
-    " HAVING NOT bool_or(coalesce(greatest(0, least(e2, x.end_ms) - greatest(s2, x.start_ms)) > greatest(0, least(c.end_ms, x.end_ms) - greatest(c.start_ms, x.start_ms)) + 1, false))),"
+    " HAVING NOT bool_or(x.start_ms IS NOT NULL AND coalesce(greatest(0, least(e2, x.end_ms) - greatest(s2, x.start_ms)) > greatest(0, least(c.end_ms, x.end_ms) - greatest(c.start_ms, x.start_ms)) + 1, false))),"
     " prop AS (SELECT h.job_id, h.idx, h.edge, h.at_ms, arg_min(s.to_ms, s.nth) AS to_ms FROM edges_hit h LEFT JOIN safe s USING (job_id, idx, edge, at_ms) GROUP BY ALL),"
     " iss AS (SELECT job_id, count(*) AS n FROM (SELECT job_id FROM clips WHERE end_ms - start_ms < 2000 UNION ALL SELECT job_id FROM (SELECT *, lag(end_ms) OVER (PARTITION BY job_id ORDER BY start_ms) AS p FROM clips) WHERE start_ms < p - 1) GROUP BY 1)"
 )
