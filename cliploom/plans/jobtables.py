@@ -9,6 +9,7 @@ from cliploom.operators import edges, intervals, library, logs, platform, subtit
 from cliploom.plans.fixtures import Views
 from cliploom.plans.oracles import sql
 from cliploom.plans.recordings import _clips, _invalid
+from cliploom.sources import files
 
 
 def _chat_times(v: Views) -> DataFrame:
@@ -231,6 +232,29 @@ def r2_latest(v: Views) -> DataFrame:
     return streams.latest_state(v.stage_runs().select(F.col("run_id").alias("job"), F.col("seq").alias("version"), "status"))
 
 
+def u6_units(v: Views) -> DataFrame:
+    p = v.table("part")
+    return p.select("p_partkey", subtitles.max_units(F.col("p_size") * 40, F.col("p_size") + 10).alias("units"))
+
+
+def g4_preview(v: Views) -> DataFrame:
+    d = v.table("documents").select(
+        F.col("doc_id").alias("job_id"),
+        F.array(F.lit(" "), F.substring("text", 1, 100)).alias("titles"),
+        F.lit("cover").alias("cover_title"),
+        F.array("source").alias("descriptions"),
+        F.array("lang", F.lit(""), "source", "lang").alias("tags"),
+    )
+    return platform.metadata_preview(d)
+
+
+def s7_bundle(v: Views) -> DataFrame:
+    jobs = v.jobs().select("job_name", (F.col("batch_id") % 25).alias("project_id"), (F.col("batch_id") % 7).alias("recipe_id"))
+    recipes = v.table("part").select(F.col("p_partkey").alias("id"))
+    b = files.project_bundle(v.projects(), jobs, recipes, 3, ("cuts.json", "job.json"), v.files())
+    return b.select("id", "name", F.array_join("jobs", ",").alias("jobs"), F.array_join("recipes", ",").alias("recipes"), F.array_join("files", ",").alias("files"))
+
+
 _SEG_DOC = "string_agg(CAST(seg_idx + 1 AS VARCHAR) || chr(10) || {0} || ' --> ' || {1} || chr(10) || text || chr(10), chr(10) ORDER BY seg_idx)"
 _SRT = "format('{{:02d}}:{{:02d}}:{{:02d}},{{:03d}}', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 _EDGE = (
@@ -463,6 +487,21 @@ QUERIES = {
             "SELECT job_id, CAST(frame // 3 AS INTEGER) AS bucket, CAST(least(greatest(round_even(min(v) * 128 / 32768.0, 0), -128), 127) AS INTEGER) AS low, CAST(least(greatest(round_even(max(v) * 128 / 32768.0, 0), -128), 127) AS INTEGER) AS high FROM (SELECT job_id, frame, floor(sum(value) / count(*)) AS v FROM samples GROUP BY 1, 2) GROUP BY 1, 2"
         ),
     ),
+    "u6_max_units": (
+        u6_units,
+        "SELECT p_partkey, CAST(least(greatest(floor((p_size * 40 - 160) / ((p_size + 10) * 0.45::DOUBLE)), 16), 52) AS INTEGER) AS units FROM part",
+    ),
+    "g4_metadata_preview": (
+        g4_preview,
+        "SELECT doc_id AS job_id, CASE WHEN trim(substring(text, 1, 100)) = '' THEN 'cover' WHEN length(substring(text, 1, 100)) > 80 THEN substring(text, 1, 79) || '…' ELSE substring(text, 1, 100) END AS title, source AS description, '#' || lang || ' #' || source AS hashtags FROM documents",
+    ),
+    "s7_project_bundle": (
+        s7_bundle,
+        sql(
+            "SELECT id, name, (SELECT string_agg(job_name, ',' ORDER BY job_name) FROM jobs WHERE batch_id % 25 = 3) AS jobs, (SELECT string_agg(DISTINCT p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) FROM part WHERE p_partkey IN (SELECT batch_id % 7 FROM jobs WHERE batch_id % 25 = 3)) AS recipes,"
+            " (SELECT string_agg(DISTINCT job_name || '/' || name, ',' ORDER BY job_name || '/' || name) FROM files WHERE name IN ('cuts.json', 'job.json') AND job_name IN (SELECT job_name FROM jobs WHERE batch_id % 25 = 3)) AS files FROM projects WHERE id = 3"
+        ),
+    ),
     "r1_tail_events": (r1_tail, sql("SELECT event_id AS id, event_type, job_id FROM ev WHERE event_id > 1000 AND event_id > (SELECT max(event_id) FROM ev) - 500")),
     "r2_latest_job_state": (r2_latest, sql("SELECT run_id AS job, max(seq) AS version, arg_max(status, {'a': seq, 'b': status}) AS status FROM stage_runs GROUP BY 1")),
     "r3_check_transitions": (
