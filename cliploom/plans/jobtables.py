@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cliploom.operators import edges, intervals, library, logs, platform, subtitles, transcript, waveform
 from cliploom.plans.fixtures import Views
 from cliploom.plans.oracles import sql
-from cliploom.plans.recordings import _clips, _invalid
+from cliploom.plans.recordings import _clips, _invalid, recursive
 from cliploom.sources import files
 
 
@@ -294,7 +294,15 @@ QUERIES = {
             r" || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, '\', '\\'), '{', '\{'), '}', '\}'), chr(10), '\N') AS line FROM (SELECT *, CAST(round_even(start_ms / 10.0, 0) AS BIGINT) AS a, CAST(round_even(end_ms / 10.0, 0) AS BIGINT) AS b FROM segments) WHERE seg_idx % 2 = 0"
         ),
     ),
-    "u8_translation_batches": (lambda v: subtitles.translation_batches(v.segments()), None),
+    "u8_translation_batches": (
+        lambda v: subtitles.translation_batches(v.segments()),
+        recursive(
+            "WITH sg AS MATERIALIZED (SELECT job_id, seg_idx, length(text) AS n FROM segments), pack AS (SELECT job_id, seg_idx, 0 AS batch, 1 AS many, n AS chars FROM sg WHERE seg_idx = 0 UNION ALL"
+            " SELECT job_id, seg_idx, batch + fresh, CASE fresh WHEN 1 THEN 1 ELSE many + 1 END, CASE fresh WHEN 1 THEN n ELSE chars + n END FROM (SELECT s.job_id, s.seg_idx, s.n, p.batch, p.many, p.chars,"
+            " CASE WHEN p.many >= 24 OR p.chars + s.n > 6000 THEN 1 ELSE 0 END AS fresh FROM pack p JOIN sg s ON s.job_id = p.job_id AND s.seg_idx = p.seg_idx + 1)) SELECT job_id, seg_idx, batch FROM pack",
+            "sg",
+        ),
+    ),
     "u9_merge_translations": (
         u9_merge,
         sql("SELECT job_id, seg_idx, start_ms, end_ms, CASE WHEN seg_idx % 3 = 0 THEN 'T ' || text ELSE text END AS text FROM segments WHERE seg_idx % 3 <> 0 OR seg_idx % 2 = 0"),

@@ -51,7 +51,7 @@ def c6_merge_short_gaps(v: Views) -> DataFrame:
 
 
 def c7_stable_clips(v: Views) -> DataFrame:
-    return intervals.stable_clips(_invalid(v), v.durations())
+    return intervals.stable_clips(_invalid(v), v.durations()).drop("reason")
 
 
 def c9_transcript_per_clip(v: Views) -> DataFrame:
@@ -137,6 +137,28 @@ def s6_cut_documents(v: Views) -> DataFrame:
     return cuts.cut_documents(_clips(v)).select("job_id", "table_md")
 
 
+def recursive(text: str, first: str) -> str:
+    """sql() of a SELECT that begins with its own recursive expressions, `first` being the first of them."""
+    return sql(text).replace(f"\nWITH {first} AS", f",\n{first} AS", 1).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+#: The fold over a job's clips: the last clip put out (g, its start and end) and a start left to the next one.
+_STABLE = (
+    "WITH mi AS MATERIALIZED (SELECT job_id, start_ms, end_ms, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms) AS i, lead(start_ms) OVER (PARTITION BY job_id ORDER BY start_ms, end_ms) AS nxt FROM merged),"
+    " step AS (SELECT job_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS g, CAST(NULL AS BIGINT) AS gs, CAST(NULL AS BIGINT) AS ge, CAST(NULL AS BIGINT) AS held FROM (SELECT DISTINCT job_id FROM mi) UNION ALL"
+    " SELECT job_id, i, CASE how WHEN 'new' THEN g + 1 ELSE g END, CASE how WHEN 'new' THEN s ELSE gs END, CASE how WHEN 'right' THEN ge ELSE e END, CASE how WHEN 'right' THEN s END FROM"
+    " (SELECT *, CASE WHEN e - s >= 2000 THEN 'new' WHEN g > 0 AND (nxt IS NULL OR s - ge <= nxt - e) AND s - ge <= 3000 THEN 'left' WHEN nxt IS NOT NULL AND nxt - e <= 3000 THEN 'right' ELSE 'new' END AS how FROM"
+    " (SELECT m.job_id, m.i, f.g, f.gs, f.ge, coalesce(f.held, m.start_ms) AS s, m.end_ms AS e, m.nxt FROM step f JOIN mi m ON m.job_id = f.job_id AND m.i = f.i + 1))),"
+    " absorbed AS (SELECT job_id, g, min(gs) AS start_ms, max(ge) AS end_ms FROM step WHERE g > 0 GROUP BY 1, 2),"
+    " again AS (SELECT *, sum(CASE WHEN greatest(0, start_ms - p) <= 1500 THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY start_ms) AS grp2 FROM (SELECT *, lag(end_ms) OVER (PARTITION BY job_id ORDER BY start_ms) AS p FROM absorbed))"
+    " SELECT job_id, start_ms, end_ms, CAST(row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms) AS INTEGER) AS idx FROM (SELECT job_id, min(start_ms) AS start_ms, arg_max(end_ms, start_ms) AS end_ms FROM again GROUP BY job_id, grp2)"
+)
+_HIGHLIGHT = (
+    "WITH rk AS MATERIALIZED (SELECT job_id, idx, start_ms, end_ms, end_ms - start_ms AS d, row_number() OVER (PARTITION BY job_id ORDER BY final_score DESC, end_ms - start_ms DESC, idx) AS r FROM semantic),"
+    " fold AS (SELECT job_id, r, d AS total, true AS take FROM rk WHERE r = 1 UNION ALL SELECT k.job_id, k.r, CASE WHEN f.total < 60000 AND f.total + k.d <= 60000 THEN f.total + k.d ELSE f.total END, f.total < 60000 AND f.total + k.d <= 60000"
+    " FROM fold f JOIN rk k ON k.job_id = f.job_id AND k.r = f.r + 1) SELECT rk.job_id, idx, start_ms, end_ms, r AS selection_rank FROM rk JOIN fold USING (job_id, r) WHERE take"
+)
+
 _TRIM = "' ' || chr(9) || chr(13) || chr(10)"
 _REPL = "replace(replace(replace({}, 'the', 'a'), 'th', 'TH'), 'and', '***')"
 _SRT = "format('{{:02d}}:{{:02d}}:{{:02d}},{{:03d}}', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
@@ -158,7 +180,7 @@ QUERIES = {
         c6_merge_short_gaps,
         sql("SELECT job_id, start_ms, end_ms, CAST(row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms) AS INTEGER) AS idx FROM merged"),
     ),
-    "c7_stable_clips": (c7_stable_clips, None),
+    "c7_stable_clips": (c7_stable_clips, recursive(_STABLE, "mi")),
     "c8_scenes_per_clip": (
         c8_scenes_per_clip,
         sql("SELECT job_id, idx, coalesce(scene_count, 0) AS scene_count, coalesce(array_to_string(scene_times, ','), '') AS scene_times FROM clips LEFT JOIN clip_scenes USING (job_id, idx)"),
@@ -173,7 +195,7 @@ QUERIES = {
             "SELECT job_id, s AS start_ms, e AS end_ms, true AS keep, 'edited' AS reason, CASE WHEN e <= s THEN 'empty clip' END AS error FROM (SELECT job_id, greatest(0, start_ms - 5000) AS s, least(720000, start_ms + len_ms) AS e FROM ev WHERE event_type = 'view')"
         ),
     ),
-    "c15_highlight_cut": (lambda v: cuts.highlight_cut(_semantic(v), 60_000), None),
+    "c15_highlight_cut": (lambda v: cuts.highlight_cut(_semantic(v), 60_000), recursive(_HIGHLIGHT, "rk")),
     "c16_top_clips": (
         lambda v: cuts.top_clips(_scored(v), 8).select("job_id", "idx", "content_score"),
         sql("SELECT job_id, idx, content_score FROM ranked WHERE content_rank <= 8"),
