@@ -299,7 +299,7 @@ QUERIES = {
         recursive(
             "WITH sg AS MATERIALIZED (SELECT job_id, seg_idx, length(text) AS n FROM segments), pack AS (SELECT job_id, seg_idx, 0 AS batch, 1 AS many, n AS chars FROM sg WHERE seg_idx = 0 UNION ALL"
             " SELECT job_id, seg_idx, batch + fresh, CASE fresh WHEN 1 THEN 1 ELSE many + 1 END, CASE fresh WHEN 1 THEN n ELSE chars + n END FROM (SELECT s.job_id, s.seg_idx, s.n, p.batch, p.many, p.chars,"
-            " CASE WHEN p.many >= 24 OR p.chars + s.n > 6000 THEN 1 ELSE 0 END AS fresh FROM pack p JOIN sg s ON s.job_id = p.job_id AND s.seg_idx = p.seg_idx + 1)) SELECT job_id, seg_idx, batch FROM pack",
+            " CASE WHEN p.many >= 24 OR p.chars + s.n > 6000 THEN 1 ELSE 0 END AS fresh FROM pack p JOIN sg s ON s.job_id = p.job_id AND s.seg_idx = p.seg_idx + 1)) SELECT job_id, CAST(seg_idx AS BIGINT) AS seg_idx, batch FROM pack",
             "sg",
         ),
     ),
@@ -366,7 +366,7 @@ QUERIES = {
             " SELECT w.job_id, coalesce(st_ms, greatest(0, w.ms - w.len)) AS start_ms, w.ms AS end_ms FROM w LEFT JOIN st ON st.job_id = w.job_id AND w.u = w.u0 AND st.s_no = w.e_no - w.u WHERE NOT w.opens"
         ).replace("\nWITH c AS", ",\nc AS"),
     ),
-    "p2_scene_log": (p2_scenes, sql("SELECT DISTINCT job_id, time_ms, NULL AS error FROM scenes")),
+    "p2_scene_log": (p2_scenes, sql("SELECT DISTINCT job_id, time_ms, CAST(NULL AS VARCHAR) AS error FROM scenes")),
     "p3_integrity_status": (
         p3_integrity,
         sql(

@@ -156,7 +156,7 @@ _STABLE = (
 _HIGHLIGHT = (
     "WITH rk AS MATERIALIZED (SELECT job_id, idx, start_ms, end_ms, end_ms - start_ms AS d, row_number() OVER (PARTITION BY job_id ORDER BY final_score DESC, end_ms - start_ms DESC, idx) AS r FROM semantic),"
     " fold AS (SELECT job_id, r, d AS total, true AS take FROM rk WHERE r = 1 UNION ALL SELECT k.job_id, k.r, CASE WHEN f.total < 60000 AND f.total + k.d <= 60000 THEN f.total + k.d ELSE f.total END, f.total < 60000 AND f.total + k.d <= 60000"
-    " FROM fold f JOIN rk k ON k.job_id = f.job_id AND k.r = f.r + 1) SELECT rk.job_id, idx, start_ms, end_ms, r AS selection_rank FROM rk JOIN fold USING (job_id, r) WHERE take"
+    " FROM fold f JOIN rk k ON k.job_id = f.job_id AND k.r = f.r + 1) SELECT rk.job_id, CAST(idx AS BIGINT) AS idx, start_ms, end_ms, CAST(r AS INTEGER) AS selection_rank FROM rk JOIN fold USING (job_id, r) WHERE take"
 )
 
 _TRIM = "' ' || chr(9) || chr(13) || chr(10)"
@@ -205,7 +205,7 @@ QUERIES = {
         sql(
             "SELECT job_id, duration_ms, coalesce(cut_source, 'full_media') AS cut_source, coalesce(ic, 0) AS invalid_count, coalesce(sc, 0) AS scene_total, coalesce(cc, 0) AS clip_count, coalesce(km, 0) AS kept_ms FROM durations"
             " LEFT JOIN (SELECT job_id, count(*) AS ic, min(reason) AS cut_source FROM invalid GROUP BY 1) USING (job_id) LEFT JOIN (SELECT job_id, count(*) AS sc FROM scenes GROUP BY 1) USING (job_id)"
-            " LEFT JOIN (SELECT job_id, count(*) AS cc, sum(end_ms - start_ms) AS km FROM clips GROUP BY 1) USING (job_id)"
+            " LEFT JOIN (SELECT job_id, count(*) AS cc, CAST(sum(end_ms - start_ms) AS BIGINT) AS km FROM clips GROUP BY 1) USING (job_id)"
         ),
     ),
     "s6_cut_documents": (
