@@ -23,8 +23,9 @@ from cliploom.llm.common import utf8
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
-_KEPT = 400_000
+_KEPT = 600_000
 _AT_ONCE = 1 << 20
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Units with more characters than this are relaxed one by one.
 _LONG = 96
 
@@ -45,6 +46,8 @@ class Vocabulary:
         self.id = {self.piece[i]: i for i in plain}
         long = sorted((i for i in plain if len(self.piece[i]) > 1), key=lambda i: (-model.get_score(i), i))
         self.longest = max(len(self.piece[i]) for i in plain)
+        #: Neighbouring characters inside pieces; no symbol ever crosses any other pair.
+        self.pairs = {p[i : i + 2] for p in (self.piece[i] for i in long) for i in range(len(p) - 1)}
         # pieces of two or more characters in order of rank; what has one score shares a rank
         score = [model.get_score(i) for i in long]
         self.rank = np.cumsum([0, *(a != b for a, b in zip(score, score[1:], strict=False))]).astype(np.int64)
@@ -169,6 +172,29 @@ class Encoder:
         self.used += len(ids)
         self.index.update(zip(units, range(n, n + len(units)), strict=True))
 
+    def _split(self, unit: str) -> tuple[str, str] | None:
+        """A unit that ends in punctuation no piece joins to what stands before it."""
+        head = unit.rstrip(_PUNCTUATION)
+        if 0 < len(head) < len(unit) and unit[len(head) - 1 : len(head) + 1] not in self.vocabulary.pairs:
+            return head, unit[len(head) :]
+        return None
+
+    def _learn_all(self, units: set[str]) -> None:
+        """Units that end in punctuation are put together from two; the rest are matched."""
+        index = self.index
+        cut = {u: c for u in units if (c := self._split(u))}
+        plain = {u for u in units if u not in cut}
+        plain.update(x for c in cut.values() for x in c if x not in index)
+        fresh = list(plain)
+        for i in range(0, len(fresh), 30_000):
+            self._learn(fresh[i : i + 30_000])
+        if cut:
+            both = np.fromiter((index[x] for c in cut.values() for x in c), np.int64, 2 * len(cut))
+            size = self.size[both].astype(np.int64)
+            ends = np.cumsum(size)
+            ids = self.flat[np.arange(int(ends[-1])) + np.repeat(self.start[both] - (ends - size), size)]
+            self._store(list(cut), ids, size.reshape(-1, 2).sum(axis=1))
+
     def _learn(self, units: list[str]) -> None:
         v = self.vocabulary
         text = "\n".join(units)  # no piece holds a line break
@@ -221,9 +247,7 @@ class Encoder:
         at = np.fromiter(map(self.index.get, units, repeat(-1)), np.int32, len(units))
         new = np.flatnonzero(at < 0).tolist()
         if new:
-            fresh = list({units[i] for i in new})
-            for i in range(0, len(fresh), 30_000):
-                self._learn(fresh[i : i + 30_000])
+            self._learn_all({units[i] for i in new})
             at[new] = [self.index[units[i]] for i in new]
         size = self.size[at]
         ends = np.cumsum(size, dtype=np.int64)
