@@ -16,10 +16,11 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most `most` labelled rows that aren't held out, half of each label.
+    """(doc_id, text, label) of at most `most` labelled rows that aren't held out.
 
-    The bound is on rows, chosen in the order of a hash of doc_id, so the sample doesn't change
-    between runs and its size doesn't follow the table. Rows without id or label are left out; an id
+    The bound is on rows, chosen in the order of a hash of doc_id whatever their label: the sample
+    doesn't change between runs, its size doesn't follow the table, and its labels have the table's
+    shares at every size. Rows without id or label are left out; an id
     labelled twice takes its larger label.
     """
     rows = (
@@ -29,8 +30,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
-    order = F.xxhash64("doc_id")
-    picked = [rows.filter(F.col("label") == v).orderBy(order, "doc_id").limit(most // 2) for v in (0, 1)]
     # bounded by `most` rows of two numbers, so it is sent to every task
-    chosen = F.broadcast(picked[0].union(picked[1]))
+    chosen = F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
