@@ -30,28 +30,14 @@ from cliploom.llm.common import (
     whole_groups,
 )
 from cliploom.llm.components import connected_components
-
-SEED = 42
-
+from cliploom.llm.resemblance import resembling, shingles
 
 def fingerprint(text: bytes, width: int) -> int:
     """64-bit SimHash of a text: a bit is 1 if set in over half of its shingles' hashes."""
-    import xxhash
-
-    words = text.lower().split()
-    if not words:
+    h = shingles(text, width)
+    n = len(h)
+    if not n:
         return 0
-    joined = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    n = max(1, len(words) - width + 1)
-    last = ends[-1:] if len(words) < width else ends[width - 1 :]
-    digest = xxhash.xxh64_intdigest
-    view = memoryview(joined)
-    h = np.fromiter(
-        (digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n
-    )
     count = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
         count += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
@@ -157,10 +143,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, width: int = 4) -> DataFrame:
     )
 
 
-def without_near_duplicates(docs: DataFrame, k: int = 4, width: int = 4) -> DataFrame:
-    """docs with one row of each component, all columns kept."""
-    decided = stored(near_duplicates(docs, k, width), "components")
-    # a class without any id is its fingerprint's
-    decided = decided.withColumn("alone", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
-    named = decided.select("doc_id", "row_hash", F.coalesce("alone", F.col("component_id").cast("string")).alias("class"))
-    return keep_one(docs, named, "class")
+def without_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near duplicates, all columns kept.
+
+    The rule is a Jaccard similarity of `least` or more on shingles of `width` words. Such texts may
+    differ in any number of fingerprint bits (mostly 5 to 13), so they are found without fingerprints.
+    """
+    return keep_one(docs, stored(resembling(docs, width, least), "classes"), "class")

@@ -24,8 +24,8 @@ def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the smallest doc_id."""
-    return simhash.without_near_duplicates(docs)
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the row with the smallest doc_id."""
+    return simhash.without_near_duplicates(docs, width=5, least=0.8)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

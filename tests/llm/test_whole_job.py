@@ -1,8 +1,77 @@
 """Stages and samples against the whole job, by brute force."""
 
+import random
+from itertools import combinations
+
 import pytest
 
-from cliploom.llm import labelled, quality
+from cliploom.llm import labelled, quality, resemblance, simhash
+
+
+def plain_set(text):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def stay_by_force(rows):
+    """The smallest doc_id of each component of Jaccard >= 0.8."""
+    sets = [plain_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or both * 9 >= 4 * (len(sets[i]) + len(sets[j])):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        least[find(n)] = min(least.get(find(n), i), i)
+    return sorted(least.values())
+
+
+def edited(seed=3):
+    """Texts with edits about the threshold, copies in other case, short ones, a common passage."""
+    r = random.Random(seed)
+    word = lambda: r.choice("abcdefghijklmnop") + str(r.randrange(900))
+    passage = [word() for _ in range(30)]
+    out = []
+    for _ in range(25):
+        base = [word() for _ in range(r.choice([1, 4, 5, 6, 9, 14, 40, 120, 300]))]
+        if r.random() < 0.4:
+            base += passage
+        out.append(base)
+        for _ in range(r.randrange(5)):
+            t = list(base)
+            for _ in range(r.randrange(1 + len(t) // 30)):
+                t[r.randrange(len(t))] = word()
+            out.append(t if r.random() < 0.7 else t[: -1 - len(t) // 12])
+        out.append([w.upper() for w in base])
+    return [(i, " ".join(t)) for i, t in enumerate(out)] + [(len(out), ""), (len(out) + 1, " ")]
+
+
+@pytest.mark.parametrize("limit", [512, 8])
+def test_near_duplicates_equal_brute_force(spark, limit):
+    rows = edited()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if limit == 512:
+        got = sorted(r.doc_id for r in simhash.without_near_duplicates(docs).collect())
+    else:  # buckets divided into cells
+        got = resemblance.resembling(docs, limit=limit).groupBy("class").agg({"doc_id": "min"}).collect()
+        got = sorted(r[1] for r in got)
+    assert got == stay_by_force(rows)
+
+
+def test_pipeline_stage_drops_near_copies_of_many_bits(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = corpus_pipeline.simhash_near_dedup(spark, docs, "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == stay_by_force(rows)
 
 
 def test_sample_keeps_the_shares_of_labels(spark):
