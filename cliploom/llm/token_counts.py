@@ -1,7 +1,7 @@
 """Token counts from flat, unindexed token files: a separator scan stitched across blocks.
 
-A token file is a run of little-endian 16-bit ids, each document closed by the end-of-document id, with
-no list of documents. It is cut in blocks of fixed size wherever they fall. Each block is searched at
+A token file is a run of little-endian ids (16 bits, 32 for vocabularies over 65,536), each document
+closed by the end-of-document id, with no list of documents. It is cut in blocks of fixed size wherever they fall. Each block is searched at
 once for the end id; what lies before a block's first end belongs to a document of earlier blocks.
 """
 
@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import stored, utf8
-from cliploom.llm.words import encoder, ended
+from cliploom.llm.words import encoder, ended, id_kind, slices
 
 BLOCK = 1 << 18
 
 
-def write_flat(docs: DataFrame, path: str, end: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def write_flat(docs: DataFrame, path: str, end: int, block: int = BLOCK, kind: str = "<u2") -> tuple[DataFrame, DataFrame]:
     """Token files of docs as they come: (files (part, block, ids binary), order (part, place, doc_id)).
 
     One file for each partition of docs, in blocks of `block` ids. `order` only names the documents of
@@ -32,14 +32,14 @@ def write_flat(docs: DataFrame, path: str, end: int, block: int = BLOCK) -> tupl
 
         def rows(ids):
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([ids.astype("<u2").tobytes()], pa.binary()), pa.array([None], pa.int64())],
+                [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([ids.astype(kind).tobytes()], pa.binary()), pa.array([None], pa.int64())],
                 names=["part", "number", "ids", "doc_id"],
             )
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i in range(0, len(texts), 512):
-                ids, _ = ended(*encoder(path, True).encode(texts[i : i + 512]), end)
+            texts = batch.column(1)
+            for some in slices(texts):
+                ids, _ = ended(*encoder(path, True).encode(some), end)
                 held.append(ids)
                 n += len(ids)
                 if n >= block:
@@ -66,7 +66,7 @@ def write_flat(docs: DataFrame, path: str, end: int, block: int = BLOCK) -> tupl
     return files, table.filter("ids is null").select("part", F.col("number").alias("place"), "doc_id")
 
 
-def scan(files: DataFrame, end: int) -> DataFrame:
+def scan(files: DataFrame, end: int, kind: str = "<u2") -> DataFrame:
     """files (part, block, ids) -> (part, place, start, n_tokens): every document of every file, in order.
 
     n_tokens counts the end id; start counts ids within the file. Ids after a file's last end id are a
@@ -76,14 +76,14 @@ def scan(files: DataFrame, end: int) -> DataFrame:
     def search(batches):
         for batch in batches:
             for part, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(raw, "<u2")
+                ids = np.frombuffer(raw, kind)
                 at = np.flatnonzero(ids == end)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part], pa.int32()),
                         pa.array([block], pa.int64()),
                         pa.array([len(ids)], pa.int64()),
-                        pa.array([at.tolist()], pa.list_(pa.int32())),
+                        pa.array([at.astype(np.int32)], pa.list_(pa.int32())),
                     ],
                     names=["part", "block", "n", "ends"],
                 )
@@ -110,12 +110,13 @@ def scan(files: DataFrame, end: int) -> DataFrame:
     )
 
 
-def token_counts(docs: DataFrame, path: str, end: int = 49_407, block: int = BLOCK) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, end: int = 49_407, block: int = BLOCK, vocabulary: int = 49_408) -> DataFrame:
     """One row per document: doc_id, n_tokens (with the end id), from the written token files.
 
     Special tokens' strings inside texts are ordinary text, so the end id only ends documents. Null
     and empty texts count 1; null doc_ids and repeated rows are documents like others; an empty table
     gives no rows.
     """
-    files, order = write_flat(docs.select("doc_id", "text"), path, end, block)
-    return order.join(scan(files, end), ["part", "place"]).select("doc_id", "n_tokens")
+    kind = id_kind(vocabulary)
+    files, order = write_flat(docs.select("doc_id", "text"), path, end, block, kind)
+    return order.join(scan(files, end, kind), ["part", "place"]).select("doc_id", "n_tokens")

@@ -12,13 +12,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import parts, stored, utf8
+from cliploom.llm.common import parts, row_hash, stored, utf8
 from cliploom.llm.rans import Coder, frequencies
-from cliploom.llm.words import encoder, ended
+from cliploom.llm.words import encoder, ended, id_kind, packed, slices
 
 #: Ids to a block, more only where one document has more.
 BLOCK = 1 << 20
@@ -26,71 +27,34 @@ _NULL = -(1 << 63)
 
 
 def encoded(docs: DataFrame, path: str, end: int, vocabulary: int) -> DataFrame:
-    """Blocks (part, block, docs, ids) of all documents in ascending doc_id order, written as plain ids.
+    """(doc_id, salt, ids binary) of every document, encoded where it is read and written.
 
-    Texts go through the tokenizer once; the counts and the coding read these blocks.
+    Texts go through the tokenizer once and are never shuffled; what is ordered later are ids of 2
+    bytes (4 for vocabularies over 65,536). salt tells rows of one doc_id apart by their text.
     """
-    ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t"))
-        .repartitionByRange(parts(docs), "doc_id")
-        .sortWithinPartitions("doc_id")
-    )
-    kind = _kind(vocabulary)
+    kind = id_kind(vocabulary)
 
     def run(batches):
-        part, block = TaskContext.get().partitionId(), 0
-        doc_ids, sizes, held, n = [], [], [], 0
-
-        def flush():
-            nonlocal block, n
-            packed = zlib.compress(np.array([*doc_ids, *sizes], "<i8").tobytes(), 1)
-            row = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([part], pa.int32()),
-                    pa.array([block], pa.int32()),
-                    pa.array([packed], pa.binary()),
-                    pa.array([np.concatenate(held).tobytes()], pa.binary()),
-                ],
-                names=["part", "block", "docs", "ids"],
-            )
-            block, n = block + 1, 0
-            doc_ids.clear(), sizes.clear(), held.clear()
-            return row
-
         for batch in batches:
-            texts, own = batch.column(1).to_pylist(), batch.column(0).fill_null(_NULL).to_pylist()
-            for i in range(0, len(texts), 512):
-                ids, size = ended(*encoder(path).encode(texts[i : i + 512]), end)
-                ids = ids.astype(kind)
-                at = np.concatenate([[0], np.cumsum(size)])
-                for k in range(len(size)):
-                    if n and n + size[k] > BLOCK:
-                        yield flush()
-                    doc_ids.append(own[i + k])
-                    sizes.append(int(size[k]))
-                    held.append(ids[at[k] : at[k + 1]])
-                    n += int(size[k])
-        if n:
-            yield flush()
-
-    return stored(
-        ordered.mapInArrow(run, "part int, block int, docs binary, ids binary"), "plain-ids", compression="zstd"
-    )
+            at = 0
+            for texts in slices(batch.column(2)):
+                ids, size = ended(*encoder(path).encode(texts), end)
+                own = [c.slice(at, len(texts)) for c in batch.columns[:2]]
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([*own, packed(ids.astype(kind), size)], names=["doc_id", "salt", "ids"])
 
-
-def _kind(vocabulary: int) -> str:
-    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("salt"), utf8().alias("t"))
+    return stored(given.mapInArrow(run, "doc_id long, salt long, ids binary"), "encoded", compression="zstd")
 
 
 def id_counts(plain: DataFrame, vocabulary: int) -> np.ndarray:
     """How often each id occurs in all documents; the result is as long as the vocabulary."""
-    kind = _kind(vocabulary)
+    kind = id_kind(vocabulary)
 
     def count(batches):
         seen = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                seen += np.bincount(np.frombuffer(raw.as_buffer(), kind), minlength=vocabulary)
+            seen += np.bincount(_flat(batch.column(0), kind), minlength=vocabulary)
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(seen[found])], names=["id", "n"])
 
@@ -101,24 +65,65 @@ def id_counts(plain: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
+def _flat(ids: pa.Array, kind: str) -> np.ndarray:
+    """The ids of a binary column, one row after another."""
+    offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    if not len(ids) or offsets[0] == offsets[-1]:
+        return np.zeros(0, kind)
+    return np.frombuffer(ids.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+
+
 def write(plain: DataFrame, freq: np.ndarray) -> DataFrame:
-    """The token file (part, block, docs, payload): every block coded with the shared table, written."""
-    kind = _kind(len(freq))
+    """The token file (part, block, docs, payload): documents in ascending doc_id order, cut in blocks of
+    whole documents, every block coded with the shared table; written."""
+    kind = id_kind(len(freq))
+    # null doc_ids and repeated ones are spread by their salt
+    ordered = plain.repartitionByRange(parts(plain), "doc_id", "salt").sortWithinPartitions("doc_id", "salt")
 
     def run(batches):
         coder = Coder(freq)
+        part, block = TaskContext.get().partitionId(), 0
+        doc_ids, sizes, held, n = [], [], [], 0
+
+        def flush():
+            nonlocal block, n
+            names = zlib.compress(np.concatenate([*doc_ids, *sizes]).astype("<i8").tobytes(), 1)
+            row = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()),
+                    pa.array([block], pa.int32()),
+                    pa.array([names], pa.binary()),
+                    pa.array([coder.encode(np.concatenate(held))], pa.binary()),
+                ],
+                names=["part", "block", "docs", "payload"],
+            )
+            block, n = block + 1, 0
+            doc_ids.clear(), sizes.clear(), held.clear()
+            return row
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(3)[i].as_buffer(), kind)
-                payload = pa.array([coder.encode(ids)], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, 1) for c in range(3)), payload], names=["part", "block", "docs", "payload"]
-                )
+            own = batch.column(0).fill_null(_NULL).to_numpy()
+            size = pc.binary_length(batch.column(2)).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
+            ids = _flat(batch.column(2), kind)
+            ends = np.cumsum(size)
+            at = 0
+            while at < len(own):
+                base = int(ends[at - 1]) if at else 0
+                to = int(np.searchsorted(ends, base + BLOCK - n, side="right"))
+                if to == at and n:
+                    yield flush()
+                    continue
+                to = max(to, at + 1)
+                doc_ids.append(own[at:to])
+                sizes.append(size[at:to])
+                held.append(ids[base : int(ends[to - 1])].copy())
+                n += int(ends[to - 1]) - base
+                at = to
+        if n:
+            yield flush()
 
     return stored(
-        plain.select("part", "block", "docs", "ids").mapInArrow(run, "part int, block int, docs binary, payload binary"),
-        "token-file",
-        compression="none",
+        ordered.mapInArrow(run, "part int, block int, docs binary, payload binary"), "token-file", compression="none"
     )
 
 

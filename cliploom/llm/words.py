@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _KEPT = 1_000_000
-_AT_ONCE = 1 << 20
+#: Bytes of text worked through at a time, more only where one text is longer.
+_AT_ONCE = 1 << 23
+#: A special token of the vocabulary, to keep words apart.
+_MARK = b"<|startoftext|>"
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -16,15 +23,20 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer whose tokens never cross ASCII white space.
 
     The library's pre-tokenizer drops white space and every step before it works within words, so the
-    ids of a text are those of its words, one after another. Each distinct word goes through the
-    library once per worker; what is remembered is bounded.
+    ids of a text are those of its words, one after another. Arrow splits texts and numbers the
+    distinct words of a slice, so Python sees each of them once a slice; a distinct word goes through
+    the library once per worker, and what is remembered is bounded.
     """
 
     def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
+        # a task has one core: threads inside the library only cost
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
+        self.cutting = Tokenizer.from_file(path)
+        self.mark = self.cutting.token_to_id(_MARK.decode())
         self._forget()
 
     def _forget(self) -> None:
@@ -64,12 +76,20 @@ class WordEncoder:
             self._store(list(cut), ids, size.reshape(-1, 2).sum(axis=1))
 
     def _encode_words(self, words: list[bytes]) -> None:
+        """Words go to the library in rows of 200, a special token between them that cuts before all else;
+        words that may hold one themselves go alone."""
+        alone = [w for w in words if b"<|" in w]
+        if alone:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in alone], add_special_tokens=False)]
+            self._store(alone, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64))
+            words = [w for w in words if b"<|" not in w]
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            ids = [e.ids for e in found]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._store(some, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size)
+            rows = [_MARK.join([*some[j : j + 200], b""]).decode("utf-8", "replace") for j in range(0, len(some), 200)]
+            found = self.cutting.encode_batch_fast(rows, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
+            ends = np.flatnonzero(ids == self.mark)
+            self._store(some, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
 
     def _store(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         n, m = len(self.index), len(ids)
@@ -83,38 +103,64 @@ class WordEncoder:
         self.used += m
         self.index.update(zip(words, range(n, n + len(words)), strict=True))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids of each text); works through about a megabyte of text at a time."""
-        found, held, n = [], [], 0
-        for t in texts:
-            held.append(t)
-            n += len(t)
-            if n >= _AT_ONCE:
-                found.append(self._encode(held))
-                held, n = [], 0
-        found.append(self._encode(held))
+    def encode(self, texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text)."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary())
+        found = [self._encode(part) for part in slices(texts)]
+        if not found:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        text = texts.view(pa.string())
         # the library lower-cases anyway; only its special tokens are told apart by case
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        special = pc.match_substring(text, "<|")
+        low = pc.ascii_lower(text)
+        if pc.any(special).as_py():
+            low = pc.if_else(special, text, low)
+        split = pc.ascii_split_whitespace(low)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_pylist()
         if len(self.index) > _KEPT:
             self._forget()
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        words = list(chain.from_iterable(split))
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-        new = np.flatnonzero(at < 0).tolist()
+        place = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0).tolist()
         if new:
-            self._learn(list({words[i] for i in new}))
-            at[new] = [self.index[words[i]] for i in new]
-        size = self.size[at]
-        ends = np.cumsum(size, dtype=np.int32)  # a megabyte or one text at a time
+            self._learn([words[i] for i in new])
+            place[new] = [self.index[words[i]] for i in new]
+        at = place[coded.indices.to_numpy()]
+        size = self.size[at].astype(np.int64)
+        ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total, dtype=np.int32) + np.repeat(self.start[at] - (ends - size), size)]
+        ids = self.flat[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
+        n = pc.list_value_length(split).to_numpy()
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
         return ids, np.diff(upto)
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts in slices of about _AT_ONCE bytes, each of whole texts."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        base = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + _AT_ONCE, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def packed(ids: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Each text's ids as the bytes of one binary value."""
+    offsets = np.concatenate([[0], np.cumsum(size * ids.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+def id_kind(vocabulary: int) -> str:
+    """The narrowest little-endian type that holds every id of a vocabulary."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
