@@ -16,15 +16,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only in local mode.
+
+    A cluster without that setting is refused: each executor would write to its own disk and what is
+    read back would be incomplete.
+    """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if found is None:
-        found = sc.getCheckpointDir()
-        if found is None:
-            found = tempfile.mkdtemp(prefix="spark-")
-            sc.setCheckpointDir(found)
-    elif sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -36,10 +39,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
-    """A table written as Parquet in the shared folder and read again; survives lost executors."""
+    """A table written as Parquet in the shared folder and read again; survives lost executors.
+
+    It goes when the session ends: results read it lazily, so it can't go before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,25 +65,53 @@ def row_hash():
     return F.xxhash64(F.col("text").cast("string"))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column has it (case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def by_group(rows: DataFrame, groups: DataFrame, key: list[str], n: str, most: int = 1000) -> DataFrame:
+    """rows joined with groups, one row a key, where one group may hold any share of the rows.
+
+    `n` is a column of groups: how many rows each has. Groups over 1/`most` of all rows, fewer than
+    `most` by that, are sent to every task; the others are joined by a shuffle. Keys aren't null.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * F.lit(most) > F.lit(total)
+    many = groups.filter(hot)
+    rest = rows.join(F.broadcast(many.select(*key)), key, "left_anti").join(groups.filter(~hot), key)
+    return rows.join(F.broadcast(many), key).unionByName(rest)
+
+
 def keep_one(docs: DataFrame, decided: DataFrame, *group: str) -> DataFrame:
     """docs with one row of each group: the smallest doc_id (null last), then the smallest row_hash.
 
-    decided (doc_id, row_hash, *group) has a row for each row of docs. The rows that go are a written
-    table, which Spark broadcasts only if its size allows; texts are shuffled otherwise.
+    decided (doc_id, row_hash, *group) has a row for each row of docs and is a written table; no group
+    is null. The rows that go are a written table, which Spark broadcasts only if its size allows;
+    texts are shuffled otherwise. Columns of docs keep their values whatever their names.
     """
     last = F.lit((1 << 63) - 1)
-    key = decided.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), "row_hash", *group)
-    stay = key.groupBy(*group).agg(F.min(F.struct("_id", "row_hash")).alias("_stay"))
-    gone = stored(
-        key.join(stay, list(group)).filter(F.struct("_id", "row_hash") != F.col("_stay")).select("_id", F.col("row_hash").alias("_hash")).distinct(),
-        "gone",
-    )
-    again = stored(key.groupBy("_id", F.col("row_hash").alias("_hash")).count().filter("count > 1").drop("count"), "again")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), last), "_hash": row_hash()})
-    left = keyed.join(gone, ["_id", "_hash"], "left_anti")
+    key = decided.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("_id"), F.col("row_hash").alias("_hash"), *group)
+    stay = key.groupBy(*group).agg(F.min(F.struct("_id", "_hash")).alias("_stay"), F.count(F.lit(1)).alias("_n"))
+    # groups of one row have nobody to go
+    stay = stored(stay.filter("_n > 1"), "stay")
+    gone = by_group(key, stay, list(group), "_n").filter(F.struct("_id", "_hash") != F.col("_stay"))
+    gone = stored(gone.select("_id", "_hash").distinct(), "gone")
+    again = stored(key.groupBy("_id", "_hash").count().filter("count > 1").drop("count"), "again")
+    names = unused(docs.columns, "_id", "_hash")
+    gone, again = gone.toDF(*names), again.toDF(*names)
+    keyed = docs.withColumns({names[0]: F.coalesce(F.col("doc_id").cast("long"), last), names[1]: row_hash()})
+    left = keyed.join(gone, names, "left_anti")
     if not again.isEmpty():  # rows repeated whole
-        once = left.join(again, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
-        left = left.join(again, ["_id", "_hash"], "left_anti").unionByName(once)
+        once = left.join(again, names, "left_semi").dropDuplicates(names)
+        left = left.join(again, names, "left_anti").unionByName(once)
     return left.select(*docs.columns)
 
 
@@ -92,10 +128,10 @@ def split_buckets(rows: DataFrame, key: list[str], identity: str, limit: int) ->
     a bucket meets in exactly one cell, and a cell has at most about 2 * limit rows. Buckets of one
     row have no pairs and go. Adds the columns lo, hi, chunk.
     """
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    counts = stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "buckets")
     s = F.ceil(F.col("_n") / F.lit(limit)).cast("int")
     return (
-        rows.join(counts, key)
+        by_group(rows, counts, key, "_n")
         .withColumn("_s", s)
         .withColumn("chunk", F.pmod(F.xxhash64(identity, F.lit("chunk")), F.col("_s")).cast("int"))
         .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))

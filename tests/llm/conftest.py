@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import types as T
 
 #: Columns whose names the operators use inside; they must not matter.
-EXTRA = ["_t", "size", "n", "k", "h", "fp", "digest", "label", "part", "score", "row_hash", "lam", "target"]
+EXTRA = ["_t", "_id", "_hash", "_copy", "_copies", "_n", "size", "n", "k", "h", "fp", "digest", "label", "part", "score", "row_hash", "lam", "target"]
 SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
