@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -23,7 +24,7 @@ from cliploom.llm.common import utf8
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
-_KEPT = 600_000
+_KEPT = 1_000_000
 _AT_ONCE = 1 << 20
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Units with more characters than this are relaxed one by one.
@@ -54,6 +55,11 @@ class Vocabulary:
         self.long = np.array(long, np.int64)
         self.text = np.array([self.piece[i] for i in long], f"<U{self.longest}")
         self.size = np.array([len(self.piece[i]) for i in long], np.int64)
+        # what each id decodes to: bytes of byte pieces, nothing of control pieces, marks as blanks
+        raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_size = np.array([len(r) for r in raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -156,7 +162,7 @@ class Encoder:
         self.index: dict[str, int] = {}
         self.start = np.zeros(1 << 12, np.int32)
         self.size = np.zeros(1 << 12, np.int32)
-        self.flat = np.zeros(1 << 14, np.uint16)
+        self.flat = np.zeros(1 << 14, np.uint32)
         self.used = 0
         self._store(["\n"], np.array([self.vocabulary.of_byte[10]]), np.array([1]))
 
@@ -232,6 +238,11 @@ class Encoder:
         out: list[np.ndarray] = []
         held, n = [], 0
         for t in texts:
+            if len(t) > _AT_ONCE:  # cut at units and put together again
+                out += self._encode(held)
+                held, n = [], 0
+                out.append(np.concatenate([self._encode([p], bool(k))[0] for k, p in enumerate(_cut(t))]))
+                continue
             held.append(t)
             n += len(t)
             if n >= _AT_ONCE:
@@ -239,8 +250,9 @@ class Encoder:
                 held, n = [], 0
         return out + self._encode(held)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    def _encode(self, texts: list[str], inside: bool = False) -> list[np.ndarray]:
+        """inside: the texts stand inside longer ones, so no mark goes in front of them."""
+        split = [_UNIT.findall(("" if inside else MARK) + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.index) > _KEPT:
             self._forget()
         units = list(chain.from_iterable(split))
@@ -255,24 +267,36 @@ class Encoder:
         upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
         return [ids[a:b] for a, b in zip(upto, upto[1:], strict=False)]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: byte pieces joined to characters, marks to blanks, the first mark dropped."""
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The text of each list of ids: byte pieces joined to characters, marks to blanks, the first mark
+        dropped. All lists are looked up at once in the table of what each id stands for."""
         v = self.vocabulary
-        out, held = [], bytearray()
-        for i in ids:
-            b = v.byte_of.get(i)
-            if b is not None:
-                held.append(b)
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if i not in v.silent:
-                out.append(v.piece[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out)
-        return (text[1:] if text.startswith(MARK) else text).replace(MARK, " ")
+        flat = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
+        size = v.raw_size[flat]
+        ends = np.cumsum(size)
+        raw = v.raw[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(v.raw_start[flat] - (ends - size), size)].tobytes()
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])].tolist()
+        out = []
+        for own, a, b in zip(ids, upto, upto[1:], strict=False):
+            spoken = next((i for i in own.tolist() if i not in v.silent), None) if len(own) and int(own[0]) in v.silent else int(own[0]) if len(own) else None
+            marked = spoken is not None and v.piece[spoken].startswith(MARK)
+            out.append(raw[a + marked : b].decode("utf-8", "replace"))
+        return out
+
+
+def _cut(text: str) -> Iterator[str]:
+    """A long text in parts of about _AT_ONCE characters, each of whole units: cut before a blank that
+    follows something else, or where there is none, not at all."""
+    at = 0
+    while len(text) - at > _AT_ONCE:
+        to = text.find(" ", at + _AT_ONCE)
+        while to > 0 and text[to - 1] == " ":
+            to = text.find(" ", to + 1)
+        if to < 0:
+            break
+        yield text[at:to]
+        at = to
+    yield text[at:]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -305,7 +329,7 @@ def encode_decode(docs: DataFrame, path: str, with_ids: bool = False, with_text:
             for i in range(0, len(texts), 512):
                 some = texts[i : i + 512]
                 ids = code.encode(some)
-                back = [code.decode(x.tolist()) for x in ids]
+                back = code.decode(ids)
                 columns = [
                     own.slice(i, len(some)),
                     pa.array([len(x) for x in ids], pa.int64()),
