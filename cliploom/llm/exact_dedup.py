@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import SPACE, checkpoint, keep_one, row_hash, stored
+from cliploom.llm.common import SPACE, by_group, checkpoint, keep_one, row_hash, stored
 
 #: Distinct digests to one filter; filters are built and probed bucket by bucket.
 BUCKET = 1 << 16
@@ -85,7 +85,14 @@ def fuse_probe(filter_: bytes, keys: np.ndarray) -> np.ndarray:
 
 
 def _keys(digests: pa.ChunkedArray) -> np.ndarray:
-    return np.array([int.from_bytes(d[:8].ljust(8, b"\0"), "little") for d in digests.to_pylist()], np.uint64)
+    """The first eight bytes of digests of one length as numbers, shorter ones filled with zeros."""
+    some = digests.to_pylist()
+    if not some:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1)[:, :8]
+    out = np.zeros((len(some), 8), np.uint8)
+    out[:, : raw.shape[1]] = raw
+    return out.view("<u8").ravel()
 
 
 # ---- the operator ----
@@ -178,7 +185,7 @@ def exact_dedup(docs: DataFrame, bits: int = 256, cut: int | None = None) -> Dat
     )
     alone = snap.union(batch).join(hits, "digest", "left_anti")
     classes = stored(alone.select("digest", "keep_id", "n").union(hits), "classes")
-    found = each.join(classes, "digest")
+    found = by_group(each, classes, ["digest"], "n")
     wrong = _unequal(docs, found.filter("n > 1"))
     if not wrong.isEmpty():
         found = _regrouped(found, wrong)
@@ -198,21 +205,29 @@ def without_copies(docs: DataFrame) -> DataFrame:
     return keep_one(docs, decided, "keep_id", "text_sha256")
 
 
-def _unequal(docs: DataFrame, doubled: DataFrame) -> DataFrame:
-    """Byte check: of the rows in groups, those whose text differs from that of the row that stays."""
-    texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("row_key"), normalised().alias("norm")
-    )
-    rows = texts.join(doubled.select("row_key", "doc_id", "sha", "digest", "keep_id").distinct(), "row_key").filter(
+def _unequal(docs: DataFrame, doubled: DataFrame, part: int = 256) -> DataFrame:
+    """Byte check: of the rows in groups, those whose text differs from that of the row that stays.
+
+    A group of n rows is dealt into ceil(n / part) parts, each with a copy of the text that stays, so
+    no task gets a whole group.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    texts = docs.select(key.alias("row_key"), normalised().alias("norm"))
+    rows = texts.join(doubled.select("row_key", "doc_id", "sha", "digest", "keep_id", "n").distinct(), "row_key").filter(
         F.unhex(F.sha2("norm", 256)) == F.col("sha")
     )
+    parts = F.ceil(F.col("n") / F.lit(part)).cast("int")
     stays = (
         rows.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy("digest")
+        .groupBy("digest", "n")
         .agg(F.min("norm").alias("stays"))
+        .select("digest", "stays", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     )
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("row_key"), parts).cast("int"))
     return stored(
-        rows.join(stays, "digest").filter("norm <> stays").select("row_key", "sha", "digest", "doc_id", "norm"),
+        dealt.join(stays, ["digest", "part"])
+        .filter("norm <> stays")
+        .select("row_key", "sha", "digest", "doc_id", "norm"),
         "unequal",
     )
 
