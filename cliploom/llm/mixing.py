@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import checkpoint, row_hash, stored
+from cliploom.llm.common import checkpoint, row_hash, stored, unused
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -80,7 +80,8 @@ def tilts(classes: DataFrame, goal: DataFrame, most: float, steps: int = 60) ->
 
     classes (source, size, n); goal (source, source_size, target). A source whose target is all it may
     give is `full`: its multiplier would be infinite. Each step is one job over the classes, whose sums
-    are combined before the shuffle; the state is one row per source and is checkpointed.
+    are combined before the shuffle; the state is one row per source and is checkpointed. Raises if a
+    source's words aren't met after `steps`.
     """
     state = checkpoint(
         goal.filter("source_size > 0").select(
@@ -117,6 +118,9 @@ def tilts(classes: DataFrame, goal: DataFrame, most: float, steps: int = 60) ->
             .select("source", "target", "full", F.when(F.col("done"), F.col("lam")).otherwise(F.col("next")).alias("lam"), "lo", "hi", "done")
         )
         state = checkpoint(state.filter("done or full").union(moved))
+    else:
+        if not state.filter("not done and not full").isEmpty():
+            raise ArithmeticError(f"the words of a source don't meet its target after {steps} steps")
     return state.select("source", "target", "full", F.round("lam", 9).alias("lam"))
 
 
@@ -164,7 +168,7 @@ def copies_per_class(classes: DataFrame, tilt: DataFrame, most: int, repairs: in
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken (= copies * size), row_hash.
 
-    Copies are dealt inside a class of equal source and size by the order of a hash of doc_id, in
+    Copies are dealt inside a class of equal source and size by the order of a hash of doc_id and text, in
     blocks of about `block` documents with exact quotas, so a class that holds much of the table is
     never in one task. Results do not change between runs. Null texts have size 0 and take nothing;
     the null source is a source of its own, ordered last; null doc_ids and repeated rows are documents
@@ -196,7 +200,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256) ->
     )
     dealt = (
         sizes.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
-        .withColumn("h", F.xxhash64("doc_id", F.lit("mix")))
+        .withColumn("h", F.xxhash64("doc_id", "row_hash", F.lit("mix")))
         .withColumn("b", F.pmod("h", F.col("blocks")))
     )
     upto = Window.partitionBy("_s", "_z").orderBy("b")
@@ -211,7 +215,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256) ->
         )
         .select(F.col("_s").alias("_qs"), F.col("_z").alias("_qz"), F.col("b").alias("_qb"), "quota")
     )
-    place = F.row_number().over(Window.partitionBy("_s", "_z", "b").orderBy("h", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("_s", "_z", "b").orderBy("h", "doc_id", "row_hash"))
     return (
         dealt.withColumn("place", place)
         .join(
@@ -224,11 +228,14 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = 256) ->
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
-    """docs in the mix: each row as often as it has copies, all columns kept."""
-    plan = mix(docs, share, most).groupBy(
-        F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("_id"), F.col("row_hash").alias("_hash")
-    ).agg(F.max("copies").alias("_copies"))
-    plan = stored(plan.filter("_copies > 0"), "copies")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_hash": row_hash()})
-    taken = keyed.join(plan, ["_id", "_hash"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """docs in the mix: each row as often as it has copies, all columns kept with their values.
+
+    Rows of one doc_id and text each get the most copies that one of them has.
+    """
+    key, text, many, copy = unused(docs.columns, "_id", "_hash", "_copies", "_copy")
+    last = F.lit((1 << 63) - 1)
+    plan = mix(docs, share, most).groupBy(F.coalesce("doc_id", last).alias(key), F.col("row_hash").alias(text))
+    plan = stored(plan.agg(F.max("copies").alias(many)).filter(F.col(many) > 0), "copies")
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), last), text: row_hash()})
+    taken = keyed.join(plan, [key, text])
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)
