@@ -3,9 +3,12 @@
 Prefix tables: put every set of n shingles in one order common to all sets, whatever it is. Two sets
 with similarity t or more share at least ceil(t n) shingles of either, so they share at least m among
 the first n - ceil(t n) + m of each. Shingles that a sample of the texts shows often come last, which
-keeps the tables' buckets small; the order decides only the time, never the result. What meets in a
-bucket often enough is verified on the whole sets. Only what connects is needed, so stars inside the
-buckets are verified first, and after them only pairs of different components.
+keeps the tables' buckets small; the order decides only the time, never the result.
+
+Only what connects is needed. First every member of a bucket is held against the bucket's smallest
+member: pivot distances discard pairs by the largest coordinate difference, then by their fingerprints'
+distance, and the survivors' whole sets are compared. Then buckets with members of different components
+are taken pair by pair across components, without a screen, and whatever met often enough is compared.
 """
 
 from __future__ import annotations
@@ -17,33 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import pairs_in_cells, parts, row_hash, stored, utf8, whole_groups
+from cliploom.llm.common import by_group, pairs_in_cells, parts, row_hash, stored, utf8, whole_groups
 from cliploom.llm.components import connected_components
+from cliploom.llm.shingling import of_hashes, pivots, shingles, signed
 
-SEED = 42
-
-
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """The 64-bit hashes of a text's shingles, in order: lower-cased A-Z, `width` words each.
-
-    Texts of fewer words are one shingle; texts without words have none.
-    """
-    import xxhash
-
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    n = max(1, len(words) - width + 1)
-    last = ends[-1:] if len(words) < width else ends[width - 1 :]
-    digest = xxhash.xxh64_intdigest
-    view = memoryview(joined)
-    return np.fromiter(
-        (digest(view[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n
-    )
+_LAST = (1 << 63) - 1
 
 
 def _shared(n):
@@ -92,80 +73,86 @@ def _common(docs: DataFrame, width: int, rows: int = 20_000, most: int = 200_000
     return h[order], rank[order]
 
 
+def _nodes(each: DataFrame) -> DataFrame:
+    """(node, size, fp, prefix, id, hash): distinct sets, each with one of the documents that have it."""
+    one = F.first(F.struct("size", "fp", "prefix", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("row_hash").alias("hash")))
+    return stored(each.groupBy("node").agg(one.alias("one")).select("node", "one.*"), "nodes")
+
+
 def _sets(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """(doc_id, row_hash, node, size, prefix, own) of every document; node: a digest of its set."""
+    """(doc_id, row_hash, node, size, fp, prefix) of every document; node: a digest of its set."""
     common, rank = _common(docs, width)
-    names = ["doc_id", "row_hash", "node", "size", "prefix", "own"]
+    names = ["doc_id", "row_hash", "node", "size", "fp", "prefix"]
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            sets = [np.unique(shingles(t, width)) for t in batch.column(2).to_pylist()]
-            own = [s.tobytes() for s in sets]
-            node = np.array([xxhash.xxh64_intdigest(b) for b in own], np.uint64).view(np.int64)
-            prefix = [_prefix(s, common, rank, least).view(np.int64) for s in sets]
+            node, size, fp, prefix = [], [], [], []
+            for t in batch.column(2).to_pylist():
+                h = shingles(t, width)
+                own = np.unique(h)
+                node.append(xxhash.xxh64_intdigest(own.tobytes()))
+                size.append(len(own))
+                fp.append(of_hashes(h))
+                prefix.append(_prefix(own, common, rank, least).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
-                    pa.array(node),
-                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array(np.array(node, np.uint64).view(np.int64)),
+                    pa.array(size, pa.int32()),
+                    pa.array(np.array(fp, np.uint64).view(np.int64)),
                     pa.array(prefix, pa.list_(pa.int64())),
-                    pa.array(own, pa.binary()),
                 ],
                 names=names,
             )
 
     given = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row_hash"), utf8().alias("t"))
-    each = given.mapInArrow(run, "doc_id long, row_hash long, node long, size int, prefix array<long>, own binary")
+    each = given.mapInArrow(run, "doc_id long, row_hash long, node long, size int, fp long, prefix array<long>")
     return stored(each, "shingles")
 
 
-def _cells(each: DataFrame, limit: int) -> DataFrame:
-    """(h, lo, hi, chunk, node, size): the buckets of two or more distinct sets, dealt into cells as in
-    split_buckets. A bucket's rows are only counted in one place; its pairs are the cells' work."""
-    rows = each.select(F.explode("prefix").alias("h"), "node", "size")
-    dealt = rows.repartition(parts(each), "h").sortWithinPartitions("h", "node")
+def _alike(n: str, m: str, least: float):
+    """Whether sets of these sizes can have a similarity of `least`."""
+    return F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
+
+
+def _screened(pairs: DataFrame, nodes: DataFrame, least: float, radius: int, references: int) -> DataFrame:
+    """Those of pairs (a, b) whose pivot distances and fingerprints differ by at most `radius`."""
+    who = nodes.select("node", "size", "fp")
+    both = pairs.join(who.toDF("a", "n", "x"), "a").join(who.toDF("b", "m", "y"), "b").filter(_alike("n", "m", least))
+
+    def distance(fp: str, pivot: int):
+        return F.bit_count(F.col(fp).bitwiseXOR(F.lit(signed(int(pivot)))))
+
+    apart = [F.abs(distance("x", p) - distance("y", p)) for p in pivots(references)]
+    return both.filter(F.greatest(*apart) <= radius).filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius).select("a", "b")
 
-    def run(batches):
-        for t, start, size in whole_groups(batches, lambda t: [t.column("h").to_numpy()]):
-            bucket = np.repeat(np.arange(len(start)), size)
-            node = t.column("node").to_numpy()
-            new = np.ones(len(node), bool)  # copies share a node
-            new[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
-            n = np.bincount(bucket[new], minlength=len(start))[bucket]
-            keep = pa.array(new & (n > 1))
-            t = t.append_column("n", pa.array(n, pa.int64())).filter(keep)
-            yield from t.combine_chunks().to_batches(max_chunksize=65_536)
 
+def _across(met: DataFrame, who: DataFrame, least: float, limit: int) -> DataFrame:
+    """met (h, node), who (node, size, root) -> (a, b): pairs of different roots that share enough
+    shingles of their prefixes, from buckets dealt into cells as in split_buckets."""
+    at = stored(met.join(who, "node"), "rooted")
+    mixed = at.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    mixed = stored(mixed.filter("low <> high").select("h", "n"), "mixed")
     s = F.ceil(F.col("n") / F.lit(limit)).cast("int")
-    return (
-        dealt.mapInArrow(run, "h long, node long, size int, n long")
+    cells = (
+        by_group(at, mixed, ["h"], "n")
         .withColumn("s", s)
         .withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("s")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        .select("h", F.least("chunk", "o").alias("lo"), F.greatest("chunk", "o").alias("hi"), "chunk", "node", "size")
+        .select("h", F.least("chunk", "o").alias("lo"), F.greatest("chunk", "o").alias("hi"), "chunk", "node", "size", "root")
     )
-
-
-def _met(cells: DataFrame, least: float, every: bool) -> DataFrame:
-    """cells (h, lo, hi, chunk, node, size, root) -> (a, b, n): pairs of different roots, their smaller
-    size apart by no more than `least` allows; in stars, or every pair that meets often enough."""
     order = ["h", "lo", "hi"]
-    dealt = cells.select(*order, "chunk", "node", "size", "root").repartition(parts(cells), *order).sortWithinPartitions(*order, "node")
+    dealt = cells.repartition(parts(cells), *order).sortWithinPartitions(*order, "node")
 
     def run(batches):
         for t, start, size in whole_groups(batches, lambda t: [t.column(c).to_numpy() for c in order]):
             node, n, root, chunk = (t.column(c).to_numpy() for c in ("node", "size", "root", "chunk"))
-            mixed = t.column("lo").to_numpy() != t.column("hi").to_numpy()
-            if every:
-                slices = pairs_in_cells(start, size)
-            else:
-                slices = [(np.repeat(start, size), np.arange(len(node)))]
-            for i, j in slices:
+            apart = t.column("lo").to_numpy() != t.column("hi").to_numpy()
+            for i, j in pairs_in_cells(start, size):
                 keep = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
-                if every:
-                    keep &= ~mixed[i] | (chunk[i] != chunk[j])
+                keep &= ~apart[i] | (chunk[i] != chunk[j])
                 i, j = i[keep], j[keep]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -176,21 +163,38 @@ def _met(cells: DataFrame, least: float, every: bool) -> DataFrame:
                     names=["a", "b", "n"],
                 )
 
-    met = dealt.mapInArrow(run, "a long, b long, n int")
-    if not every:
-        return met.distinct()
-    return met.groupBy("a", "b").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("c")).filter("c >= 1 + floor(n / 20)").drop("c")
+    pairs = dealt.mapInArrow(run, "a long, b long, n int").groupBy("a", "b")
+    return pairs.agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("c")).filter("c >= 1 + floor(n / 20)").select("a", "b")
+
+
+def _with_sets(pairs: DataFrame, held: DataFrame, key: str, other: str, name: str, part: int = 256) -> DataFrame:
+    """pairs with the set of `key`; one node's pairs are dealt into parts of about `part`."""
+    many = stored(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("many")), "many")
+    deal = F.ceil(F.col("many") / F.lit(part)).cast("int")
+    dealt = by_group(pairs, many, [key], "many").withColumn("part", F.pmod(F.xxhash64(other), deal).cast("int"))
+    sets = held.join(many, held["node"] == many[key]).select(
+        key, F.col("own").alias(name), F.explode(F.sequence(F.lit(0), deal - 1)).alias("part")
+    )
+    return dealt.drop("many").join(sets, [key, "part"]).drop("part")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
     """Those of pairs (a, b) whose whole sets have a Jaccard similarity of `least` or more."""
     pairs = stored(pairs.select("a", "b"), "pairs")
-    ids = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
-    # sent to every task, 8 bytes a document that met another one; whole sets would be shuffled otherwise
-    held = stored(sets.join(F.broadcast(ids), "node", "left_semi").dropDuplicates(["node"]), "held")
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(
-        held.select(F.col("node").alias("b"), F.col("own").alias("y")), "b"
-    )
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # 24 bytes for each document that met another one: Spark sends it to every task only if it is small
+    chosen = stored(ids.join(nodes.select("node", "id", "hash"), "node"), "chosen")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"), row_hash().alias("hash"), utf8().alias("t"))
+
+    def hashes(batches):
+        for batch in batches:
+            own = [np.unique(shingles(t, width)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "own"])
+
+    held = stored(texts.join(chosen, ["id", "hash"]).select("node", "t").mapInArrow(hashes, "node long, own binary"), "held")
+    if held.count() > chosen.count():  # rows repeated whole
+        held = stored(held.dropDuplicates(["node"]), "held")
+    both = _with_sets(_with_sets(pairs, held, "a", "b", "x"), held, "b", "a", "y")
 
     def run(batches):
         for batch in batches:
@@ -203,20 +207,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return stored(both.mapInArrow(run, "a long, b long"), "resembling")
 
 
-def resembling(docs: DataFrame, width: int = 5, least: float = 0.8, limit: int = 512) -> DataFrame:
+def resembling(
+    docs: DataFrame, width: int = 5, least: float = 0.8, limit: int = 512, radius: int = 14, references: int = 16
+) -> DataFrame:
     """(doc_id, row_hash, class) of every document: documents are of one class if shingle sets of
-    Jaccard similarity `least` or more connect them. Texts without words are alike."""
+    Jaccard similarity `least` or more connect them. Texts without words are alike.
+
+    radius and references (of the pivot tables) decide what is verified first, not the result.
+    """
     each = _sets(docs, width, least)
-    cells = stored(_cells(each, limit), "cells")
-    own = each.select("node", "own")
+    nodes = _nodes(each)
+    rows = nodes.select(F.explode("prefix").alias("h"), "node")
+    buckets = rows.groupBy("h").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = stored(by_group(rows, stored(buckets, "buckets"), ["h"], "n").select("h", "node", "lead"), "met")
+    pairs = met.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     links, roots = [], None
-    for every in (False, True):
-        if roots is None:
-            at = cells.withColumn("root", F.col("node"))
+    for screen in (True, False):
+        if screen:
+            found = _screened(pairs, nodes, least, radius, references)
         else:
-            at = cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        links.append(_verified(_met(at, least, every), own, least))
+            who = nodes.select("node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            found = _across(met.select("h", "node"), who, least, limit)
+        links.append(_verified(found, nodes, docs, width, least))
         roots = stored(connected_components(reduce(DataFrame.union, links)), "roots")
-    return each.select("doc_id", "row_hash", "node").join(roots, "node", "left").select(
-        "doc_id", "row_hash", F.coalesce("root", "node").alias("class")
-    )
+    each = each.select("doc_id", "row_hash", "node")
+    copies = each.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left")
+    label = stored(copies.select("node", "n", F.coalesce("root", "node").alias("class")), "label")
+    return by_group(each, label, ["node"], "n").select("doc_id", "row_hash", "class")

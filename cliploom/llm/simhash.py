@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.llm.common import (
+    by_group,
     keep_one,
     local_roots,
     pairs_in_cells,
@@ -30,20 +31,15 @@ from cliploom.llm.common import (
     whole_groups,
 )
 from cliploom.llm.components import connected_components
-from cliploom.llm.resemblance import resembling, shingles
+from cliploom.llm.resemblance import resembling
+from cliploom.llm.shingling import of_hashes, shingles, signed
+from cliploom.llm.shingling import pivots as reference_pivots
+
+
 
 def fingerprint(text: bytes, width: int) -> int:
     """64-bit SimHash of a text: a bit is 1 if set in over half of its shingles' hashes."""
-    h = shingles(text, width)
-    n = len(h)
-    if not n:
-        return 0
-    count = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        count += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
-            axis=0, dtype=np.int64
-        )
-    return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
+    return of_hashes(shingles(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -63,12 +59,6 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, row_hash long, fp long")
 
 
-def _pivots(n: int) -> np.ndarray:
-    """Reference fingerprints: rows of a Hadamard matrix, any two of which differ in half their bits."""
-    rows = np.array([[bin(i & j).count("1") & 1 for j in range(64)] for i in range(n)], np.uint8)
-    return np.packbits(rows, axis=1).view(np.uint64).ravel()
-
-
 def _bands(n: int, k: int) -> list[np.ndarray]:
     """Bit masks of the lossless tables, finer for more fingerprints: about 512 or fewer to a bucket."""
     for b in range(k + 1, k + 4):
@@ -79,16 +69,12 @@ def _bands(n: int, k: int) -> list[np.ndarray]:
     return [sum(block[i] for i in c) for c in combinations(range(b), b - k)]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def links(fps: DataFrame, k: int = 4, pivots: int = 24, limit: int = 512) -> DataFrame:
     """fps (fp long, distinct) -> (a, b): links between fingerprints within k bits, enough to connect
     each cell's linked fingerprints (a spanning star per cell, not all pairs)."""
     masks = _bands(fps.count(), k)
-    reference = _pivots(pivots)
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("m")) for i, m in enumerate(masks)])
+    reference = reference_pivots(pivots)
+    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(signed(m)).alias("m")) for i, m in enumerate(masks)])
     rows = fps.select("fp", F.explode(tables).alias("x")).select(
         F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("band"), "fp"
     )
@@ -131,14 +117,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, width: int = 4) -> DataFrame:
     gives an empty result. Other columns of docs, whatever their names, are not read.
     """
     each = stored(fingerprints(docs, width), "fingerprints")
-    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     found = connected_components(links(nodes.select("fp"), k))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return each.join(label, "fp").select(
+    rooted = stored(rooted, "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")), "least")
+    label = stored(by_group(rooted.select("fp", "n", "root"), least, ["root"], "fps").select("fp", "n", "component_id"), "label")
+    return by_group(each, label, ["fp"], "n").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_hash"
     )
 
@@ -146,7 +133,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, width: int = 4) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row of each group of near duplicates, all columns kept.
 
-    The rule is a Jaccard similarity of `least` or more on shingles of `width` words. Such texts may
-    differ in any number of fingerprint bits (mostly 5 to 13), so they are found without fingerprints.
+    The rule is a Jaccard similarity of `least` or more on shingles of `width` words. Such texts differ
+    in up to a dozen fingerprint bits or so, too many for lossless buckets of fingerprints, so pairs
+    come from shared shingles; pivot distances and fingerprints pick those that are verified first, and
+    what they passed over is verified too where it isn't connected yet (see resemblance.py).
     """
     return keep_one(docs, stored(resembling(docs, width, least), "classes"), "class")

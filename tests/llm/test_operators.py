@@ -66,7 +66,7 @@ def test_pieces_equal_the_library():
     ]
     for t, ids in zip(texts, code.encode(texts), strict=True):
         assert ids.tolist() == ref.encode(t), t
-        assert code.decode(ids.tolist()) == ref.decode(ids.tolist())
+        assert code.decode([ids]) == [ref.decode(ids.tolist())]
 
 
 def test_pieces_relaxing_long_units_agrees_with_short(monkeypatch):
@@ -76,6 +76,16 @@ def test_pieces_relaxing_long_units_agrees_with_short(monkeypatch):
     assert pieces.Encoder(registry.PIECE_BPE).encode(text)[0].tolist() == short
 
 
+def test_pieces_long_texts_are_cut_at_units(monkeypatch):
+    code = pieces.Encoder(registry.PIECE_BPE)
+    texts = ["some words  and  \n more   blanks " * 40, "  x" * 90, "unbroken" * 70, "end with blanks" + " " * 80]
+    whole = [x.tolist() for x in code.encode(texts)]
+    for n in (7, 50):
+        monkeypatch.setattr(pieces, "_AT_ONCE", n)
+        assert [x.tolist() for x in code.encode(texts)] == whole
+        assert all("".join(pieces._cut(t)) == t for t in texts)
+
+
 def test_pieces_forget_and_learn_again(monkeypatch):
     code = pieces.Encoder(registry.PIECE_BPE)
     first = [x.tolist() for x in code.encode(["a b c d e f", "the quick fox"])]
@@ -165,9 +175,9 @@ def test_simhash_bands_lose_nothing():
 def test_simhash_hot_bucket_in_cells(spark):
     base = 0x0123456789ABCDEF
     fps = sorted({base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(64)})
-    frame = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    frame = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
     found = simhash.links(frame, limit=64).collect()
-    assert len(set(groups([simhash._signed(f) for f in fps], [(r.a, r.b) for r in found]).values())) == 1
+    assert len(set(groups([simhash.signed(f) for f in fps], [(r.a, r.b) for r in found]).values())) == 1
 
 
 # ---- exact dedup ----
