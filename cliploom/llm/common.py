@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,19 +39,45 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths of tables written inside settled(), innermost last.
+_OPEN: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """A table written as Parquet in the shared folder and read again; survives lost executors.
 
-    It goes when the session ends: results read it lazily, so it can't go before.
+    It goes when the session ends, or with the settled() around it: results read it lazily.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    there, files = _place(spark, path)
+    files.deleteOnExit(there)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that make() gives, written; the tables that make() wrote on its way are deleted."""
+    inner: list[str] = []
+    _OPEN.append(inner)
+    try:
+        df = make()
+    finally:
+        _OPEN.pop()
+    out = stored(df, name)
+    for path in inner:
+        there, files = _place(spark, path)
+        files.delete(there, True)
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliploom.llm.common import by_group, checkpoint, local_roots, pairs_in_cells, parts, split_buckets, stored, whole_groups
+from cliploom.llm.common import by_group, checkpoint, local_roots, pairs_in_cells, parts, settled, split_buckets, stored, whole_groups
 from cliploom.llm.components import connected_components
 
 #: Bits of a part, at least and at most, and how much shorter a part is than log2 of the vectors.
@@ -158,8 +158,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     else:
         sample = index.filter(F.col("dim") == common[0]).orderBy(F.xxhash64("class"), "class", "twin").limit(most)
         codes, radius = fitted(_unit(sample.select("v").toArrow()["v"]), index.count(), threshold, recall)
-        linked = _links(index, codes, threshold, radius, limit)
-    linked = stored(linked, "links")
+        linked = settled(given.sparkSession, lambda: _links(index, codes, threshold, radius, limit), "links")
     # each class: its own copies and those of the classes it is linked with
     degree = linked.groupBy("a").agg(F.sum("links").alias("others"))
     roots = connected_components(linked.select("a", "b"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import SPACE, by_group, checkpoint, keep_one, row_hash, stored
+from cliploom.llm.common import SPACE, by_group, checkpoint, keep_one, row_hash, settled, stored
 
 #: Distinct digests to one filter; filters are built and probed bucket by bucket.
 BUCKET = 1 << 16
@@ -201,7 +201,7 @@ def exact_dedup(docs: DataFrame, bits: int = 256, cut: int | None = None) -> Dat
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns kept."""
-    decided = stored(exact_dedup(docs), "copies").withColumn("keep_id", F.coalesce("keep_id", F.lit(-(1 << 63))))
+    decided = settled(docs.sparkSession, lambda: exact_dedup(docs), "copies").withColumn("keep_id", F.coalesce("keep_id", F.lit(-(1 << 63))))
     return keep_one(docs, decided, "keep_id", "text_sha256")
 
 

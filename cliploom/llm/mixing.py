@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import checkpoint, row_hash, stored, unused
+from cliploom.llm.common import checkpoint, row_hash, settled, stored, unused
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -234,8 +234,11 @@ def mixed(docs: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
     """
     key, text, many, copy = unused(docs.columns, "_id", "_hash", "_copies", "_copy")
     last = F.lit((1 << 63) - 1)
-    plan = mix(docs, share, most).groupBy(F.coalesce("doc_id", last).alias(key), F.col("row_hash").alias(text))
-    plan = stored(plan.agg(F.max("copies").alias(many)).filter(F.col(many) > 0), "copies")
+
+    def plan() -> DataFrame:
+        each = mix(docs, share, most).groupBy(F.coalesce("doc_id", last).alias(key), F.col("row_hash").alias(text))
+        return each.agg(F.max("copies").alias(many)).filter(F.col(many) > 0)
+
     keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), last), text: row_hash()})
-    taken = keyed.join(plan, [key, text])
+    taken = keyed.join(settled(docs.sparkSession, plan, "copies"), [key, text])
     return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*docs.columns)

@@ -25,6 +25,7 @@ from cliploom.llm.common import (
     pairs_in_cells,
     parts,
     row_hash,
+    settled,
     split_buckets,
     stored,
     utf8,
@@ -135,7 +136,7 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8)
 
     The rule is a Jaccard similarity of `least` or more on shingles of `width` words. Such texts differ
     in up to a dozen fingerprint bits or so, too many for lossless buckets of fingerprints, so pairs
-    come from shared shingles; pivot distances and fingerprints pick those that are verified first, and
-    what they passed over is verified too where it isn't connected yet (see resemblance.py).
+    come from shared shingles; pivot distances and fingerprints discard most, and whole sets of shingles
+    verify the survivors (see resemblance.py).
     """
-    return keep_one(docs, stored(resembling(docs, width, least), "classes"), "class")
+    return keep_one(docs, settled(docs.sparkSession, lambda: resembling(docs, width, least), "classes"), "class")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import parts, row_hash, stored, utf8
+from cliploom.llm.common import parts, row_hash, settled, stored, utf8
 from cliploom.llm.rans import Coder, frequencies
 from cliploom.llm.words import encoder, ended, id_kind, packed, slices
 
@@ -186,7 +186,10 @@ def token_ids(docs: DataFrame, path: str, end: int = 1, vocabulary: int = 49_408
     Null and empty texts have the end id alone; null doc_ids come first and stay null; repeated rows
     are documents like others, in any order among equals; an empty table gives no rows.
     """
-    plain = encoded(docs.select("doc_id", "text"), path, end, vocabulary)
-    freq = frequencies(id_counts(plain, vocabulary))
-    found = stored(read(write(plain, freq), freq), "token-rows")
-    return documents(found).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+    def made() -> DataFrame:
+        plain = encoded(docs.select("doc_id", "text"), path, end, vocabulary)
+        freq = frequencies(id_counts(plain, vocabulary))
+        return read(write(plain, freq), freq)
+
+    return documents(settled(docs.sparkSession, made, "token-rows")).select("doc_id", "start", "n_tokens", "ids_crc32")
