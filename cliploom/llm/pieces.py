@@ -24,7 +24,7 @@ from cliploom.llm.common import utf8
 
 MARK = "▁"
 _UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
-_KEPT = 1_000_000
+_KEPT = 400_000
 _AT_ONCE = 1 << 20
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Units with more characters than this are relaxed one by one.
