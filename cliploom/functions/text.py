@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters of East Asian width F or W, as ranges (fixed values of the Unicode table).
-WIDE = (
-    r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}"
-    r"\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1F300}-\x{1F64F}"
-    r"\x{1F900}-\x{1F9FF}\x{20000}-\x{3FFFD}]"
-)
+
+def char_width(c: str) -> int:
+    """Two for characters of East Asian width F or W, one for others."""
+    return 2 if unicodedata.east_asian_width(c) in "FW" else 1
+
+
+def _wide_ranges() -> str:
+    """A character class of all that is two wide, from the Unicode table Python has."""
+    wide = [p for p in range(sys.maxunicode + 1) if char_width(chr(p)) == 2]
+    begins = [p for p, q in zip(wide, [-2, *wide], strict=False) if p != q + 1]
+    ends = [p for p, q in zip(wide, [*wide[1:], -2], strict=True) if q != p + 1]
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{z:X}}}" for a, z in zip(begins, ends, strict=True)) + "]"
+
+
+WIDE = _wide_ranges()
 BLANKS = " \t\r\n"
 
 

@@ -137,20 +137,25 @@ def merge_short_gaps(clips: DataFrame, gap_ms: int = 1500) -> DataFrame:
     return indexed(grouped.select("job_id", "start_ms", "end_ms", joined.alias("reason")))
 
 
+def _joined(*reasons: str | None) -> str:
+    """Reasons that aren't null or blank, each once, in order."""
+    return " / ".join(dict.fromkeys(r.strip() for r in reasons if isinstance(r, str) and r.strip()))
+
+
 def _absorb(clips: list, min_ms: int, max_gap: int) -> list:
     """One job's clips, left to right: a short one joins its nearer neighbour (left on ties)."""
     out: list[list] = []
     held: tuple | None = None  # start and reason that a short clip left to the next one
     for i, (start, end, reason) in enumerate(clips):
         if held:
-            start, reason = held[0], " / ".join(dict.fromkeys([held[1], reason, "absorbed short clip"]))
+            start, reason = held[0], _joined(held[1], reason, "absorbed short clip")
             held = None
         if end - start < min_ms:
             after = clips[i + 1][0] - end if i + 1 < len(clips) else None
             before = start - out[-1][1] if out else None
             if before is not None and (after is None or before <= after) and before <= max_gap:
                 out[-1][1] = end
-                out[-1][2] = " / ".join(dict.fromkeys([out[-1][2], reason, "absorbed short clip"]))
+                out[-1][2] = _joined(out[-1][2], reason, "absorbed short clip")
                 continue
             if after is not None and after <= max_gap:
                 held = (start, reason)

@@ -110,9 +110,29 @@ def runtime_state(jobs: DataFrame, queue: DataFrame, live: DataFrame) -> DataFra
 
 
 def preference_summary(events: DataFrame) -> DataFrame:
-    """Counts by kind and action."""
-    return events.groupBy("kind", F.coalesce("action", F.lit("none")).alias("action")).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("job_id").alias("jobs")
+    """(section, key, value, n): what all preference events come to.
+
+    Sections: `events` (their number), `clip_feedback` (accepted, rejected, cleared; also where nobody
+    did), `replacement` (the last correction of each text: key becomes value) and `platform` (how often
+    each was selected). Corrections that change nothing and blank texts or platforms are left out.
+    """
+    said = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    null = F.lit(None).cast("string")
+    row = lambda section, key, value, n: [F.lit(section).alias("section"), key.alias("key"), value.alias("value"), n.cast("long").alias("n")]
+    e = events.select("id", "kind", "created_at", *[said(F.col(c)).alias(c) for c in ("action", "before", "after", "platform")])
+    every = e.agg(F.count(F.lit(1)).alias("n")).select(*row("events", null, null, F.col("n")))
+    given = F.when(F.col("kind") == "clip_feedback", F.when(F.col("action") == "clear", "cleared").otherwise(F.col("action")))
+    names = ("accepted", "rejected", "cleared")
+    clips = e.agg(*[F.count_if(given == k).alias(k) for k in names]).select(
+        F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("n")) for k in names])).alias("x")
+    )
+    changed = e.filter((F.col("kind") == "subtitle_correction") & (F.col("before") != "") & (F.col("after") != "") & (F.col("before") != F.col("after")))
+    last = changed.groupBy("before").agg(F.max_by("after", F.struct("created_at", "id")).alias("after"))
+    chosen = e.filter((F.col("kind") == "publish_selection") & (F.col("platform") != "")).groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        every.unionByName(clips.select(*row("clip_feedback", F.col("x.key"), null, F.col("x.n"))))
+        .unionByName(last.select(*row("replacement", F.col("before"), F.col("after"), F.lit(None))))
+        .unionByName(chosen.select(*row("platform", F.col("platform"), null, F.col("n"))))
     )
 
 

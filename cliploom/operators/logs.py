@@ -58,21 +58,51 @@ def parse_scene_log(lines: DataFrame, max_events: int = 10_000) -> DataFrame:
     )
 
 
-def integrity_status(lines: DataFrame, max_errors: int = 40) -> DataFrame:
-    """Per job: error lines, the first of them, and a status from patterns in those kept."""
-    kept = (
+#: What a decoder's error lines hold where the source is damaged (fixed values).
+DECODE_ERRORS = ("error while decoding", "invalid data", "left block unavailable", "reference", "bytestream", "corrupt")
+
+
+def integrity_status(runs: DataFrame, lines: DataFrame, progress: DataFrame, max_errors: int = 40) -> DataFrame:
+    """(job_id, status, error_count, truncated, completed_ms): one row for each run of a decoder.
+
+    runs (job_id, returncode; null: it ran out of time), lines (job_id, line_no, line) of its errors,
+    progress (job_id, line) of its progress. The first max_errors error lines that aren't blank decide
+    between corrupt and what the return code says; they are ranked, never gathered in one row. A job's
+    last progress is the largest it reports.
+    """
+    first = Window.partitionBy("job_id").orderBy("line_no")
+    marks = F.lit(False)
+    for mark in DECODE_ERRORS:
+        marks = marks | F.contains(F.lower("line"), F.lit(mark))
+    errors = (
         lines.filter(F.trim("line") != "")
+        .select("job_id", marks.alias("_bad"), F.row_number().over(first).alias("_n"))
         .groupBy("job_id")
-        .agg(F.count(F.lit(1)).alias("error_count"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_all"))
-        .withColumn("_text", F.lower(F.array_join(F.transform(F.slice("_all", 1, max_errors), lambda x: x["line"]), "\n")))
+        .agg(F.count(F.lit(1)).alias("_count"), F.max(F.col("_bad") & (F.col("_n") <= max_errors)).alias("_corrupt"))
     )
+    micros = F.regexp_extract("line", r"out_time_(?:us|ms)=(\d+)", 1)
+    part = lambda i: F.regexp_extract("line", r"out_time=(\d+):(\d+):([\d.]+)", i)
+    clock = part(1).cast("double") * 3600 + part(2).cast("double") * 60 + part(3).cast("double")
+    reached = F.when(micros != "", micros.cast("double") / 1_000_000).when(part(1) != "", clock)
+    done = progress.groupBy("job_id").agg(F.max(reached).alias("_done"))
     status = (
-        F.when(F.contains("_text", F.lit("timed out")), "timeout")
-        .when(F.col("_text").rlike("invalid data|corrupt|error while decoding|moov atom not found|unexpected end"), "corrupt")
-        .when(F.col("error_count") == 0, "ok")
+        F.when(F.col("returncode").isNull(), "timeout")
+        .when(F.coalesce("_corrupt", F.lit(False)), "corrupt")
+        .when(F.col("returncode") == 0, "ok")
         .otherwise("failed")
     )
-    return kept.select("job_id", "error_count", status.alias("status"))
+    count = F.coalesce("_count", F.lit(0))
+    return (
+        runs.join(errors, "job_id", "left")
+        .join(done, "job_id", "left")
+        .select(
+            "job_id",
+            status.alias("status"),
+            count.alias("error_count"),
+            (count >= max_errors).alias("truncated"),
+            F.floor(F.col("_done") * 1000 + 0.5).cast("long").alias("completed_ms"),
+        )
+    )
 
 
 def severe_corruption(status: DataFrame, limit: int = 40) -> DataFrame:
@@ -117,24 +147,22 @@ def content_crop(lines: DataFrame, frames: DataFrame) -> DataFrame:
     return j.select("job_id", pick("w", F.col("width")), pick("h", F.col("height")), pick("x", F.lit(0)), pick("y", F.lit(0)))
 
 
-#: Error classes in order of precedence: code and what an error's lower-cased text holds (fixed values).
+#: Error classes in order of precedence: code and the pattern in an error's lower-cased text (fixed values).
 ERROR_RULES = (
-    ("gpu_memory", ("cuda out of memory", "out of memory", "cublas_status_alloc_failed")),
-    ("nvenc_unavailable", ("nvenc",)),
-    ("missing_ffmpeg", ("ffmpeg was not found", "ffmpeg not found", "ffprobe was not found")),
-    ("empty_transcript", ("empty transcript", "no speech")),
-    ("disk_space", ("no space left", "disk full")),
+    ("gpu_memory", r"cuda out of memory|cublas|cudnn|vram|gpu memory|outofmemory|显存"),
+    ("nvenc_unavailable", r"openencodesessionex|incompatible client key|no capable devices|nvenc.*(?:unavailable|failed)"),
+    ("missing_ffmpeg", r"(ffmpeg|ffprobe).*(not found|winerror 2|no such file|cannot find)|winerror 2.*(ffmpeg|ffprobe)"),
+    ("empty_transcript", r"empty transcript|empty segments|no speech|未检测到语音|转写.*空|transcription returned empty"),
+    ("disk_space", r"no space left|not enough space|disk full|磁盘空间不足"),
 )
 
 
 def classify_error(text: Column) -> Column:
-    low = F.lower(text)
+    """The code of the first rule that an error's text meets, else generic. A dot stops at line feeds."""
+    low = F.lower(F.coalesce(text, F.lit("")))
     out = F.lit("generic")
-    for code, marks in reversed(ERROR_RULES):
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | F.contains(low, F.lit(m))
-        out = F.when(hit, code).otherwise(out)
+    for code, pattern in reversed(ERROR_RULES):
+        out = F.when(low.rlike("(?d)" + pattern), code).otherwise(out)
     return out
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longest part of each platform in seconds (fixed values).
+#: Longest part of each kind of platform in seconds, an example; callers give their own table.
 PRESETS = {"short": 60, "medium": 180, "long": 600}
 MAX_PARTS = 1000
 
@@ -25,11 +25,13 @@ def clip_boundaries(clips: DataFrame) -> DataFrame:
 
 def split_parts(duration: int, bounds: list[int], longest: int) -> list[tuple[int, int]]:
     """Parts of at most `longest`: up to the last boundary far enough in, else a hard cut; a tail within
-    half a second joins."""
+    half a second joins. Stops behind MAX_PARTS parts."""
+    if longest <= 0:
+        raise ValueError("a platform's limit must be positive")
     if duration <= longest + 500:
         return [(0, duration)] if duration > 0 else []
     out, at = [], 0
-    while at < duration:
+    while at < duration and len(out) <= MAX_PARTS:
         if duration - at <= longest + 500:
             out.append((at, duration))
             break
@@ -42,20 +44,25 @@ def split_parts(duration: int, bounds: list[int], longest: int) -> list[tuple[in
 
 
 def platform_segments(durations: DataFrame, boundaries: DataFrame, presets: dict[str, int] = PRESETS) -> DataFrame:
-    """(job_id, platform, part, start_ms, end_ms, error) for every job and platform."""
+    """(job_id, platform, part, start_ms, end_ms, error) for every job and platform.
+
+    One row with an error and no part for jobs without a duration and plans of over MAX_PARTS parts.
+    """
     b = boundaries.groupBy("job_id").agg(F.sort_array(F.collect_list("at_ms")).alias("bounds"))
     p = F.explode(F.array(*[F.struct(F.lit(k).alias("platform"), F.lit(v * 1000).alias("longest")) for k, v in presets.items()]))
     j = durations.join(b, "job_id", "left").select("job_id", "duration_ms", "bounds", p.alias("p")).select("job_id", "duration_ms", "bounds", "p.platform", "p.longest")
 
     @F.pandas_udf("array<struct<start_ms:bigint,end_ms:bigint>>")
     def parts(duration: pd.Series, bounds: pd.Series, longest: pd.Series) -> pd.Series:
-        return pd.Series(
-            [[{"start_ms": a, "end_ms": z} for a, z in split_parts(int(d), list(x) if x is not None else [], int(m))] for d, x, m in zip(duration, bounds, longest, strict=True)]
-        )
-
-    many = F.ceil(F.col("duration_ms") / F.col("longest")) > MAX_PARTS
-    return j.withColumn("parts", F.when(~many, parts("duration_ms", "bounds", "longest"))).select(
-        "job_id", "platform", F.posexplode_outer("parts").alias("part", "x"), F.when(many, "too many parts").alias("error")
+        out = []
+        for d, x, m in zip(duration, bounds, longest, strict=True):
+            found = split_parts(0 if pd.isna(d) else int(d), list(x) if x is not None else [], int(m))
+            out.append(None if len(found) > MAX_PARTS else [{"start_ms": a, "end_ms": z} for a, z in found])
+        return pd.Series(out)
+
+    error = F.when(F.coalesce("duration_ms", F.lit(0)) <= 0, "no duration").when(F.col("parts").isNull(), "too many parts")
+    return j.withColumn("parts", parts("duration_ms", "bounds", "longest")).select(
+        "job_id", "platform", F.posexplode_outer("parts").alias("part", "x"), error.alias("error")
     ).select("job_id", "platform", "part", "x.start_ms", "x.end_ms", "error")
 
 
@@ -68,8 +75,8 @@ def platform_checks(jobs: DataFrame, parts: DataFrame, limits: dict[str, int] =
     j = jobs.select("*", limit.alias("l")).select("*", "l.platform", "l.limit").join(longest, ["job_id", "platform"], "left")
     check = lambda n, c: F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("ok"))
     checks = F.array(
-        check("duration", F.col("duration_ms") <= F.col("limit") + 500),
-        check("segments", F.coalesce("longest", F.lit(0)) <= F.col("limit") + 500),
+        check("duration", F.col("duration_ms") <= F.col("limit")),
+        check("segments", F.coalesce("longest", F.lit(0)) <= F.col("limit")),
         check("title", F.trim("title") != ""),
         check("cover", F.col("cover")),
     )

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cliploom.functions.text import ass_time, escape_ass, srt_time, strip, visual_width
+from cliploom.functions.text import ass_time, char_width, escape_ass, srt_time, strip, visual_width
 from cliploom.operators.intervals import overlap_join
 
 BREAKS = "，。！？；、,.!?;: "
@@ -54,17 +53,13 @@ def remap_segments(segments: DataFrame, timeline: DataFrame) -> DataFrame:
     return cut.unionByName(own).unionByName(rest)
 
 
-def _wide(c: str) -> int:
-    return 2 if unicodedata.east_asian_width(c) in "FW" else 1
-
-
 def wrap(text: str, units: int) -> list[str]:
     """Lines of at most `units` visual units: at the last break mark past 45 % of it, else hard."""
     lines, rest = [], text
     while True:
         total, hard, least = 0, len(rest), None
         for i, c in enumerate(rest):
-            total += _wide(c)
+            total += char_width(c)
             if least is None and total > max(1, int(units * 0.45)):
                 least = i
             if total > units:

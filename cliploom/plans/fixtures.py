@@ -11,11 +11,11 @@ RECORDING_MS = 720_000
 ARTIFACTS = ("job.json", "cuts.json", "transcript.json", "audio_16k.wav", "final.mp4", "render.tmp")
 TRIGGERS = (
     "CUDA out of memory",
-    "h264_nvenc is not available",
+    "h264_nvenc failed to open",
     "ffmpeg was not found",
     "empty transcript",
     "No space left on device",
-    "unexpected end of stream",
+    "Error while decoding stream #0:0",
 )
 
 
@@ -155,10 +155,13 @@ class Views:
             action.alias("action"),
             F.get_json_object("props", "$.k").alias("key"),
             F.col("ts").alias("created_at"),
+            F.concat(F.lit(" word-"), F.get_json_object("props", "$.k")).alias("before"),
+            F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("word-"), F.get_json_object("props", "$.k"))).otherwise(F.concat(F.lit("fix-"), F.col("event_id") % 7)).alias("after"),
+            F.element_at(F.array(*[F.lit(p) for p in ("", " a", "b ", "c")]), (F.col("event_id") % 4 + 1).cast("int")).alias("platform"),
         )
 
     def publish_steps(self) -> DataFrame:
-        states = F.array(*[F.lit(s) for s in ("draft", "queued", "uploading", "published", "failed", "canceled")])
+        states = F.array(*[F.lit(s) for s in ("draft", "validating", "uploading", "processing", "published", "failed")])
         return self.table("lineitem").select(
             F.col("l_partkey").alias("attempt_id"),
             F.col("l_orderkey").alias("seq"),
@@ -182,7 +185,7 @@ class Views:
         phrase = F.when(F.col("doc_id") % 7 == 6, "").otherwise(
             F.element_at(F.array(*[F.lit(t) for t in TRIGGERS]), (F.col("doc_id") % 7 % 6 + 1).cast("int"))
         )
-        return self.table("documents").select("doc_id", F.concat(F.substring("text", 1, 40), F.lit(" "), phrase).alias("text"))
+        return self.table("documents").select("doc_id", F.concat("text", F.lit("\n"), phrase).alias("text"))
 
     def log_lines(self) -> DataFrame:
         """Detector logs printed from the silences: a start line, and an end line with the duration;

@@ -29,6 +29,16 @@ def s5_documents(v: Views) -> DataFrame:
     return subtitles.subtitle_documents(s, "srt")
 
 
+#: Written from the rules: the first forty lines decide, then the return code.
+P3_SQL = (
+    "SELECT job_id, CASE WHEN rc IS NULL THEN 'timeout' WHEN coalesce(bad, false) THEN 'corrupt' WHEN rc = 0 THEN 'ok' ELSE 'failed' END AS status, coalesce(n, 0) AS error_count, coalesce(n, 0) >= 40 AS truncated, done AS completed_ms FROM"
+    " (SELECT job_id, CASE job_id % 4 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE 1 END AS rc FROM (SELECT DISTINCT unnest([doc_id // 60, -1 - doc_id // 60]) AS job_id FROM documents)) LEFT JOIN"
+    " (SELECT doc_id // 60 AS job_id, count(*) AS n, bool_or(r <= 40 AND regexp_matches(lower(text), 'error while decoding|invalid data|left block unavailable|reference|bytestream|corrupt')) AS bad"
+    " FROM (SELECT *, row_number() OVER (PARTITION BY doc_id // 60 ORDER BY doc_id) AS r FROM errors WHERE trim(text, ' ') <> '') GROUP BY 1) USING (job_id) LEFT JOIN"
+    " (SELECT doc_id // 60 AS job_id, CAST(max(CASE WHEN doc_id % 2 = 0 THEN n_chars * 100 ELSE (doc_id % 60) * 60000 + (n_chars % 60) * 1000 + 500 END) AS BIGINT) AS done FROM documents GROUP BY 1) USING (job_id)"
+)
+
+
 def s5_text(v: Views) -> DataFrame:
     s = v.segments().select("job_id", "start_ms", "seg_idx", F.lit(0).alias("event_idx"), "end_ms", "text")
     return subtitles.subtitle_documents(s, "txt")
@@ -36,7 +46,7 @@ def s5_text(v: Views) -> DataFrame:
 
 def u7_dialogue(v: Views) -> DataFrame:
     e = v.segments().withColumn("event_idx", F.lit(0))
-    return subtitles.dialogue_line(e).select("job_id", "seg_idx", "line").filter("seg_idx % 2 = 0")
+    return subtitles.dialogue_line(e).select("job_id", "seg_idx", "line")
 
 
 def u9_merge(v: Views) -> DataFrame:
@@ -70,7 +80,8 @@ def g2_segments(v: Views) -> DataFrame:
 
 
 def g3_checks(v: Views) -> DataFrame:
-    parts = platform.platform_segments(v.durations(), platform.clip_boundaries(_clips(v)))
+    kind = F.element_at(F.array(*[F.lit(p) for p in platform.PRESETS]), (F.col("event_id") % 3 + 1).cast("int"))
+    parts = v.events().select("job_id", kind.alias("platform"), "start_ms", (F.col("start_ms") + 30 * F.col("len_ms")).alias("end_ms"))
     jobs = v.durations().select("job_id", "duration_ms", F.when(F.col("job_id") % 4 == 0, " ").otherwise("t").alias("title"), (F.col("job_id") % 3 == 0).alias("cover"))
     return platform.platform_checks(jobs, parts)
 
@@ -108,8 +119,15 @@ def p2_scenes(v: Views) -> DataFrame:
 
 
 def p3_integrity(v: Views) -> DataFrame:
-    e = v.errors().select((F.col("doc_id") % 50).alias("job_id"), F.col("doc_id").alias("line_no"), F.col("text").alias("line"))
-    return logs.integrity_status(e, 3)
+    """Sixty error lines to a job; jobs below zero ran without any."""
+    job = F.expr("doc_id div 60")
+    d = v.table("documents")
+    lines = v.errors().select(job.alias("job_id"), F.col("doc_id").alias("line_no"), F.col("text").alias("line"))
+    code = F.when(F.col("job_id") % 4 != 1, F.when(F.col("job_id") % 4 == 0, 0).otherwise(1))
+    runs = d.select(F.explode(F.array(job, -1 - job)).alias("job_id")).distinct().select("job_id", code.alias("returncode"))
+    clock = F.format_string("out_time=00:%02d:%02d.5", F.col("doc_id") % 60, F.col("n_chars") % 60)
+    line = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("out_time_us="), F.col("n_chars") * 100_000)).otherwise(clock)
+    return logs.integrity_status(runs, lines, d.select(job.alias("job_id"), line.alias("line")))
 
 
 def p5_progress(v: Views) -> DataFrame:
@@ -240,7 +258,7 @@ def u6_units(v: Views) -> DataFrame:
 def g4_preview(v: Views) -> DataFrame:
     d = v.table("documents").select(
         F.col("doc_id").alias("job_id"),
-        F.array(F.lit(" "), F.substring("text", 1, 100)).alias("titles"),
+        F.array(F.lit(" "), "text").alias("titles"),
         F.lit("cover").alias("cover_title"),
         F.array("source").alias("descriptions"),
         F.array("lang", F.lit(""), "source", "lang").alias("tags"),
@@ -291,7 +309,7 @@ QUERIES = {
         u7_dialogue,
         sql(
             "SELECT job_id, seg_idx, 'Dialogue: 0,' || format('{:d}:{:02d}:{:02d}.{:02d}', a // 360000, a // 6000 % 60, a // 100 % 60, a % 100) || ',' || format('{:d}:{:02d}:{:02d}.{:02d}', b // 360000, b // 6000 % 60, b // 100 % 60, b % 100)"
-            r" || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, '\', '\\'), '{', '\{'), '}', '\}'), chr(10), '\N') AS line FROM (SELECT *, CAST(round_even(start_ms / 10.0, 0) AS BIGINT) AS a, CAST(round_even(end_ms / 10.0, 0) AS BIGINT) AS b FROM segments) WHERE seg_idx % 2 = 0"
+            r" || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, '\', '\\'), '{', '\{'), '}', '\}'), chr(10), '\N') AS line FROM (SELECT *, CAST(round_even(start_ms / 10.0, 0) AS BIGINT) AS a, CAST(round_even(end_ms / 10.0, 0) AS BIGINT) AS b FROM segments)"
         ),
     ),
     "u8_translation_batches": (
@@ -338,7 +356,7 @@ QUERIES = {
     "g2_platform_segments": (g2_segments, None),
     "g3_platform_checks": (
         g3_checks,
-        sql("SELECT job_id, platform, name, CASE name WHEN 'duration' THEN 720000 <= lim + 500 WHEN 'segments' THEN true WHEN 'title' THEN job_id % 4 <> 0 ELSE job_id % 3 = 0 END AS ok FROM durations, (VALUES ('short', 60000), ('medium', 180000), ('long', 600000)) p(platform, lim), (VALUES ('duration'), ('segments'), ('title'), ('cover')) n(name)"),
+        sql("SELECT job_id, platform, name, CASE name WHEN 'duration' THEN 720000 <= lim WHEN 'segments' THEN coalesce((SELECT max(30 * len_ms) FROM ev WHERE ev.job_id = durations.job_id AND event_id % 3 = k), 0) <= lim WHEN 'title' THEN job_id % 4 <> 0 ELSE job_id % 3 = 0 END AS ok FROM durations, (VALUES ('short', 60000, 0), ('medium', 180000, 1), ('long', 600000, 2)) p(platform, lim, k), (VALUES ('duration'), ('segments'), ('title'), ('cover')) n(name)"),
     ),
     "g5_gate_policy": (
         lambda v: _gate_jobs(v).select("job_id", "aspect", "max_lines", "require_cover"),
@@ -370,11 +388,13 @@ QUERIES = {
     "p3_integrity_status": (
         p3_integrity,
         sql(
-            "SELECT job_id, n AS error_count, CASE WHEN contains(t, 'timed out') THEN 'timeout' WHEN regexp_matches(t, 'invalid data|corrupt|error while decoding|moov atom not found|unexpected end') THEN 'corrupt' ELSE 'failed' END AS status FROM"
-            " (SELECT doc_id % 50 AS job_id, count(*) AS n, lower(array_to_string(list(text ORDER BY doc_id)[1:3], chr(10))) AS t FROM errors WHERE trim(text) <> '' GROUP BY 1)"
+            P3_SQL
         ),
     ),
-    "p4_severe_corruption": (lambda v: logs.severe_corruption(p3_integrity(v), 20).select("job_id"), None),
+    "p4_severe_corruption": (
+        lambda v: logs.severe_corruption(p3_integrity(v)).select("job_id"),
+        sql(f"SELECT job_id FROM ({P3_SQL}) WHERE status = 'corrupt' AND error_count >= 40"),
+    ),
     "p5_progress_percent": (
         p5_progress,
         sql("SELECT job_id, event_id AS line_no, p AS percent FROM (SELECT *, max(p) OVER (PARTITION BY job_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT job_id, event_id, CAST(floor(least(100, start_ms // 1000 * 100000.0 / 720000)) AS BIGINT) AS p FROM ev)) WHERE b IS NULL OR p > b"),
@@ -390,7 +410,11 @@ QUERIES = {
     ),
     "p7_classify_error": (
         lambda v: v.errors().select("doc_id", logs.classify_error(F.col("text")).alias("code")),
-        "SELECT doc_id, ['gpu_memory', 'nvenc_unavailable', 'missing_ffmpeg', 'empty_transcript', 'disk_space', 'generic', 'generic'][CASE WHEN doc_id % 7 = 6 THEN 7 ELSE doc_id % 7 + 1 END] AS code FROM documents",
+        sql(
+            "SELECT doc_id, coalesce((SELECT code FROM (VALUES (1, 'gpu_memory', 'cuda out of memory|cublas|cudnn|vram|gpu memory|outofmemory|显存'), (2, 'nvenc_unavailable', 'openencodesessionex|incompatible client key|no capable devices|nvenc.*(unavailable|failed)'),"
+            " (3, 'missing_ffmpeg', '(ffmpeg|ffprobe).*(not found|winerror 2|no such file|cannot find)|winerror 2.*(ffmpeg|ffprobe)'), (4, 'empty_transcript', 'empty transcript|empty segments|no speech|未检测到语音|转写.*空|transcription returned empty'),"
+            " (5, 'disk_space', 'no space left|not enough space|disk full|磁盘空间不足')) r(n, code, pattern) WHERE regexp_matches(lower(text), pattern) ORDER BY n LIMIT 1), 'generic') AS code FROM errors"
+        ),
     ),
     "p8_subtitle_line_counts": (
         p8_lines,
@@ -444,7 +468,11 @@ QUERIES = {
     ),
     "l14_preference_summary": (
         lambda v: library.preference_summary(v.preference_events()),
-        sql("SELECT kind, coalesce(action, 'none') AS action, count(*) AS n, count(DISTINCT job_id) AS jobs FROM pref GROUP BY 1, 2"),
+        sql(
+            "SELECT 'events' AS section, NULL AS key, NULL AS value, count(*) AS n FROM pref UNION ALL SELECT 'clip_feedback', k, NULL, (SELECT count(*) FROM pref WHERE kind = 'clip_feedback' AND action = a) FROM (VALUES ('accepted', 'accepted'), ('rejected', 'rejected'), ('clear', 'cleared')) c(a, k)"
+            " UNION ALL SELECT 'platform', platform, NULL, count(*) FROM pref WHERE kind = 'publish_selection' AND platform <> '' GROUP BY platform"
+            " UNION ALL SELECT 'replacement', before, after, NULL FROM (SELECT *, row_number() OVER (PARTITION BY before ORDER BY created_at DESC, id DESC) AS r FROM pref WHERE kind = 'subtitle_correction' AND before <> after) WHERE r = 1"
+        ),
     ),
     "l15_clip_feedback_state": (
         lambda v: library.clip_feedback_state(v.preference_events()),
@@ -501,7 +529,7 @@ QUERIES = {
     ),
     "g4_metadata_preview": (
         g4_preview,
-        "SELECT doc_id AS job_id, CASE WHEN trim(substring(text, 1, 100)) = '' THEN 'cover' WHEN length(substring(text, 1, 100)) > 80 THEN substring(text, 1, 79) || '…' ELSE substring(text, 1, 100) END AS title, source AS description, '#' || lang || ' #' || source AS hashtags FROM documents",
+        "SELECT doc_id AS job_id, CASE WHEN trim(text) = '' THEN 'cover' WHEN length(text) > 80 THEN substring(text, 1, 79) || '…' ELSE text END AS title, source AS description, '#' || lang || ' #' || source AS hashtags FROM documents",
     ),
     "s7_project_bundle": (
         s7_bundle,
@@ -515,7 +543,7 @@ QUERIES = {
     "r3_check_transitions": (
         r3_transitions,
         sql(
-            "SELECT status, allowed, count(*) AS n FROM (SELECT status, p IS NULL OR (p, status) IN (('draft', 'queued'), ('draft', 'canceled'), ('queued', 'uploading'), ('queued', 'canceled'), ('uploading', 'published'), ('uploading', 'failed'), ('uploading', 'canceled'), ('failed', 'queued'), ('failed', 'canceled')) AS allowed FROM"
+            "SELECT status, allowed, count(*) AS n FROM (SELECT status, p IS NULL OR (p, status) IN (('draft', 'validating'), ('validating', 'uploading'), ('validating', 'failed'), ('uploading', 'processing'), ('uploading', 'published'), ('uploading', 'failed'), ('processing', 'published'), ('processing', 'failed'), ('failed', 'validating'), ('failed', 'uploading')) AS allowed FROM"
             " (SELECT status, lag(status) OVER (PARTITION BY attempt_id ORDER BY seq, l_linenumber, l_suppkey, uploaded_bytes) AS p FROM publish_steps)) GROUP BY 1, 2"
         ),
     ),

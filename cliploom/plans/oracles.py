@@ -78,11 +78,11 @@ VIEWS: dict[str, str] = {
     "revisions": "SELECT 'job-' || l_orderkey AS job_name, CASE WHEN l_returnflag = 'R' THEN 'cuts' ELSE 'transcript' END AS kind, l_shipdate AS created_at, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem",
     "stage_runs": "SELECT l_orderkey AS run_id, 'stage-' || l_linenumber AS stage, l_quantity AS duration_seconds, l_returnflag AS status, l_shipdate AS started_at, l_partkey AS seq FROM lineitem",
     "pref": "SELECT event_id AS id, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'clip_feedback' WHEN event_type = 'signup' THEN 'subtitle_correction' ELSE 'publish_selection' END AS kind, job_id,"
-    " CASE event_type WHEN 'click' THEN 'accepted' WHEN 'view' THEN 'rejected' WHEN 'error' THEN 'clear' END AS action, json_extract_string(props, '$.k') AS key, ts AS created_at FROM ev",
-    "publish_steps": "SELECT l_partkey AS attempt_id, l_orderkey AS seq, l_linenumber, l_suppkey, ['draft', 'queued', 'uploading', 'published', 'failed', 'canceled'][l_linenumber % 6 + 1] AS status,"
+    " CASE event_type WHEN 'click' THEN 'accepted' WHEN 'view' THEN 'rejected' WHEN 'error' THEN 'clear' END AS action, json_extract_string(props, '$.k') AS key, ts AS created_at, 'word-' || json_extract_string(props, '$.k') AS before, CASE WHEN event_id % 5 = 0 THEN 'word-' || json_extract_string(props, '$.k') ELSE 'fix-' || event_id % 7 END AS after, ['', 'a', 'b', 'c'][event_id % 4 + 1] AS platform FROM ev",
+    "publish_steps": "SELECT l_partkey AS attempt_id, l_orderkey AS seq, l_linenumber, l_suppkey, ['draft', 'validating', 'uploading', 'processing', 'published', 'failed'][l_linenumber % 6 + 1] AS status,"
     " CAST(l_quantity AS BIGINT) AS uploaded_bytes, CAST(40 AS BIGINT) AS total_bytes FROM lineitem",
     "files": "SELECT 'job-' || p_partkey % 400 AS job_name, ['job.json', 'cuts.json', 'transcript.json', 'audio_16k.wav', 'final.mp4', 'render.tmp'][p_partkey % 6 + 1] AS name, CAST(p_size * 1000 AS BIGINT) AS size_bytes, p_partkey AS modified_at FROM part",
-    "errors": "SELECT doc_id, substring(text, 1, 40) || ' ' || CASE WHEN doc_id % 7 = 6 THEN '' ELSE ['CUDA out of memory', 'h264_nvenc is not available', 'ffmpeg was not found', 'empty transcript', 'No space left on device', 'unexpected end of stream'][doc_id % 7 % 6 + 1] END AS text FROM documents",
+    "errors": "SELECT doc_id, text || chr(10) || CASE WHEN doc_id % 7 = 6 THEN '' ELSE ['CUDA out of memory', 'h264_nvenc failed to open', 'ffmpeg was not found', 'empty transcript', 'No space left on device', 'Error while decoding stream #0:0'][doc_id % 7 % 6 + 1] END AS text FROM documents",
     "chat": "SELECT conv_id AS job_id, turn AS seg_idx, text FROM conversations",
     "samples": "SELECT l_orderkey AS job_id, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS frame, l_suppkey % 2 AS channel,"
     " least(greatest(floor(l_extendedprice) - 32768, -32768), 32767) AS value FROM lineitem",

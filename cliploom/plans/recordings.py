@@ -83,7 +83,7 @@ def t1_normalize_asr(v: Views) -> DataFrame:
     e = v.events().select(
         "job_id", F.col("event_id").alias("seg_idx"), (F.col("start_ms") / 1000).cast("string").alias("begin"), (F.col("start_ms") + F.col("len_ms")).cast("string").alias("finish"), F.col("props").alias("sentence"), F.col("event_type").alias("spk")
     )
-    return transcript.normalize_asr(e, v.durations()).filter("start_ms > 1000 and end_ms > 800000")
+    return transcript.normalize_asr(e, v.durations())
 
 
 def t4_replace_and_censor(v: Views) -> DataFrame:
@@ -125,8 +125,14 @@ def u7_escape_ass(v: Views) -> DataFrame:
     return v.chat_segments().select("job_id", "seg_idx", X.escape_ass(F.concat(F.lit("{\\"), "text", F.lit("}"))).alias("text"))
 
 
+def t7_pack_words(v: Views) -> DataFrame:
+    w = F.struct("word_idx", "w_start", "w_end", "word", (F.lit(1.0) / (1 + F.col("word_idx") % 4)).alias("probability"))
+    own = v.words().groupBy("job_id", "seg_idx").agg(F.sort_array(F.collect_list(w)).alias("words"))
+    return transcript.pack_words(v.segments().join(own, ["job_id", "seg_idx"], "left"))
+
+
 def p9_safe_stem(v: Views) -> DataFrame:
-    return v.table("documents").select("doc_id", X.safe_stem(F.concat(F.lit("C:\\media\\"), F.substring("text", 1, 30), F.lit(".final.mp4"))).alias("stem"))
+    return v.table("documents").select("doc_id", X.safe_stem(F.concat(F.lit("C:\\media\\"), "text", F.lit(".final.mp4"))).alias("stem"))
 
 
 def c17_cut_summary(v: Views) -> DataFrame:
@@ -214,7 +220,7 @@ QUERIES = {
     ),
     "t1_normalize_asr": (
         t1_normalize_asr,
-        sql("SELECT job_id, event_id AS seg_idx, start_ms, start_ms + len_ms AS end_ms, trim(props) AS text, event_type AS speaker FROM ev WHERE start_ms <= 725000 AND start_ms > 1000 AND start_ms + len_ms > 800000"),
+        sql("SELECT e.job_id, event_id AS seg_idx, CAST(floor(CASE WHEN s <= m THEN s * 1000 ELSE s END + 0.5) AS BIGINT) AS start_ms, CAST(floor(CASE WHEN f <= m THEN f * 1000 ELSE f END + 0.5) AS BIGINT) AS end_ms, trim(props) AS text, event_type AS speaker FROM (SELECT *, start_ms / 1000.0::DOUBLE AS s, CAST(start_ms + len_ms AS DOUBLE) AS f FROM ev) e LEFT JOIN (SELECT job_id, greatest(120, duration_ms / 1000.0::DOUBLE + 5) AS m FROM durations) d USING (job_id)"),
     ),
     "t2_allocate_untimed": (lambda v: transcript.allocate_untimed(v.untimed(), v.durations()), sql("SELECT job_id, seg_idx, start_ms, end_ms, text FROM timed")),
     "t3_clean_segments": (lambda v: v.segments(), sql("SELECT * FROM segments")),
@@ -255,4 +261,5 @@ QUERIES = {
         sql(r"SELECT job_id, seg_idx, replace(replace(replace(replace('{\' || text || '}', '\', '\\'), '{', '\{'), '}', '\}'), chr(10), '\N') AS text FROM chat"),
     ),
     "p9_safe_stem": (p9_safe_stem, None),
+    "t7_pack_words": (t7_pack_words, None),
 }

@@ -9,18 +9,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Moves that the publish machine allows (fixed values).
+#: Moves of a publish attempt (fixed values).
 EDGES = (
-    ("draft", "queued"),
-    ("draft", "canceled"),
-    ("queued", "uploading"),
-    ("queued", "canceled"),
+    ("draft", "validating"),
+    ("validating", "uploading"),
+    ("validating", "failed"),
+    ("uploading", "processing"),
     ("uploading", "published"),
     ("uploading", "failed"),
-    ("uploading", "canceled"),
-    ("failed", "queued"),
-    ("failed", "canceled"),
+    ("processing", "published"),
+    ("processing", "failed"),
+    ("failed", "validating"),
+    ("failed", "uploading"),
 )
+#: Moves of a job outside its stages: where each status may go (fixed values).
+JOB_MOVES = {
+    "pending": ("queued", "failed", "canceled"),
+    "queued": ("paused", "failed", "canceled", "needs_review", "done"),
+    "paused": ("queued", "failed", "canceled"),
+    "needs_review": ("queued", "done", "failed", "canceled"),
+    "done": ("queued", "needs_review", "failed", "canceled"),
+    "failed": ("queued", "needs_review", "canceled"),
+    "canceled": ("queued", "needs_review"),
+    "canceling": ("canceled", "failed"),
+}
+JOB_EDGES = tuple((a, b) for a, after in JOB_MOVES.items() for b in after)
 
 
 def tail_events(events: DataFrame, after: int, keep: int = 500) -> DataFrame:
@@ -37,11 +50,11 @@ def latest_state(updates: DataFrame) -> DataFrame:
     )
 
 
-def check_transitions(events: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Adds allowed: whether each status may follow the one before it."""
+def check_transitions(events: DataFrame, key: str, order: list[str], edges: tuple = EDGES) -> DataFrame:
+    """Adds allowed: whether each status may follow the one before it, in one of the two machines."""
     before = F.lag("status").over(Window.partitionBy(key).orderBy(*order))
     ok = F.lit(False)
-    for a, b in EDGES:
+    for a, b in edges:
         ok = ok | ((F.col("_before") == a) & (F.col("status") == b))
     return events.withColumn("_before", before).withColumn("allowed", F.col("_before").isNull() | ok).drop("_before")
 

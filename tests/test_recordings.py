@@ -190,7 +190,7 @@ def drained(df, mode, tmp_path):
 
 
 def test_streams_equal_batch(spark, tmp_path):
-    rows = [(k, i, s) for k in (1, 2) for i, s in enumerate(["draft", "published", "queued", "uploading", "published"])]
+    rows = [(k, i, s) for k in (1, 2) for i, s in enumerate(["draft", "published", "validating", "uploading", "published"])]
     spark.createDataFrame(rows, "key long, seq long, status string").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("key long, seq long, status string").parquet(str(tmp_path / "in"))
     got = drained(streams.accepted_transitions(stream), "append", tmp_path).collect()
@@ -247,3 +247,113 @@ def test_query_equals_sql(spark, duck, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
+
+
+# ---- rules against known rows ----
+
+
+def test_classify_error(spark):
+    known = {
+        "RuntimeError: CUDA out of memory while transcribing": "gpu_memory",
+        "cudnn error": "gpu_memory",
+        "out of memory": "generic",
+        "h264_nvenc listed": "generic",
+        "OpenEncodeSessionEx failed: incompatible client key (21)": "nvenc_unavailable",
+        "nvenc init failed": "nvenc_unavailable",
+        "nvenc\nfailed": "generic",
+        "[WinError 2] The system cannot find the file specified: ffmpeg": "missing_ffmpeg",
+        "transcription returned empty segments": "empty_transcript",
+        "OSError: No space left on device": "disk_space",
+        "not enough space": "disk_space",
+        "HTTP Error 403: Forbidden": "generic",
+        None: "generic",
+    }
+    rows = spark.createDataFrame([(t,) for t in known], "text string")
+    assert {r.text: r.code for r in rows.select("text", logs.classify_error(F.col("text")).alias("code")).collect()} == known
+
+
+def test_integrity_status(spark):
+    runs = spark.createDataFrame([(1, 0), (2, 1), (3, None), (4, 1), (5, 0)], "job_id int, returncode int")
+    lines = spark.createDataFrame(
+        [(2, 1, "x"), (2, 2, " "), (2, 3, "CORRUPT frame"), (4, 1, "a"), (4, 2, "b"), (4, 3, "corrupt, but too late"), (5, 1, "invalid data")],
+        "job_id int, line_no int, line string",
+    )
+    progress = spark.createDataFrame([(1, "out_time_us=1500000"), (1, "out_time=00:00:09.25"), (1, "out_time_ms=2000000"), (2, "frame=1")], "job_id int, line string")
+    got = {r.job_id: tuple(r)[1:] for r in logs.integrity_status(runs, lines, progress, 2).collect()}
+    assert got == {
+        1: ("ok", 0, False, 9250),
+        2: ("corrupt", 2, True, None),
+        3: ("timeout", 0, False, None),
+        4: ("failed", 3, True, None),
+        5: ("corrupt", 1, False, None),
+    }
+
+
+def test_moves_of_both_machines(spark):
+    steps = [("a", 1, "draft"), ("a", 2, "validating"), ("a", 3, "published"), ("b", 1, "failed"), ("b", 2, "uploading"), ("b", 3, "processing")]
+    got = streams.check_transitions(spark.createDataFrame(steps, "k string, n int, status string"), "k", ["n"]).collect()
+    assert {(r.k, r.n): r.allowed for r in got} == {("a", 1): True, ("a", 2): True, ("a", 3): False, ("b", 1): True, ("b", 2): True, ("b", 3): True}
+    steps = [("a", 1, "pending"), ("a", 2, "queued"), ("a", 3, "pending"), ("b", 1, "canceling"), ("b", 2, "failed"), ("b", 3, "done")]
+    got = streams.check_transitions(spark.createDataFrame(steps, "k string, n int, status string"), "k", ["n"], streams.JOB_EDGES).collect()
+    assert {(r.k, r.n): r.allowed for r in got} == {("a", 1): True, ("a", 2): True, ("a", 3): False, ("b", 1): True, ("b", 2): True, ("b", 3): False}
+
+
+def test_preference_summary(spark):
+    rows = [
+        (1, "clip_feedback", "accepted", None, None, None, 1),
+        (2, "clip_feedback", "clear", None, None, None, 1),
+        (3, "subtitle_correction", None, " teh ", "the", None, 1),
+        (4, "subtitle_correction", None, "teh", "ten", None, 2),
+        (5, "subtitle_correction", None, "same", "same ", None, 3),
+        (6, "publish_selection", None, None, None, "a", 1),
+        (7, "publish_selection", None, None, None, " ", 1),
+    ]
+    e = spark.createDataFrame(rows, "id int, kind string, action string, before string, after string, platform string, created_at int")
+    assert {tuple(r) for r in library.preference_summary(e).collect()} == {
+        ("events", None, None, 7),
+        ("clip_feedback", "accepted", None, 1),
+        ("clip_feedback", "rejected", None, 0),
+        ("clip_feedback", "cleared", None, 1),
+        ("replacement", "teh", "ten", None),
+        ("platform", "a", None, 1),
+    }
+
+
+def test_width_of_every_character(spark):
+    points = [p for p in range(1, 0x30000) if not 0xD800 <= p < 0xE000]
+    rows = spark.createDataFrame([(chr(p),) for p in points], "c string")
+    got = {r.c: r.w for r in rows.select("c", X.visual_width(F.col("c")).alias("w")).collect()}
+    assert all(got[chr(p)] == X.char_width(chr(p)) for p in points)
+    assert got["🚀"] == got["⌚"] == 2 and got["\U0001f321"] == 1
+
+
+def test_pack_words():
+    w = lambda a, z, t, p=None: {"w_start": a, "w_end": z, "word": t, "probability": p}
+    got = transcript.pack([w(0, 400, "Hello", 0.5), w(400, 900, " world", 1.0), w(900, 900, "gone"), w(1450, 5000, "again"), w(3800, 3900, "far")])
+    assert [(p["start_ms"], p["end_ms"], p["text"], p["word_count"], p["avg_probability"]) for p in got] == [
+        (0, 900, "Hello world", 2, 0.75),
+        (1450, 3250, "again", 1, None),  # a word lasts 1.8 s at most, so what follows is a gap
+        (3800, 3900, "far", 1, None),
+    ]
+    assert [p["text"] for p in transcript.pack([w(i * 300, i * 300 + 300, "你好吗") for i in range(7)])] == ["你好吗" * 5, "你好吗" * 2]
+    sentence = ["A longer one.", "Next"]  # behind a sentence's end from width 16 on
+    assert [p["text"] for p in transcript.pack([w(i * 300, i * 300 + 300, t) for i, t in enumerate(sentence)])] == sentence
+    assert len(transcript.pack([w(0, 300, "Short."), w(300, 600, "Next")])) == 1
+    assert [p["text"] for p in transcript.pack([w(i * 1000, i * 1000 + 1000, f"w{i}") for i in range(7)])] == ["w0 w1 w2 w3 w4", "w5 w6"]
+
+
+def test_pack_words_keeps_segments_without_words(spark):
+    kind = "job_id int, seg_idx int, start_ms long, end_ms long, text string, words array<struct<w_start:bigint,w_end:bigint,word:string,probability:double>>"
+    rows = [(1, 0, 0, 900, "a b", [(0, 400, "a", None), (400, 900, "b", None)]), (1, 1, 900, 1500, " bare ", None), (1, 2, 1500, 1500, "empty", None), (1, 3, 1600, 1700, "bad words", [(5, 5, "x", None)])]
+    got = {(r.seg_idx, r.text, r.word_count) for r in transcript.pack_words(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {(0, "a b", 2), (1, "bare", None), (3, "bad words", None)}
+
+
+def test_parts_of_odd_durations(spark):
+    j = spark.createDataFrame([(1, None), (2, 0), (3, 1000)], "job_id int, duration_ms long")
+    none = spark.createDataFrame([], "job_id int, at_ms long")
+    assert {(r.job_id, r.part, r.error) for r in platform.platform_segments(j, none, {"x": 60}).collect()} == {(1, None, "no duration"), (2, None, "no duration"), (3, 0, None)}
+
+
+def test_absorbed_clips_without_reason():
+    assert intervals._absorb([(0, 3000, None), (3100, 3200, " "), (3300, 9000, "c")], 2000, 1500) == [[0, 3200, "absorbed short clip"], [3300, 9000, "c"]]
