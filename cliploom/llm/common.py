@@ -113,6 +113,8 @@ def by_group(rows: DataFrame, groups: DataFrame, key: list[str], n: str, most: i
     total = groups.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) * F.lit(most) > F.lit(total)
     many = groups.filter(hot)
+    if many.isEmpty():
+        return rows.join(groups, key)
     rest = rows.join(F.broadcast(many.select(*key)), key, "left_anti").join(groups.filter(~hot), key)
     return rows.join(F.broadcast(many), key).unionByName(rest)
 

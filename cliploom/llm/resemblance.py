@@ -168,15 +168,23 @@ def _across(met: DataFrame, who: DataFrame, least: float, limit: int, radius: in
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _with_sets(pairs: DataFrame, held: DataFrame, key: str, other: str, name: str, part: int = 256) -> DataFrame:
-    """pairs with the set of `key`; one node's pairs are dealt into parts of about `part`."""
-    many = stored(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("many")), "many")
-    deal = F.ceil(F.col("many") / F.lit(part)).cast("int")
-    dealt = by_group(pairs, many, [key], "many").withColumn("part", F.pmod(F.xxhash64(other), deal).cast("int"))
-    sets = held.join(many, held["node"] == many[key]).select(
-        key, F.col("own").alias(name), F.explode(F.sequence(F.lit(0), deal - 1)).alias("part")
-    )
-    return dealt.drop("many").join(sets, [key, "part"]).drop("part")
+def _with_sets(pairs: DataFrame, held: DataFrame, key: str, other: str, name: str, part: int = 4096) -> DataFrame:
+    """pairs with the set of `key`; where a node has many pairs they are dealt into parts of about `part`."""
+    sets = held.select(F.col("node").alias(key), F.col("own").alias(name))
+    many = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > part)
+    many = stored(many, "many")
+    if many.isEmpty():
+        return pairs.join(sets, key)
+    # fewer than one node in `part`, each with its number of pairs
+    deal = F.coalesce(F.ceil(F.col("many") / F.lit(part)), F.lit(1)).cast("int")
+    sets = sets.join(many, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), deal - 1))).drop("many")
+    total = pairs.count()
+    hot = many.filter(F.col("many") * 1000 > total)  # fewer than a thousand, so it may be sent to every task
+    rest = many.filter(F.col("many") * 1000 <= total)
+    dealt = pairs.join(F.broadcast(hot.withColumnRenamed("many", "hot")), key, "left").join(rest, key, "left")
+    deal = F.coalesce(F.ceil(F.coalesce("hot", "many") / F.lit(part)), F.lit(1)).cast("int")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(other), deal).cast("int")).drop("many", "hot")
+    return dealt.join(sets, [key, "part"]).drop("part")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
@@ -224,7 +232,8 @@ def resembling(
     met = stored(by_group(rows, stored(buckets, "buckets"), ["h"], "n").select("h", "at", "node", "lead"), "met")
     pairs = met.filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     first = _verified(_screened(pairs, nodes, least, near, references), nodes, docs, width, least)
-    roots = stored(connected_components(first), "roots")
+    # two rounds join most of what is connected; what they leave apart is only compared again
+    roots = stored(connected_components(first, rounds=2), "roots")
     who = nodes.select("node", "size", "fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     second = _across(met.select("h", "at", "node"), who, least, limit, radius, references)
     second = _verified(second, nodes, docs, width, least)
