@@ -209,6 +209,31 @@ def test_exact_dedup(docs, odd, empty):
     assert left.count() == 10 and left.columns == odd.columns
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["_id", "_hash", "_copy", "_copies", "_n", "ROW_HASH"]
+    rows = [(i, f"text number {i % 4} with some words", "s", *[f"{c}{i}" for c in names]) for i in range(8)]
+    given = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    own = {r.doc_id: tuple(r) for r in given.collect()}
+    for stage in (exact_dedup.without_copies, mixing.mixed, simhash.without_near_duplicates):
+        left = stage(given)
+        assert left.columns == given.columns and left.count() > 0
+        assert all(tuple(r) == own[r.doc_id] for r in left.collect())
+
+
+def test_sharding_draw_is_bounded_and_divides_repeated_rows(spark):
+    same = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'one text' as text")
+    other = spark.range(500).selectExpr("id as doc_id", "concat('text ', id) as text")
+    docs = same.union(other)
+    rows = sharding.records(docs)
+    assert rows.filter("doc_id is null").count() == -(-20_000 // sharding.PART)
+    total = rows.selectExpr("sum(bytes)").first()[0]
+    assert 900 < sharding._draw(rows, 1000, total, "first")["hits"].sum() < 1100
+    r = sharding.shard(docs, 10).toPandas()
+    b = r.groupby("shard")["size"].sum()
+    assert len(r) == 20_500 and len(b) == 10 and b.max() < 1.05 * b.mean()
+    check_shards(r, 10)
+
+
 # ---- mixing ----
 
 
