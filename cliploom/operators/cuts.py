@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.folds import running
 from cliploom.functions.text import half_up, strip, truncate_text
 from cliploom.operators.intervals import overlap_join
 
@@ -143,17 +144,15 @@ def highlight_cut(clips: DataFrame, target_ms: int = 60_000) -> DataFrame:
     item = F.struct((-F.col("final_score")).alias("s"), (-length).alias("d"), "idx", "start_ms", "end_ms")
     per = clips.groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("_all"))
     ranked = per.select("job_id", F.transform("_all", lambda x, i: x.withField("rank", i + 1)).alias("_all"))
-    kind = "array<struct<idx:bigint,start_ms:bigint,end_ms:bigint,rank:int>>"
-    zero = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast(kind).alias("out"))
 
-    def step(acc, x):
+    def step(total, x):
         d = x["end_ms"] - x["start_ms"]
-        first = F.size(acc["out"]) == 0
-        take = first | ((acc["total"] < target_ms) & (acc["total"] + d <= target_ms))
-        one = F.struct(x["idx"].cast("long").alias("idx"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["rank"].alias("rank"))
-        return F.when(take, F.struct((acc["total"] + d).alias("total"), F.concat(acc["out"], F.array(one)).alias("out"))).otherwise(acc)
+        take = (x["rank"] == 1) | ((total < target_ms) & (total + d <= target_ms))
+        one = F.struct(x["idx"].alias("idx"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["rank"].alias("rank"))
+        return F.when(take, total + d).otherwise(total), F.when(take, one)
 
-    done = ranked.select("job_id", F.explode(F.aggregate("_all", zero, step)["out"]).alias("c"))
+    out = running("_all", F.lit(0), step, "bigint", "struct<idx:bigint,start_ms:bigint,end_ms:bigint,rank:int>")
+    done = ranked.select("job_id", F.explode(out).alias("c"))
     return done.select("job_id", "c.idx", "c.start_ms", "c.end_ms", F.col("c.rank").alias("selection_rank"))
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.folds import running
 from cliploom.functions.text import ass_time, char_width, escape_ass, srt_time, strip, visual_width
 from cliploom.operators.intervals import overlap_join
 
@@ -137,21 +138,17 @@ def max_units(style_width: Column, font: Column) -> Column:
 def translation_batches(segments: DataFrame, max_segments: int = 24, max_chars: int = 6000) -> DataFrame:
     """Adds batch: segments packed in order under both limits; an oversize one stands alone."""
     per = segments.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", F.length("text").alias("n")))).alias("_all"))
-    kind = "array<struct<seg_idx:bigint,batch:int>>"
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("rows"), F.lit(0).alias("chars"), F.array().cast(kind).alias("out"))
 
     def step(acc, x):
         new = (acc["rows"] > 0) & ((acc["rows"] >= max_segments) | (acc["chars"] + x["n"] > max_chars))
         batch = F.when(new, acc["batch"] + 1).otherwise(acc["batch"])
-        one = F.struct(x["seg_idx"].cast("long").alias("seg_idx"), batch.alias("batch"))
-        return F.struct(
-            batch.alias("batch"),
-            (F.when(new, 0).otherwise(acc["rows"]) + 1).alias("rows"),
-            (F.when(new, 0).otherwise(acc["chars"]) + x["n"]).alias("chars"),
-            F.concat(acc["out"], F.array(one)).alias("out"),
-        )
-
-    return per.select("job_id", F.explode(F.aggregate("_all", zero, step)["out"]).alias("x")).select("job_id", "x.seg_idx", "x.batch")
+        rows, chars = (F.when(new, 0).otherwise(acc[c]) for c in ("rows", "chars"))
+        after = F.struct(batch.alias("batch"), (rows + 1).alias("rows"), (chars + x["n"]).alias("chars"))
+        return after, F.struct(x["seg_idx"].alias("seg_idx"), batch.alias("batch"))
+
+    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("rows"), F.lit(0).alias("chars"))
+    out = running("_all", zero, step, "struct<batch:int,rows:int,chars:int>", "struct<seg_idx:bigint,batch:int>")
+    return per.select("job_id", F.explode(out).alias("x")).select("job_id", "x.seg_idx", "x.batch")
 
 
 def merge_translations(source: DataFrame, translated: DataFrame) -> DataFrame:

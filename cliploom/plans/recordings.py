@@ -97,7 +97,7 @@ def t9_filter_subtitles(v: Views) -> DataFrame:
 
 def t10_validate_edited_segments(v: Views) -> DataFrame:
     e = v.events().select("job_id", (F.col("start_ms") / 1000 - 20).cast("string").alias("start"), F.when(F.col("event_type") == "view", "x").otherwise((F.col("len_ms") / 100).cast("string")).alias("end"), F.col("props").alias("text"))
-    return transcript.validate_edited_segments(e).groupBy("job_id", F.coalesce("error", F.lit("none")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+    return transcript.validate_edited_segments(e)
 
 
 def t11_transcript_corrections(v: Views) -> DataFrame:
@@ -243,7 +243,7 @@ QUERIES = {
     "t10_validate_edited_segments": (
         t10_validate_edited_segments,
         sql(
-            "SELECT job_id, CASE WHEN event_type = 'view' THEN 'time is not a number' WHEN start_ms / 1000.0 - 20 < 0 THEN 'start before zero' WHEN len_ms / 100.0 < start_ms / 1000.0 - 20 THEN 'end before start' ELSE 'none' END AS error, count(*) AS n FROM ev GROUP BY 1, 2"
+f"SELECT job_id, CAST(floor((start_ms / 1000.0 - 20) * 1000 + 0.5) AS BIGINT) AS start_ms, CASE WHEN event_type <> 'view' THEN CAST(floor(len_ms / 100.0 * 1000 + 0.5) AS BIGINT) END AS end_ms, trim(props, {_TRIM}) AS text, CASE WHEN event_type = 'view' THEN 'time is not a number' WHEN start_ms / 1000.0 - 20 < 0 THEN 'start before zero' WHEN len_ms / 100.0 < start_ms / 1000.0 - 20 THEN 'end before start' END AS error FROM ev"
         ),
     ),
     "t11_transcript_corrections": (

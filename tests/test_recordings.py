@@ -357,3 +357,25 @@ def test_parts_of_odd_durations(spark):
 
 def test_absorbed_clips_without_reason():
     assert intervals._absorb([(0, 3000, None), (3100, 3200, " "), (3300, 9000, "c")], 2000, 1500) == [[0, 3200, "absorbed short clip"], [3300, 9000, "c"]]
+
+
+def test_running_gives_a_value_for_each_element_across_parts(spark):
+    from cliploom.functions.folds import running
+
+    numbers = [(i * 37) % 11 - 4 for i in range(301)]
+    rows = [(1, numbers), (2, []), (3, None), (4, numbers[:8])]
+    df = spark.createDataFrame(rows, "id int, xs array<int>")
+
+    # a sum that never falls below zero; nothing is given where it is zero
+    def step(acc, x):
+        total = F.greatest(F.lit(0), acc + x)
+        return total, F.when(total > 0, total)
+
+    for part in (4, 8, 128, 500):
+        got = {r.id: r.out for r in df.select("id", running("xs", F.lit(0), step, "int", "int", part).alias("out")).collect()}
+        for i, xs in rows:
+            want, total = [], 0
+            for x in xs or []:
+                total = max(0, total + x)
+                want += [total] if total > 0 else []
+            assert got[i] == want
