@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.lineage import checkpointed
+
 MAX_SHIFT_MS, TOLERANCE_MS, LEAST_MS = 750, 80, 2000
 
 
@@ -122,46 +126,53 @@ def refine_boundaries(
 ) -> DataFrame:
     """Windows after up to max_attempts moves of each job's first repairable edge, with its outcome.
 
-    Every round looks only at jobs that are still open. A job with a blocking issue goes to review
-    unchanged; one that still has repairable edges after the last move is `attempt_budget_exhausted`.
-    The rounds are bounded, so the plan is unrolled.
+    Every round looks only at jobs that are still open. Outcomes: accepted; needs_review (a blocking
+    issue); no_progress_or_oscillation (the move would give windows the job had before, and isn't made);
+    attempt_budget_exhausted (still not clean after the last move); regression_rolled_back (a lower
+    score or more blocking issues than at first: the job has its first windows again). The rounds are
+    bounded, so the plan is unrolled; each is cut from its lineage, and so are the words.
     """
-    open_, done = windows, []
+    words = checkpointed(words)
+    open_ = windows.withColumns({"_start": F.col("start_ms"), "_end": F.col("end_ms")}).join(
+        window_fingerprint(windows).select("job_id", F.array("fingerprint").alias("_seen")), "job_id"
+    )
+    open_ = checkpointed(open_.withColumns({"_score": F.lit(None).cast("int"), "_blocking": F.lit(None).cast("long")}))
+    done = []
     for attempt in range(max_attempts + 1):
-        edges = edge_in_word(open_, words, durations, tolerance_ms)
-        moves = edge_proposal(edges, open_, excluded, durations, max_shift_ms, least_ms)
-        blocked = (
-            window_issues(open_, durations.join(open_, "job_id", "left_semi"), least_ms).select("job_id").union(moves.filter("to_ms is null").select("job_id")).distinct()
+        last = attempt == max_attempts
+        hits = edge_in_word(open_, words, durations, tolerance_ms)
+        moves = edge_proposal(hits, open_, excluded, durations, max_shift_ms, least_ms)
+        issues = window_issues(open_, durations.join(open_, "job_id", "left_semi"), least_ms)
+        report = quality_report(issues, moves, open_).select("job_id", F.col("score").alias("_now"), F.col("blocking").alias("_b"), F.col("passed").alias("_ok"))
+        first = moves.filter("to_ms is not null").groupBy("job_id").agg(F.min(F.struct("idx", (F.col("edge") == "end").alias("late"), "to_ms")).alias("m"))
+        state = open_.join(report, "job_id").join(first, "job_id", "left")
+        hit = F.col("idx") == F.col("m.idx")
+        state = state.withColumns(
+            {
+                "_score": F.coalesce("_score", "_now"),
+                "_blocking": F.coalesce("_blocking", "_b"),
+                "_s": F.when(hit & ~F.col("m.late"), F.col("m.to_ms")).otherwise(F.col("start_ms")),
+                "_e": F.when(hit & F.col("m.late"), F.col("m.to_ms")).otherwise(F.col("end_ms")),
+            }
         )
-        first = moves.groupBy("job_id").agg(F.min(F.struct("idx", (F.col("edge") == "end").alias("late"), "to_ms")).alias("m"))
-        state = (
-            open_.join(blocked.withColumn("_b", F.lit(True)), "job_id", "left")
-            .join(first, "job_id", "left")
-            .withColumn(
-                "outcome",
-                F.when(F.col("_b"), "needs_review").when(F.col("m").isNull(), "accepted").otherwise(
-                    F.lit("attempt_budget_exhausted") if attempt == max_attempts else F.lit(None)
-                ),
+        moved = window_fingerprint(state.select("job_id", "idx", F.col("_s").alias("start_ms"), F.col("_e").alias("end_ms")))
+        stop = F.when(F.col("_ok"), "accepted")
+        stop = stop.otherwise("attempt_budget_exhausted") if last else stop.when(F.col("_b") > 0, "needs_review").when(F.array_contains("_seen", F.col("fingerprint")), "no_progress_or_oscillation")
+        worse = (F.col("_now") < F.col("_score")) | (F.col("_b") > F.col("_blocking"))
+        state = state.join(moved, "job_id").withColumn("outcome", stop)
+        state = checkpointed(state.withColumn("outcome", F.when(F.col("outcome").isNotNull() & worse, "regression_rolled_back").otherwise(F.col("outcome"))))
+        back = F.col("outcome") == "regression_rolled_back"
+        own = {"start_ms": F.when(back, F.col("_start")).otherwise(F.col("start_ms")), "end_ms": F.when(back, F.col("_end")).otherwise(F.col("end_ms"))}
+        done.append(
+            state.filter("outcome is not null").select(
+                *[own.get(c, F.col(c)).alias(c) for c in windows.columns], "outcome", F.lit(min(attempt + 1, max_attempts)).alias("attempts")
             )
         )
-        done.append(state.filter("outcome is not null").select(*windows.columns, "outcome", F.lit(attempt + 1).alias("attempts")))
-        if attempt == max_attempts:
+        if last or state.filter("outcome is null").isEmpty():
             break
-        hit = F.col("idx") == F.col("m.idx")
-        open_ = state.filter("outcome is null").select(
-            *[
-                {
-                    "start_ms": F.when(hit & ~F.col("m.late"), F.col("m.to_ms")).otherwise(F.col("start_ms")).alias("start_ms"),
-                    "end_ms": F.when(hit & F.col("m.late"), F.col("m.to_ms")).otherwise(F.col("end_ms")).alias("end_ms"),
-                }.get(c, F.col(c))
-                for c in windows.columns
-            ]
-        )
-        open_ = open_.checkpoint() if open_.sparkSession.sparkContext.getCheckpointDir() else open_
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        next_ = {"start_ms": F.col("_s"), "end_ms": F.col("_e"), "_seen": F.concat("_seen", F.array("fingerprint"))}
+        open_ = state.filter("outcome is null").select(*[next_.get(c, F.col(c)).alias(c) for c in open_.columns])
+    return reduce(DataFrame.unionByName, done)
 
 
 def window_fingerprint(windows: DataFrame) -> DataFrame:

@@ -98,6 +98,25 @@ def test_boundary_refinement(spark, rng, dur, clip, word, excluded, shift, want)
     assert (r.outcome, r.start_ms, r.attempts) == want
 
 
+def test_refinement_stops_at_its_budget(spark, rng, dur):
+    # four edges to move and one move a round
+    w = spark.createDataFrame([(1, 1, 1200, 5000), (1, 2, 6200, 9000)], "job_id long, idx int, start_ms long, end_ms long")
+    words = spark.createDataFrame([(1, a, a + 400) for a in (1000, 4800, 6000, 8800)], "job_id long, w_start long, w_end long")
+    go = lambda n: edges.refine_boundaries(w, words, rng([]), dur(20), n, 50).orderBy("idx").collect()
+    assert {(r.outcome, r.attempts) for r in go(3)} == {("attempt_budget_exhausted", 3)}
+    out = go(4)
+    assert {(r.outcome, r.attempts) for r in out} == {("accepted", 4)}
+    assert [(r.start_ms, r.end_ms) for r in out] == [(1000, 5200), (6000, 9200)]
+
+
+def test_refinement_rolls_back_what_made_it_worse(spark, rng, dur):
+    # the nearer end of the edge's word lies deep in another word, from where no move is short enough
+    w = spark.createDataFrame([(1, 1, 3000, 9000)], "job_id long, idx int, start_ms long, end_ms long")
+    words = spark.createDataFrame([(1, 2700, 3200), (1, 2300, 3003)], "job_id long, w_start long, w_end long")
+    (r,) = edges.refine_boundaries(w, words, rng([]), dur(20), 3, 5, max_shift_ms=300).collect()
+    assert (r.outcome, r.start_ms, r.attempts) == ("regression_rolled_back", 3000, 2)
+
+
 def test_subtitle_filter_and_remap(spark, rng):
     seg = spark.createDataFrame([(1, 0, 0, 100, "x"), (1, 1, 1000, 2000, "bad old word")], "job_id long, seg_idx int, start_ms long, end_ms long, text string")
     assert [r.text for r in transcript.filter_subtitles(seg, {"old": "new"}, ["bad"], "***").collect()] == ["*** new word"]
