@@ -6,9 +6,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of every operator here: blank, tab, line feed, vertical tab, form feed, return.
@@ -39,8 +40,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Paths of tables written inside settled(), innermost last.
-_OPEN: list[list[str]] = []
+#: Paths of tables written inside the settled() around; each thread (or other context) has its own.
+_OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
 
 
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
@@ -53,19 +54,19 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     df.write.options(**options).parquet(path)
     there, files = _place(spark, path)
     files.deleteOnExit(there)
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if (inner := _OPEN.get()) is not None:
+        inner.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """The table that make() gives, written; the tables that make() wrote on its way are deleted."""
     inner: list[str] = []
-    _OPEN.append(inner)
+    before = _OPEN.set(inner)
     try:
         df = make()
     finally:
-        _OPEN.pop()
+        _OPEN.reset(before)
     out = stored(df, name)
     for path in inner:
         there, files = _place(spark, path)
@@ -144,6 +145,25 @@ def keep_one(docs: DataFrame, decided: DataFrame, *group: str) -> DataFrame:
     return left.select(*docs.columns)
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with `pos`, each row's place in its group by `order`, from 0 without gaps.
+
+    rows is a written table (it is read for the range bounds and again to be dealt); no group is null.
+    Rows are range-partitioned by group and order, so a group of any size lies in several tasks. A
+    place is the row's place in its partition, and what its group has in earlier partitions: sums over
+    one row for each partition and group. Equal rows get places in any order.
+    """
+    key = [*group, *order]
+    dealt = rows.repartitionByRange(parts(rows), *key).sortWithinPartitions(*key)
+    # the upper bits of this id are the partition, the lower 33 count its rows in order
+    placed = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), name).withColumn("_part", F.shiftright("_at", 33))
+    begin = placed.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = begin.withColumn("_add", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first"))
+    begin = stored(begin.select(*group, "_part", "_add"), f"{name}-begin")
+    return placed.join(begin, [*group, "_part"]).withColumn("pos", F.col("_at") + F.col("_add")).drop("_at", "_part", "_add")
+
+
 def parts(df: DataFrame, least: int = 8) -> int:
     """How many partitions a keyed repartition gets: the session's setting, or `least`."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

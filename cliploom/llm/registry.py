@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cliploom.llm import embeddings, exact_dedup, mixing, pieces, quality, sharding, simhash, token_counts, token_files, toxicity
+from cliploom.llm import embeddings, exact_dedup, merkle, merkle_sql, mixing, pieces, quality, sharding, simhash, token_counts, token_files, toxicity
 from cliploom.llm.common import table
 
 #: Files of public tokenizers, given by the installed package; never copied here.
@@ -79,6 +80,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), PIECE_BPE)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 5 divides the CRC-32 of the doc_id, what is received has A-Z lower-cased."""
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    received = F.when(changed, lowered).otherwise(F.col("text"))
+    return merkle.verified(merkle.proofs(table(spark, sf_dir, "documents"), received={"text": received}))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -91,8 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embedding_neardup": op9_embedding_neardup,
         "op4_toxicity": op4_toxicity,
         "op8_quality_classifier": op8_quality_classifier,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op9_embedding_neardup": OP9_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op9_embedding_neardup": OP9_SQL, "op11_merkle_manifest": merkle_sql.oracle()}
