@@ -8,6 +8,7 @@ the paths, each level a sixteenth of the one below, so no task sees more than it
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,8 +33,8 @@ def leaf(fields: list[Column]) -> Column:
 
 @dataclass
 class Tree:
-    """Trees of several groups. runs[k] (grp, node, c0, c1, ...): the children of each node that level k
-    makes, as structs that begin with `hash`; ends[k] (grp, c0): the groups whose root stands on level k."""
+    """Trees of several groups. runs[k] (grp, node, c0, c1, ...): the children of each node that is made from
+    level k, as structs that begin with `hash`; ends[k] (grp, c0): the groups whose root stands on level k."""
 
     runs: list[DataFrame]
     ends: list[DataFrame]
@@ -42,54 +43,55 @@ class Tree:
     def roots(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [e.select("grp", F.col("c0.hash").alias("hash")) for e in self.ends])
 
-    def slots(self, level: int) -> list[Column]:
-        return [F.col(f"c{i}.hash") for i in range(self.fanout)]
+
+def _joined(slots: Iterable[int]) -> str:
+    """SQL for the digests in some slots, one after another."""
+    return f"concat_ws('', {', '.join(f'c{i}.hash' for i in slots) or chr(39) * 2})"
 
 
 def grow(nodes: DataFrame, carried: list[str], fanout: int, name: str) -> Tree:
     """The trees over nodes (grp, pos, hash, *carried): places from 0 without gaps in each group."""
-    most = nodes.agg(F.max("pos")).first()[0]
-    runs, ends = [], []
-    if most is None:
-        most = 0
-    while True:
-        at = F.pmod("pos", F.lit(fanout))
-        child = F.struct("hash", *carried)
-        level = nodes.groupBy("grp", F.expr(f"pos div {fanout}").alias("node")).agg(*[F.max(F.when(at == i, child)).alias(f"c{i}") for i in range(fanout)])
-        level = stored(level, f"{name}-{len(runs)}")
-        alone = (F.col("node") == 0) & F.col("c1").isNull()  # a group that has one node left
-        ends.append(level.filter(alone).select("grp", "c0"))
-        runs.append(level.filter(~alone))
-        if most == 0:
-            return Tree(runs, ends, fanout)
-        slots = [F.col(f"c{i}.hash") for i in range(fanout)]
-        nodes = runs[-1].select("grp", F.col("node").alias("pos"), F.sha2(F.concat_ws("", *slots).cast("binary"), 256).alias("hash"))
+    most = nodes.agg(F.max("pos")).first()[0] or 0
+    tree = Tree([], [], fanout)
+    while most > 0:
+        child = f"struct({', '.join(['hash', *carried])})"
+        pivot = [F.expr(f"max(CASE WHEN pmod(pos, {fanout}) = {i} THEN {child} END) AS c{i}") for i in range(fanout)]
+        level = nodes.groupBy("grp", F.expr(f"pos div {fanout}").alias("node")).agg(*pivot)
+        level = stored(level, f"{name}-{len(tree.runs)}")
+        alone = F.expr("node = 0 AND c1 IS NULL")  # a group that has one node left
+        tree.ends.append(level.filter(alone).select("grp", "c0"))
+        tree.runs.append(level.filter(~alone))
+        nodes = tree.runs[-1].select("grp", F.col("node").alias("pos"), F.expr(f"sha2(CAST({_joined(range(fanout))} AS BINARY), 256) AS hash"))
         carried, most = [], most // fanout
+    tree.ends.append(nodes.select("grp", F.struct("hash", *carried).alias("c0")))
+    return tree
 
 
 def descend(tree: Tree, above: DataFrame, what: list[str], name: str) -> DataFrame:
     """(grp, pos, child, path, *what) of every node of the lowest level: child is its struct, path the
     (left, right) siblings level by level up to the root, followed by the path `above` (grp, path, *what)
     has for its group."""
-    known = None
-    for k in reversed(range(len(tree.runs))):
-        slots = tree.slots(k)
-        each = [F.struct(F.col(f"c{i}").alias("child"), F.concat_ws("", *slots[:i]).alias("left"), F.concat_ws("", *slots[i + 1 :]).alias("right")) for i in range(tree.fanout)]
-        whole = tree.ends[k].join(above, "grp").select("grp", F.lit(0).cast("long").alias("pos"), F.col("c0").alias("child"), "path", *what)
-        if known is not None:
-            step = tree.runs[k].join(known, ["grp", "node"]).select("grp", "node", "path", *what, F.posexplode(F.array(*each)).alias("slot", "own"))
-            step = step.filter("own.child IS NOT NULL").select(
-                "grp",
-                (F.col("node") * tree.fanout + F.col("slot")).alias("pos"),
-                "own.child",
-                F.concat(F.array(F.struct("own.left", "own.right")), "path").alias("path"),
-                *what,
-            )
-            whole = whole.unionByName(step)
-        if k == 0:
-            return whole
-        known = stored(whole.select("grp", F.col("pos").alias("node"), "path", *what), f"{name}-{k}")
-    raise AssertionError("a tree has one level at least")
+    n = tree.fanout
+    each = ", ".join(f"struct(c{i} AS child, {_joined(range(i))} AS left, {_joined(range(i + 1, n))} AS right)" for i in range(n))
+    whole = None
+    for k in reversed(range(len(tree.ends))):
+        at_root = tree.ends[k].join(above, "grp").select("grp", F.lit(0).cast("long").alias("pos"), F.col("c0").alias("child"), "path", *what)
+        if whole is None:
+            whole = at_root
+            continue
+        known = whole.select("grp", F.col("pos").alias("node"), "path", *what)
+        if k < len(tree.runs) - 1:
+            known = stored(known, f"{name}-{k + 1}")
+        step = tree.runs[k].join(known, ["grp", "node"]).select("grp", "node", "path", *what, F.expr(f"posexplode(array({each})) AS (slot, own)"))
+        step = step.filter("own.child IS NOT NULL").select(
+            "grp",
+            F.expr(f"node * {n} + slot AS pos"),
+            "own.child",
+            F.expr("concat(array(struct(own.left, own.right)), path) AS path"),
+            *what,
+        )
+        whole = at_root.unionByName(step)
+    return whole
 
 
 def proofs(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "source", order: str = "doc_id", received: dict[str, Column] | None = None, fanout: int = 16) -> DataFrame:
