@@ -13,9 +13,7 @@ import pyarrow.compute as pc
 _KEPT = 1_000_000
 #: Bytes of text worked through at a time, more only where one text is longer.
 _AT_ONCE = 1 << 23
-#: A special token of the vocabulary, to keep words apart.
-_MARK = b"<|startoftext|>"
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+_LETTERS = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -28,6 +26,9 @@ class WordEncoder:
     the library once per worker, and what is remembered is bounded.
     """
 
+    #: A special token of the vocabulary, to keep words apart.
+    marker = b"<|startoftext|>"
+
     def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
@@ -36,7 +37,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         self.cutting = Tokenizer.from_file(path)
-        self.mark = self.cutting.token_to_id(_MARK.decode())
+        self.mark = self.cutting.token_to_id(self.marker.decode())
         self._forget()
 
     def _forget(self) -> None:
@@ -85,7 +86,7 @@ class WordEncoder:
             words = [w for w in words if b"<|" not in w]
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
-            rows = [_MARK.join([*some[j : j + 200], b""]).decode("utf-8", "replace") for j in range(0, len(some), 200)]
+            rows = [self.marker.join([*some[j : j + 200], b""]).decode("utf-8", "replace") for j in range(0, len(some), 200)]
             found = self.cutting.encode_batch_fast(rows, add_special_tokens=False)
             ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
             ends = np.flatnonzero(ids == self.mark)
@@ -120,7 +121,14 @@ class WordEncoder:
         if pc.any(special).as_py():
             low = pc.if_else(special, text, low)
         split = pc.ascii_split_whitespace(low)
-        coded = split.flatten().dictionary_encode()
+        ids, size = self._look_up(split.flatten())
+        n = pc.list_value_length(split).to_numpy()
+        upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(n)])]
+        return ids, np.diff(upto)
+
+    def _look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each word)."""
+        coded = words.dictionary_encode()
         words = coded.dictionary.view(pa.binary()).to_pylist()
         if len(self.index) > _KEPT:
             self._forget()
@@ -133,10 +141,67 @@ class WordEncoder:
         size = self.size[at].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)]
-        n = pc.list_value_length(split).to_numpy()
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
-        return ids, np.diff(upto)
+        return self.flat[np.arange(total) + np.repeat(self.start[at] - (ends - size), size)], size
+
+
+class ByteEncoder(WordEncoder):
+    """Ids of whole texts by a byte-level tokenizer, which keeps white space.
+
+    Texts are cut where no token can cross, so a unit is a word with the blank before it or its
+    punctuation, or more where white space comes in runs. Units are remembered like words.
+    """
+
+    marker = b"<|endoftext|>"
+
+    def _split(self, word: bytes) -> None:
+        """Punctuation is cut off already."""
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = flat_bytes(texts)
+        cuts = _cuts(data, offsets[:-1])
+        ends = np.append(cuts, offsets[-1]).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+        ids, size = self._look_up(units)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.searchsorted(cuts, offsets)])
+
+
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, one value after another, and the places between values."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if not len(offsets) or offsets[0] == offsets[-1]:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int32)
+    return np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+#: By byte: 1 for a letter of ASCII, 2 for punctuation that neither begins a contraction nor ends a special token.
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(_LETTERS)] = 1
+_KIND[list(set(_PUNCTUATION) - set(b"'|"))] = 2
+
+
+def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """starts, and the places where no token can cross: before a blank or line break that stands alone,
+    both neighbours being surely no white space; behind such a line break; between a letter and
+    punctuation.
+
+    White space beyond ASCII begins with the bytes C2, E1, E2 or E3; what begins so counts as white space.
+    """
+    cut = np.zeros(len(data), bool)
+    if len(data) > 2:
+        kind = _KIND[data]
+        letter = kind[:-1] == 1
+        letter[1:] |= (data[:-2] == 0xC3) & (data[1:-1] >= 0x80) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+        cut[1:] = letter & (kind[1:] == 2)
+        at = np.flatnonzero((data[1:-1] == 32) | (data[1:-1] == 10)) + 1
+        before, behind = data[at - 1], data[at + 1]
+        alone = (before > 32) & (behind > 32) & ~((behind == 0xC2) | (behind >= 0xE1) & (behind <= 0xE3))
+        two, three = data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+        alone &= (before < 0x80) | ~((two == 0xC2) | (three >= 0xE1) & (three <= 0xE3))
+        at = at[alone]
+        cut[at] = True
+        cut[at[data[at] == 10] + 1] = True
+    cut[starts[starts < len(data)]] = True
+    return np.flatnonzero(cut)
 
 
 def slices(texts: pa.Array) -> Iterator[pa.Array]:
@@ -161,14 +226,14 @@ def id_kind(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, type], WordEncoder] = {}
 
 
-def encoder(path: str, plain_specials: bool = False) -> WordEncoder:
-    """One encoder for each worker process and file."""
-    key = (path, plain_specials)
+def encoder(path: str, plain_specials: bool = False, kind: type[WordEncoder] = WordEncoder) -> WordEncoder:
+    """One encoder for each worker process, file and kind."""
+    key = (path, plain_specials, kind)
     if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, plain_specials)
+        _ENCODERS[key] = kind(path, plain_specials)
     return _ENCODERS[key]
 
 
