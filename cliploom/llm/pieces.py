@@ -284,18 +284,16 @@ class Encoder:
         return out
 
 
+_BORDER = re.compile(f"\n|(?<![ {MARK}]) ")
+
+
 def _cut(text: str) -> Iterator[str]:
-    """A long text in parts of about _AT_ONCE characters, each of whole units: cut before a blank that
-    follows something else, or where there is none, not at all."""
+    """A long text in parts of about _AT_ONCE characters, each of whole units: cut before a line break, or
+    before a blank that follows neither blank nor mark; where there is none, not at all."""
     at = 0
-    while len(text) - at > _AT_ONCE:
-        to = text.find(" ", at + _AT_ONCE)
-        while to > 0 and text[to - 1] == " ":
-            to = text.find(" ", to + 1)
-        if to < 0:
-            break
-        yield text[at:to]
-        at = to
+    while len(text) - at > _AT_ONCE and (border := _BORDER.search(text, at + _AT_ONCE)):
+        yield text[at : border.start()]
+        at = border.start()
     yield text[at:]
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import embeddings, exact_dedup, merkle, merkle_sql, mixing, packing, pieces, quality, sharding, simhash, token_counts, token_files, toxicity
+from cliploom.llm import alignment, embeddings, exact_dedup, merkle, merkle_sql, mixing, packing, pieces, quality, sharding, simhash, token_counts, token_files, toxicity
 from cliploom.llm.common import table
 
 #: Files of public tokenizers, given by the installed package; never copied here.
@@ -90,6 +90,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.proofs(table(spark, sf_dir, "documents"), received={"text": received}))
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_alignment(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end=0)
 
@@ -107,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op8_quality_classifier": op8_quality_classifier,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
         "op13_best_fit_packing": op13_best_fit_packing,
     }
 

@@ -204,13 +204,13 @@ def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """A column of texts in slices of about _AT_ONCE bytes, each of whole texts."""
+def slices(texts: pa.Array, most: int = _AT_ONCE) -> Iterator[pa.Array]:
+    """A column of texts in slices of about `most` bytes, each of whole texts."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         base = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + _AT_ONCE, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield texts.slice(at, to - at)
         at = to
 
