@@ -273,9 +273,9 @@ def cross_alignment(docs: DataFrame, path_a: str, path_b: str, with_groups: bool
     def made() -> DataFrame:
         found = aligned(docs.select("doc_id", "text"), path_a, path_b, with_groups)
         counts = stored(pair_counts(found), "pair-counts")
-        known = _listed(found).drop("n").join(counts, "pair").select("slice", "at", "n", F.col("best").cast("int").alias("best"))
+        known = _listed(found).drop("n").join(counts, "pair").select(F.col("slice").alias("place"), "at", "n", F.col("best").cast("int").alias("best"))
         rows = found.filter("pairs IS NULL").select("slice", *kept, "own", "times")
-        return known.groupBy("slice").cogroup(rows.groupBy("slice")).applyInArrow(look_up, out)
+        return known.groupBy("place").cogroup(rows.groupBy("slice")).applyInArrow(look_up, out)
 
     done = settled(docs.sparkSession, made, "alignment")
     return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *["groups"] * with_groups)
