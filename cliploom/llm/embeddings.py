@@ -85,13 +85,34 @@ class Codes:
         return np.ascontiguousarray((bits.reshape(len(code), self.tables, self.width) @ weight).T)
 
 
+def random_axes(d: int, bits: int, seed: int = 0) -> np.ndarray:
+    """Axes through the origin in random directions, at right angles in blocks of d."""
+    rng = np.random.default_rng(seed)
+    blocks = [np.linalg.qr(rng.normal(size=(d, min(d, bits - at))))[0] for at in range(0, bits, d)]
+    return np.concatenate(blocks, axis=1)
+
+
+def _tables(same: float, recall: float) -> float:
+    """How many tables find a pair with probability `recall` whose parts are equal with probability `same`."""
+    if same >= 1:
+        return 2
+    return max(2, math.ceil(math.log(1 - recall) / math.log1p(-same))) if same > 0 else math.inf
+
+
 def fitted(sample: np.ndarray, vectors: int, threshold: float, recall: float, most_tables: int = 256) -> tuple[Codes, int]:
     """(codes, radius) for so many vectors.
 
     The sample's vectors are turned by the threshold's angle in random directions; the share of parts
     that stay equal gives the number of tables that finds such pairs with probability `recall`, and the
     distance of their codes the radius, four deviations wide. Closer pairs are found more often.
+
+    Where vectors lie in so narrow a cone that the learnt axes, which go through its centre, separate
+    pairs at the threshold too often for `most_tables`, axes through the origin take their place: there a
+    bit survives with a probability that depends on the angle alone, and parts are shortened until the
+    tables suffice.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is a cosine over 0, up to 1")
     width = min(LONGEST, max(SHORTEST, int(math.log2(max(vectors, 2))) - SPARE))
     mean, axes = fit_itq(sample, 4 * width)
     rng = np.random.default_rng(1)
@@ -101,17 +122,20 @@ def fitted(sample: np.ndarray, vectors: int, threshold: float, recall: float, mo
     length = np.linalg.norm(noise, axis=1, keepdims=True)
     y = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * noise / np.where(length > 0, length, 1)
     trial = Codes(mean, axes, width, 4)
-    same = float((trial.parts(trial.code(x)) == trial.parts(trial.code(y))).mean())
-    tables = max(2, math.ceil(math.log(1 - recall) / math.log(1 - same))) if 0 < same < 1 else 2 if same else most_tables + 1
-    if tables > most_tables:
-        raise ValueError(f"pairs at a cosine of {threshold} share too few parts of {width} bits: {tables} tables")
-    codes = Codes(*fit_itq(sample, width * tables), width, tables)
+    tables = _tables(float((trial.parts(trial.code(x)) == trial.parts(trial.code(y))).mean()), recall)
+    if tables <= most_tables:
+        codes = Codes(*fit_itq(sample, width * tables), width, tables)
+    else:
+        bit = 1 - math.acos(threshold) / math.pi
+        while (tables := _tables(bit**width, recall)) > most_tables:
+            width -= 1
+        codes = Codes(np.zeros(x.shape[1]), random_axes(x.shape[1], width * tables), width, tables)
     apart = np.bitwise_count(codes.code(x) ^ codes.code(y)).sum(axis=1)
     return codes, math.ceil(apart.mean() + 4 * apart.std())
 
 
 def _given(vectors: DataFrame) -> DataFrame:
-    """(vec_id, node, dim, class, twin, v): two hashes name a vector's value; both null where it can't link."""
+    """(vec_id, dim, class, twin, v): two hashes name a vector's value; both null where it can't link."""
     kind = vectors.schema["embedding"].dataType.elementType
     v = F.col("embedding") if isinstance(kind, T.FloatType | T.DoubleType) else F.col("embedding").cast("array<double>")
     zero = F.lit(0.0).cast("float") if isinstance(kind, T.FloatType) else F.lit(0.0)
@@ -119,11 +143,9 @@ def _given(vectors: DataFrame) -> DataFrame:
     usable = v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
     return vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.coalesce(F.col("vec_id").cast("long"), -F.abs(F.xxhash64("embedding")) - 1).alias("node"),
         F.when(usable, F.transform(v, lambda x: x + zero)).alias("v"),  # no negative zeros
     ).select(
         "vec_id",
-        "node",
         F.size("v").alias("dim"),
         F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("class"),
         F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v")).alias("twin"),
@@ -149,7 +171,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     usable = given.filter("class is not null")
     # copies are combined before the shuffle; the hashes are the key, not the vector
     index = usable.groupBy("dim", "class", "twin").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
-    index = stored(index, "distinct")
+    # from here on a distinct vector is named by a number of its own
+    index = stored(index.withColumn("node", F.monotonically_increasing_id()), "distinct")
     lengths = index.groupBy("dim").agg(F.count(F.lit(1)).alias("many"))
     common = lengths.orderBy(F.col("many").desc(), "dim").limit(1)
     common = common.select("dim").first()
@@ -163,15 +186,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     degree = linked.groupBy("a").agg(F.sum("links").alias("others"))
     roots = connected_components(linked.select("a", "b"))
     label = checkpoint(
-        index.select("class", "twin", "n")
-        .join(degree.withColumnRenamed("a", "class"), "class", "left")
-        .join(roots.withColumnRenamed("node", "class"), "class", "left")
+        index.select("node", "class", "twin", "n")
+        .join(degree.withColumnRenamed("a", "node"), "node", "left")
+        .join(roots, "node", "left")
         .select(
             "class",
             "twin",
             "n",
             (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-            F.coalesce("root", "class").alias("root"),
+            F.coalesce("root", "node").alias("root"),
         )
     )
     each = stored(by_group(usable.select("vec_id", "class", "twin"), label, ["class", "twin"], "n").select("vec_id", "n_links", "root"), "linked")
@@ -192,7 +215,7 @@ def _bytes_of(code: np.ndarray) -> pa.Array:
 
 
 def _links(index: DataFrame, codes: Codes, threshold: float, radius: int, limit: int) -> DataFrame:
-    """(a, b, links): for each class in a cell its root there (b) and the copies it is linked with."""
+    """(a, b, links): for each vector in a cell its root there (b) and the copies it is linked with."""
 
     def encode(batches):
         for batch in batches:
@@ -203,12 +226,12 @@ def _links(index: DataFrame, codes: Codes, threshold: float, radius: int, limit:
                 raw = _bytes_of(code)
                 for t, key in enumerate(codes.parts(code)):
                     yield pa.RecordBatch.from_arrays(
-                        [some.column("dim"), pa.array(np.full(len(key), t, np.int32)), pa.array(key), some.column("class"), raw],
-                        names=["dim", "t", "key", "class", "code"],
+                        [some.column("dim"), pa.array(np.full(len(key), t, np.int32)), pa.array(key), some.column("node"), raw],
+                        names=["dim", "t", "key", "node", "code"],
                     )
 
-    rows = index.select("dim", "class", "v").mapInArrow(encode, "dim int, t int, key long, class long, code binary")
-    cells = split_buckets(stored(rows, "buckets-of-codes"), _ORDER[:3], "class", limit).select(*_ORDER, "chunk", "class", "code")
+    rows = index.select("dim", "node", "v").mapInArrow(encode, "dim int, t int, key long, node long, code binary")
+    cells = split_buckets(stored(rows, "buckets-of-codes"), _ORDER[:3], "node", limit).select(*_ORDER, "chunk", "node", "code")
     cells = cells.repartition(parts(index), *_ORDER).sortWithinPartitions(*_ORDER)
 
     def pairs(t, start, size):
@@ -235,10 +258,10 @@ def _links(index: DataFrame, codes: Codes, threshold: float, radius: int, limit:
                 hit[i] = hit[j] = True
             yield from t.filter(pa.array(hit)).to_batches()
 
-    schema = "dim int, t int, key long, lo int, hi int, chunk int, class long, code binary"
+    schema = "dim int, t int, key long, lo int, hi int, chunk int, node long, code binary"
     # only rows with a candidate take their vectors along
     found = stored(cells.mapInArrow(candidates, schema), "candidates")
-    full = found.join(index.select("class", "n", "v"), "class")
+    full = found.join(index.select("node", "n", "v"), "node")
     full = full.repartition(parts(index), *_ORDER).sortWithinPartitions(*_ORDER)
 
     def rerank(batches):
@@ -250,7 +273,7 @@ def _links(index: DataFrame, codes: Codes, threshold: float, radius: int, limit:
                 yield from _reranked(t.slice(a, b - a), start[g] - a, size[g])
 
     def _reranked(t, start, size):
-        v, n, name = _unit(t.column("v")), t.column("n").to_numpy(), t.column("class").to_numpy()
+        v, n, name = _unit(t.column("v")), t.column("n").to_numpy(), t.column("node").to_numpy()
         links, left, right = np.zeros(len(t), np.int64), [], []
         for i, j in pairs(t, start, size):
             for at in range(0, len(i), 1 << 16):

@@ -408,3 +408,31 @@ def test_pipeline(spark):
     norm = [re.sub(r"\s+", " ", t) for t in once.values()]
     assert len(set(norm)) == len(norm)
     assert corpus_pipeline.run(spark, SF).count() == len(last)
+
+
+def _vectors(kind, n=300, d=64):
+    rng = np.random.default_rng(7)
+    b = rng.normal(size=d)
+    if kind == "one":
+        return b[None]
+    if kind == "equal":
+        return np.tile(b, (20, 1))
+    if kind == "tight":
+        return b + 0.02 * np.linalg.norm(b) / np.sqrt(d) * rng.normal(size=(n, d))
+    if kind == "random":
+        return rng.normal(size=(n, d))
+    # a few long axes, pairs on both sides of the threshold
+    centres = rng.normal(size=(n // 6, d)) * np.geomspace(5, 0.1, d)
+    return np.repeat(centres, 6, axis=0) + rng.normal(size=(n // 6 * 6, d)) * np.geomspace(5, 0.1, d) * 0.2
+
+
+@pytest.mark.parametrize("kind", ["one", "equal", "tight", "random", "anisotropic"])
+def test_embeddings_of_any_shape(spark, kind):
+    x = _vectors(kind)
+    given = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    r = embeddings.near_vectors(given).toPandas().set_index("vec_id").n_links.reindex(range(len(x))).to_numpy()
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    assert len(r) == len(x) and (r <= want).all() and r.sum() >= 0.9 * want.sum()
