@@ -8,8 +8,9 @@ decides only the time, never the result.
 
 Pairs that meet are discarded by the largest difference of their fingerprints' distances to the
 pivots, then by the fingerprints' own distance, and the whole sets of the survivors are compared.
-Fingerprints of the sets differ in about 10 bits at a similarity of 0.8, with a deviation of 3, so the
-radius of 24 loses no more than about one such pair in ten thousand, of very short texts.
+Fingerprints of the sets differ in about 10 bits at a similarity of 0.8, with a deviation of 3, so a
+radius of 24 loses next to nothing. Only between sets of few shingles can they differ in more; sets under
+`_FEW` go past the screen.
 
 Only what connects is needed. First every member of a bucket is held against one member that leads
 the bucket, which is linear in the bucket; then only pairs of different components are taken.
@@ -27,6 +28,7 @@ from cliploom.llm.components import connected_components
 from cliploom.llm.shingling import of_hashes, pivots, shingles, signed
 
 _LAST = (1 << 63) - 1
+_FEW = 8
 
 
 def _prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
@@ -126,12 +128,15 @@ def _screened(pairs: DataFrame, nodes: DataFrame, least: float, radius: int, ref
     return both.filter(F.greatest(*apart) <= radius).filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius).select("a", "b")
 
 
-def _across(met: DataFrame, who: DataFrame, least: float, limit: int, radius: int, references: int) -> DataFrame:
+def _across(met: DataFrame, who: DataFrame, least: float, limit: int, radius: int, references: int) -> DataFrame | None:
     """met (h, at, node), who (node, size, fp, root) -> (a, b): pairs of different roots that pass the
-    screen, from buckets dealt into cells as in split_buckets; at: a shingle's place in the set."""
+    screen, from buckets dealt into cells as in split_buckets; at: a shingle's place in the set. None
+    where no bucket has two roots."""
     rooted = stored(met.join(who, "node"), "rooted")
     mixed = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
     mixed = stored(mixed.filter("low <> high").select("h", "n"), "mixed")
+    if mixed.isEmpty():
+        return None
     s = F.ceil(F.col("n") / F.lit(limit)).cast("int")
     cells = (
         by_group(rooted, mixed, ["h"], "n")
@@ -156,10 +161,11 @@ def _across(met: DataFrame, who: DataFrame, least: float, limit: int, radius: in
                 keep &= np.minimum(rest[i], rest[j]) * (1 + least) >= least * (n[i] + n[j]) - 1e-9
                 keep &= ~apart[i] | (chunk[i] != chunk[j])
                 i, j = i[keep], j[keep]
+                few = np.minimum(n[i], n[j]) < _FEW
                 for row in distance:
-                    keep = np.abs(row[i] - row[j]) <= radius
-                    i, j = i[keep], j[keep]
-                keep = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+                    keep = few | (np.abs(row[i] - row[j]) <= radius)
+                    i, j, few = i[keep], j[keep], few[keep]
+                keep = few | (np.bitwise_count(fp[i] ^ fp[j]) <= radius)
                 i, j = i[keep], j[keep]
                 if len(i):
                     pair = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
@@ -236,8 +242,10 @@ def resembling(
     roots = stored(connected_components(first, rounds=2), "roots")
     who = nodes.select("node", "size", "fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     second = _across(met.select("h", "at", "node"), who, least, limit, radius, references)
-    second = _verified(second, nodes, docs, width, least)
-    roots = connected_components(first.union(second))
+    if second is not None:
+        roots = connected_components(first.union(_verified(second, nodes, docs, width, least)))
+    else:
+        roots = connected_components(first)
     each = each.select("doc_id", "row_hash", "node")
     copies = each.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(roots, "node", "left")
     label = stored(copies.select("node", "n", F.coalesce("root", "node").alias("class")), "label")
