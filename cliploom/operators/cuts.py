@@ -7,51 +7,58 @@ from pyspark.sql import functions as F
 
 from cliploom.functions.folds import running
 from cliploom.functions.text import half_up, strip, truncate_text
-from cliploom.operators.intervals import overlap_join
+from cliploom.operators.intervals import gathered, overlap_join
 
 
-def scenes_per_clip(clips: DataFrame, scenes: DataFrame, durations: DataFrame) -> DataFrame:
-    """Adds scene_count and scene_times: marks inside the recording with start <= time < end."""
-    marks = scenes.join(durations, "job_id").filter("time_ms >= 0 and time_ms <= duration_ms").select(
-        F.col("job_id").alias("_job"), "time_ms"
-    )
-    inside = (F.col("job_id") == F.col("_job")) & (F.col("start_ms") <= F.col("time_ms")) & (F.col("time_ms") < F.col("end_ms"))
-    found = (
-        clips.select("job_id", "idx", "start_ms", "end_ms")
-        .join(marks, inside)
-        .groupBy("job_id", "idx")
-        .agg(F.count(F.lit(1)).alias("scene_count"), F.sort_array(F.collect_list("time_ms")).alias("scene_times"))
-    )
-    return clips.join(found, ["job_id", "idx"], "left").withColumns(
-        {"scene_count": F.coalesce("scene_count", F.lit(0)), "scene_times": F.coalesce("scene_times", F.array().cast("array<bigint>"))}
-    )
+def valid_marks(scenes: DataFrame, durations: DataFrame) -> DataFrame:
+    """Marks (job_id, time_ms) inside their recording, both ends included."""
+    return scenes.join(durations, "job_id").filter("time_ms >= 0 and time_ms <= duration_ms").select("job_id", "time_ms")
+
+
+def scenes_per_clip(clips: DataFrame, scenes: DataFrame, durations: DataFrame | None = None, bucket_ms: int | None = None, long_ms: int = 0) -> DataFrame:
+    """Adds scene_count and scene_times: marks inside the recording with start <= time < end.
+
+    Without durations the marks are valid_marks() already. A mark is a range of one millisecond, so with
+    time buckets it lies in exactly one.
+    """
+    marks = scenes if durations is None else valid_marks(scenes, durations)
+    points = marks.select("job_id", F.col("time_ms").alias("r_start"), (F.col("time_ms") + 1).alias("r_end"))
+    pairs = overlap_join(clips, points, "left", bucket_ms, long_ms)
+    return gathered(pairs, clips.columns, F.count("r_start").alias("scene_count"), F.sort_array(F.collect_list("r_start")).alias("scene_times"))
 
 
-def transcript_per_clip(clips: DataFrame, segments: DataFrame, words: DataFrame | None = None, longest: int = 160) -> DataFrame:
+def transcript_per_clip(
+    clips: DataFrame, segments: DataFrame, words: DataFrame | None = None, longest: int = 160, bucket_ms: int | None = None, long_ms: int = 0, listed: int | None = None
+) -> DataFrame:
     """Adds transcript_text: of every overlapping segment the words inside the clip, else its text.
 
-    Words are gathered once per segment, so the join is between clips and segments; which words lie in
-    a clip is decided on the array beside the segment.
+    Which words lie in a clip is decided on the array beside the segment: segments carry it as `words`
+    (see transcript.with_words), or it is gathered from a table of words. A clip with a text of its own
+    (column transcript_override, not blank) has that. `listed` adds clip_segments: the first so many
+    parts with their segments' times, cut to the clip.
     """
-    s = segments.select("job_id", "seg_idx", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "text")
     if words is not None:
         item = F.struct("word_idx", "w_start", "w_end", "word")
         w = words.groupBy("job_id", "seg_idx").agg(F.array_sort(F.collect_list(item)).alias("words"))
-        s = s.join(w, ["job_id", "seg_idx"], "left")
+        segments = segments.join(w, ["job_id", "seg_idx"], "left")
+    s = segments.select("job_id", "seg_idx", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "text", *[c for c in segments.columns if c == "words"])
+    part = strip(F.col("text"))
+    if "words" in s.columns:
         inside = F.filter("words", lambda x: (x["w_end"] > F.col("start_ms")) & (x["w_start"] < F.col("end_ms")))
         spoken = F.array_join(F.transform(inside, lambda x: strip(x["word"])), "")
-        part = F.when(F.size(inside) > 0, spoken).otherwise(strip(F.col("text")))
-    else:
-        part = strip(F.col("text"))
-    found = (
-        overlap_join(clips.select("job_id", "idx", "start_ms", "end_ms"), s)
-        .select("job_id", "idx", "r_start", "seg_idx", part.alias("part"))
-        .filter("part <> ''")
-        .groupBy("job_id", "idx")
-        .agg(F.array_sort(F.collect_list(F.struct("r_start", "seg_idx", "part"))).alias("_all"))
-        .select("job_id", "idx", truncate_text(strip(F.array_join(F.transform("_all", lambda x: x["part"]), " ")), longest).alias("transcript_text"))
-    )
-    return clips.join(found, ["job_id", "idx"], "left").withColumn("transcript_text", F.coalesce("transcript_text", F.lit("")))
+        part = F.when(F.size(inside) > 0, spoken).otherwise(part)
+    pairs = overlap_join(clips, s, "left", bucket_ms, long_ms).withColumn("part", part)
+    one = F.struct("r_start", "seg_idx", "part", F.greatest("start_ms", "r_start").alias("from_ms"), F.least("end_ms", "r_end").alias("to_ms"))
+    found = gathered(pairs, clips.columns, F.array_sort(F.collect_list(F.when(F.col("part") != "", one))).alias("_all"))
+    text = truncate_text(strip(F.array_join(F.transform("_all", lambda x: x["part"]), " ")), longest)
+    if "transcript_override" in clips.columns:
+        own = strip(F.col("transcript_override"))
+        text = F.when(own != "", own).otherwise(text)
+    found = found.withColumn("transcript_text", text)
+    if listed is not None:
+        shown = F.transform(F.slice("_all", 1, listed), lambda x: F.struct(x["from_ms"].alias("start_ms"), x["to_ms"].alias("end_ms"), x["part"].alias("text")))
+        found = found.withColumn("clip_segments", shown)
+    return found.drop("_all")
 
 
 def recommendation(score: Column) -> Column:
@@ -87,31 +94,23 @@ def clean_highlights(highlights: DataFrame) -> DataFrame:
 
 
 def semantic_score(clips: DataFrame, highlights: DataFrame) -> DataFrame:
-    """Adds semantic_score, up to three reasons and uses, final_score, final_rank and recommendation."""
-    h = clean_highlights(highlights).select(
-        "job_id", F.col("idx").alias("h_idx"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "score", F.col("reason").alias("h_reason"), "recommended_use"
-    )
-    best = lambda c: F.slice(
-        F.filter(F.transform("_all", lambda x: x[c]), lambda x: x != ""), 1, 3
-    )
-    found = (
-        overlap_join(clips.select("job_id", "idx", "start_ms", "end_ms"), h)
-        .groupBy("job_id", "idx")
-        .agg(
-            F.max("score").alias("semantic_score"),
-            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "r_start", "h_idx", "h_reason", "recommended_use"))).alias("_all"),
-        )
-        .select("job_id", "idx", "semantic_score", best("h_reason").alias("semantic_reasons"), best("recommended_use").alias("semantic_uses"))
-    )
-    some = h.select("job_id").distinct().withColumn("_any", F.lit(True))
-    none = F.array().cast("array<string>")
+    """Adds semantic_score, up to three reasons and uses, final_score, final_rank and recommendation.
+
+    A job's highlights are few; they lie beside each of its clips as one array, best first, of which the
+    clip's own are filtered.
+    """
+    own = F.struct((-F.col("score")).alias("s"), F.col("start_ms").alias("h_start"), F.col("idx").alias("h_idx"), F.col("end_ms").alias("h_end"), "reason", "recommended_use")
+    jobs = clean_highlights(highlights).groupBy("job_id").agg(F.array_sort(F.collect_list(own)).alias("_every"))
+    meets = F.filter("_every", lambda x: (F.col("start_ms") < x["h_end"]) & (x["h_start"] < F.col("end_ms")))
+    found = F.coalesce(meets, F.array().cast("array<struct<s:double,h_start:bigint,h_idx:bigint,h_end:bigint,reason:string,recommended_use:string>>"))
+    best = lambda c: F.slice(F.filter(F.transform("_all", lambda x: x[c]), lambda x: x != ""), 1, 3)
     scored = (
-        clips.join(found, ["job_id", "idx"], "left")
-        .join(some, "job_id", "left")
-        .withColumns({"semantic_score": F.coalesce("semantic_score", F.lit(0.0)), "semantic_reasons": F.coalesce("semantic_reasons", none), "semantic_uses": F.coalesce("semantic_uses", none)})
-        .withColumn("final_score", F.when(F.col("_any"), half_up(F.col("content_score") * 0.4 + F.col("semantic_score") * 0.6)).otherwise(F.col("content_score")))
+        clips.join(jobs, "job_id", "left")
+        .withColumn("_all", found)
+        .withColumns({"semantic_score": F.when(F.size("_all") > 0, -F.get("_all", F.lit(0))["s"]).otherwise(0.0), "semantic_reasons": best("reason"), "semantic_uses": best("recommended_use")})
+        .withColumn("final_score", F.when(F.col("_every").isNotNull(), half_up(F.col("content_score") * 0.4 + F.col("semantic_score") * 0.6)).otherwise(F.col("content_score")))
         .withColumn("recommendation", recommendation(F.col("final_score")))
-        .drop("_any")
+        .drop("_every", "_all")
     )
     return rank_clips(scored, "final_score", "final_rank")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.functions.lineage import checkpointed
+from cliploom.operators.intervals import overlap_join
 
 MAX_SHIFT_MS, TOLERANCE_MS, LEAST_MS = 750, 80, 2000
 
@@ -30,68 +31,71 @@ def window_issues(windows: DataFrame, durations: DataFrame, least_ms: int = LEAS
     return w.select("job_id", "idx", F.explode(codes).alias("code")).unionByName(none)
 
 
-def edge_in_word(windows: DataFrame, words: DataFrame, durations: DataFrame, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
-    """(job_id, idx, edge, at_ms, w_start, w_end): edges inside a word, with the first such word.
-
-    Edges at the very ends of the source are exempt.
-    """
+def window_edges(windows: DataFrame, durations: DataFrame, tolerance_ms: int = TOLERANCE_MS) -> DataFrame:
+    """(job_id, idx, edge, at_ms, start_ms, end_ms, low_ms, high_ms): both edges of each window with its
+    times and how far its neighbours let it go. Edges at the very ends of the source are exempt."""
+    order = Window.partitionBy("job_id").orderBy("idx")
     sides = F.array(F.struct(F.lit("start").alias("edge"), F.col("start_ms").alias("at_ms")), F.struct(F.lit("end").alias("edge"), F.col("end_ms").alias("at_ms")))
-    e = (
-        windows.select("job_id", "idx", F.explode(sides).alias("s"))
-        .select("job_id", "idx", "s.edge", "s.at_ms")
-        .join(durations, "job_id")
-        .filter((F.col("at_ms") > tolerance_ms) & (F.col("at_ms") < F.col("duration_ms") - tolerance_ms))
-    )
-    w = words.select(F.col("job_id").alias("_job"), "w_start", "w_end")
-    inside = (F.col("job_id") == F.col("_job")) & (F.col("w_start") + tolerance_ms < F.col("at_ms")) & (F.col("at_ms") < F.col("w_end") - tolerance_ms)
-    return e.join(w, inside).groupBy("job_id", "idx", "edge", "at_ms").agg(F.min(F.struct("w_start", "w_end")).alias("w")).select(
-        "job_id", "idx", "edge", "at_ms", "w.w_start", "w.w_end"
+    w = windows.select("job_id", "idx", "start_ms", "end_ms").join(durations, "job_id").withColumns(
+        {"low_ms": F.coalesce(F.lag("end_ms").over(order), F.lit(0)), "high_ms": F.coalesce(F.lead("start_ms").over(order), F.col("duration_ms"))}
     )
+    each = w.select("*", F.explode(sides).alias("s")).filter((F.col("s.at_ms") > tolerance_ms) & (F.col("s.at_ms") < F.col("duration_ms") - tolerance_ms))
+    return each.select("job_id", "idx", "s.edge", "s.at_ms", "start_ms", "end_ms", "low_ms", "high_ms")
 
 
-def edge_proposal(
-    edges: DataFrame, windows: DataFrame, excluded: DataFrame, durations: DataFrame, max_shift_ms: int = MAX_SHIFT_MS, least_ms: int = LEAST_MS
+def edge_in_word(
+    windows: DataFrame, words: DataFrame, durations: DataFrame, tolerance_ms: int = TOLERANCE_MS, bucket_ms: int | None = None, long_ms: int = 0
 ) -> DataFrame:
-    """(job_id, idx, edge, at_ms, to_ms): where each edge may go, null if nowhere is safe.
+    """window_edges() that lie inside a word, with the first such word as w_start, w_end.
+
+    words: a table of words, or segments that carry theirs as an array; of those only the segments
+    whose words reach around an edge are joined, and the array is searched beside the edge.
+    """
+    e = window_edges(windows, durations, tolerance_ms)
+    inside = lambda x: (x["w_start"] + tolerance_ms < F.col("at_ms")) & (F.col("at_ms") < x["w_end"] - tolerance_ms)
+    if "words" in words.columns:
+        w = words.filter(F.size("words") > 0).select(
+            "job_id", F.array_min(F.transform("words", lambda x: x["w_start"])).alias("r_start"), F.array_max(F.transform("words", lambda x: x["w_end"])).alias("r_end"), "words"
+        )
+        first = F.array_min(F.transform(F.filter("words", inside), lambda x: F.struct(x["w_start"].alias("w_start"), x["w_end"].alias("w_end"))))
+    else:
+        w = words.select("job_id", F.col("w_start").alias("r_start"), F.col("w_end").alias("r_end"))
+        first = F.when((F.col("r_start") + tolerance_ms < F.col("at_ms")) & (F.col("at_ms") < F.col("r_end") - tolerance_ms), F.struct(F.col("r_start").alias("w_start"), F.col("r_end").alias("w_end")))
+    # an edge is a range of one millisecond here; its window's times wait under other names
+    points = e.withColumnsRenamed({"start_ms": "_from", "end_ms": "_to"}).withColumns({"start_ms": F.col("at_ms"), "end_ms": F.col("at_ms") + 1})
+    key = ["job_id", "idx", "edge", "at_ms", "_from", "_to", "low_ms", "high_ms"]
+    hit = overlap_join(points, w, "inner", bucket_ms, long_ms).withColumn("w", first).filter("w is not null")
+    return hit.groupBy(*key).agg(F.min("w").alias("w")).select(
+        "job_id", "idx", "edge", "at_ms", F.col("_from").alias("start_ms"), F.col("_to").alias("end_ms"), "low_ms", "high_ms", "w.w_start", "w.w_end"
+    )
+
+
+def edge_proposal(edges: DataFrame, excluded: DataFrame, max_shift_ms: int = MAX_SHIFT_MS, least_ms: int = LEAST_MS) -> DataFrame:
+    """edge_in_word() -> (job_id, idx, edge, at_ms, to_ms): where each edge may go, null if nowhere is safe.
 
     Candidates are the word's nearer end for the edge, then the other; safe: a small shift, inside the
     neighbours, long enough, and no more overlap with any excluded part than before.
     """
-    order = Window.partitionBy("job_id").orderBy("idx")
-    w = windows.join(durations, "job_id").select(
-        "job_id",
-        "idx",
-        "start_ms",
-        "end_ms",
-        F.coalesce(F.lag("end_ms").over(order), F.lit(0)).alias("_lo"),
-        F.coalesce(F.lead("start_ms").over(order), F.col("duration_ms")).alias("_hi"),
-    )
     start = F.col("edge") == "start"
     options = F.when(start, F.array("w_start", "w_end")).otherwise(F.array("w_end", "w_start"))
-    c = edges.join(w, ["job_id", "idx"]).select("*", F.posexplode(options).alias("nth", "to_ms"))
-    c = c.withColumns(
-        {"_s": F.when(start, F.col("to_ms")).otherwise(F.col("start_ms")), "_e": F.when(start, F.col("end_ms")).otherwise(F.col("to_ms"))}
-    ).filter(
+    c = edges.select("*", F.posexplode(options).alias("nth", "to_ms"))
+    c = c.withColumns({"_s": F.when(start, F.col("to_ms")).otherwise(F.col("start_ms")), "_e": F.when(start, F.col("end_ms")).otherwise(F.col("to_ms"))})
+    fits = (
         (F.abs(F.col("to_ms") - F.col("at_ms")) <= max_shift_ms)
-        & (F.col("_s") >= F.col("_lo"))
-        & (F.col("_e") <= F.col("_hi"))
+        & (F.col("_s") >= F.col("low_ms"))
+        & (F.col("_e") <= F.col("high_ms"))
         & (F.col("_e") - F.col("_s") >= least_ms)
     )
+    c = c.withColumn("_fits", fits)
     x = excluded.select(F.col("job_id").alias("_job"), F.col("start_ms").alias("x_start"), F.col("end_ms").alias("x_end"))
     over = lambda a, b: F.greatest(F.lit(0), F.least(b, F.col("x_end")) - F.greatest(a, F.col("x_start")))
-    near = (F.col("job_id") == F.col("_job")) & (F.col("x_start") < F.col("_e")) & (F.col("_s") < F.col("x_end"))
+    near = (F.col("job_id") == F.col("_job")) & F.col("_fits") & (F.col("x_start") < F.col("_e")) & (F.col("_s") < F.col("x_end"))
     # least and greatest pass over nulls, so candidates without any excluded part are told apart
     grows = F.col("x_start").isNotNull() & (over(F.col("_s"), F.col("_e")) > over(F.col("start_ms"), F.col("end_ms")) + 1)
     key = ["job_id", "idx", "edge", "at_ms"]
-    safe = (
-        c.join(x, near, "left")
-        .groupBy(*key, "nth", "to_ms")
-        .agg(F.bool_or(F.coalesce(grows, F.lit(False))).alias("_bad"))
-        .filter(~F.col("_bad"))
-        .groupBy(*key)
-        .agg(F.min_by("to_ms", "nth").alias("to_ms"))
-    )
-    return edges.select(*key).join(safe, key, "left")
+    tried = c.join(x, near, "left").groupBy(*key, "nth", "to_ms", "_fits").agg(F.bool_or(F.coalesce(grows, F.lit(False))).alias("_bad"))
+    best = F.min(F.when(F.col("_fits") & ~F.col("_bad"), F.struct("nth", "to_ms")))
+    return tried.groupBy(*key).agg(best.alias("b")).select(*key, "b.to_ms")
 
 
 def quality_report(issues: DataFrame, repairable: DataFrame, windows: DataFrame) -> DataFrame:
@@ -130,9 +134,10 @@ def refine_boundaries(
     issue); no_progress_or_oscillation (the move would give windows the job had before, and isn't made);
     attempt_budget_exhausted (still not clean after the last move); regression_rolled_back (a lower
     score or more blocking issues than at first: the job has its first windows again). The rounds are
-    bounded, so the plan is unrolled; each is cut from its lineage, and so are the words.
+    bounded, so the plan is unrolled; each is cut from its lineage, and so is a table of words.
     """
-    words = checkpointed(words)
+    if "words" not in words.columns:  # else a written table
+        words = checkpointed(words)
     open_ = windows.withColumns({"_start": F.col("start_ms"), "_end": F.col("end_ms")}).join(
         window_fingerprint(windows).select("job_id", F.array("fingerprint").alias("_seen")), "job_id"
     )
@@ -141,7 +146,7 @@ def refine_boundaries(
     for attempt in range(max_attempts + 1):
         last = attempt == max_attempts
         hits = edge_in_word(open_, words, durations, tolerance_ms)
-        moves = edge_proposal(hits, open_, excluded, durations, max_shift_ms, least_ms)
+        moves = edge_proposal(hits, excluded, max_shift_ms, least_ms)
         issues = window_issues(open_, durations.join(open_, "job_id", "left_semi"), least_ms)
         report = quality_report(issues, moves, open_).select("job_id", F.col("score").alias("_now"), F.col("blocking").alias("_b"), F.col("passed").alias("_ok"))
         first = moves.filter("to_ms is not null").groupBy("job_id").agg(F.min(F.struct("idx", (F.col("edge") == "end").alias("late"), "to_ms")).alias("m"))

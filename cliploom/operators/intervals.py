@@ -6,25 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", bucket_ms: int | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", bucket_ms: int | None = None, long_ms: int = 0, key: tuple[str, ...] = ("job_id", "idx")) -> DataFrame:
     """Pairs of left (job_id, start_ms, end_ms, ...) and right (job_id, r_start, r_end, ...) that overlap.
 
-    The job is the equality key, so both sides are dealt by it once. For very long recordings
-    `bucket_ms` adds a time bucket as second key: each side goes to the buckets it touches and a pair
-    counts in the one where its later start lies, so nothing is found twice.
+    The job is the equality key, so both sides are dealt by it once. `bucket_ms` adds a time bucket as
+    second key, for jobs whose measured end lies behind `long_ms`: each side goes to the buckets it
+    touches and a pair counts in the one where its later start lies, so nothing is found twice and one
+    very long recording is shared by many tasks. Other jobs have one bucket. With how="left" rows
+    without a partner stay; `key` then names left rows apart.
     """
     meets = (F.col("start_ms") < F.col("r_end")) & (F.col("r_start") < F.col("end_ms"))
     right = right.withColumnRenamed("job_id", "_job")
     same = F.col("job_id") == F.col("_job")
     if bucket_ms is None:
         return left.join(right, same & meets, how).drop("_job")
-    if how != "inner":
-        raise ValueError("time buckets are for inner joins")
-    touched = lambda a, b: F.explode(F.sequence(F.floor(a / bucket_ms), F.floor((b - 1) / bucket_ms)))
-    a = left.filter("end_ms > start_ms").withColumn("_b", touched(F.col("start_ms"), F.col("end_ms")))
-    b = right.filter("r_end > r_start").withColumn("_c", touched(F.col("r_start"), F.col("r_end")))
-    own = F.col("_b") == F.floor(F.greatest("start_ms", "r_start") / bucket_ms)
-    return a.join(b, same & (F.col("_b") == F.col("_c")) & meets & own).drop("_job", "_b", "_c")
+    if how == "left":
+        found = overlap_join(left.select(*key, "start_ms", "end_ms"), right.withColumnRenamed("_job", "job_id"), "inner", bucket_ms, long_ms)
+        return left.join(found.drop("start_ms", "end_ms"), list(key), "left")
+    ends = left.select("job_id", "end_ms").union(right.select("_job", "r_end")).groupBy("job_id").agg(F.max("end_ms").alias("_last"))
+    long_ = ends.filter(F.col("_last") > long_ms).select("job_id", F.lit(True).alias("_long"))
+
+    def touched(a: str, b: str) -> Column:
+        every = F.sequence(F.floor(F.col(a) / bucket_ms), F.floor((F.col(b) - 1) / bucket_ms))
+        return F.explode(F.when(F.col("_long"), every).otherwise(F.array(F.lit(0).cast("bigint"))))
+
+    a = left.filter("end_ms > start_ms").join(long_, "job_id", "left").withColumn("_b", touched("start_ms", "end_ms"))
+    b = right.filter("r_end > r_start").join(long_.select(F.col("job_id").alias("_job"), "_long"), "_job", "left").withColumn("_c", touched("r_start", "r_end")).drop("_long")
+    own = F.col("_b") == F.when(F.col("_long"), F.floor(F.greatest("start_ms", "r_start") / bucket_ms)).otherwise(F.lit(0))
+    return a.join(b, same & (F.col("_b") == F.col("_c")) & meets & own).drop("_job", "_b", "_c", "_long")
+
+
+def gathered(pairs: DataFrame, left: list[str], *aggregates: Column) -> DataFrame:
+    """Aggregates of a left overlap_join for each left row (job_id, idx), with its other columns `left`."""
+    own = [c for c in left if c not in ("job_id", "idx")]
+    found = pairs.groupBy("job_id", "idx").agg(F.first(F.struct(*own)).alias("_own"), *aggregates)
+    return found.select("job_id", "idx", "_own.*", *[c for c in found.columns if c not in ("job_id", "idx", "_own")])
 
 
 def valid_ranges(ranges: DataFrame, durations: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from threading import Lock
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.operators import transcript
+from cliploom.operators import cuts, intervals, transcript
+from cliploom.sources.library import Library, write_library
 
 RECORDING_MS = 720_000
 ARTIFACTS = ("job.json", "cuts.json", "transcript.json", "audio_16k.wav", "final.mp4", "render.tmp")
@@ -19,6 +22,11 @@ TRIGGERS = (
 )
 
 
+#: Libraries that a session has written, by application and folder.
+_WRITTEN: dict[tuple[str, str], Library] = {}
+_LOCK = Lock()
+
+
 class Views:
     """The derived views of one folder of tables; each is a plan, nothing is computed here."""
 
@@ -85,6 +93,24 @@ class Views:
     def segments(self) -> DataFrame:
         return transcript.clean_segments(transcript.allocate_untimed(self.untimed(), self.durations()), self.durations())
 
+    def library(self) -> Library:
+        """The recordings of this folder as bucketed tables, written once in a session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        with _LOCK:
+            if key not in _WRITTEN:
+                _WRITTEN[key] = write_library(
+                    self.spark,
+                    [
+                        ("durations", self.durations()),
+                        ("scenes", lambda made: cuts.valid_marks(self.scenes(), made["durations"])),
+                        ("highlights", self.highlights()),
+                        ("invalid", lambda made: intervals.invalid_segments(self.silences(), self.freezes(), made["durations"])),
+                        ("clips", lambda made: intervals.keep_clips(made["invalid"], made["durations"])),
+                        ("segments", transcript.with_words(self.segments())),
+                    ],
+                )
+        return _WRITTEN[key]
+
     def words(self) -> DataFrame:
         return transcript.spread_words(self.segments())
 

@@ -17,7 +17,8 @@ def _chat_times(v: Views) -> DataFrame:
 
 
 def u3_remap(v: Views) -> DataFrame:
-    return subtitles.remap_segments(v.segments(), subtitles.kept_timeline(_clips(v)))
+    base = v.library()
+    return subtitles.remap_segments(base["segments"], subtitles.kept_timeline(base["clips"]))
 
 
 def u5_events(v: Views) -> DataFrame:
@@ -55,24 +56,34 @@ def u9_merge(v: Views) -> DataFrame:
     return subtitles.merge_translations(s, t)
 
 
+def _edges(v: Views, **more) -> DataFrame:
+    base = v.library()
+    return edges.edge_in_word(base["clips"], base["segments"], base["durations"], 20, **more)
+
+
 def b2_edges(v: Views) -> DataFrame:
-    return edges.edge_in_word(_clips(v), v.words(), v.durations(), 20)
+    return _edges(v).select("job_id", "idx", "edge", "at_ms", "w_start", "w_end")
+
+
+def b2_edges_bucketed(v: Views) -> DataFrame:
+    """The same from a table of words, recordings over five minutes in buckets of one."""
+    base = v.library()
+    return edges.edge_in_word(base["clips"], v.words(), base["durations"], 20, 60_000, 300_000).select("job_id", "idx", "edge", "at_ms", "w_start", "w_end")
 
 
 def b3_proposals(v: Views) -> DataFrame:
-    c = _clips(v)
-    return edges.edge_proposal(edges.edge_in_word(c, v.words(), v.durations(), 20), c, _invalid(v), v.durations())
+    return edges.edge_proposal(_edges(v), v.library()["invalid"])
 
 
 def b4_report(v: Views) -> DataFrame:
-    c = _clips(v)
-    p = edges.edge_proposal(edges.edge_in_word(c, v.words(), v.durations(), 20), c, _invalid(v), v.durations())
-    return edges.quality_report(edges.window_issues(c, v.durations()), p, c)
+    base = v.library()
+    return edges.quality_report(edges.window_issues(base["clips"], base["durations"]), b3_proposals(v), base["clips"])
 
 
 def b5_refine(v: Views) -> DataFrame:
-    c = _clips(v).filter("end_ms - start_ms >= 2000").select("job_id", "idx", "start_ms", "end_ms")
-    return edges.refine_boundaries(c, v.words(), _invalid(v), v.durations(), tolerance_ms=20)
+    base = v.library()
+    c = base["clips"].select("job_id", "idx", "start_ms", "end_ms")
+    return edges.refine_boundaries(c, base["segments"], base["invalid"], base["durations"], tolerance_ms=20)
 
 
 def g2_segments(v: Views) -> DataFrame:
@@ -336,6 +347,7 @@ QUERIES = {
         sql("SELECT job_id, idx, 'clip_too_short' AS code FROM clips WHERE end_ms - start_ms < 2000 UNION ALL SELECT job_id, idx, 'overlapping_clips' FROM (SELECT *, lag(end_ms) OVER (PARTITION BY job_id ORDER BY start_ms) AS p FROM clips) WHERE start_ms < p - 1"),
     ),
     "b2_edge_in_word": (b2_edges, _edge_sql(" SELECT * FROM edges_hit")),
+    "b2_edge_in_word_bucketed": (b2_edges_bucketed, _edge_sql(" SELECT * FROM edges_hit")),
     "b3_edge_proposal": (b3_proposals, _edge_sql(" SELECT * FROM prop")),
     "b4_quality_report": (
         b4_report,

@@ -20,12 +20,13 @@ def _clips(v: Views) -> DataFrame:
 
 
 def _scored(v: Views) -> DataFrame:
-    c = cuts.transcript_per_clip(_clips(v), v.segments(), v.words())
-    return cuts.content_score(cuts.scenes_per_clip(c, v.scenes(), v.durations()))
+    base = v.library()
+    c = cuts.transcript_per_clip(base["clips"], base["segments"])
+    return cuts.content_score(cuts.scenes_per_clip(c, base["scenes"]))
 
 
 def _semantic(v: Views) -> DataFrame:
-    return cuts.semantic_score(_scored(v), v.highlights())
+    return cuts.semantic_score(_scored(v), v.library()["highlights"])
 
 
 def c1_valid_ranges(v: Views) -> DataFrame:
@@ -55,11 +56,36 @@ def c7_stable_clips(v: Views) -> DataFrame:
 
 
 def c9_transcript_per_clip(v: Views) -> DataFrame:
-    return cuts.transcript_per_clip(_clips(v), v.segments(), v.words()).select("job_id", "idx", "transcript_text")
+    base = v.library()
+    return cuts.transcript_per_clip(base["clips"], base["segments"]).select("job_id", "idx", "transcript_text")
+
+
+def c9_transcript_bucketed(v: Views) -> DataFrame:
+    """Words from a table of their own, and every recording over five minutes in buckets of one."""
+    base = v.library()
+    return cuts.transcript_per_clip(base["clips"], base["segments"].drop("words"), v.words(), bucket_ms=60_000, long_ms=300_000).select("job_id", "idx", "transcript_text")
+
+
+def c9_clip_segments(v: Views) -> DataFrame:
+    """The first twenty segments of a clip; every fifth clip has a text of its own."""
+    base = v.library()
+    own = F.when(F.col("idx") % 5 == 0, F.concat(F.lit(" own "), F.col("idx")))
+    found = cuts.transcript_per_clip(base["clips"].withColumn("transcript_override", own), base["segments"], listed=20)
+    shown = F.array_join(F.transform("clip_segments", lambda x: F.concat_ws(" ", x["start_ms"], x["end_ms"], x["text"])), "|")
+    return found.select("job_id", "idx", "transcript_text", shown.alias("listed"))
+
+
+def _scene_times(found: DataFrame) -> DataFrame:
+    return found.select("job_id", "idx", "scene_count", F.array_join(F.transform("scene_times", lambda x: x.cast("string")), ",").alias("scene_times"))
 
 
 def c8_scenes_per_clip(v: Views) -> DataFrame:
-    return cuts.scenes_per_clip(_clips(v), v.scenes(), v.durations()).select("job_id", "idx", "scene_count", F.array_join(F.transform("scene_times", lambda x: x.cast("string")), ",").alias("scene_times"))
+    base = v.library()
+    return _scene_times(cuts.scenes_per_clip(base["clips"], base["scenes"]))
+
+
+def c8_scenes_bucketed(v: Views) -> DataFrame:
+    return _scene_times(cuts.scenes_per_clip(_clips(v), v.scenes(), v.durations(), bucket_ms=60_000, long_ms=300_000))
 
 
 def c11_flagship(v: Views) -> DataFrame:
@@ -136,7 +162,8 @@ def p9_safe_stem(v: Views) -> DataFrame:
 
 
 def c17_cut_summary(v: Views) -> DataFrame:
-    return cuts.cut_summary(_clips(v), _invalid(v), v.scenes(), v.durations())
+    base = v.library()
+    return cuts.cut_summary(base["clips"], base["invalid"], v.scenes(), base["durations"])
 
 
 def s6_cut_documents(v: Views) -> DataFrame:
@@ -181,6 +208,8 @@ _PACKED = (
 _TRIM = "' ' || chr(9) || chr(13) || chr(10)"
 _REPL = "replace(replace(replace({}, 'the', 'a'), 'th', 'TH'), 'and', '***')"
 _SRT = "format('{{:02d}}:{{:02d}}:{{:02d}},{{:03d}}', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+C8_SQL = sql("SELECT job_id, idx, coalesce(scene_count, 0) AS scene_count, coalesce(array_to_string(scene_times, ','), '') AS scene_times FROM clips LEFT JOIN clip_scenes USING (job_id, idx)")
+C9_SQL = sql("SELECT job_id, idx, coalesce(transcript_text, '') AS transcript_text FROM clips LEFT JOIN clip_text USING (job_id, idx)")
 #: name: (query over Views, SQL or None)
 QUERIES = {
     "c1_valid_ranges": (c1_valid_ranges, sql("SELECT * FROM vs")),
@@ -200,11 +229,18 @@ QUERIES = {
         sql("SELECT job_id, start_ms, end_ms, CAST(row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms) AS INTEGER) AS idx FROM merged"),
     ),
     "c7_stable_clips": (c7_stable_clips, recursive(_STABLE, "mi")),
-    "c8_scenes_per_clip": (
-        c8_scenes_per_clip,
-        sql("SELECT job_id, idx, coalesce(scene_count, 0) AS scene_count, coalesce(array_to_string(scene_times, ','), '') AS scene_times FROM clips LEFT JOIN clip_scenes USING (job_id, idx)"),
+    "c8_scenes_per_clip": (c8_scenes_per_clip, C8_SQL),
+    "c8_scenes_bucketed": (c8_scenes_bucketed, C8_SQL),
+    "c9_transcript_per_clip": (c9_transcript_per_clip, C9_SQL),
+    "c9_transcript_bucketed": (c9_transcript_bucketed, C9_SQL),
+    "c9_clip_segments": (
+        c9_clip_segments,
+        sql(
+            "SELECT job_id, idx, CASE WHEN idx % 5 = 0 THEN 'own ' || idx ELSE coalesce(transcript_text, '') END AS transcript_text, coalesce(listed, '') AS listed FROM clips LEFT JOIN clip_text USING (job_id, idx) LEFT JOIN"
+            " (SELECT job_id, idx, string_agg(a || ' ' || b || ' ' || part, '|' ORDER BY ss, seg_idx) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY job_id, idx ORDER BY ss, seg_idx) AS r FROM"
+            " (SELECT h.job_id, h.idx, h.seg_idx, h.ss, greatest(h.cs, h.ss) AS a, least(h.ce, g.end_ms) AS b, coalesce(w.spoken, h.text) AS part FROM seg_hit h JOIN segments g USING (job_id, seg_idx) LEFT JOIN word_hit w USING (job_id, idx, seg_idx)) WHERE part <> '') WHERE r <= 20 GROUP BY 1, 2) USING (job_id, idx)"
+        ),
     ),
-    "c9_transcript_per_clip": (c9_transcript_per_clip, sql("SELECT job_id, idx, coalesce(transcript_text, '') AS transcript_text FROM clips LEFT JOIN clip_text USING (job_id, idx)")),
     "c11_flagship_cut_plan": (c11_flagship, sql("SELECT job_id, idx, start_ms, end_ms, scene_count, content_score, recommendation, content_rank FROM ranked")),
     "c12_clean_highlights": (lambda v: cuts.clean_highlights(v.highlights()), sql("SELECT * FROM hl")),
     "c13_semantic_score": (c13_semantic_score, sql("SELECT job_id, idx, semantic_score, array_to_string(semantic_reasons, '|') AS reasons, final_score, final_rank FROM semantic_ranked")),
