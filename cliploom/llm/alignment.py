@@ -27,6 +27,8 @@ from cliploom.llm.words import ByteEncoder, encoder, flat_bytes, slices
 #: Merge steps to a piece, and bytes of text to a slice (more only where one text is longer).
 STEPS = 1 << 16
 SLICE = 1 << 22
+#: Distinct units of B that a worker remembers.
+KEPT = 1_000_000
 
 
 class Bytes:
@@ -111,7 +113,7 @@ class Aligner:
     """Both encoders and what their ids stand for; one for each worker process."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = encoder(path_a, True, ByteEncoder), pieces.encoder(path_b)
+        self.a, self.b = encoder(path_a, True, ByteEncoder), pieces.Encoder(path_b, KEPT)
         self.bytes_a, self.bytes_b = byte_level(path_a), piece_bytes(self.b.vocabulary)
         number_a, number_b = (np.arange(len(x.size)) for x in (self.bytes_a, self.bytes_b))
         # decimals with what stands behind them: `,` inside a group, `|` behind its last of A, `;` behind its last of B

@@ -152,10 +152,11 @@ def relax_long(n: int, start: np.ndarray, end: np.ndarray, rank: np.ndarray) ->
 
 
 class Encoder:
-    """Ids of whole texts; distinct units are matched once per worker, up to a bounded number kept."""
+    """Ids of whole texts; distinct units are matched once per worker, up to `kept` of them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         self.vocabulary = Vocabulary(path)
+        self.kept = kept
         self._forget()
 
     def _forget(self) -> None:
@@ -253,7 +254,7 @@ class Encoder:
     def _encode(self, texts: list[str], inside: bool = False) -> list[np.ndarray]:
         """inside: the texts stand inside longer ones, so no mark goes in front of them."""
         split = [_UNIT.findall(("" if inside else MARK) + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.index) > _KEPT:
+        if len(self.index) > (self.kept or _KEPT):
             self._forget()
         units = list(chain.from_iterable(split))
         at = np.fromiter(map(self.index.get, units, repeat(-1)), np.int32, len(units))
