@@ -28,7 +28,7 @@ from cliploom.llm.words import ByteEncoder, encoder, flat_bytes, slices
 STEPS = 1 << 16
 SLICE = 1 << 22
 #: Distinct units of B that a worker remembers.
-KEPT = 1_000_000
+KEPT = 600_000
 
 
 class Bytes:
