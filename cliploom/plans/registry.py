@@ -7,10 +7,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliploom.plans import jobtables, recordings
+from cliploom.plans import jobtables, recordings, streams
 from cliploom.plans.fixtures import Views
 
-_ALL = recordings.QUERIES | jobtables.QUERIES
+_ALL = recordings.QUERIES | jobtables.QUERIES | streams.QUERIES
 
 
 def _run(query: Callable[[Views], DataFrame], spark: SparkSession, sf_dir: str) -> DataFrame:
