@@ -7,7 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.lineage import checkpointed
+
 FINISHED = ("needs_review", "done", "canceled")
+#: Statuses at which a job has come to an end, and names of extracted audio (fixed values).
+TERMINAL = ("needs_review", "done", "failed", "canceled")
+INTERMEDIATES = ("audio.wav", "audio_hq.flac")
 
 
 def upsert_index(current: DataFrame, incoming: DataFrame, key: str, state: list[str]) -> DataFrame:
@@ -82,11 +87,28 @@ def stage_timings(stages: DataFrame) -> DataFrame:
     )
 
 
+def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with each row's place from 1 by `order`, without one task for all rows.
+
+    Rows are range-partitioned and sorted; a row's place is its place in its partition and the rows of the
+    partitions before, of which the driver sees one number a partition.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the upper bits of this id are the partition, the lower 33 count its rows in order
+    at = checkpointed(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    per = dict(at.groupBy(F.shiftright("_at", 33).cast("int").alias("p")).count().collect())
+    before = [0]
+    for p in range(max(per, default=-1) + 1):
+        before.append(before[-1] + per.get(p, 0))
+    base = F.array(*[F.lit(x).cast("long") for x in before])
+    place = F.get(base, F.shiftright("_at", 33).cast("int")) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return at.withColumn(out, place).drop("_at")
+
+
 def queue_order(queue: DataFrame) -> DataFrame:
-    """Place of each pending row, by priority, position, creation. Pending rows are few; for a long
-    queue use the columns in orderBy instead of a place."""
-    order = Window.orderBy(F.col("priority").desc(), "position", "created_at", "id")
-    return queue.filter("status = 'pending'").withColumn("place", F.row_number().over(order))
+    """Place of each pending row, by priority, position, creation; for queues of any length."""
+    return global_rank(queue.filter("status = 'pending'"), [F.col("priority").desc(), F.col("position"), F.col("created_at"), F.col("id")], "place")
 
 
 def stale_running(queue: DataFrame, cutoff: Column) -> DataFrame:
@@ -94,17 +116,23 @@ def stale_running(queue: DataFrame, cutoff: Column) -> DataFrame:
     return queue.withColumn("recovered", stale).withColumn("status", F.when(F.col("recovered"), "pending").otherwise(F.col("status")))
 
 
-def runtime_state(jobs: DataFrame, queue: DataFrame, live: DataFrame) -> DataFrame:
-    """Flags of each job from its status, its queue row (job_name, queue_status) and live workers (job_name)."""
-    j = jobs.join(queue, "job_name", "left").join(live.withColumn("_live", F.lit(True)), "job_name", "left")
-    queued = F.coalesce(F.col("queue_status").isin("pending", "running"), F.lit(False))
-    working = ~F.col("status").isin(*FINISHED, "failed", "created")
-    active = F.coalesce("_live", F.lit(False)) | queued
+def runtime_state(jobs: DataFrame, queue: DataFrame, runs: DataFrame) -> DataFrame:
+    """Flags of each job (job_name, active, stale, can_cancel, can_delete).
+
+    queue (job_name, queue_status, cancel_requested), one row a job; runs (job_name, run_id, started_at,
+    status, alive), of which the latest counts: alive says whether its worker still runs. A place in the queue
+    makes a job active whatever its status says; a run only while the job isn't finished.
+    """
+    last = runs.groupBy("job_name").agg(F.max_by(F.struct("status", "alive"), F.struct("started_at", "run_id")).alias("_run"))
+    j = jobs.join(queue, "job_name", "left").join(last, "job_name", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    terminal = yes(F.col("status").isin(*TERMINAL))
+    active = yes(F.col("queue_status").isin("pending", "paused", "running")) | (~terminal & yes((F.col("_run.status") == "running") & F.col("_run.alive")))
     return j.select(
         "job_name",
         active.alias("active"),
-        (working & ~active).alias("stale"),
-        (active & working).alias("can_cancel"),
+        (~terminal & ~active).alias("stale"),
+        (~terminal & ~yes(F.col("cancel_requested"))).alias("can_cancel"),
         (~active).alias("can_delete"),
     )
 
@@ -148,26 +176,38 @@ def clip_feedback_state(events: DataFrame, last: int = 1000) -> DataFrame:
     return f.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= last).drop("_n")
 
 
+def is_intermediate(name: Column) -> Column:
+    """Whether a file may go once the final video is there: extracted audio, and what was written under a
+    temporary name. The path before the name doesn't count, nor does case."""
+    own = F.lower(F.regexp_extract(name, r"([^/]*)$", 1))
+    return own.isin(*INTERMEDIATES) | own.endswith(".tmp") | own.endswith(".uploading") | own.contains(".tmp.")
+
+
 def retention_plan(jobs: DataFrame, files: DataFrame, cutoff: Column, mode: str = "all") -> DataFrame:
-    """What could be removed of each job, and why a job stays. A plan only; nothing is deleted."""
+    """(job_name, reason, files, bytes): what could be removed of each job, and why a job stays. A plan only;
+    nothing is deleted.
+
+    Mode `all` removes whole jobs (files is null), `intermediates` only what is_intermediate() of jobs that are
+    done and have their final.mp4. Jobs changed since the cutoff, of no status or still at work stay.
+    """
+    if mode not in ("all", "intermediates"):
+        raise ValueError(f"unknown mode {mode}")
+    status = F.lower(F.trim(F.coalesce("status", F.lit(""))))
     reason = (
         F.when(F.col("updated_at") >= cutoff, "retention_not_reached")
-        .when(~F.col("status").isin("done", "failed", "canceled", "needs_review", "transcribing", "queued"), "unknown_status")
-        .when(F.col("status").isin("transcribing", "queued"), "active_job")
-        .when(F.col("status") == "needs_review", "final_output_required")
+        .when(status == "", "unknown_status")
+        .when(~status.isin(*TERMINAL), "active_job")
     )
-    f = files.filter(F.col("name").rlike(r"(\.wav$|\.tmp$)")) if mode == "intermediates" else files
-    size = f.groupBy("job_name").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").alias("b"))
-    free = F.col("reason").isNull()
-    return (
-        jobs.withColumn("reason", reason)
-        .join(size, "job_name", "left")
-        .select(
-            "job_name",
-            "reason",
-            F.when(free, F.coalesce("n", F.lit(0))).otherwise(0).alias("candidates"),
-            F.when(free, F.coalesce("b", F.lit(0))).otherwise(0).alias("bytes"),
-        )
+    gone = is_intermediate(F.col("name")) if mode == "intermediates" else F.lit(True)
+    per = files.groupBy("job_name").agg(
+        F.count_if(gone).alias("n"), F.sum(F.when(gone, F.col("size_bytes"))).alias("b"), F.bool_or(F.col("name") == "final.mp4").alias("_final")
+    )
+    if mode == "intermediates":
+        reason = reason.when((status != "done") | ~F.coalesce("_final", F.lit(False)), "final_output_required")
+    none = F.col("reason").isNotNull()
+    many = F.coalesce("n", F.lit(0)) if mode == "intermediates" else F.lit(None).cast("bigint")
+    return jobs.join(per, "job_name", "left").withColumn("reason", reason).select(
+        "job_name", "reason", F.when(none, None).otherwise(many).alias("files"), F.when(none, None).otherwise(F.coalesce("b", F.lit(0))).alias("bytes")
     )
 
 

@@ -8,25 +8,27 @@ from pyspark.sql import functions as F
 _MS = r"([0-9]+(?:\.[0-9]+)?)"
 
 
-def _ms(line: str, pattern: str) -> Column:
-    found = F.regexp_extract(line, pattern, 1)
+def _ms(line: str, pattern: str, group: int = 1) -> Column:
+    found = F.regexp_extract(line, pattern, group)
     return F.when(found != "", F.floor(found.cast("double") * 1000 + 0.5))
 
 
 def parse_range_log(lines: DataFrame, kind: str = "silence") -> DataFrame:
-    """Ranges of a detector log: an end takes the oldest start that is still open, else end - duration.
+    """Ranges of a detector log (silence, freeze): an end takes the oldest start that is still open, else
+    end - duration. An end line without its duration is no event.
 
     A queue in window form: with S and E the starts and ends so far and U the greatest E - S so far
     (ends without a start), an end that raises U has no start, any other takes start number E - U.
     """
     order = Window.partitionBy("job_id").orderBy("line_no")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
+    ended = rf"{kind}_end:\s*{_MS}\s*\|\s*{kind}_duration:\s*{_MS}"
     marked = lines.select(
         "job_id",
         "line_no",
         _ms("line", rf"{kind}_start:\s*{_MS}").alias("s"),
-        _ms("line", rf"{kind}_end:\s*{_MS}").alias("e"),
-        _ms("line", rf"{kind}_duration:\s*{_MS}").alias("d"),
+        _ms("line", ended, 1).alias("e"),
+        _ms("line", ended, 2).alias("d"),
     ).filter("s is not null or e is not null")
     counted = (
         marked.withColumn("n_starts", F.count("s").over(run))
@@ -167,8 +169,8 @@ def classify_error(text: Column) -> Column:
 
 
 def subtitle_line_counts(lines: DataFrame) -> DataFrame:
-    """Visual lines of each Dialogue row: breaks in its tenth field and one."""
-    field = F.element_at(F.split("line", ",", 10), 10)
-    return lines.filter(F.col("line").startswith("Dialogue:")).select(
-        "job_id", "line_no", (F.regexp_count(field, F.lit(r"\\[Nn]")) + 1).alias("lines")
-    )
+    """Visual lines of each Dialogue row: breaks in its tenth field and one. The word counts in any case and
+    behind white space; rows of fewer fields are no events."""
+    fields = F.split("line", ",", 10)
+    rows = lines.filter(F.col("line").rlike(r"(?i)^\s*dialogue:") & (F.size(fields) == 10))
+    return rows.select("job_id", "line_no", (F.regexp_count(F.try_element_at(fields, F.lit(10)), F.lit(r"\\[Nn]")) + 1).alias("lines"))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.text import strip
+
 #: Longest part of each kind of platform in seconds, an example; callers give their own table.
 PRESETS = {"short": 60, "medium": 180, "long": 600}
 MAX_PARTS = 1000
@@ -83,44 +85,76 @@ def platform_checks(jobs: DataFrame, parts: DataFrame, limits: dict[str, int] =
     return j.select("job_id", "platform", F.explode(checks).alias("c")).select("job_id", "platform", "c.name", "c.ok")
 
 
+_KIT = (
+    "aspect string, subtitle_style struct<max_lines:int,max_chars_per_line:int>, cover_style struct<required:boolean>, metadata_style struct<quality_gate:struct<aspect:string,"
+    "subtitle_max_lines:int,subtitle_max_chars_per_line:int,cover_required:boolean,duration_min_seconds:double,duration_max_seconds:double,loudness_min_lufs:double,loudness_max_lufs:double>>"
+)
+
+
 def gate_policy(jobs: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """The policy of each job from its kit snapshot's JSON, with defaults."""
-    p = F.from_json("policy_json", "aspect string, max_lines int, require_cover boolean")
-    s = snapshots.select("snapshot_id", p.alias("p"))
-    return jobs.join(s, "snapshot_id", "left").select(
-        *jobs.columns,
-        F.coalesce("p.aspect", F.lit("")).alias("aspect"),
-        F.coalesce("p.max_lines", F.lit(2)).alias("max_lines"),
-        F.coalesce("p.require_cover", F.lit(True)).alias("require_cover"),
+    """The policy of each job: the gate settings of its kit snapshot's JSON, then the kit's own styles, then
+    the defaults (two lines of 18 characters, no cover, no bounds)."""
+    k = F.from_json("payload_json", _KIT)
+    own = lambda c: F.col(f"k.metadata_style.quality_gate.{c}")
+    s = snapshots.select("snapshot_id", k.alias("k")).select(
+        "snapshot_id",
+        F.coalesce(own("aspect"), "k.aspect").alias("aspect"),
+        F.coalesce(own("subtitle_max_lines"), "k.subtitle_style.max_lines").alias("max_lines"),
+        F.coalesce(own("subtitle_max_chars_per_line"), "k.subtitle_style.max_chars_per_line").alias("max_chars"),
+        F.coalesce(own("cover_required"), "k.cover_style.required").alias("cover_required"),
+        *[own(c).alias(c) for c in ("duration_min_seconds", "duration_max_seconds", "loudness_min_lufs", "loudness_max_lufs")],
+    )
+    return jobs.join(s, "snapshot_id", "left").withColumns(
+        {
+            "aspect": F.trim(F.coalesce("aspect", F.lit(""))),
+            # no limit, or zero, means two
+            "max_lines": F.greatest(F.lit(1), F.coalesce(F.nullif("max_lines", F.lit(0)), F.lit(2))),
+            "max_chars": F.coalesce("max_chars", F.lit(18)),
+            "cover_required": F.coalesce("cover_required", F.lit(False)),
+        }
     )
 
 
 def quality_gate(jobs: DataFrame) -> DataFrame:
-    """(job_id, code, blocking): what stands against a job, and `passed`.
+    """(job_id, blocking, advisory, status): the codes of what stands against a job, in the order of the checks.
 
-    jobs (job_id, width, height, aspect, lines, max_lines, cover, require_cover, loudness, low, high,
-    refined): measured values beside the policy; a missing measure is advice, a wrong one blocks.
+    jobs: gate_policy() columns beside measured values: refinement (status of the clip refinement, null if there
+    was none), render_bytes (null if there is no video), duration_seconds, width, height, lines (most lines of a rendered
+    subtitle, null if none was rendered), segments (number in the transcript), cover, loudness. An unknown
+    measure blocks where the check needs it (duration, aspect) and is advice for subtitles and loudness;
+    a loudness bound counts alone, and without any nothing is asked.
     """
-    ratio = F.split("aspect", ":")
-    want = ratio[0].try_cast("double") / F.try_element_at(ratio, F.lit(2)).try_cast("double")
-    off = F.abs(F.col("width") / F.col("height") - want) > 0.03 * want
-    issue = lambda c, code, blocking: F.when(c, F.struct(F.lit(code).alias("code"), F.lit(blocking).alias("blocking")))
-    issues = F.array_compact(
-        F.array(
-            issue(~F.coalesce("refined", F.lit(True)), "refinement", True),
-            issue(F.col("width").isNull(), "render_missing", True),
-            issue(off, "aspect_ratio", True),
-            issue(F.col("lines") > F.col("max_lines"), "subtitle_overflow", True),
-            issue(F.col("require_cover") & ~F.coalesce("cover", F.lit(False)), "cover_missing", True),
-            issue(F.col("loudness").isNull(), "audio_loudness_unknown", False),
-            issue(~F.col("loudness").between(F.col("low"), F.col("high")), "audio_loudness", True),
-        )
+    ratio = F.split("aspect", ":", 2)
+    want = F.try_divide(ratio[0].try_cast("double"), F.try_element_at(ratio, F.lit(2)).try_cast("double"))
+    seen = F.when((F.col("width") > 0) & (F.col("height") > 0), F.col("width") / F.col("height"))
+    near = F.coalesce((want != 0) & (F.try_divide(F.abs(seen - want), want) <= 0.03), F.lit(False))
+    duration = F.coalesce("duration_seconds", F.lit(0.0))
+    bound = lambda c: F.nullif(c, F.lit(0.0))
+    low, high, loud = (F.col(c) for c in ("loudness_min_lufs", "loudness_max_lufs", "loudness"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    # false | null is null, so each half counts alone
+    wrong = yes(loud < low) | yes(loud > high)
+    over = yes(F.col("lines") > F.col("max_lines"))
+
+    def codes(*checks):
+        return F.array_compact(F.array(*[F.when(c, code) for code, c in checks]))
+
+    blocking = codes(
+        ("clip_refinement_required", F.col("refinement").isNotNull() & (F.col("refinement") != "accepted")),
+        ("render_missing", F.coalesce("render_bytes", F.lit(0)) < 1),
+        ("duration_invalid", duration <= 0),
+        ("duration_limit", (duration > 0) & (yes(duration < bound("duration_min_seconds")) | yes(duration > bound("duration_max_seconds")))),
+        ("aspect_ratio", (F.col("aspect") != "") & ~near),
+        ("subtitle_overflow", over),
+        ("cover_missing", F.col("cover_required") & ~yes(F.col("cover"))),
+        ("audio_loudness", wrong),
     )
-    return jobs.select("job_id", issues.alias("issues")).select(
-        "job_id",
-        F.transform("issues", lambda x: x["code"]).alias("codes"),
-        F.when(F.exists("issues", lambda x: x["blocking"]), "blocked").when(F.size("issues") > 0, "advisory").otherwise("passed").alias("status"),
+    advisory = codes(
+        ("subtitles_unverified", F.col("lines").isNull() & (F.coalesce("segments", F.lit(0)) > 0)),
+        ("audio_loudness_missing", (low.isNotNull() | high.isNotNull()) & loud.isNull()),
     )
+    status = F.when(F.size("blocking") > 0, "blocked").when(F.size("advisory") > 0, "advisory").otherwise("passed")
+    return jobs.select("job_id", blocking.alias("blocking"), advisory.alias("advisory")).withColumn("status", status)
 
 
 def vertical_crop_plan(frames: DataFrame, anchor: float = 0.5) -> DataFrame:
@@ -138,11 +172,31 @@ def publish_queue(jobs: DataFrame, packages: DataFrame) -> DataFrame:
     return jobs.join(packages.select("job_name").distinct(), "job_name", "left_semi").orderBy(F.col("updated_at").desc(), "job_name")
 
 
-def metadata_preview(metadata: DataFrame) -> DataFrame:
-    """(job_id, titles, cover_title, descriptions, tags) cut to what a form shows."""
-    title = F.coalesce(F.try_element_at(F.filter("titles", lambda x: F.trim(x) != ""), F.lit(1)), "cover_title", F.lit(""))
-    short = F.when(F.length(title) > 80, F.concat(F.substring(title, 1, 79), F.lit("…"))).otherwise(title)
-    tags = F.slice(F.array_distinct(F.filter(F.transform("tags", lambda x: F.trim(x)), lambda x: x != "")), 1, 12)
+#: The longest title of the one platform that takes fewer characters (fixed values).
+TITLE_LENGTHS = {"douyin": 55}
+
+
+def metadata_preview(metadata: DataFrame, title_length: int = 80) -> DataFrame:
+    """(job_id, platform, title, description, tags, hashtags, notes): what a form shows.
+
+    metadata (job_id, platform, titles, cover_titles, descriptions, tags, hashtags, platform_notes: arrays).
+    Blank items don't count; the first title, else the first cover title, is cut with an ellipsis; twelve
+    tags and hashtags, eight notes; a hashtag gets its sign unless it has one.
+    """
+    said = lambda c: F.filter(F.transform(c, lambda x: strip(x)), lambda x: x != "")
+    first = lambda c: F.get(said(c), F.lit(0))
+    longest = F.lit(title_length)
+    for platform, n in TITLE_LENGTHS.items():
+        longest = F.when(F.col("platform") == platform, n).otherwise(longest)
+    title = F.coalesce(first("titles"), first("cover_titles"), F.lit(""))
+    cut = F.concat(F.regexp_replace(F.substring(title, F.lit(1), longest - 1), r"\s+$", ""), F.lit("…"))
+    upto = lambda c, n: F.coalesce(F.slice(said(c), 1, n), F.array().cast("array<string>"))
     return metadata.select(
-        "job_id", short.alias("title"), F.coalesce(F.try_element_at("descriptions", F.lit(1)), F.lit("")).alias("description"), F.array_join(F.transform(tags, lambda x: F.concat(F.lit("#"), x)), " ").alias("hashtags")
+        "job_id",
+        "platform",
+        F.when(F.length(title) <= longest, title).otherwise(cut).alias("title"),
+        F.coalesce(first("descriptions"), F.lit("")).alias("description"),
+        upto("tags", 12).alias("tags"),
+        F.transform(upto("hashtags", 12), lambda x: F.when(x.startswith("#"), x).otherwise(F.concat(F.lit("#"), x))).alias("hashtags"),
+        upto("platform_notes", 8).alias("notes"),
     )

@@ -30,6 +30,7 @@ def s5_documents(v: Views) -> DataFrame:
     return subtitles.subtitle_documents(s, "srt")
 
 
+_TRIM = "' ' || chr(9) || chr(13) || chr(10)"
 #: Written from the rules: the first forty lines decide, then the return code.
 P3_SQL = (
     "SELECT job_id, CASE WHEN rc IS NULL THEN 'timeout' WHEN coalesce(bad, false) THEN 'corrupt' WHEN rc = 0 THEN 'ok' ELSE 'failed' END AS status, coalesce(n, 0) AS error_count, coalesce(n, 0) >= 40 AS truncated, done AS completed_ms FROM"
@@ -97,32 +98,67 @@ def g3_checks(v: Views) -> DataFrame:
     return platform.platform_checks(jobs, parts)
 
 
+#: Kits of the three snapshots; the third is no JSON.
+KITS = (
+    '{"aspect": "9:16", "subtitle_style": {"max_lines": 3}, "cover_style": {"required": true}, "metadata_style": {"quality_gate": {"subtitle_max_lines": 2, "duration_min_seconds": 5, "duration_max_seconds": 40, "loudness_min_lufs": -20, "loudness_max_lufs": -10}}}',
+    '{"aspect": "16:9", "subtitle_style": {"max_lines": 1}, "metadata_style": {"quality_gate": {"cover_required": true, "loudness_max_lufs": -15}}}',
+    "none",
+)
+
+
 def _gate_jobs(v: Views) -> DataFrame:
-    p = v.table("part")
-    jobs = p.select(
+    size = F.col("p_size")
+    jobs = v.table("part").select(
         F.col("p_partkey").alias("job_id"),
-        F.concat(F.lit("s"), F.col("p_partkey") % 3).alias("snapshot_id"),
-        F.when(F.col("p_size") % 11 != 0, F.when(F.col("p_size") % 2 == 0, 1080).otherwise(1920)).alias("width"),
-        F.when(F.col("p_size") % 2 == 0, 1920).otherwise(1080).alias("height"),
-        (F.col("p_size") % 4).alias("lines"),
-        (F.col("p_size") % 5 != 0).alias("cover"),
-        F.when(F.col("p_size") % 7 != 0, -(F.col("p_size") % 30).cast("double")).alias("loudness"),
-        F.lit(-20.0).alias("low"),
-        F.lit(-10.0).alias("high"),
-        (F.col("p_size") % 13 != 0).alias("refined"),
+        F.concat(F.lit("s"), F.col("p_partkey") % 4).alias("snapshot_id"),
+        F.when(size % 13 < 12, F.when(size % 13 == 0, "needs_review").otherwise("accepted")).alias("refinement"),
+        F.when(size % 17 != 0, size - 1).alias("render_bytes"),
+        F.when(size % 19 != 0, size.cast("double")).alias("duration_seconds"),
+        F.when(size % 11 != 0, F.when(size % 2 == 0, 1080).otherwise(1920)).alias("width"),
+        F.when(size % 23 != 0, F.when(size % 2 == 0, 1920).otherwise(1080)).otherwise(0).alias("height"),
+        F.when(size % 4 > 0, size % 4).alias("lines"),
+        (size % 3).alias("segments"),
+        (size % 5 != 0).alias("cover"),
+        F.when(size % 7 != 0, -(size % 30).cast("double")).alias("loudness"),
     )
-    kits = v.spark.range(2).select(F.concat(F.lit("s"), "id").alias("snapshot_id"), F.when(F.col("id") == 0, '{"aspect": "9:16", "max_lines": 2, "require_cover": true}').otherwise('{"aspect": "16:9"}').alias("policy_json"))
+    kits = v.spark.createDataFrame([(f"s{i}", k) for i, k in enumerate(KITS)], "snapshot_id string, payload_json string")
     return platform.gate_policy(jobs, kits)
 
 
 def g6_gate(v: Views) -> DataFrame:
-    return platform.quality_gate(_gate_jobs(v)).select("job_id", F.array_join("codes", ",").alias("codes"), "status")
+    return platform.quality_gate(_gate_jobs(v)).select("job_id", F.array_join("blocking", ",").alias("blocking"), F.array_join("advisory", ",").alias("advisory"), "status")
+
+
+#: The kits as a table of policies, and the checks one after another over them.
+_POLICIES = "pol(s, aspect, max_lines, cover_required, dmin, dmax, lmin, lmax) AS (VALUES (0, '9:16', 2, true, 5.0, 40.0, -20.0, -10.0), (1, '16:9', 1, true, NULL, NULL, NULL, -15.0), (2, '', 2, false, NULL, NULL, NULL, NULL), (3, '', 2, false, NULL, NULL, NULL, NULL))"
+G6_SQL = (
+    f"WITH {_POLICIES}, j AS (SELECT p_partkey AS job_id, p_size AS z, p_partkey % 4 AS s, CASE WHEN p_size % 2 = 0 THEN 0.5625 ELSE 1.7777 END AS shape, CASE WHEN p_size % 7 <> 0 THEN -(p_size % 30) END AS loud FROM part), m AS (SELECT * FROM j JOIN pol USING (s)),"
+    " found AS (SELECT job_id, 1 AS nth, true AS stops, 'clip_refinement_required' AS code FROM m WHERE z % 13 = 0 UNION ALL SELECT job_id, 2, true, 'render_missing' FROM m WHERE z % 17 = 0 OR z = 1"
+    " UNION ALL SELECT job_id, 3, true, 'duration_invalid' FROM m WHERE z % 19 = 0 UNION ALL SELECT job_id, 4, true, 'duration_limit' FROM m WHERE z % 19 <> 0 AND (z < dmin OR z > dmax)"
+    " UNION ALL SELECT job_id, 5, true, 'aspect_ratio' FROM m WHERE aspect <> '' AND (z % 11 = 0 OR z % 23 = 0 OR (aspect = '9:16') <> (shape < 1))"
+    " UNION ALL SELECT job_id, 6, true, 'subtitle_overflow' FROM m WHERE z % 4 > max_lines UNION ALL SELECT job_id, 7, true, 'cover_missing' FROM m WHERE cover_required AND z % 5 = 0"
+    " UNION ALL SELECT job_id, 8, true, 'audio_loudness' FROM m WHERE loud < lmin OR loud > lmax UNION ALL SELECT job_id, 9, false, 'subtitles_unverified' FROM m WHERE z % 4 = 0 AND z % 3 > 0"
+    " UNION ALL SELECT job_id, 10, false, 'audio_loudness_missing' FROM m WHERE loud IS NULL AND (lmin IS NOT NULL OR lmax IS NOT NULL))"
+    " SELECT j.job_id, coalesce(string_agg(code, ',' ORDER BY nth) FILTER (stops), '') AS blocking, coalesce(string_agg(code, ',' ORDER BY nth) FILTER (NOT stops), '') AS advisory,"
+    " CASE WHEN bool_or(stops) THEN 'blocked' WHEN count(code) > 0 THEN 'advisory' ELSE 'passed' END AS status FROM j LEFT JOIN found USING (job_id) GROUP BY j.job_id"
+)
 
 
 def p1_log(v: Views) -> DataFrame:
     return logs.parse_range_log(v.log_lines(), "silence").select("job_id", "start_ms", "end_ms")
 
 
+def p1_freeze(v: Views) -> DataFrame:
+    """Freezes printed and read again: every third has no start line, every fifth no duration."""
+    e = v.events().filter("event_type in ('view', 'click')")
+    sec = lambda c: F.format_string("%d.%03d", (c / 1000).cast("long"), c % 1000)
+    end = F.col("start_ms") + F.col("len_ms")
+    said = F.concat(F.lit("lavfi.freezedetect.freeze_end: "), sec(end), F.when(F.col("event_id") % 5 > 0, F.concat(F.lit(" | freeze_duration: "), sec(F.col("len_ms")))).otherwise(""))
+    lines = F.array_compact(F.array(F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("freeze_start: "), sec(F.col("start_ms")))), said))
+    each = e.select("job_id", "event_id", F.posexplode(lines).alias("k", "line"))
+    return logs.parse_range_log(each.select("job_id", (F.col("event_id") * 2 + F.col("k")).alias("line_no"), "line"), "freeze").select("job_id", "start_ms", "end_ms")
+
+
 def p2_scenes(v: Views) -> DataFrame:
     e = v.events().filter("event_type = 'click'")
     line = F.format_string("[showinfo] n: %d pts_time:%d.%03d", "event_id", (F.col("start_ms") / 1000).cast("long"), F.col("start_ms") % 1000)
@@ -156,9 +192,11 @@ def p6_crop(v: Views) -> DataFrame:
 
 
 def p8_lines(v: Views) -> DataFrame:
+    """Every third row is indented and in lower case, every seventh short of a field, every eleventh another kind."""
     c = v.chat_segments()
-    line = F.concat(F.lit("Dialogue: 0,a,b,c,,0,0,0,,"), F.replace("text", F.lit("\n"), F.lit("\\N")))
-    return logs.subtitle_line_counts(c.select("job_id", F.col("seg_idx").alias("line_no"), line.alias("line")))
+    head = F.when(F.col("seg_idx") % 11 == 10, "Comment").when(F.col("seg_idx") % 3 == 0, "\t dialogue").otherwise("Dialogue")
+    rest = F.when(F.col("seg_idx") % 7 == 6, ": 0,a,b,c,,0,0,0").otherwise(F.concat(F.lit(": 0,a,b,c,,0,0,0,,"), F.replace("text", F.lit("\n"), F.lit("\\N")), F.lit("\\n,")))
+    return logs.subtitle_line_counts(c.select("job_id", F.col("seg_idx").alias("line_no"), F.concat(head, rest).alias("line")))
 
 
 def l1_upsert(v: Views) -> DataFrame:
@@ -189,12 +227,44 @@ def l12_stale(v: Views) -> DataFrame:
 
 def l13_runtime(v: Views) -> DataFrame:
     j = v.jobs()
-    q = j.filter("batch_id % 3 = 0").select("job_name", F.when(F.col("batch_id") % 2 == 0, "running").otherwise("done").alias("queue_status"))
-    return library.runtime_state(j.select("job_name", "status"), q, j.filter("batch_id % 7 = 0").select("job_name"))
+    q = j.filter("batch_id % 3 = 0").select("job_name", F.element_at(F.array(*[F.lit(x) for x in ("pending", "paused", "running", "done")]), (F.col("batch_id") % 4 + 1).cast("int")).alias("queue_status"), (F.col("batch_id") % 5 == 0).alias("cancel_requested"))
+    # two runs a job, the later of which counts
+    runs = j.select("job_name", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("run_id"), "updated_at", "state_version", "batch_id").select(
+        "job_name", "run_id", F.lit(0).alias("started_at"), F.when((F.col("state_version") + F.col("run_id")) % 2 == 0, "running").otherwise("complete").alias("status"), (F.col("batch_id") % 7 < 4).alias("alive")
+    )
+    return library.runtime_state(j.select("job_name", "status"), q, runs)
+
+
+#: Files of a job, the i-th where bit i of p_size is set.
+KEPT_NAMES = ("final.mp4", "audio.wav", "deep/audio_hq.flac", "song.wav", "p.TMP.mp4", "x.uploading")
+
+
+def _job_files(v: Views) -> DataFrame:
+    names = F.array(*[F.when(F.col("p_size").bitwiseAND(F.lit(1 << i)) != 0, n) for i, n in enumerate(KEPT_NAMES)])
+    p = v.table("part").select(F.concat(F.lit("job-"), F.col("p_partkey") % 400).alias("job_name"), F.explode(F.array_compact(names)).alias("name"), (F.col("p_size") * 1000).cast("long").alias("size_bytes"))
+    return p
+
+
+def _old_jobs(v: Views) -> DataFrame:
+    """Every eleventh job has no status, every thirteenth is done in capitals."""
+    j = v.jobs()
+    return j.withColumn("status", F.when(F.col("batch_id") % 11 == 0, " ").when(F.col("batch_id") % 13 == 0, " Done ").otherwise(F.col("status")))
 
 
 def l16_retention(v: Views) -> DataFrame:
-    return library.retention_plan(v.jobs(), v.files(), F.expr("TIMESTAMP_NTZ'1996-01-01 00:00:00'"), "intermediates")
+    return library.retention_plan(_old_jobs(v), _job_files(v), F.expr("TIMESTAMP_NTZ'1996-01-01 00:00:00'"), "intermediates")
+
+
+def l16_retention_all(v: Views) -> DataFrame:
+    return library.retention_plan(_old_jobs(v), _job_files(v), F.expr("TIMESTAMP_NTZ'1996-01-01 00:00:00'"))
+
+
+def _l16_sql(reasons: str, which: str, files: str) -> str:
+    return sql(
+        f"SELECT job_name, reason, CASE WHEN reason IS NULL THEN {files} END AS files, CASE WHEN reason IS NULL THEN coalesce(b, 0) END AS bytes FROM (SELECT job_name, b, n, CASE WHEN updated_at >= TIMESTAMP '1996-01-01' THEN 'retention_not_reached'"
+        f" WHEN batch_id % 11 = 0 THEN 'unknown_status' WHEN batch_id % 13 <> 0 AND status = 'transcribing' THEN 'active_job' {reasons} END AS reason FROM jobs LEFT JOIN"
+        f" (SELECT 'job-' || p_partkey % 400 AS job_name, count(*) FILTER ({which}) AS n, CAST(sum(p_size * 1000) FILTER ({which}) AS BIGINT) AS b, bool_or(i = 0) AS final FROM part, range(6) t(i) WHERE (p_size >> i) & 1 = 1 GROUP BY 1) USING (job_name))"
+    )
 
 
 def l18_dashboard(v: Views) -> DataFrame:
@@ -269,12 +339,16 @@ def u6_units(v: Views) -> DataFrame:
 def g4_preview(v: Views) -> DataFrame:
     d = v.table("documents").select(
         F.col("doc_id").alias("job_id"),
-        F.array(F.lit(" "), "text").alias("titles"),
-        F.lit("cover").alias("cover_title"),
-        F.array("source").alias("descriptions"),
+        F.element_at(F.array(F.lit("douyin"), F.lit("bilibili")), (F.col("doc_id") % 2 + 1).cast("int")).alias("platform"),
+        F.when(F.col("doc_id") % 10 > 0, F.array(F.lit(" "), F.concat(F.lit("\n "), "text"))).alias("titles"),
+        F.array(F.lit("cover ")).alias("cover_titles"),
+        F.array(F.lit(""), F.concat(F.lit(" "), "source")).alias("descriptions"),
         F.array("lang", F.lit(""), "source", "lang").alias("tags"),
+        F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 20 + 1).cast("int")), lambda i: F.concat(F.when(i % 2 == 0, "#").otherwise(" "), i.cast("string"))).alias("hashtags"),
+        F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 11 + 1).cast("int")), lambda i: F.concat(F.lit("note "), i)).alias("platform_notes"),
     )
-    return platform.metadata_preview(d)
+    r = platform.metadata_preview(d)
+    return r.select("job_id", "platform", "title", "description", *[F.array_join(c, "|").alias(c) for c in ("tags", "hashtags", "notes")])
 
 
 def s7_bundle(v: Views) -> DataFrame:
@@ -371,15 +445,10 @@ QUERIES = {
         sql("SELECT job_id, platform, name, CASE name WHEN 'duration' THEN 720000 <= lim WHEN 'segments' THEN coalesce((SELECT max(30 * len_ms) FROM ev WHERE ev.job_id = durations.job_id AND event_id % 3 = k), 0) <= lim WHEN 'title' THEN job_id % 4 <> 0 ELSE job_id % 3 = 0 END AS ok FROM durations, (VALUES ('short', 60000, 0), ('medium', 180000, 1), ('long', 600000, 2)) p(platform, lim, k), (VALUES ('duration'), ('segments'), ('title'), ('cover')) n(name)"),
     ),
     "g5_gate_policy": (
-        lambda v: _gate_jobs(v).select("job_id", "aspect", "max_lines", "require_cover"),
-        "SELECT p_partkey AS job_id, CASE p_partkey % 3 WHEN 0 THEN '9:16' WHEN 1 THEN '16:9' ELSE '' END AS aspect, 2 AS max_lines, true AS require_cover FROM part",
-    ),
-    "g6_quality_gate": (
-        g6_gate,
-        "SELECT job_id, codes, CASE WHEN codes IN ('', 'audio_loudness_unknown') THEN CASE WHEN codes = '' THEN 'passed' ELSE 'advisory' END ELSE 'blocked' END AS status FROM (SELECT p_partkey AS job_id, concat_ws(',', CASE WHEN p_size % 13 = 0 THEN 'refinement' END, CASE WHEN p_size % 11 = 0 THEN 'render_missing' END,"
-        " CASE WHEN p_size % 11 <> 0 AND ((p_partkey % 3 = 0 AND p_size % 2 = 1) OR (p_partkey % 3 = 1 AND p_size % 2 = 0)) THEN 'aspect_ratio' END, CASE WHEN p_size % 4 > 2 THEN 'subtitle_overflow' END, CASE WHEN p_size % 5 = 0 THEN 'cover_missing' END,"
-        " CASE WHEN p_size % 7 = 0 THEN 'audio_loudness_unknown' END, CASE WHEN p_size % 7 <> 0 AND NOT (p_size % 30 BETWEEN 10 AND 20) THEN 'audio_loudness' END) AS codes FROM part)",
+        lambda v: _gate_jobs(v).select("job_id", "aspect", "max_lines", "max_chars", "cover_required", "duration_min_seconds", "duration_max_seconds", "loudness_min_lufs", "loudness_max_lufs"),
+        f"WITH {_POLICIES} SELECT p_partkey AS job_id, aspect, CAST(max_lines AS INTEGER) AS max_lines, 18 AS max_chars, cover_required, CAST(dmin AS DOUBLE) AS duration_min_seconds, CAST(dmax AS DOUBLE) AS duration_max_seconds, CAST(lmin AS DOUBLE) AS loudness_min_lufs, CAST(lmax AS DOUBLE) AS loudness_max_lufs FROM part JOIN pol ON s = p_partkey % 4",
     ),
+    "g6_quality_gate": (g6_gate, G6_SQL),
     "g7_vertical_crop": (
         lambda v: platform.vertical_crop_plan(v.table("part").select(F.col("p_partkey").alias("job_id"), (F.col("p_size") * 40 + 200).alias("width"), F.lit(1080).alias("height"))),
         "SELECT job_id, w AS crop_w, h AS crop_h, CAST(least(greatest(round_even(width * 0.5 - w / 2.0, 0), 0), width - w) AS INTEGER) AS crop_x, CAST(least(greatest(round_even(540 - h / 2.0, 0), 0), 1080 - h) AS INTEGER) AS crop_y FROM (SELECT p_partkey AS job_id, p_size * 40 + 200 AS width, CAST(least(p_size * 40 + 200, round_even(1080 * 9 / 16.0, 0)) AS INTEGER) AS w, CAST(least(1080, round_even((p_size * 40 + 200) * 16 / 9.0, 0)) AS INTEGER) AS h FROM part)",
@@ -396,6 +465,16 @@ QUERIES = {
             " SELECT w.job_id, coalesce(st_ms, greatest(0, w.ms - w.len)) AS start_ms, w.ms AS end_ms FROM w LEFT JOIN st ON st.job_id = w.job_id AND w.u = w.u0 AND st.s_no = w.e_no - w.u WHERE NOT w.opens"
         ).replace("\nWITH c AS", ",\nc AS"),
     ),
+    "p1_freeze_log": (
+        p1_freeze,
+        sql(
+            "WITH RECURSIVE q AS (SELECT job_id, start_ms, len_ms, event_id, row_number() OVER (PARTITION BY job_id ORDER BY event_id) AS i FROM ev WHERE event_type IN ('view', 'click')),"
+            " fold AS (SELECT job_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS waiting, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS z FROM (SELECT DISTINCT job_id FROM q) UNION ALL"
+            " SELECT job_id, i, CASE WHEN ends THEN w[2:] ELSE w END, CASE WHEN ends THEN coalesce(w[1], greatest(0, start_ms)) END, CASE WHEN ends THEN start_ms + len_ms END FROM"
+            " (SELECT q.*, q.event_id % 5 > 0 AS ends, CASE WHEN q.event_id % 3 > 0 THEN list_append(f.waiting, q.start_ms) ELSE f.waiting END AS w FROM fold f JOIN q ON q.job_id = f.job_id AND q.i = f.i + 1))"
+            " SELECT job_id, a AS start_ms, z AS end_ms FROM fold WHERE z IS NOT NULL"
+        ).replace("\nWITH RECURSIVE q AS", ",\nq AS").replace("WITH ", "WITH RECURSIVE ", 1),
+    ),
     "p2_scene_log": (p2_scenes, sql("SELECT DISTINCT job_id, time_ms, CAST(NULL AS VARCHAR) AS error FROM scenes")),
     "p3_integrity_status": (
         p3_integrity,
@@ -430,7 +509,7 @@ QUERIES = {
     ),
     "p8_subtitle_line_counts": (
         p8_lines,
-        sql("SELECT job_id, seg_idx AS line_no, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS lines FROM chat"),
+        sql("SELECT job_id, seg_idx AS line_no, CAST(len(string_split(text, chr(10))) + 1 AS INTEGER) AS lines FROM chat WHERE seg_idx % 11 <> 10 AND seg_idx % 7 <> 6"),
     ),
     "l1_upsert_index": (
         l1_upsert,
@@ -468,7 +547,7 @@ QUERIES = {
     ),
     "l11_queue_order": (
         l11_queue,
-        "SELECT s_suppkey AS id, CAST(row_number() OVER (ORDER BY s_nationkey % 3 DESC, s_nationkey, s_acctbal, s_suppkey) AS INTEGER) AS place FROM supplier WHERE s_suppkey % 4 <> 0",
+        "SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_nationkey % 3 DESC, s_nationkey, s_acctbal, s_suppkey) AS place FROM supplier WHERE s_suppkey % 4 <> 0",
     ),
     "l12_stale_running": (
         l12_stale,
@@ -476,7 +555,9 @@ QUERIES = {
     ),
     "l13_runtime_state": (
         l13_runtime,
-        sql("SELECT job_name, active, w AND NOT active AS stale, active AND w AS can_cancel, NOT active AS can_delete FROM (SELECT job_name, batch_id % 7 = 0 OR (batch_id % 3 = 0 AND batch_id % 2 = 0) AS active, status = 'transcribing' AS w FROM jobs)"),
+        sql(
+            "SELECT job_name, active, NOT ended AND NOT active AS stale, NOT ended AND NOT (batch_id % 3 = 0 AND batch_id % 5 = 0) AS can_cancel, NOT active AS can_delete FROM (SELECT *, (batch_id % 3 = 0 AND batch_id % 4 < 3) OR (NOT ended AND state_version % 2 = 1 AND batch_id % 7 < 4) AS active FROM (SELECT *, status <> 'transcribing' AS ended FROM jobs))"
+        ),
     ),
     "l14_preference_summary": (
         lambda v: library.preference_summary(v.preference_events()),
@@ -492,11 +573,9 @@ QUERIES = {
     ),
     "l16_retention_plan": (
         l16_retention,
-        sql(
-            "SELECT job_name, reason, CASE WHEN reason IS NULL THEN coalesce(n, 0) ELSE 0 END AS candidates, CASE WHEN reason IS NULL THEN coalesce(b, 0) ELSE 0 END AS bytes FROM (SELECT job_name, CASE WHEN updated_at >= TIMESTAMP '1996-01-01' THEN 'retention_not_reached' WHEN status = 'transcribing' THEN 'active_job' WHEN status = 'needs_review' THEN 'final_output_required' END AS reason FROM jobs)"
-            " LEFT JOIN (SELECT job_name, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS b FROM files WHERE name IN ('audio_16k.wav', 'render.tmp') GROUP BY 1) USING (job_name)"
-        ),
+        _l16_sql("WHEN NOT (batch_id % 13 = 0 OR status = 'done') OR NOT coalesce(final, false) THEN 'final_output_required'", "i IN (1, 2, 4, 5)", "coalesce(n, 0)"),
     ),
+    "l16_retention_all": (l16_retention_all, _l16_sql("", "true", "CAST(NULL AS BIGINT)")),
     "l17_artifact_inventory": (
         lambda v: library.artifact_inventory(v.files()),
         sql("SELECT job_name, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, max(modified_at) AS newest FROM files GROUP BY 1"),
@@ -541,7 +620,9 @@ QUERIES = {
     ),
     "g4_metadata_preview": (
         g4_preview,
-        "SELECT doc_id AS job_id, CASE WHEN trim(text) = '' THEN 'cover' WHEN length(text) > 80 THEN substring(text, 1, 79) || '…' ELSE text END AS title, source AS description, '#' || lang || ' #' || source AS hashtags FROM documents",
+        f"SELECT doc_id AS job_id, platform, CASE WHEN length(t) <= most THEN t ELSE rtrim(substring(t, 1, most - 1), {_TRIM}) || '…' END AS title, source AS description, lang || '|' || source || '|' || lang AS tags,"
+        " (SELECT string_agg('#' || i, '|' ORDER BY i) FROM range(1, least(13, doc_id % 20 + 2)) h(i)) AS hashtags, (SELECT string_agg('note ' || i, '|' ORDER BY i) FROM range(1, least(9, doc_id % 11 + 2)) h(i)) AS notes FROM"
+        f" (SELECT *, CASE doc_id % 2 WHEN 0 THEN 'douyin' ELSE 'bilibili' END AS platform, CASE doc_id % 2 WHEN 0 THEN 55 ELSE 80 END AS most, CASE WHEN doc_id % 10 > 0 AND trim(text, {_TRIM}) <> '' THEN trim(text, {_TRIM}) ELSE 'cover' END AS t FROM documents)",
     ),
     "s7_project_bundle": (
         s7_bundle,
