@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import sys
 import unicodedata
 from functools import reduce
@@ -50,7 +51,8 @@ def truncate_text(c: Column, n: int) -> Column:
 
 
 def visual_width(c: Column) -> Column:
-    return F.length(c) + F.regexp_count(c, F.lit(WIDE))
+    """Two units for a wide character, one for others; texts of one byte a character aren't searched."""
+    return F.when(F.octet_length(c) == F.length(c), F.length(c)).otherwise(F.length(c) + F.regexp_count(c, F.lit(WIDE)))
 
 
 def srt_time(ms: Column) -> Column:
@@ -71,14 +73,17 @@ def escape_ass(c: Column) -> Column:
     return c
 
 
+#: Between two of these characters joined words keep a blank (fixed values).
+SPACED = frozenset(string.ascii_letters + string.digits + "'\"")
+
+
 def join_words(words: Column) -> Column:
-    """Words as one text, with a blank only between two ASCII letters, digits or quotes."""
-    tight = r"[A-Za-z0-9'\"]$"
-    head = r"^[A-Za-z0-9'\"]"
+    """Words as one text, with a blank only between two characters of SPACED."""
+    spaced = "[" + "".join(sorted(SPACED)) + "]"
     return F.aggregate(
         words,
         F.lit(""),
-        lambda acc, w: F.when(acc.rlike(tight) & w.rlike(head), F.concat(acc, F.lit(" "), w)).otherwise(F.concat(acc, w)),
+        lambda acc, w: F.when(acc.rlike(f"{spaced}$") & w.rlike(f"^{spaced}"), F.concat(acc, F.lit(" "), w)).otherwise(F.concat(acc, w)),
     )
 
 

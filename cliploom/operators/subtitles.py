@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.functions.folds import running
-from cliploom.functions.text import ass_time, char_width, escape_ass, srt_time, strip, visual_width
+from cliploom.functions.text import ass_time, char_width, escape_ass, srt_time, strip
 from cliploom.operators.intervals import overlap_join
 
 BREAKS = "，。！？；、,.!?;: "
@@ -22,15 +22,16 @@ def kept_timeline(clips: DataFrame) -> DataFrame:
     )
 
 
-def remap_segments(segments: DataFrame, timeline: DataFrame) -> DataFrame:
+def remap_segments(segments: DataFrame, timeline: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Segments on the edited timeline: each overlap with a clip, shifted; jobs without clips unchanged.
+    Columns of segments named in keep come along.
 
     timeline may have subtitle_override (text): such a clip gives one row with it (none if blank).
     """
     t = timeline.select("job_id", "idx", "start_ms", "end_ms", "offset_ms", *(["subtitle_override"] if "subtitle_override" in timeline.columns else []))
     if "subtitle_override" not in t.columns:
         t = t.withColumn("subtitle_override", F.lit(None).cast("string"))
-    s = segments.select("job_id", "seg_idx", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "text")
+    s = segments.select("job_id", "seg_idx", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "text", *keep)
     shift = F.col("offset_ms") - F.col("start_ms")
     cut = overlap_join(t.filter("subtitle_override is null"), s).select(
         "job_id",
@@ -39,6 +40,7 @@ def remap_segments(segments: DataFrame, timeline: DataFrame) -> DataFrame:
         (F.greatest("start_ms", "r_start") + shift).alias("out_start"),
         (F.least("end_ms", "r_end") + shift).alias("out_end"),
         "text",
+        *keep,
     )
     own = t.filter(strip(F.col("subtitle_override")) != "").select(
         "job_id",
@@ -47,9 +49,10 @@ def remap_segments(segments: DataFrame, timeline: DataFrame) -> DataFrame:
         F.col("offset_ms").alias("out_start"),
         (F.col("offset_ms") + F.col("end_ms") - F.col("start_ms")).alias("out_end"),
         strip(F.col("subtitle_override")).alias("text"),
+        *[F.lit(None).cast(segments.schema[c].dataType).alias(c) for c in keep],
     )
     rest = s.join(t.select("job_id").distinct(), "job_id", "left_anti").select(
-        "job_id", F.lit(None).cast("int").alias("idx"), "seg_idx", F.col("r_start").alias("out_start"), F.col("r_end").alias("out_end"), "text"
+        "job_id", F.lit(None).cast("int").alias("idx"), "seg_idx", F.col("r_start").alias("out_start"), F.col("r_end").alias("out_end"), "text", *keep
     )
     return cut.unionByName(own).unionByName(rest)
 
@@ -77,42 +80,105 @@ def wrap(text: str, units: int) -> list[str]:
     return [*lines, rest] if rest else lines
 
 
+def plain_text(c: Column) -> Column:
+    """A text on one line: literal break marks and runs of white space become one blank."""
+    c = F.replace(F.replace(c, F.lit(r"\N"), F.lit(" ")), F.lit(r"\n"), F.lit(" "))
+    return strip(F.regexp_replace(c, r"\s+", " "))
+
+
 def wrap_lines(c: Column, units: int) -> Column:
-    """Lines of a text; only texts that are too wide go through Python."""
+    """Lines of a text, in one Arrow pass."""
 
     @F.pandas_udf("array<string>")
     def split(s: pd.Series) -> pd.Series:
         return s.map(lambda t: wrap(t, units) if t else [])
 
-    plain = F.regexp_replace(strip(c), r"\s+", " ")
-    return F.when(visual_width(plain) <= units, F.when(plain == "", F.array().cast("array<string>")).otherwise(F.array(plain))).otherwise(split(plain))
+    # marked nondeterministic so that the optimizer keeps one call a row
+    return split.asNondeterministic()(plain_text(c))
+
+
+def laid_out(text: str | None, units: int, max_lines: int) -> list[dict]:
+    """The events of one plain text: at most max_lines lines each, with the width up to their end."""
+    out: list[dict] = []
+    lines, upto = wrap(text, units) if text else [], 0
+    for i in range(0, len(lines), max_lines):
+        event = "\n".join(lines[i : i + max_lines])
+        width = max(1, sum(map(char_width, event)))
+        upto += width
+        out.append({"text": event, "width": width, "upto": upto})
+    return out
 
 
 def subtitle_events(segments: DataFrame, units: int, max_lines: int = 2) -> DataFrame:
     """Segments (job_id, seg_idx, out_start, out_end, text) as events of at most max_lines lines, sharing
-    the segment's time by width; the last ends exactly where the segment does."""
-    lines = segments.withColumn("_lines", wrap_lines(F.col("text"), units)).filter(F.size("_lines") > 0)
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_lines") - 1) / max_lines).cast("int")),
-        lambda i: F.array_join(F.slice("_lines", i * max_lines + 1, max_lines), "\n"),
-    )
-    each = lines.select("*", chunks.alias("_chunks")).select("*", F.posexplode("_chunks").alias("event_idx", "event"))
-    key = Window.partitionBy("job_id", "seg_idx", "out_start", "out_end")
-    w = F.greatest(F.lit(1), visual_width(F.col("event")))
-    upto = F.sum(w).over(key.orderBy("event_idx"))
+    the segment's time by width; the last ends exactly where the segment does.
+
+    One Arrow pass wraps a text and measures its events; nothing is shuffled.
+    """
+
+    @F.pandas_udf("array<struct<text:string,width:int,upto:int>>")
+    def events(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: laid_out(t, units, max_lines))
+
+    # marked nondeterministic so that the optimizer keeps one call a row
+    made = segments.select("job_id", "seg_idx", "out_start", "out_end", events.asNondeterministic()(plain_text(F.col("text"))).alias("_all"))
+    each = made.select("*", F.element_at(F.col("_all.upto"), -1).alias("_total"), F.posexplode("_all").alias("event_idx", "e"))
     span = F.greatest(F.lit(10), F.col("out_end") - F.col("out_start"))
-    at = lambda x: F.least(F.col("out_end"), F.col("out_start") + F.floor(span * x / F.sum(w).over(key) + 0.5))
-    last = F.col("event_idx") == F.size("_chunks") - 1
+    at = lambda x: F.least(F.col("out_end"), F.col("out_start") + F.floor(span * x / F.col("_total") + 0.5))
+    last = F.col("e.upto") == F.col("_total")
     return each.select(
         "job_id",
         "seg_idx",
         "event_idx",
-        at(upto - w).alias("start_ms"),
-        F.when(last, F.col("out_end")).otherwise(at(upto)).alias("end_ms"),
-        F.col("event").alias("text"),
+        at(F.col("e.upto") - F.col("e.width")).alias("start_ms"),
+        F.when(last, F.col("out_end")).otherwise(at(F.col("e.upto"))).alias("end_ms"),
+        F.col("e.text").alias("text"),
     ).filter("end_ms > start_ms")
 
 
+#: Looks of two platforms beside the plain one, and what a document says before its events (fixed values).
+STYLES = {
+    "": {"font_name": "Arial", "font_size": 52, "primary_color": "&H00FFFFFF", "outline_color": "&H00000000", "back_color": "&H64000000", "outline": 3, "shadow": 1, "alignment": 2, "margin_v": 80},
+    "douyin": {"font_size": 52, "primary_color": "&H00FFFFFF", "outline_color": "&H00000000", "back_color": "&H00000000", "outline": 3, "shadow": 0, "alignment": 2, "margin_v": 180},
+    "bilibili": {"font_size": 48, "primary_color": "&H00FFFFFF", "outline_color": "&H00643B16", "back_color": "&H64000000", "outline": 3, "shadow": 1, "alignment": 2, "margin_v": 80},
+}
+_STYLE_FORMAT = (
+    "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
+)
+_EVENT_FORMAT = "Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
+
+
+def play_resolution(jobs: DataFrame) -> DataFrame:
+    """jobs (job_id, crop_w, crop_h, width, height) -> (job_id, play_w, play_h): the crop's target, else the first
+    video's size, else 1920 by 1080; a pair counts only if both are positive."""
+    both = lambda w, h: (F.col(w) > 0) & (F.col(h) > 0)
+    crop, own = both("crop_w", "crop_h"), both("width", "height")
+    return jobs.select(
+        "job_id",
+        F.when(crop, F.col("crop_w")).when(own, F.col("width")).otherwise(1920).alias("play_w"),
+        F.when(crop, F.col("crop_h")).when(own, F.col("height")).otherwise(1080).alias("play_h"),
+    )
+
+
+def ass_documents(events: DataFrame, sizes: DataFrame, preset: str = "", vertical_font_size: int = 0) -> DataFrame:
+    """(job_id, document): an Advanced SubStation document for each job of sizes (play_resolution()), also those
+    without events. Upright pictures have their own font size (if any) and a margin of 150 at least."""
+    look = STYLES[""] | STYLES.get(preset.strip().lower(), {})
+    upright = (F.col("play_h") > F.col("play_w")) & F.lit(vertical_font_size > 0)
+    font = F.when(upright, vertical_font_size).otherwise(look["font_size"]).cast("string")
+    margin = F.when(upright, max(look["margin_v"], 150)).otherwise(look["margin_v"]).cast("string")
+    head = ["[Script Info]", "ScriptType: v4.00+", F.concat(F.lit("PlayResX: "), "play_w"), F.concat(F.lit("PlayResY: "), "play_h"), "WrapStyle: 0", "ScaledBorderAndShadow: yes", "YCbCr Matrix: TV.709", ""]
+    style = F.concat(
+        F.lit(f"Style: Default,{look['font_name']},"), font, F.lit(f",{look['primary_color']},&H000000FF,{look['outline_color']},{look['back_color']},-1,0,0,0,100,100,0,0,1,{look['outline']:g},{look['shadow']:g},{look['alignment']},80,80,"), margin, F.lit(",1")
+    )
+    head += ["[V4+ Styles]", f"Format: {_STYLE_FORMAT}", style, "", "[Events]", f"Format: {_EVENT_FORMAT}"]
+    lines = F.array(*[F.lit(x) if isinstance(x, str) else x for x in head])
+    item = F.struct("start_ms", "seg_idx", "event_idx", "line")
+    per = dialogue_line(events).groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    own = F.coalesce(F.col("_all.line"), F.array().cast("array<string>"))
+    return sizes.join(per, "job_id", "left").select("job_id", F.concat(F.array_join(F.concat(lines, own), "\n"), F.lit("\n")).alias("document"))
+
+
 def dialogue_line(events: DataFrame, style: str = "Default") -> DataFrame:
     line = F.concat(
         F.lit("Dialogue: 0,"), ass_time(F.col("start_ms")), F.lit(","), ass_time(F.col("end_ms")), F.lit(f",{style},,0,0,0,,"), escape_ass(F.col("text"))

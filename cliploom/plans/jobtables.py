@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cliploom.operators import edges, intervals, library, logs, platform, subtitles, transcript, waveform
 from cliploom.plans.fixtures import Views
 from cliploom.plans.oracles import sql
-from cliploom.plans.recordings import _clips, _invalid, recursive
+from cliploom.plans.recordings import PACKED_STEPS, _clips, _invalid, recursive
 from cliploom.sources import files
 
 
@@ -25,12 +25,68 @@ def u5_events(v: Views) -> DataFrame:
     return subtitles.subtitle_events(_chat_times(v), 24)
 
 
+def _flow_events(v: Views) -> DataFrame:
+    """Words packed into pieces, moved to the edited timeline, filtered, wrapped into events."""
+    base = v.library()
+    chance = lambda x: x.withField("probability", F.lit(1.0) / (1 + x["word_idx"] % 4))
+    packed = transcript.pack_words(base["segments"].withColumn("words", F.transform("words", chance)))
+    packed = packed.withColumn("seg_idx", F.col("seg_idx").cast("long") * 10_000 + F.col("piece"))
+    cut = subtitles.remap_segments(packed, subtitles.kept_timeline(base["clips"]), ("avg_probability",))
+    cut = cut.withColumnsRenamed({"out_start": "start_ms", "out_end": "end_ms"})
+    fit = transcript.filter_subtitles(cut, {"the": "a"}, ["and"], "***", vocal_ms=1500, least_rate=1.8, least_probability=0.4)
+    return subtitles.subtitle_events(fit.withColumnsRenamed({"start_ms": "out_start", "end_ms": "out_end"}), 24)
+
+
+def u_flow(v: Views) -> DataFrame:
+    """From words to one document a job."""
+    d = v.library()["durations"].select("job_id", F.when(F.col("job_id") % 3 == 0, 1080).alias("crop_w"), F.when(F.col("job_id") % 3 == 0, 1920).alias("crop_h"), F.when(F.col("job_id") % 3 == 1, 1280).alias("width"), F.lit(720).alias("height"))
+    return subtitles.ass_documents(_flow_events(v), subtitles.play_resolution(d), "bilibili", 60)
+
+
 def s5_documents(v: Views) -> DataFrame:
     s = v.segments().select("job_id", "start_ms", "seg_idx", F.lit(0).alias("event_idx"), "end_ms", "text")
     return subtitles.subtitle_documents(s, "srt")
 
 
 _TRIM = "' ' || chr(9) || chr(13) || chr(10)"
+def wrapped_sql(segments: str, units: int, select: str, before: str = "") -> str:
+    """SQL over lines_of (job_id, seg_idx, a, z, n, line) and events_of of segments (job_id, seg_idx, a, z, text),
+    texts of characters one unit wide."""
+    marks, least = "，。！？；、,.!?;: ", max(1, int(units * 0.45))
+    plain = "trim(regexp_replace(replace(replace(text, '\\N', ' '), '\\n', ' '), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+    own = (
+        f"{before}given AS MATERIALIZED (SELECT *, row_number() OVER () AS key FROM ({segments})),"
+        f" w AS (SELECT key, 0 AS n, {plain} AS rest, '' AS line FROM given UNION ALL"
+        f" SELECT key, n + 1, CASE WHEN length(rest) <= {units} THEN '' ELSE trim(substring(rest, till + 1)) END, CASE WHEN length(rest) <= {units} THEN rest ELSE trim(substring(rest, 1, till)) END FROM"
+        f" (SELECT *, CASE WHEN p >= {max(1, least)} THEN p + 1 ELSE {units} END AS till FROM (SELECT *, length(regexp_replace(substring(rest, 1, {units + 1}), '[^{marks}]*$', '')) - 1 AS p FROM w WHERE rest <> ''))),"
+        " lines_of AS (SELECT job_id, seg_idx, a, z, key, line, row_number() OVER (PARTITION BY key ORDER BY n) - 1 AS n FROM w JOIN given USING (key) WHERE line <> ''),"
+        " shown AS (SELECT job_id, seg_idx, a, z, key, CAST(n // 2 AS INTEGER) AS event_idx, string_agg(line, chr(10) ORDER BY n) AS text FROM lines_of GROUP BY ALL),"
+        " sized AS (SELECT *, length(text) AS width, sum(length(text)) OVER (PARTITION BY key ORDER BY event_idx) AS upto, sum(length(text)) OVER (PARTITION BY key) AS total, event_idx = max(event_idx) OVER (PARTITION BY key) AS last FROM shown),"
+        " events_of AS (SELECT job_id, seg_idx, event_idx, CAST(least(z, a + floor(greatest(10, z - a) * (upto - width) / total::DOUBLE + 0.5)) AS BIGINT) AS start_ms,"
+        " CASE WHEN last THEN z ELSE CAST(least(z, a + floor(greatest(10, z - a) * upto / total::DOUBLE + 0.5)) AS BIGINT) END AS end_ms, text FROM sized)"
+    )
+    full = sql(f"WITH {own} {select}")
+    first = own.split(" AS", 1)[0]
+    return full.replace(f"\nWITH {first} AS", f",\n{first} AS", 1).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_ASS = "printf('%d:%02d:%02d.%02d', {0} // 360000, {0} // 6000 % 60, {0} // 100 % 60, {0} % 100)"
+FLOW_SQL = wrapped_sql(
+    "SELECT job_id, seg_idx, a, z, replace(replace(text, 'the', 'a'), 'and', '***') AS text FROM cut WHERE z - a >= 300 AND trim(text) <> '' AND NOT (z - a >= 1500 AND (length(dense) * 1000 < 1.8 * (z - a) OR avg_probability < 0.4))",
+    24,
+    "SELECT d.job_id, concat_ws(chr(10), '[Script Info]', 'ScriptType: v4.00+', 'PlayResX: ' || CASE job_id % 3 WHEN 0 THEN 1080 WHEN 1 THEN 1280 ELSE 1920 END, 'PlayResY: ' || CASE job_id % 3 WHEN 0 THEN 1920 WHEN 1 THEN 720 ELSE 1080 END, 'WrapStyle: 0', 'ScaledBorderAndShadow: yes', 'YCbCr Matrix: TV.709', '', '[V4+ Styles]',"
+    " 'Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding',"
+    " CASE WHEN job_id % 3 = 0 THEN 'Style: Default,Arial,60,&H00FFFFFF,&H000000FF,&H00643B16,&H64000000,-1,0,0,0,100,100,0,0,1,3,1,2,80,80,150,1' ELSE 'Style: Default,Arial,48,&H00FFFFFF,&H000000FF,&H00643B16,&H64000000,-1,0,0,0,100,100,0,0,1,3,1,2,80,80,80,1' END,"
+    " '', '[Events]', 'Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text', body) || chr(10) AS document FROM durations d LEFT JOIN (SELECT job_id, string_agg('Dialogue: 0,' || "
+    + _ASS.format("CAST(round_even(start_ms / 10.0, 0) AS BIGINT)") + " || ',' || " + _ASS.format("CAST(round_even(end_ms / 10.0, 0) AS BIGINT)")
+    + " || ',Default,,0,0,0,,' || replace(replace(replace(replace(text, '\\', '\\\\'), '{', '\\{'), '}', '\\}'), chr(10), '\\N'), chr(10) ORDER BY start_ms, seg_idx, event_idx) AS body FROM events_of WHERE end_ms > start_ms GROUP BY 1) USING (job_id)",
+    before=PACKED_STEPS
+    + "pieces_of AS (SELECT job_id, seg_idx * 10000 + piece AS seg_idx, start_ms AS ps, end_ms AS pe, text, avg_probability FROM packed UNION ALL SELECT job_id, seg_idx * 10000, start_ms, end_ms, text, NULL FROM segments g WHERE end_ms > start_ms AND NOT EXISTS (SELECT 1 FROM vw WHERE vw.job_id = g.job_id AND vw.seg_idx = g.seg_idx)),"
+    " cut AS (SELECT p.job_id, CAST(p.seg_idx AS BIGINT) AS seg_idx, CAST(greatest(t.start_ms, ps) - t.start_ms + offset_ms AS BIGINT) AS a, CAST(least(t.end_ms, pe) - t.start_ms + offset_ms AS BIGINT) AS z, text, avg_probability, regexp_replace(replace(replace(text, 'the', 'a'), 'and', '***'), '[\t-\r ]', '', 'g') AS dense"
+    " FROM timeline t JOIN pieces_of p ON p.job_id = t.job_id AND t.start_ms < pe AND ps < t.end_ms UNION ALL SELECT job_id, CAST(seg_idx AS BIGINT), ps, pe, text, avg_probability, regexp_replace(text, '[\t-\r ]', '', 'g') FROM pieces_of WHERE job_id NOT IN (SELECT job_id FROM timeline)), ",
+)
+
+
 #: Written from the rules: the first forty lines decide, then the return code.
 P3_SQL = (
     "SELECT job_id, CASE WHEN rc IS NULL THEN 'timeout' WHEN coalesce(bad, false) THEN 'corrupt' WHEN rc = 0 THEN 'ok' ELSE 'failed' END AS status, coalesce(n, 0) AS error_count, coalesce(n, 0) >= 40 AS truncated, done AS completed_ms FROM"
@@ -388,8 +444,18 @@ QUERIES = {
         u3_remap,
         sql("SELECT t.job_id, t.idx, s.seg_idx, greatest(t.start_ms, s.start_ms) - t.start_ms + offset_ms AS out_start, least(t.end_ms, s.end_ms) - t.start_ms + offset_ms AS out_end, s.text FROM timeline t JOIN segments s ON s.job_id = t.job_id AND t.start_ms < s.end_ms AND s.start_ms < t.end_ms"),
     ),
-    "u4_wrap_lines": (lambda v: v.chat_segments().select("job_id", "seg_idx", F.explode(subtitles.wrap_lines(F.col("text"), 24)).alias("line")), None),
-    "u5_subtitle_events": (u5_events, None),
+    "u4_wrap_lines": (
+        lambda v: v.chat_segments().select("job_id", "seg_idx", F.explode(subtitles.wrap_lines(F.col("text"), 24)).alias("line")),
+        wrapped_sql("SELECT job_id, CAST(seg_idx AS INTEGER) AS seg_idx, 0 AS a, 0 AS z, text FROM chat", 24, "SELECT job_id, CAST(seg_idx AS BIGINT) AS seg_idx, line FROM lines_of"),
+    ),
+    "u5_subtitle_events": (
+        u5_events,
+        wrapped_sql("SELECT job_id, CAST(seg_idx AS INTEGER) AS seg_idx, CAST(seg_idx * 5000 AS BIGINT) AS a, CAST(seg_idx * 5000 + 4000 AS BIGINT) AS z, text FROM chat", 24, "SELECT * FROM events_of WHERE end_ms > start_ms"),
+    ),
+    "u_subtitle_flow": (
+        u_flow,
+        FLOW_SQL,
+    ),
     "u7_dialogue_lines": (
         u7_dialogue,
         sql(

@@ -194,14 +194,17 @@ _HIGHLIGHT = (
 
 #: The fold over a segment's words: the piece a word belongs to, where that begins and how wide it is so far. A chance is
 #: a number of twelfths, so that sums are exact.
-_PACKED = (
-    "WITH vw AS MATERIALIZED (SELECT job_id, seg_idx, row_number() OVER (PARTITION BY job_id, seg_idx ORDER BY word_idx) AS i, w_start AS s, least(w_end, w_start + 1800) AS e, word, 12 // (1 + word_idx % 4) AS twelfths FROM words WHERE w_end > w_start AND trim(word, ' ' || chr(9) || chr(13) || chr(10)) <> ''),"
+PACKED_STEPS = (
+    "vw AS MATERIALIZED (SELECT job_id, seg_idx, row_number() OVER (PARTITION BY job_id, seg_idx ORDER BY word_idx) AS i, w_start AS s, least(w_end, w_start + 1800) AS e, word, 12 // (1 + word_idx % 4) AS twelfths FROM words WHERE w_end > w_start AND trim(word, ' ' || chr(9) || chr(13) || chr(10)) <> ''),"
     " fold AS (SELECT job_id, seg_idx, i, 0 AS piece, s, e, s AS ps, length(word) AS width, '' AS gap, word, twelfths FROM vw WHERE i = 1 UNION ALL"
     " SELECT job_id, seg_idx, i, CASE WHEN cut THEN piece + 1 ELSE piece END, s, e, CASE WHEN cut THEN s ELSE ps END, CASE WHEN cut THEN length(word) ELSE wide END, CASE WHEN cut THEN '' ELSE b END, word, twelfths FROM"
     " (SELECT *, s - pe >= 550 OR e - ps > 5500 OR wide > 34 OR (ended AND wide >= 16) AS cut FROM (SELECT *, width + length(b) + length(word) AS wide FROM"
     " (SELECT v.*, f.piece, f.ps, f.e AS pe, f.width, regexp_matches(f.word, '[.!?。！？]$') AS ended, CASE WHEN regexp_matches(right(f.word, 1), '[A-Za-z0-9''\"]') AND regexp_matches(left(v.word, 1), '[A-Za-z0-9''\"]') THEN ' ' ELSE '' END AS b"
     " FROM fold f JOIN vw v ON v.job_id = f.job_id AND v.seg_idx = f.seg_idx AND v.i = f.i + 1)))),"
-    " packed AS (SELECT job_id, seg_idx, piece, min(ps) AS start_ms, arg_max(e, i) AS end_ms, string_agg(gap || word, '' ORDER BY i) AS text, CAST(count(*) AS INTEGER) AS word_count, round_even(sum(twelfths) / (12.0::DOUBLE * count(*)), 4) AS avg_probability FROM fold GROUP BY 1, 2, 3)"
+    " packed AS (SELECT job_id, seg_idx, piece, min(ps) AS start_ms, arg_max(e, i) AS end_ms, string_agg(gap || word, '' ORDER BY i) AS text, CAST(count(*) AS INTEGER) AS word_count, round_even(sum(twelfths) / (12.0::DOUBLE * count(*)), 4) AS avg_probability FROM fold GROUP BY 1, 2, 3), "
+)
+_PACKED = (
+    f"WITH {PACKED_STEPS.rstrip(', ')}"
     " SELECT * FROM packed UNION ALL SELECT job_id, seg_idx, 0, start_ms, end_ms, text, NULL, NULL FROM segments g WHERE end_ms > start_ms AND NOT EXISTS (SELECT 1 FROM vw WHERE vw.job_id = g.job_id AND vw.seg_idx = g.seg_idx)"
 )
 
