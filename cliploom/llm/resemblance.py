@@ -223,20 +223,24 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, l
 
 
 def resembling(
-    docs: DataFrame, width: int = 5, least: float = 0.8, limit: int = 512, near: int = 14, radius: int = 24, references: int = 16
+    docs: DataFrame, width: int = 5, least: float = 0.8, limit: int = 512, near: int = 14, radius: int = 24, references: int = 16, leaders: int = 8
 ) -> DataFrame:
     """(doc_id, row_hash, class) of every document: documents are of one class if shingle sets of
     Jaccard similarity `least` or more connect them. Texts without words are alike.
 
-    near is the radius of the first pass, radius that of the second.
+    near is the radius of the first pass, radius that of the second; leaders is how many orders of the
+    sets there are, by each of which a bucket may choose its leader.
     """
     each = _sets(docs, width, least)
     nodes = _nodes(each)
     rows = nodes.select(F.posexplode("prefix").alias("at", "h"), "node")
-    # another member leads in each bucket, so that a document is held against several of its group
-    buckets = rows.groupBy("h").agg(F.min_by("node", F.xxhash64("node", "h")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = stored(by_group(rows, stored(buckets, "buckets"), ["h"], "n").select("h", "at", "node", "lead"), "met")
-    pairs = met.filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    # two members lead each bucket: by an order of its own, and by one of a few that many buckets share. So a
+    # document is held against several of its group, among them ones that most of the group is held against
+    leads = [F.min_by("node", F.xxhash64("node", k)) for k in ("h", F.pmod("h", F.lit(leaders)))]
+    buckets = rows.groupBy("h").agg(F.array(*leads).alias("leads"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = stored(by_group(rows, stored(buckets, "buckets"), ["h"], "n").select("h", "at", "node", "leads"), "met")
+    led = met.select("node", F.explode(F.array_distinct("leads")).alias("lead")).filter("node <> lead")
+    pairs = led.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     first = _verified(_screened(pairs, nodes, least, near, references), nodes, docs, width, least)
     # two rounds join most of what is connected; what they leave apart is only compared again
     roots = stored(connected_components(first, rounds=2), "roots")
