@@ -121,6 +121,12 @@ def t9_filter_subtitles(v: Views) -> DataFrame:
     return transcript.filter_subtitles(v.segments(), {"the": "a"}, ["and"], "***", ("q u",)).select("job_id", "seg_idx", "text")
 
 
+def t6_bound_segments(v: Views) -> DataFrame:
+    """By the default bounds: 200 segments of 4,096 characters, 200 words of 128."""
+    found = transcript.bound_segments(v.library()["segments"])
+    return found.withColumns({"shown": F.array_join("words.word", " "), "words": F.size("words").cast("bigint")})
+
+
 def t10_validate_edited_segments(v: Views) -> DataFrame:
     e = v.events().select("job_id", (F.col("start_ms") / 1000 - 20).cast("string").alias("start"), F.when(F.col("event_type") == "view", "x").otherwise((F.col("len_ms") / 100).cast("string")).alias("end"), F.col("props").alias("text"))
     return transcript.validate_edited_segments(e)
@@ -282,8 +288,12 @@ QUERIES = {
         sql("SELECT job_id, seg_idx, word_idx, greatest(0, w_start) AS w_start, w_end, substring(word, 1, 12) AS word FROM words WHERE w_end > w_start"),
     ),
     "t6_bound_segments": (
-        lambda v: transcript.bound_segments(v.segments(), 20, 60),
-        sql(f"SELECT job_id, seg_idx, start_ms, end_ms, CASE WHEN length(text) <= 60 THEN text ELSE rtrim(substring(text, 1, 57), {_TRIM}) || '...' END AS text FROM segments WHERE seg_idx < 20"),
+        t6_bound_segments,
+        sql(
+            f"SELECT job_id, seg_idx, start_ms, end_ms, CASE WHEN length(text) <= 4096 THEN text ELSE rtrim(substring(text, 1, 4093), {_TRIM}) || '...' END AS text, coalesce(n, 0) AS words, coalesce(shown, '') AS shown FROM segments LEFT JOIN"
+            " (SELECT job_id, seg_idx, count(*) AS n, string_agg(CASE WHEN length(word) <= 128 THEN word ELSE substring(word, 1, 125) || '...' END, ' ' ORDER BY word_idx) AS shown FROM"
+            " (SELECT job_id, seg_idx, word_idx, trim(word, ' ' || chr(9) || chr(13) || chr(10)) AS word, row_number() OVER (PARTITION BY job_id, seg_idx ORDER BY word_idx) AS r FROM words) WHERE r <= 200 GROUP BY 1, 2) USING (job_id, seg_idx) WHERE seg_idx < 200"
+        ),
     ),
     "t9_filter_subtitles": (
         t9_filter_subtitles,
