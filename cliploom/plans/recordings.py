@@ -112,6 +112,21 @@ def t1_normalize_asr(v: Views) -> DataFrame:
     return transcript.normalize_asr(e, v.durations())
 
 
+def t1_asr_shapes(v: Views) -> DataFrame:
+    """Each event as an entry of its job's recognition, in the shape that its kind stands for."""
+    sec = lambda c: c / 1000
+    end = F.col("start_ms") + F.col("len_ms")
+    name = lambda x: F.concat(F.lit(x), "event_id")
+    nested = F.struct(F.array(F.struct(sec(F.col("start_ms")).cast("string").alias("begin"), sec(end).cast("string").alias("finish"), name(" s").alias("sentence"), F.lit("1").alias("spk")), F.struct(F.lit("x").alias("begin"), F.lit("2").alias("finish"), F.lit("bad").alias("sentence"), F.lit("1").alias("spk"))).alias("sentences"))
+    plain = F.struct(name("c").alias("text"), sec(F.col("start_ms")).alias("start"), sec(end).alias("end"), F.lit("2").alias("speaker"))
+    stamped = F.struct(name("e").alias("text"), F.array(F.array(sec(F.col("start_ms")), F.lit(0.0)), F.array(F.lit(1.0), sec(end))).alias("timestamp"))
+    bare = F.struct(name("u").alias("text"), F.lit(-1).alias("start"), F.lit(2).alias("end"))
+    kind = F.col("event_type")
+    entry = F.when(kind == "view", F.to_json(nested)).when(kind == "click", F.to_json(plain)).when(kind == "error", F.to_json(stamped)).when(kind == "signup", F.to_json(bare)).otherwise(F.lit('"junk"'))
+    body = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("j")))), lambda x: x["j"]), ","), F.lit("]"))
+    return transcript.asr_segments(v.events().groupBy("job_id").agg(body.alias("body")), v.durations())
+
+
 def t4_replace_and_censor(v: Views) -> DataFrame:
     t = X.censor(X.apply_replacements(F.col("text"), {"th": "TH", "the": "a"}), ["and"], "***")
     return v.chat_segments().select("job_id", "seg_idx", t.alias("text"))
@@ -280,6 +295,17 @@ QUERIES = {
         t1_normalize_asr,
         sql("SELECT e.job_id, event_id AS seg_idx, CAST(floor(CASE WHEN s <= m THEN s * 1000 ELSE s END + 0.5) AS BIGINT) AS start_ms, CAST(floor(CASE WHEN f <= m THEN f * 1000 ELSE f END + 0.5) AS BIGINT) AS end_ms, trim(props) AS text, event_type AS speaker FROM (SELECT *, start_ms / 1000.0::DOUBLE AS s, CAST(start_ms + len_ms AS DOUBLE) AS f FROM ev) e LEFT JOIN (SELECT job_id, greatest(120, duration_ms / 1000.0::DOUBLE + 5) AS m FROM durations) d USING (job_id)"),
     ),
+    "t1_asr_shapes": (
+        t1_asr_shapes,
+        sql(
+            "WITH k AS (SELECT job_id, event_id, event_type, start_ms AS a, CASE WHEN start_ms + len_ms > 725000 THEN CAST(floor((start_ms + len_ms) / 1000.0 + 0.5) AS BIGINT) ELSE start_ms + len_ms END AS z FROM ev WHERE event_type <> 'purchase'),"
+            " tm AS (SELECT job_id, false AS late, event_id, a, z, CASE event_type WHEN 'view' THEN 's' WHEN 'click' THEN 'c' ELSE 'e' END || event_id AS text, CASE event_type WHEN 'view' THEN '1' WHEN 'click' THEN '2' END AS speaker FROM k WHERE event_type <> 'signup'),"
+            " un AS (SELECT k.job_id, event_id, 'u' || event_id AS text, coalesce(f, 0) AS f, greatest(300000, CAST(floor(greatest(0, 720000 - coalesce(f, 0)) * 1000.0::DOUBLE * length('u' || event_id) / sum(length('u' || event_id)) OVER (PARTITION BY k.job_id)) AS BIGINT)) AS span FROM k LEFT JOIN (SELECT job_id, arg_max(z, event_id) AS f FROM tm GROUP BY 1) USING (job_id) WHERE event_type = 'signup'),"
+            " ut AS (SELECT *, sum(span) OVER (PARTITION BY job_id ORDER BY event_id) AS upto FROM un)"
+            " SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY late, event_id) - 1 AS INTEGER) AS seg_idx, start_ms, end_ms, text, speaker FROM (SELECT job_id, late, event_id, a AS start_ms, z AS end_ms, text, speaker FROM tm UNION ALL"
+            " SELECT job_id, true, event_id, CAST(f + (upto - span + 500) // 1000 AS BIGINT), CAST(f + (upto + 500) // 1000 AS BIGINT), text, NULL FROM ut)"
+        ).replace("\nWITH k AS", ",\nk AS"),
+    ),
     "t2_allocate_untimed": (lambda v: transcript.allocate_untimed(v.untimed(), v.durations()), sql("SELECT job_id, seg_idx, start_ms, end_ms, text FROM timed")),
     "t3_clean_segments": (lambda v: v.segments(), sql("SELECT * FROM segments")),
     "t4_replace_and_censor": (t4_replace_and_censor, sql(f"SELECT job_id, seg_idx, {_REPL.format('text')} AS text FROM chat")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: File name endings of media (fixed values).
@@ -62,23 +62,49 @@ def newest_media(catalog: DataFrame, n: int = 200) -> DataFrame:
     return catalog.orderBy(F.col("modified_at").desc(), "path").limit(n)
 
 
-def expand_batch(manifests: DataFrame) -> DataFrame:
-    """manifests (batch_id, body, vertical) of batch files: an array or an object with `files`, items a
-    path or an object; an item's option wins over the file's default or the caller's flag."""
-    item = "array<string>"
-    is_list = F.ltrim("body").startswith("[")
-    top = F.from_json("body", "vertical boolean, files array<string>")
-    items = F.when(is_list, F.from_json("body", item)).otherwise(top["files"])
-    default = F.coalesce(top["vertical"], F.lit(False)) | F.coalesce(F.col("vertical"), F.lit(False))
-    each = manifests.select("batch_id", F.posexplode(items).alias("batch_index", "item"), default.alias("_default"))
-    own = F.from_json("item", "path string, vertical boolean")
-    is_object = F.ltrim("item").startswith("{")
-    return each.select(
-        "batch_id",
-        "batch_index",
-        F.when(is_object, own["path"]).otherwise(F.col("item")).alias("path"),
-        F.when(is_object, F.coalesce(own["vertical"], F.col("_default"))).otherwise(F.col("_default")).alias("vertical"),
-    ).filter("path is not null and path <> ''")
+#: Options of a batch file, its items or its caller (fixed values).
+BATCH_OPTIONS = ("force", "detect_silence", "detect_freeze", "detect_scenes", "render_review", "render_final", "vertical", "burn_subtitles", "plan_crop", "plan_uvr", "skip_transcribe")
+
+
+def _truth(v: Column) -> Column:
+    """Whether a JSON value counts as yes: not null, false, zero, or an empty text, list or object."""
+    text = F.to_json(v)
+    return ~text.isin("null", "false", '""', "[]", "{}") & (F.coalesce(F.try_variant_get(v, "$", "double"), F.lit(1.0)) != 0)
+
+
+def expand_batch(manifests: DataFrame, options: tuple[str, ...] = BATCH_OPTIONS) -> DataFrame:
+    """manifests (batch_id, body[, base_dir][, options of the caller]) -> (batch_id, batch_index, path, *options, error).
+
+    A body is a JSON list, or an object with `files`; an item a path or an object with path or source_path. An
+    item's own option wins, else the caller's or the file's has to say yes. Relative paths lie below base_dir.
+    A body or item that is neither has a row with its error instead (batch_index null for a body).
+    """
+    many = "array<variant>"
+    has = lambda c: c in manifests.columns
+    v = F.try_parse_json("body")
+    kind = lambda c: F.regexp_extract(F.schema_of_variant(c), r"^[A-Z]+", 0)
+    is_object = F.coalesce(kind(v) == "OBJECT", F.lit(False))
+    items = F.when(is_object, F.try_variant_get(v, "$.files", many)).otherwise(F.try_variant_get(v, "$", many))
+
+    def default(name: str) -> Column:
+        file = F.when(is_object, _truth(F.try_variant_get(v, f"$.{name}", "variant")))
+        caller = F.coalesce(F.col(name), F.lit(False)) if has(name) else F.lit(False)
+        return F.coalesce(file, F.lit(False)) | caller
+
+    top = manifests.select("batch_id", (F.col("base_dir") if has("base_dir") else F.lit(None).cast("string")).alias("_base"), items.alias("_items"), *[default(o).alias(f"_{o}") for o in options])
+    bad = top.filter("_items is null").select("batch_id", F.lit(None).cast("int").alias("batch_index"), F.lit(None).cast("string").alias("path"), *[F.lit(None).cast("boolean").alias(o) for o in options], F.lit("neither a list nor an object with files").alias("error"))
+    each = top.filter("_items is not null").select("*", F.posexplode("_items").alias("batch_index", "item")).withColumn("_kind", kind(F.col("item")))
+    member = lambda n: F.try_variant_get("item", f"$.{n}", "string")
+    path = F.when(F.col("_kind") == "STRING", F.try_variant_get("item", "$", "string")).when(
+        F.col("_kind") == "OBJECT", F.coalesce(F.nullif(member("path"), F.lit("")), F.nullif(member("source_path"), F.lit("")))
+    )
+    error = F.when(~F.col("_kind").isin("STRING", "OBJECT"), "neither a path nor an object").when(F.coalesce(path, F.lit("")) == "", "without a path")
+    below = F.when(path.startswith("/") | F.col("_base").isNull(), path).otherwise(F.concat_ws("/", F.rtrim("_base", F.lit("/")), path))
+    own = lambda o: F.when(F.col("_kind") == "OBJECT", _truth(F.try_variant_get("item", f"$.{o}", "variant")))
+    rows = each.select(
+        "batch_id", "batch_index", F.when(error.isNull(), below).alias("path"), *[F.when(error.isNull(), F.coalesce(own(o), F.col(f"_{o}"))).alias(o) for o in options], error.alias("error")
+    )
+    return rows.unionByName(bad)
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

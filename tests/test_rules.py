@@ -289,3 +289,60 @@ def test_edges_by_arrays_and_by_a_table_agree(spark):
     s = spark.createDataFrame([(1, 0, 0, 20_000, "aaaa bb cccccc d ee ffff")], "job_id long, seg_idx int, start_ms long, end_ms long, text string")
     one = sorted(map(tuple, edges.edge_in_word(w, transcript.with_words(s), d).collect()))
     assert one and one == sorted(map(tuple, edges.edge_in_word(w, transcript.spread_words(s), d).collect()))
+
+
+def test_recognitions_of_mixed_shapes(spark):
+    import json
+
+    body = [
+        {"sentence_info": [{"text": " one ", "start": 0, "end": 1.5, "spk": 3}, {"text": "", "start": 2, "end": 3}, {"sentence": "two", "begin": "200000", "finish": 201500}, {"text": "no time"}], "text": "whole"},
+        {"sentences": [{"text": "late", "start": -1, "end": 2}], "text": "own", "start": 5, "end": 6, "speaker": "S"},
+        {"text": "stamped", "timestamp": [[7, 8], [1], "x", [9, 10.25]]},
+        {"text": "waits"},
+        "junk",
+        None,
+        {"text": " "},
+        {"text": "too", "start": "abc", "end": 3},
+    ]
+    results = spark.createDataFrame([(1, json.dumps(body)), (2, json.dumps({"text": "alone"})), (3, "{broken"), (4, None)], "job_id int, body string")
+    d = spark.createDataFrame([(1, 20_250), (2, 4_000), (3, 1)], "job_id int, duration_ms long")
+    got = [tuple(r) for r in transcript.asr_segments(results, d).orderBy("job_id", "seg_idx").collect()]
+    assert got == [
+        (1, 0, 0, 1500, "one", "3"),
+        (1, 1, 200_000, 201_500, "two", None),
+        (1, 2, 5000, 6000, "own", "S"),
+        (1, 3, 7000, 10_250, "stamped", None),
+        (1, 4, 10_250, 16_500, "waits", None),
+        (1, 5, 16_500, 20_250, "too", None),
+        (2, 0, 0, 4000, "alone", None),
+    ]
+
+
+def test_batch_files_of_mixed_shapes(spark):
+    import json
+
+    from cliploom.sources import files
+
+    bodies = {
+        "list": ["a.mp4", "/abs/b.mp4", {"path": "c.mp4", "vertical": True}, 5, {"vertical": True}, None, ""],
+        "object": {"files": [{"source_path": "d.mp4", "vertical": False}, {"path": "e.mp4", "force": "no", "vertical": None}], "vertical": 1, "force": 0},
+        "none": {"items": []},
+        "empty": [],
+    }
+    rows = [(n, json.dumps(b), "/base/", n == "list") for n, b in bodies.items()] + [("bad", "{", "/base", False)]
+    m = spark.createDataFrame(rows, "batch_id string, body string, base_dir string, force boolean")
+    got = {(r["batch_id"], r["batch_index"]): (r["path"], r["vertical"], r["force"], r["error"]) for r in files.expand_batch(m).collect()}
+    bad = "neither a list nor an object with files"
+    assert got == {
+        ("list", 0): ("/base/a.mp4", False, True, None),
+        ("list", 1): ("/abs/b.mp4", False, True, None),
+        ("list", 2): ("/base/c.mp4", True, True, None),
+        ("list", 3): (None, None, None, "neither a path nor an object"),
+        ("list", 4): (None, None, None, "without a path"),
+        ("list", 5): (None, None, None, "neither a path nor an object"),
+        ("list", 6): (None, None, None, "without a path"),
+        ("object", 0): ("/base/d.mp4", False, False, None),
+        ("object", 1): ("/base/e.mp4", False, True, None),
+        ("none", None): (None, None, None, bad),
+        ("bad", None): (None, None, None, bad),
+    }
