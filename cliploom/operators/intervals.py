@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.folds import running
+
 
 def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", bucket_ms: int | None = None, long_ms: int = 0, key: tuple[str, ...] = ("job_id", "idx")) -> DataFrame:
     """Pairs of left (job_id, start_ms, end_ms, ...) and right (job_id, r_start, r_end, ...) that overlap.
@@ -153,52 +155,48 @@ def merge_short_gaps(clips: DataFrame, gap_ms: int = 1500) -> DataFrame:
     return indexed(grouped.select("job_id", "start_ms", "end_ms", joined.alias("reason")))
 
 
-def _joined(*reasons: str | None) -> str:
+def _together(*reasons: Column) -> Column:
     """Reasons that aren't null or blank, each once, in order."""
-    return " / ".join(dict.fromkeys(r.strip() for r in reasons if isinstance(r, str) and r.strip()))
-
-
-def _absorb(clips: list, min_ms: int, max_gap: int) -> list:
-    """One job's clips, left to right: a short one joins its nearer neighbour (left on ties)."""
-    out: list[list] = []
-    held: tuple | None = None  # start and reason that a short clip left to the next one
-    for i, (start, end, reason) in enumerate(clips):
-        if held:
-            start, reason = held[0], _joined(held[1], reason, "absorbed short clip")
-            held = None
-        if end - start < min_ms:
-            after = clips[i + 1][0] - end if i + 1 < len(clips) else None
-            before = start - out[-1][1] if out else None
-            if before is not None and (after is None or before <= after) and before <= max_gap:
-                out[-1][1] = end
-                out[-1][2] = _joined(out[-1][2], reason, "absorbed short clip")
-                continue
-            if after is not None and after <= max_gap:
-                held = (start, reason)
-                continue
-        out.append([start, end, reason])
-    return out
+    kept = F.array_distinct(F.filter(F.transform(F.array(*reasons), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    return F.array_join(kept, " / ")
 
 
 def absorb_short(clips: DataFrame, min_ms: int = 2000, merge_gap_ms: int = 1500) -> DataFrame:
-    """Clips shorter than min_ms joined to a neighbour within reach. What one clip takes changes the
-    next, so this is a fold over a job's clips, bounded by one recording."""
-    import pandas as pd
+    """Clips shorter than min_ms joined to a neighbour within reach, the nearer one (left on ties).
 
+    What one clip takes changes the next, so this is a fold over a job's clips: it carries the clip put
+    out last and a start left to the next one, and gives the state of the last one after each clip; the
+    final state of each is taken.
+    """
     max_gap = max(merge_gap_ms, min_ms * 3 // 2)
+    note = F.lit("absorbed short clip")
+    following = F.lead("start_ms").over(Window.partitionBy("job_id").orderBy("idx"))
+    item = F.struct("idx", "start_ms", "end_ms", "reason", "_next")
+    per = clips.withColumn("_next", following).groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("_all"))
+
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        held = last["held"].isNotNull()
+        start = F.coalesce(last["held"], x["start_ms"])
+        reason = F.when(held, _together(last["held_reason"], x["reason"], note)).otherwise(x["reason"])
+        short = x["end_ms"] - start < min_ms
+        before, after = start - last["end_ms"], x["_next"] - x["end_ms"]
+        left = short & (last["n"] > 0) & (after.isNull() | (before <= after)) & (before <= max_gap)
+        right = short & ~left & F.coalesce(after <= max_gap, F.lit(False))
+        state = F.struct(
+            (last["n"] + F.when(left | right, 0).otherwise(1)).alias("n"),
+            F.when(left | right, last["start_ms"]).otherwise(start).alias("start_ms"),
+            F.when(right, last["end_ms"]).otherwise(x["end_ms"]).alias("end_ms"),
+            F.when(left, _together(last["reason"], reason, note)).when(right, last["reason"]).otherwise(reason).alias("reason"),
+            F.when(right, start).alias("held"),
+            F.when(right, reason).alias("held_reason"),
+        )
+        return state, state
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        rows = _absorb(list(zip(pdf.start_ms, pdf.end_ms, pdf.reason, strict=True)), min_ms, max_gap)
-        out = pd.DataFrame(rows, columns=["start_ms", "end_ms", "reason"])
-        out.insert(0, "job_id", pdf.job_id.iloc[0])
-        out["idx"] = range(1, len(out) + 1)
-        return out
-
-    kind = clips.schema["job_id"].dataType.simpleString()
-    return clips.select("job_id", "start_ms", "end_ms", "reason", "idx").groupBy("job_id").applyInPandas(
-        fold, f"job_id {kind}, start_ms long, end_ms long, reason string, idx int"
-    )
+    kind = "struct<n:int,start_ms:bigint,end_ms:bigint,reason:string,held:bigint,held_reason:string>"
+    nothing = F.struct(F.lit(0).alias("n"), *[F.lit(None).alias(c) for c in ("start_ms", "end_ms", "reason", "held", "held_reason")])
+    each = per.select("job_id", F.posexplode(running("_all", nothing, step, kind, kind)).alias("i", "s")).filter("s.n > 0")
+    last = each.groupBy("job_id", F.col("s.n").alias("idx")).agg(F.max_by("s", "i").alias("s"))
+    return last.select("job_id", "s.start_ms", "s.end_ms", "s.reason", "idx")
 
 
 def stable_clips(invalid: DataFrame, durations: DataFrame, min_gap_ms: int = 350, min_clip_ms: int = 2000, merge_gap_ms: int = 1500) -> DataFrame:

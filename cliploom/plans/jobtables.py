@@ -408,10 +408,10 @@ def g4_preview(v: Views) -> DataFrame:
 
 
 def s7_bundle(v: Views) -> DataFrame:
-    jobs = v.jobs().select("job_name", (F.col("batch_id") % 25).alias("project_id"), (F.col("batch_id") % 7).alias("recipe_id"))
+    kit = F.when(F.col("batch_id") % 2 == 0, F.concat(F.lit("kit-"), F.col("batch_id") % 11))
+    jobs = v.jobs().select("job_name", (F.col("batch_id") % 25).alias("project_id"), (F.col("batch_id") % 7).alias("recipe_id"), kit.alias("kit_snapshot_id"))
     recipes = v.table("part").select(F.col("p_partkey").alias("id"))
-    b = files.project_bundle(v.projects(), jobs, recipes, 3, ("cuts.json", "job.json"), v.files())
-    return b.select("id", "name", F.array_join("jobs", ",").alias("jobs"), F.array_join("recipes", ",").alias("recipes"), F.array_join("files", ",").alias("files"))
+    return files.project_bundle(v.projects(), jobs, recipes, 3, ("cuts.json", "job.json"), v.files())
 
 
 _SEG_DOC = "string_agg(CAST(seg_idx + 1 AS VARCHAR) || chr(10) || {0} || ' --> ' || {1} || chr(10) || text || chr(10), chr(10) ORDER BY seg_idx)"
@@ -693,9 +693,9 @@ QUERIES = {
     "s7_project_bundle": (
         s7_bundle,
         sql(
-            "SELECT id, name, (SELECT string_agg(job_name, ',' ORDER BY job_name) FROM jobs WHERE batch_id % 25 = 3) AS jobs, (SELECT string_agg(DISTINCT p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) FROM part WHERE p_partkey IN (SELECT batch_id % 7 FROM jobs WHERE batch_id % 25 = 3)) AS recipes,"
-            " (SELECT string_agg(DISTINCT job_name || '/' || name, ',' ORDER BY job_name || '/' || name) FROM files WHERE name IN ('cuts.json', 'job.json') AND job_name IN (SELECT job_name FROM jobs WHERE batch_id % 25 = 3)) AS files FROM projects WHERE id = 3"
-        ),
+            "WITH own AS (SELECT * FROM jobs WHERE batch_id % 25 = 3) SELECT id, 'project' AS kind, name FROM projects WHERE id = 3 UNION SELECT 3, 'job', job_name FROM own UNION SELECT 3, 'recipe', CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey IN (SELECT batch_id % 7 FROM own)"
+            " UNION SELECT 3, 'kit', 'kit-' || batch_id % 11 FROM own WHERE batch_id % 2 = 0 UNION SELECT 3, 'file', f.job_name || '/' || f.name FROM files f JOIN own ON own.job_name = f.job_name WHERE f.name IN ('cuts.json', 'job.json')"
+        ).replace("\nWITH own AS", ",\nown AS"),
     ),
     "r1_tail_events": (r1_tail, sql("SELECT event_id AS id, event_type, job_id FROM ev WHERE event_id > 1000 AND event_id > (SELECT max(event_id) FROM ev) - 500")),
     "r2_latest_job_state": (r2_latest, sql("SELECT run_id AS job, max(seq) AS version, arg_max(status, {'a': seq, 'b': status}) AS status FROM stage_runs GROUP BY 1")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,16 +115,23 @@ def write_documents(documents: DataFrame, path: str) -> None:
 
 
 def project_bundle(projects: DataFrame, jobs: DataFrame, recipes: DataFrame, project_id, allowed: tuple[str, ...], files: DataFrame) -> DataFrame:
-    """One manifest row for a project: its jobs, the recipes they use and their allowed files.
+    """(id, kind, name): a project's manifest as rows: itself, its jobs, the recipes they use, the kits they were
+    made with (where jobs have kit_snapshot_id) and their allowed files. A sink may nest them.
 
-    jobs (job_name, project_id, recipe_id); files (job_name, name)."""
+    jobs (job_name, project_id, recipe_id[, kit_snapshot_id]); files (job_name, name)."""
     own = jobs.filter(F.col("project_id") == project_id)
-    names = own.agg(F.array_sort(F.collect_set("job_name")).alias("jobs"))
-    used = recipes.join(own.select(F.col("recipe_id").alias("id")), "id", "left_semi").agg(F.array_sort(F.collect_set("id")).alias("recipes"))
-    kept = files.filter(F.col("name").isin(*allowed)).join(own.select("job_name"), "job_name", "left_semi")
-    listed = kept.agg(F.array_sort(F.collect_set(F.concat_ws("/", "job_name", "name"))).alias("files"))
-    # three rows of one project's manifest
-    return projects.filter(F.col("id") == project_id).select("id", "name").join(F.broadcast(names)).join(F.broadcast(used)).join(F.broadcast(listed))
+    row = lambda kind, name: [F.lit(project_id).cast(projects.schema["id"].dataType).alias("id"), F.lit(kind).alias("kind"), name.cast("string").alias("name")]
+    used = recipes.join(own.select(F.col("recipe_id").alias("id")).distinct(), "id", "left_semi")
+    kept = files.filter(F.col("name").isin(*allowed)).join(own.select("job_name").distinct(), "job_name", "left_semi")
+    parts = [
+        projects.filter(F.col("id") == project_id).select(*row("project", F.col("name"))),
+        own.select(*row("job", F.col("job_name"))),
+        used.select(*row("recipe", F.col("id"))),
+        kept.select(*row("file", F.concat_ws("/", "job_name", "name"))),
+    ]
+    if "kit_snapshot_id" in jobs.columns:
+        parts.append(own.filter("kit_snapshot_id is not null").select(*row("kit", F.col("kit_snapshot_id"))))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def watch_media(spark: SparkSession, root: str) -> DataFrame:

@@ -374,8 +374,43 @@ def test_parts_of_odd_durations(spark):
     assert {(r.job_id, r.part, r.error) for r in platform.platform_segments(j, none, {"x": 60}).collect()} == {(1, None, "no duration"), (2, None, "no duration"), (3, 0, None)}
 
 
-def test_absorbed_clips_without_reason():
-    assert intervals._absorb([(0, 3000, None), (3100, 3200, " "), (3300, 9000, "c")], 2000, 1500) == [[0, 3200, "absorbed short clip"], [3300, 9000, "c"]]
+def absorbed_by_hand(clips, least, reach):
+    """Left to right; reasons in first-seen order."""
+    both = lambda *r: " / ".join(dict.fromkeys(x.strip() for x in r if x and x.strip()))
+    out, held = [], None
+    for i, (start, end, reason) in enumerate(clips):
+        if held:
+            start, reason, held = held[0], both(held[1], reason, "absorbed short clip"), None
+        right = clips[i + 1][0] - end if i + 1 < len(clips) else None
+        left = start - out[-1][1] if out else None
+        if end - start < least and left is not None and (right is None or left <= right) and left <= reach:
+            out[-1] = (out[-1][0], end, both(out[-1][2], reason, "absorbed short clip"))
+        elif end - start < least and right is not None and right <= reach:
+            held = (start, reason)
+        else:
+            out.append((start, end, reason))
+    return out
+
+
+def test_absorbed_clips_equal_a_plain_fold(spark):
+    import random
+
+    jobs = {0: [(0, 3000, None), (3100, 3200, " "), (3300, 9000, "c")], 1: [(0, 500, "only")], 2: [(0, 500, "a"), (600, 700, "b"), (5000, 5100, "c"), (9900, 9950, "d")]}
+    for j in range(3, 60):
+        r, at, own = random.Random(j), 0, []
+        for _ in range(r.randint(1, 200 if j == 3 else 12)):
+            at += r.choice([0, 300, 1500, 3000, 3001, 9000])
+            end = at + r.choice([1, 900, 1999, 2000, 7000])
+            own.append((at, end, r.choice(["a", "b", " a ", None, ""])))
+            at = end
+        jobs[j] = own
+    rows = [(j, i + 1, *c) for j, own in jobs.items() for i, c in enumerate(own)]
+    df = spark.createDataFrame(rows, "job_id long, idx int, start_ms long, end_ms long, reason string")
+    got = {j: [] for j in jobs}
+    for x in intervals.absorb_short(df, 2000, 1500).orderBy("job_id", "idx").collect():
+        got[x.job_id].append((x.start_ms, x.end_ms, x.reason))
+    assert got[0] == [(0, 3200, "absorbed short clip"), (3300, 9000, "c")]
+    assert got == {j: absorbed_by_hand(own, 2000, 3000) for j, own in jobs.items()}
 
 
 def test_running_gives_a_value_for_each_element_across_parts(spark):
