@@ -68,7 +68,7 @@ QUERIES = {
     "r5_lost_jobs_stream": (
         r5_lost,
         sql(
-            f"SELECT job_id AS job, sign + {12 * HOURS * 1000} AS lost_ms FROM (SELECT job_id, sign, lead(sign) OVER (PARTITION BY job_id ORDER BY sign) AS nxt, max(sign) OVER () AS newest FROM (SELECT job_id, epoch_ms(ts) AS sign FROM ev))"
+            f"SELECT job_id AS job, sign + {12 * HOURS * 1000} AS lost_ms FROM (SELECT job_id, sign, lead(sign) OVER (PARTITION BY job_id ORDER BY sign) AS nxt, max(sign) OVER () AS newest FROM (SELECT job_id, epoch_us(ts) // 1000 AS sign FROM ev))"
             f" WHERE coalesce(nxt, newest - 1000) - sign > {12 * HOURS * 1000} OR nxt IS NULL AND newest - 1000 - sign = {12 * HOURS * 1000}"
         ),
     ),
