@@ -196,6 +196,21 @@ def recursive(text: str, first: str) -> str:
     return sql(text).replace(f"\nWITH {first} AS", f",\n{first} AS", 1).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+def _overlapping(v: Views) -> DataFrame:
+    """All events as segments, many of which overlap the next ones or end before they start."""
+    end = F.col("start_ms") + F.col("len_ms") * 4 - F.col("event_id") % 3 * 9000
+    return v.events().select("job_id", F.col("event_id").alias("seg_idx"), "start_ms", end.alias("end_ms"), F.col("event_type").alias("text"))
+
+
+#: The fold over a job's overlapping segments: the end kept last, and whether this one stays.
+_CARRIED = (
+    "WITH raw AS MATERIALIZED (SELECT job_id, start_ms AS s, start_ms + len_ms * 4 - event_id % 3 * 9000 AS e, event_type AS text, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, event_id) AS i FROM ev),"
+    " fold AS (SELECT job_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS kept_end, false AS good, '' AS text FROM (SELECT DISTINCT job_id FROM raw) UNION ALL"
+    " SELECT job_id, i, a, CASE WHEN z > a AND a < 720000 THEN z ELSE kept_end END, z > a AND a < 720000, text FROM (SELECT *, CASE WHEN b <= a THEN least(720000, a + 300) ELSE b END AS z FROM"
+    " (SELECT r.job_id, r.i, f.kept_end, greatest(f.kept_end, r.s) AS a, least(r.e, 720000) AS b, r.text FROM fold f JOIN raw r ON r.job_id = f.job_id AND r.i = f.i + 1)))"
+    " SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY i) - 1 AS INTEGER) AS seg_idx, a AS start_ms, kept_end AS end_ms, text FROM fold WHERE good"
+)
+
 #: The fold over a job's clips: the last clip put out (g, its start and end) and a start left to the next one.
 _STABLE = (
     "WITH mi AS MATERIALIZED (SELECT job_id, start_ms, end_ms, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms) AS i, lead(start_ms) OVER (PARTITION BY job_id ORDER BY start_ms, end_ms) AS nxt FROM merged),"
@@ -307,6 +322,8 @@ QUERIES = {
         ).replace("\nWITH k AS", ",\nk AS"),
     ),
     "t2_allocate_untimed": (lambda v: transcript.allocate_untimed(v.untimed(), v.durations()), sql("SELECT job_id, seg_idx, start_ms, end_ms, text FROM timed")),
+    "t3_clean_overlapping": (lambda v: transcript.clean_segments(_overlapping(v), v.durations()), recursive(_CARRIED, "raw")),
+    "t3_clean_in_chunks": (lambda v: transcript.clean_long_segments(_overlapping(v), v.durations()), recursive(_CARRIED, "raw")),
     "t3_clean_segments": (lambda v: v.segments(), sql("SELECT * FROM segments")),
     "t4_replace_and_censor": (t4_replace_and_censor, sql(f"SELECT job_id, seg_idx, {_REPL.format('text')} AS text FROM chat")),
     "t5_valid_words": (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cliploom.operators import cuts, edges, intervals, library, logs, platform, subtitles, transcript, waveform
 from cliploom.plans import registry
-from cliploom.sources import incremental, ranged
+from cliploom.sources import compaction, incremental, ranged
 
 SF = "/root/testdata/sf0.001"
 
@@ -346,3 +346,55 @@ def test_batch_files_of_mixed_shapes(spark):
         ("none", None): (None, None, None, bad),
         ("bad", None): (None, None, None, bad),
     }
+
+
+def test_cleaning_in_chunks_is_cleaning_whole(spark):
+    """The steps of chunks, scanned, give what one fold over the job gives: overlaps, ties, nulls, late and empty segments."""
+    rng = random.Random(5)
+    rows = []
+    for job in range(6):
+        for i in range(rng.choice([0, 1, 40, 150])):
+            start = rng.choice([None, -50, rng.randrange(0, 9000), rng.randrange(0, 9000), 300])
+            end = None if rng.random() < 0.05 else (start or 0) + rng.choice([-100, 0, 10, 200, 900, 4000])
+            rows.append((job, i, start, end, rng.choice(["a", " b ", "", "c"])))
+    s = spark.createDataFrame(rows, "job_id int, seg_idx int, start_ms long, end_ms long, text string")
+    d = spark.createDataFrame([(0, 8000), (1, 0), (2, None), (3, 5000), (4, 100)], "job_id int, duration_ms long")
+    key = lambda df: sorted(tuple(r) for r in df.select("job_id", "seg_idx", "start_ms", "end_ms", "text").collect())
+    whole = key(transcript.clean_segments(s, d))
+    assert len(whole) > 100
+    for chunk in (1, 3, 16, 4096):
+        assert key(transcript.clean_long_segments(s, d, chunk=chunk)) == whole
+    assert key(transcript.clean_long_segments(s.limit(0), d)) == []
+    with pytest.raises(ValueError):
+        transcript.clean_long_segments(s, d, least_ms=0)
+
+
+def test_job_states_are_compacted_once(spark, tmp_path):
+    """A rerun reads nothing; changed files win by version; broken ones wait until they change."""
+    import json
+
+    root, table = tmp_path / "jobs", str(tmp_path / "table")
+
+    def put(job, at, body):
+        (root / job).mkdir(parents=True, exist_ok=True)
+        file = root / job / "job.json"
+        file.write_text(body if isinstance(body, str) else json.dumps(body))
+        os.utime(file, (at, at))
+
+    state = lambda status, version, day: {"status": status, "state_version": version, "updated_at": f"2026-01-{day:02d}T00:00:00"}
+    put("a", 1000, state("pending", 1, 1))
+    put("b", 1000, state("done", 4, 2))
+    put("c", 1000, "{broken")
+    put(".hidden", 1000, state("done", 1, 1))
+    put("a/deep", 1000, state("failed", 9, 3))
+    held = lambda: {(r.job_id, r.status, r.state_version) for r in compaction.compacted_job_states(spark, table).collect()}
+    assert compaction.compact_job_states(spark, str(root), table) == 3
+    assert held() == {("a", "pending", 1), ("b", "done", 4)}
+    assert compaction.compact_job_states(spark, str(root), table) == 0
+    put("a", 2000, state("done", 2, 5))  # newer
+    put("b", 2000, state("failed", 3, 6))  # older version written late
+    put("c", 500, state("pending", 0, 7))  # mended, with an older time of file
+    assert compaction.compact_job_states(spark, str(root) + "/", table) == 3
+    assert held() == {("a", "done", 2), ("b", "done", 4), ("c", "pending", 0)}
+    assert compaction.compact_job_states(spark, str(root), table) == 0
+    assert sorted(p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("date="))[-1] == "date=2026-01-07"
