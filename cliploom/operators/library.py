@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.functions.lineage import checkpointed
+from cliploom.functions.text import strip
 
 FINISHED = ("needs_review", "done", "canceled")
 #: Statuses at which a job has come to an end, and names of extracted audio (fixed values).
@@ -62,14 +63,25 @@ def resolve_creator_kit(jobs: DataFrame, projects: DataFrame, kits: DataFrame) -
 
 
 def list_projects(projects: DataFrame, include_archived: bool = False) -> DataFrame:
+    """Projects, those updated last first, then by name whatever its case."""
     p = projects if include_archived else projects.filter(~F.col("archived"))
-    return p.orderBy(F.lower("name"), "id")
+    return p.orderBy(F.col("updated_at").desc(), F.lower("name"), "id")
 
 
-def runs_per_job(runs: DataFrame, n: int = 5) -> DataFrame:
-    """runs (job, run_id, started_at): the newest n of each job."""
+def runs_per_job(runs: DataFrame, n: int = 5, stages: DataFrame | None = None) -> DataFrame:
+    """runs (job, run_id, started_at): the newest n of each job.
+
+    With stages (run_id, stage_number, more columns) each run has its stages in order, as an array of structs; a
+    run without any has an empty one.
+    """
     order = Window.partitionBy("job").orderBy(F.col("started_at").desc(), F.col("run_id").desc())
-    return runs.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n)
+    newest = runs.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n)
+    if stages is None:
+        return newest
+    item = F.struct("stage_number", *[c for c in stages.columns if c not in ("run_id", "stage_number")])
+    kept = stages.join(newest.select("run_id").distinct(), "run_id", "left_semi")
+    nested = kept.groupBy("run_id").agg(F.array_sort(F.collect_list(item)).alias("stages"))
+    return newest.join(nested, "run_id", "left").withColumn("stages", F.coalesce("stages", F.array().cast(nested.schema["stages"].dataType)))
 
 
 def latest_stage_state(updates: DataFrame) -> DataFrame:
@@ -87,6 +99,20 @@ def stage_timings(stages: DataFrame) -> DataFrame:
     )
 
 
+def run_timings(stages: DataFrame) -> DataFrame:
+    """(run_id, stages, total_seconds, wait_seconds, execution_seconds): where each run's time went, to the millisecond.
+
+    stages (run_id, duration_seconds, resource_wait_seconds, execution_seconds); unknown times count as none.
+    """
+    total = lambda c: F.round(F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), 3)
+    return stages.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("stages"),
+        total("duration_seconds").alias("total_seconds"),
+        total("resource_wait_seconds").alias("wait_seconds"),
+        total("execution_seconds").alias("execution_seconds"),
+    )
+
+
 def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """df with each row's place from 1 by `order`, without one task for all rows.
 
@@ -217,45 +243,91 @@ def artifact_inventory(files: DataFrame) -> DataFrame:
     )
 
 
+#: Stages of a run in order, and the statuses that name one in another form (fixed values).
+STAGES = (
+    "probe", "detect_corruption", "extract_audio", "transcribe", "detect_silence", "detect_freeze", "detect_scenes", "plan_cuts",
+    "refine_cuts", "style_subtitles", "plan_crop", "plan_uvr", "plan_render", "render_review", "render_final", "render_web_preview",
+)
+STAGE_OF_STATUS = {
+    "probing": "probe", "detecting_corruption": "detect_corruption", "extracting_audio": "extract_audio", "transcribing": "transcribe",
+    "detecting_silence": "detect_silence", "detecting_freeze": "detect_freeze", "detecting_scenes": "detect_scenes", "planning_cuts": "plan_cuts",
+    "refining_cuts": "refine_cuts", "styling_subtitles": "style_subtitles", "planning_crop": "plan_crop", "planning_uvr": "plan_uvr",
+    "planning_render": "plan_render", "rendering_review": "render_review", "rendering_final": "render_final", "rendering_web_preview": "render_web_preview",
+}
+
+
 def status_group(status: Column) -> Column:
-    return F.when(status == "failed", "failed").when(status == "done", "done").when(status == "needs_review", "review").otherwise("processing")
+    return F.when(status.isin("failed", "canceled"), "failed").when(status == "done", "done").when(status == "needs_review", "review").otherwise("processing")
 
 
-def dashboard_view(jobs: DataFrame, search: str = "", n: int = 100) -> DataFrame:
-    """The first n jobs for a dashboard: review, failed, processing, done, each newest first."""
-    group = status_group(F.col("status"))
-    rank = F.when(group == "review", 0).when(group == "failed", 1).when(group == "processing", 2).otherwise(3)
+def progress_of(status: Column, stage: Column) -> Column:
+    """Percent of its stages that a job has reached: all where it has ended, none in an unknown stage."""
+    named = F.create_map(*[F.lit(x) for pair in STAGE_OF_STATUS.items() for x in pair])
+    at = F.array_position(F.array(*[F.lit(x) for x in STAGES]), F.coalesce(F.nullif(stage, F.lit("")), F.try_element_at(named, status), F.lit("")))
+    return F.when(status.isin(*TERMINAL), 100).otherwise(F.floor(at * 100 / len(STAGES) + 0.5)).cast("int")
+
+
+def dashboard_view(jobs: DataFrame, search: str = "", n: int = 100, group: str = "all") -> DataFrame:
+    """The first n jobs for a dashboard, of one status group or all: review, failed, processing, done, each
+    newest first."""
+    own = status_group(F.col("status"))
+    rank = F.when(own == "review", 0).when(own == "failed", 1).when(own == "processing", 2).otherwise(3)
     hit = F.contains(F.lower(F.concat_ws(" ", "source_path", "job_name")), F.lit(search.lower()))
     return (
-        jobs.filter(hit)
-        .select("job_name", "source_path", group.alias("status_group"), "updated_at", rank.alias("sort_key"))
+        jobs.filter(hit if group == "all" else hit & (own == group))
+        .select("job_name", "source_path", own.alias("status_group"), "updated_at", rank.alias("sort_key"))
         .orderBy("sort_key", F.col("updated_at").desc(), "job_name")
         .limit(n)
     )
 
 
+def _in_batches(jobs: DataFrame) -> DataFrame:
+    return jobs.withColumn("batch_id", strip(F.col("batch_id").cast("string"))).filter("batch_id <> ''")
+
+
 def batch_groups(jobs: DataFrame) -> DataFrame:
-    """Batches of two or more jobs with their numbers by status group."""
+    """Batches of two or more jobs with their numbers by status group and their jobs' mean progress in percent.
+
+    jobs (batch_id, status[, current_stage]); jobs of no or a blank batch are in none.
+    """
     group = status_group(F.col("status"))
     count = lambda g: F.count_if(group == g).alias(g)
+    stage = F.col("current_stage") if "current_stage" in jobs.columns else F.lit(None).cast("string")
     return (
-        jobs.groupBy("batch_id")
-        .agg(F.count(F.lit(1)).alias("jobs"), count("failed"), count("done"), count("review"), count("processing"))
+        _in_batches(jobs)
+        .groupBy("batch_id")
+        .agg(
+            F.count(F.lit(1)).alias("jobs"), count("failed"), count("done"), count("review"), count("processing"),
+            F.floor(F.avg(progress_of(F.col("status"), stage)) + 0.5).cast("int").alias("progress"),
+        )
         .filter("jobs >= 2")
     )
 
 
+def batch_order(jobs: DataFrame) -> DataFrame:
+    """jobs (job_name, batch_id, batch_index, updated_at) of batches of two or more, with their place from 1 in it:
+    by index, those without one last, then newest first."""
+    batch = Window.partitionBy("batch_id")
+    order = batch.orderBy(F.col("batch_index").asc_nulls_last(), F.col("updated_at").desc(), "job_name")
+    placed = _in_batches(jobs).withColumn("place", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(batch))
+    return placed.filter("_n >= 2").drop("_n")
+
+
 def merge_snapshots(current: DataFrame, following: DataFrame, preserve_missing: bool = False) -> DataFrame:
-    """(job_name, version, status) by job: current stays if its version is above 0 and the next one's is
-    0 or lower; else the next one holds. Jobs missing from the next snapshot go unless preserved."""
-    n = following.select(F.col("job_name").alias("_k"), F.col("version").alias("_v"), F.col("status").alias("_s"))
-    j = current.join(n, F.col("job_name") == F.col("_k"), "full_outer")
+    """(job_name, version, status[, files], missing) by job: current stays if its version is above 0 and the next one's is
+    0 or lower; else the next one holds, with current's files (if the tables have that column) where it has
+    none. Jobs missing from the next snapshot go unless preserved. No version counts as 0."""
+    with_files = "files" in current.columns and "files" in following.columns
+    version = lambda: F.coalesce("version", F.lit(0))
+    n = following.select(F.col("job_name").alias("_k"), version().alias("_v"), F.col("status").alias("_s"), *([F.col("files").alias("_f")] if with_files else []))
+    j = current.withColumn("version", version()).join(n, F.col("job_name") == F.col("_k"), "full_outer")
     stays = (F.col("version") > 0) & ((F.col("_v") == 0) | (F.col("_v") < F.col("version")))
     use = F.when(F.col("_k").isNull() | F.coalesce(stays, F.lit(False)), True).otherwise(False)
     out = j.select(
         F.coalesce("job_name", "_k").alias("job_name"),
         F.when(use, F.col("version")).otherwise(F.col("_v")).alias("version"),
         F.when(use, F.col("status")).otherwise(F.col("_s")).alias("status"),
+        *([F.when(use, F.col("files")).otherwise(F.coalesce("_f", "files")).alias("files")] if with_files else []),
         F.col("_k").isNull().alias("missing"),
     )
     return out if preserve_missing else out.filter(~F.col("missing"))
@@ -266,6 +338,41 @@ def drop_deleted(tables: dict[str, DataFrame], deleted: DataFrame) -> dict[str,
     return {name: t.join(deleted.select("job_name"), "job_name", "left_anti") for name, t in tables.items()}
 
 
+def checked_recipes(recipes: DataFrame) -> DataFrame:
+    """recipes (client_id, body JSON[, more]) -> (..., name, stages, options, creator_kit_id, target_platforms, error).
+
+    A recipe needs a client id and a name (cut to 120 characters); stages and target_platforms are lists of texts,
+    options an object; members that aren't there are empty, blank items go. What is wrong first is its error,
+    and its fields are null then.
+    """
+    v = F.try_parse_json("body")
+    many = "array<variant>"
+    kind = lambda c: F.regexp_extract(F.schema_of_variant(c), r"^[A-Z]+", 0)
+    member = lambda n: F.try_variant_get(v, f"$.{n}", "variant")
+    said = lambda n: strip(F.coalesce(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")))
+    items = lambda n: F.coalesce(F.try_variant_get(v, f"$.{n}", many), F.array().cast(many))
+    texts_only = lambda n: F.coalesce((kind(member(n)) == "ARRAY") & F.forall(items(n), lambda x: kind(x) == "STRING"), F.lit(True))
+    texts = lambda n: F.filter(F.transform(items(n), lambda x: strip(F.try_variant_get(x, "$", "string"))), lambda x: x != "")
+    error = (
+        F.when(strip(F.coalesce("client_id", F.lit(""))) == "", "without a client id")
+        .when(F.coalesce(kind(v), F.lit("")) != "OBJECT", "not an object")
+        .when(said("name") == "", "without a name")
+        .when(~texts_only("stages"), "stages are no list of texts")
+        .when(F.coalesce(kind(member("options")), F.lit("OBJECT")) != "OBJECT", "options are no object")
+        .when(~texts_only("target_platforms"), "target_platforms are no list of texts")
+    )
+    good = lambda c: F.when(error.isNull(), c)
+    return recipes.withColumn("client_id", strip("client_id")).select(
+        *[c for c in recipes.columns if c != "body"],
+        good(F.substring(said("name"), 1, 120)).alias("name"),
+        good(texts("stages")).alias("stages"),
+        good(F.coalesce(F.to_json(member("options")), F.lit("{}"))).alias("options"),
+        good(F.nullif(said("creator_kit_id"), F.lit(""))).alias("creator_kit_id"),
+        good(texts("target_platforms")).alias("target_platforms"),
+        error.alias("error"),
+    )
+
+
 def import_recipes(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Recipes by client_id: existing rows win, the first of repeated new ones is taken."""
     order = Window.partitionBy("client_id").orderBy("id")
@@ -274,12 +381,12 @@ def import_recipes(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def asr_attempts(attempts: DataFrame, last: int = 20) -> DataFrame:
-    """(job, backend, ok, seconds, at): success rate and seconds by backend over each job's last attempts."""
+    """(job, backend[, model], ok, seconds, at, id): successes and seconds by backend (and model) over each job's last attempts."""
     order = Window.partitionBy("job").orderBy(F.col("at").desc(), F.col("id").desc())
     return (
         attempts.withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= last)
-        .groupBy("backend")
+        .groupBy("backend", *(["model"] if "model" in attempts.columns else []))
         .agg(F.count(F.lit(1)).alias("attempts"), F.count_if("ok").alias("succeeded"), F.sum("seconds").alias("seconds"))
     )
 

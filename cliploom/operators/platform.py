@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.functions.text import strip
 
-#: Longest part of each kind of platform in seconds, an example; callers give their own table.
-PRESETS = {"short": 60, "medium": 180, "long": 600}
+#: Longest video of each platform in seconds, and the picture it wants (fixed values).
+PRESETS = {"douyin": 180, "bilibili": 600, "youtube_shorts": 60}
+RESOLUTIONS = {"douyin": "1080x1920", "bilibili": "1920x1080", "youtube_shorts": "1080x1920"}
 MAX_PARTS = 1000
 
 
@@ -68,21 +71,31 @@ def platform_segments(durations: DataFrame, boundaries: DataFrame, presets: dict
     ).select("job_id", "platform", "part", "x.start_ms", "x.end_ms", "error")
 
 
-def platform_checks(jobs: DataFrame, parts: DataFrame, limits: dict[str, int] = PRESETS) -> DataFrame:
-    """(job_id, platform, name, ok): duration within the limit, no part too long, title and cover there.
+def platform_checks(jobs: DataFrame, parts: DataFrame, limits: dict[str, int | None] = PRESETS, resolutions: dict[str, str] = RESOLUTIONS) -> DataFrame:
+    """(job_id, platform, name, ok, message): what to look at before a job goes to each platform.
 
-    jobs (job_id, duration_ms, title, cover)."""
-    limit = F.explode(F.array(*[F.struct(F.lit(k).alias("platform"), F.lit(v * 1000).alias("limit")) for k, v in limits.items()]))
+    jobs (job_id, duration_ms, video, has_video, title, cover); parts (job_id, platform, start_ms, end_ms). The
+    duration is checked where it and a limit are known, parts where there are any; the picture is advice
+    and the review a reminder, both always fine.
+    """
+    row = lambda k: F.struct(F.lit(k).alias("platform"), F.lit(limits[k]).cast("bigint").alias("limit"), F.lit(resolutions.get(k, "source")).alias("picture"))
     longest = parts.groupBy("job_id", "platform").agg(F.max(F.col("end_ms") - F.col("start_ms")).alias("longest"))
-    j = jobs.select("*", limit.alias("l")).select("*", "l.platform", "l.limit").join(longest, ["job_id", "platform"], "left")
-    check = lambda n, c: F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("ok"))
+    j = jobs.select("*", F.explode(F.array(*[row(k) for k in limits])).alias("l")).select("*", "l.*").join(longest, ["job_id", "platform"], "left")
+    check = lambda n, c, text: F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit(False)).alias("ok"), text.alias("message"))
+    bound = F.concat(F.lit("max "), F.col("limit"), F.lit("s"))
+    limited = F.coalesce(F.col("limit"), F.lit(0)) != 0
+    # tenths of a second, the last one rounded
+    seconds = F.format_string("%.1f", F.col("duration_ms") / 1000)
     checks = F.array(
-        check("duration", F.col("duration_ms") <= F.col("limit")),
-        check("segments", F.coalesce("longest", F.lit(0)) <= F.col("limit")),
-        check("title", F.trim("title") != ""),
-        check("cover", F.col("cover")),
+        F.when(limited & (F.coalesce("duration_ms", F.lit(0)) != 0), check("duration_limit", F.col("duration_ms") <= F.col("limit") * 1000, F.concat(seconds, F.lit("s / "), bound))),
+        F.when(limited & F.col("longest").isNotNull(), check("segment_duration", F.col("longest") <= F.col("limit") * 1000, bound)),
+        check("video_exists", F.col("has_video"), F.coalesce("video", F.lit(""))),
+        check("metadata_ready", strip(F.col("title")) != "", F.lit("title available")),
+        check("cover_ready", F.col("cover"), F.lit("cover_vertical/landscape or selected cover")),
+        check("resolution_advice", F.lit(True), F.concat(F.lit("target "), F.col("picture"))),
+        check("manual_review", F.lit(True), F.lit("Review platform policy and copyright before upload.")),
     )
-    return j.select("job_id", "platform", F.explode(checks).alias("c")).select("job_id", "platform", "c.name", "c.ok")
+    return j.select("job_id", "platform", F.inline(F.array_compact(checks)))
 
 
 _KIT = (
@@ -157,14 +170,47 @@ def quality_gate(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", blocking.alias("blocking"), advisory.alias("advisory")).withColumn("status", status)
 
 
-def vertical_crop_plan(frames: DataFrame, anchor: float = 0.5) -> DataFrame:
-    """frames (job_id, width, height) -> the 9:16 window around the anchor."""
-    w = F.least("width", F.bround(F.col("height") * 9 / 16)).cast("int")
-    h = F.least("height", F.bround(F.col("width") * 16 / 9)).cast("int")
-    place = lambda size, crop: F.least(F.greatest(F.bround(size * anchor - crop / 2), F.lit(0)), size - crop).cast("int")
-    return frames.select(
-        "job_id", w.alias("crop_w"), h.alias("crop_h"), place(F.col("width"), w).alias("crop_x"), place(F.col("height"), h).alias("crop_y")
-    )
+#: Filter chains of the three ways to an upright picture (fixed values); w, h, x, y are the cut, tw and th the picture.
+FILTERS = {
+    "crop": "crop={w}:{h}:{x}:{y},scale={tw}:{th}",
+    "pad": "scale={tw}:{th}:force_original_aspect_ratio=decrease,pad={tw}:{th}:(ow-iw)/2:(oh-ih)/2:black",
+    "blur": "split=2[fg][bg];[bg]scale={tw}:{th}:force_original_aspect_ratio=increase,crop={tw}:{th},gblur=sigma=28,eq=brightness=-0.08:saturation=0.9[bgv];"
+    "[fg]scale={tw}:{th}:force_original_aspect_ratio=decrease[fgv];[bgv][fgv]overlay=(W-w)/2:(H-h)/2,setsar=1",
+}
+
+
+def _filled(form: str, **values: Column) -> Column:
+    """A form whose {names} are columns."""
+    parts = re.split(r"\{(\w+)\}", form)
+    return F.concat(*[values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def vertical_crop_plan(frames: DataFrame, anchor: float = 0.5, anchor_y: float | None = None, mode: str = "crop", target: tuple[int, int] = (1080, 1920)) -> DataFrame:
+    """(job_id, crop_w, crop_h, crop_x, crop_y, filter): how a frame becomes an upright picture of the target's shape.
+
+    frames (job_id, width, height[, content_w, content_h, content_x, content_y: what content_crop() found]). Mode `crop`
+    cuts the content around the anchor (shares of its width and height, held to 0 to 1), `pad` and `blur`
+    keep all of it. Places of a cut count from the content's corner. Without a frame's size all is null.
+    """
+    if mode not in FILTERS:
+        raise ValueError(f"unknown mode {mode}")
+    known = (F.col("width") > 0) & (F.col("height") > 0)
+    own = "content_w" in frames.columns
+    cw, ch, cx, cy = (F.coalesce(f"content_{c}", d) if own else d for c, d in zip("whxy", (F.col("width"), F.col("height"), F.lit(0), F.lit(0)), strict=True))
+    tw, th = target
+    if mode == "crop":
+        # the side that is too long is cut
+        w, h = (x.cast("int") for x in (F.least(cw, F.bround(ch * tw / th)), F.least(ch, F.bround(cw * th / tw))))
+        share = lambda a: min(max(a, 0.0), 1.0)
+        place = lambda size, cut, at: F.bround(F.least(F.greatest(size * share(at) - cut / 2, F.lit(0)), size - cut)).cast("int")
+        x, y = place(cw, w, anchor), place(ch, h, anchor if anchor_y is None else anchor_y)
+    else:
+        w, h, x, y = cw.cast("int"), ch.cast("int"), cx.cast("int"), cy.cast("int")
+    whole = (cx == 0) & (cy == 0) & (cw == F.col("width")) & (ch == F.col("height"))
+    before = F.when(whole, "").otherwise(_filled("crop={w}:{h}:{x}:{y},", w=cw, h=ch, x=cx, y=cy))
+    chain = F.concat(before, _filled(FILTERS[mode], w=w, h=h, x=x, y=y, tw=F.lit(tw), th=F.lit(th)))
+    out = {"crop_w": w, "crop_h": h, "crop_x": x, "crop_y": y, "filter": chain}
+    return frames.select("job_id", *[F.when(known, c).alias(n) for n, c in out.items()])
 
 
 def publish_queue(jobs: DataFrame, packages: DataFrame) -> DataFrame:

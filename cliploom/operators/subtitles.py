@@ -217,6 +217,12 @@ def translation_batches(segments: DataFrame, max_segments: int = 24, max_chars:
     return per.select("job_id", F.explode(out).alias("x")).select("job_id", "x.seg_idx", "x.batch")
 
 
+def translation_workload(segments: DataFrame, max_segments: int = 1200, max_chars: int = 240_000) -> DataFrame:
+    """(job_id, segments, chars, error): what a translation of each job would send; an error where it is too much for one run."""
+    per = segments.groupBy("job_id").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+    return per.withColumn("error", F.when(F.col("segments") > max_segments, "too many segments").when(F.col("chars") > max_chars, "too many characters"))
+
+
 def merge_translations(source: DataFrame, translated: DataFrame) -> DataFrame:
     """Source rows with their translation by exact times; the last of repeated ones; without one the
     source text stays; an empty one drops the row. translated (job_id, start_ms, end_ms, seq, text)."""

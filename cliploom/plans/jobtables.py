@@ -21,6 +21,12 @@ def u3_remap(v: Views) -> DataFrame:
     return subtitles.remap_segments(base["segments"], subtitles.kept_timeline(base["clips"]))
 
 
+def _long_chats(v: Views) -> DataFrame:
+    """Jobs of whole documents and, with negative ids, of many conversations each."""
+    d = v.table("documents").select((F.col("doc_id") % 7 + 100 * (F.col("doc_id") % 13)).alias("job_id"), "text")
+    return d.unionByName(v.table("conversations").select((F.col("conv_id") % 3 - 3).alias("job_id"), "text"))
+
+
 def u5_events(v: Views) -> DataFrame:
     return subtitles.subtitle_events(_chat_times(v), 24)
 
@@ -148,12 +154,44 @@ def g2_segments(v: Views) -> DataFrame:
 
 
 def g3_checks(v: Views) -> DataFrame:
+    """Every tenth job has no duration; parts of some jobs go to one platform only."""
     kind = F.element_at(F.array(*[F.lit(p) for p in platform.PRESETS]), (F.col("event_id") % 3 + 1).cast("int"))
-    parts = v.events().select("job_id", kind.alias("platform"), "start_ms", (F.col("start_ms") + 30 * F.col("len_ms")).alias("end_ms"))
-    jobs = v.durations().select("job_id", "duration_ms", F.when(F.col("job_id") % 4 == 0, " ").otherwise("t").alias("title"), (F.col("job_id") % 3 == 0).alias("cover"))
+    parts = v.events().filter("job_id % 5 <> 0 or event_id % 3 = 1").select("job_id", kind.alias("platform"), "start_ms", (F.col("start_ms") + 30 * F.col("len_ms")).alias("end_ms"))
+    jobs = v.durations().select(
+        "job_id",
+        F.when(F.col("job_id") % 10 != 0, F.col("duration_ms") - F.col("job_id") % 70 * 10_100).alias("duration_ms"),
+        F.concat(F.lit("v"), "job_id").alias("video"),
+        (F.col("job_id") % 6 != 0).alias("has_video"),
+        F.when(F.col("job_id") % 4 == 0, " ").otherwise("t").alias("title"),
+        (F.col("job_id") % 3 == 0).alias("cover"),
+    )
     return platform.platform_checks(jobs, parts)
 
 
+def _frames(v: Views) -> DataFrame:
+    """Frames of many sizes, some without one, a third of them with black borders."""
+    border = lambda n, c: F.when(F.col("p_partkey") % 3 == 0, c).alias(n)
+    w = (F.col("p_size") - 1) * 40
+    return v.table("part").select(
+        F.col("p_partkey").alias("job_id"), w.alias("width"), F.lit(1080).alias("height"), border("content_w", w - 40), border("content_h", F.lit(1000)), border("content_x", F.lit(20)), border("content_y", F.lit(40))
+    )
+
+
+def _crop_sql(where: str, before: str, then: str) -> str:
+    """where: cut width, height, x and y from the content's cw and ch; before and then: parts of the filter."""
+    return (
+        "WITH f AS (SELECT p_partkey AS job_id, (p_size - 1) * 40 AS width, p_partkey % 3 = 0 AS bordered FROM part), c AS (SELECT *, CASE WHEN bordered THEN width - 40 ELSE width END AS cw, CASE WHEN bordered THEN 1000 ELSE 1080 END AS ch FROM f WHERE width > 0),"
+        f" z AS ({where}) SELECT f.job_id, CAST(w AS INTEGER) AS crop_w, CAST(h AS INTEGER) AS crop_h, CAST(x AS INTEGER) AS crop_x, CAST(y AS INTEGER) AS crop_y, CASE WHEN width > 0 THEN CASE WHEN f.bordered THEN 'crop=' || (width - 40) || ':1000:20:40,' ELSE '' END || {before}{then} END AS filter FROM f LEFT JOIN z USING (job_id)"
+    )
+
+
+_CUT = (
+    "SELECT job_id, w, h, round_even(least(greatest(cw * 0.5 - w / 2.0, 0), cw - w), 0)::INTEGER AS x, round_even(least(greatest(ch * 0.25 - h / 2.0, 0), ch - h), 0)::INTEGER AS y FROM"
+    " (SELECT *, CASE WHEN cw * 16 > ch * 9 THEN round_even(ch * 9 / 16.0, 0) ELSE cw END::INTEGER AS w, CASE WHEN cw * 16 > ch * 9 THEN ch ELSE round_even(cw * 16 / 9.0, 0) END::INTEGER AS h FROM c)"
+)
+_WHOLE = "SELECT job_id, cw AS w, ch AS h, CASE WHEN bordered THEN 20 ELSE 0 END AS x, CASE WHEN bordered THEN 40 ELSE 0 END AS y FROM c"
+
+
 #: Kits of the three snapshots; the third is no JSON.
 KITS = (
     '{"aspect": "9:16", "subtitle_style": {"max_lines": 3}, "cover_style": {"required": true}, "metadata_style": {"quality_gate": {"subtitle_max_lines": 2, "duration_min_seconds": 5, "duration_max_seconds": 40, "loudness_min_lufs": -20, "loudness_max_lufs": -10}}}',
@@ -262,8 +300,20 @@ def l1_upsert(v: Views) -> DataFrame:
 
 
 def l8_runs(v: Views) -> DataFrame:
-    runs = v.stage_runs().select(F.col("seq").alias("job"), "run_id", "started_at").groupBy("job", "run_id").agg(F.max("started_at").alias("started_at"))
-    return library.runs_per_job(runs, 5)
+    """The newest runs of each part with all their stages, written out in order."""
+    r = v.stage_runs()
+    runs = r.groupBy(F.col("seq").alias("job"), "run_id").agg(F.max("started_at").alias("started_at"))
+    stages = r.select("run_id", F.substring_index("stage", "-", -1).cast("int").alias("stage_number"), "status", F.col("duration_seconds").cast("int").alias("seconds"))
+    text = F.transform("stages", lambda x: F.concat_ws(":", x["stage_number"], x["status"], x["seconds"]))
+    return library.runs_per_job(runs, 5, stages).withColumn("stages", F.array_join(text, ","))
+
+
+def l10_runs(v: Views) -> DataFrame:
+    """A seventh of the stages waited for nothing known."""
+    t = v.table("lineitem").select(
+        F.col("l_orderkey").alias("run_id"), F.col("l_quantity").alias("duration_seconds"), F.when(F.col("l_partkey") % 7 != 0, F.col("l_tax") * 10).alias("resource_wait_seconds"), (F.col("l_quantity") - F.col("l_discount")).alias("execution_seconds")
+    )
+    return library.run_timings(t)
 
 
 def l6_kits(v: Views) -> DataFrame:
@@ -323,13 +373,39 @@ def _l16_sql(reasons: str, which: str, files: str) -> str:
     )
 
 
+def _some_canceled(v: Views) -> DataFrame:
+    """Jobs of which some are canceled and some render; a tenth is in no batch or a blank one."""
+    at = F.col("state_version")
+    status = F.when(at == 3, "canceled").when((F.col("status") == "transcribing") & (at == 2), "rendering_final").when((F.col("status") == "transcribing") & (at == 1), "resting").otherwise(F.col("status"))
+    batch = F.when(F.col("batch_id") % 20 == 1, " ").when(F.col("batch_id") % 20 != 0, F.concat(F.lit(" b"), "batch_id"))
+    stage = F.when(at == 5, "plan_cuts").when(at == 6, "")
+    return v.jobs().withColumns({"status": status, "batch_id": batch, "current_stage": stage, "batch_index": F.when(at != 0, at)})
+
+
+_CANCELED = (
+    "WITH jc AS (SELECT job_name, source_path, updated_at, CASE WHEN state_version = 3 THEN 'canceled' WHEN status = 'transcribing' AND state_version = 2 THEN 'rendering_final' WHEN status = 'transcribing' AND state_version = 1 THEN 'resting' ELSE status END AS status,"
+    " CASE WHEN batch_id % 20 > 1 THEN 'b' || batch_id END AS batch_id, CASE WHEN state_version = 5 THEN 8 END AS at_stage, nullif(state_version, 0) AS batch_index FROM jobs),"
+    " jg AS (SELECT *, CASE WHEN status IN ('failed', 'canceled') THEN 'failed' WHEN status = 'done' THEN 'done' WHEN status = 'needs_review' THEN 'review' ELSE 'processing' END AS g,"
+    " CASE WHEN status IN ('failed', 'canceled', 'done', 'needs_review') THEN 100 ELSE floor(coalesce(at_stage, CASE status WHEN 'transcribing' THEN 4 WHEN 'rendering_final' THEN 15 ELSE 0 END) * 100 / 16.0 + 0.5) END AS pct FROM jc)"
+)
+
+
+def _canceled(text: str) -> str:
+    return sql(_CANCELED + text).replace("\nWITH jc AS", ",\njc AS", 1)
+
+
 def l18_dashboard(v: Views) -> DataFrame:
-    return library.dashboard_view(v.jobs(), "SRC-1").drop("sort_key", "updated_at")
+    return library.dashboard_view(_some_canceled(v), "SRC-1").drop("sort_key", "updated_at")
+
+
+def l18_failed(v: Views) -> DataFrame:
+    return library.dashboard_view(_some_canceled(v), group="failed").drop("sort_key", "updated_at")
 
 
 def l20_merge(v: Views) -> DataFrame:
-    j = v.jobs().select("job_name", F.col("state_version").alias("version"), "status", "batch_id")
-    n = j.filter("batch_id >= 100").select("job_name", ((F.col("version") * 3) % 7).alias("version"), F.concat("status", F.lit("!")).alias("status"))
+    """Some next snapshots have no version or no files."""
+    j = v.jobs().select("job_name", F.nullif("state_version", F.lit(6)).alias("version"), "status", "batch_id", F.concat(F.lit("f"), "batch_id").alias("files"))
+    n = j.filter("batch_id >= 100").select("job_name", F.nullif((F.col("version") * 3) % 7, F.lit(2)).alias("version"), F.concat("status", F.lit("!")).alias("status"), F.when(F.col("batch_id") % 3 != 0, F.concat("files", F.lit("!"))).alias("files"))
     return library.merge_snapshots(j.filter("batch_id < 400").drop("batch_id"), n, True)
 
 
@@ -343,8 +419,30 @@ def l22_recipes(v: Views) -> DataFrame:
     return library.import_recipes(p.filter("id < 20"), p.filter("id >= 20"))
 
 
+#: Bodies of recipes, the i-th where p_partkey % 9 is i; name is put in.
+RECIPES = (
+    '{"name": " @ ", "stages": [" a ", "", "b"], "options": {"k": 1}, "creator_kit_id": " 7 ", "target_platforms": ["x"]}',
+    '{"name": "@"}',
+    '{"name": " "}',
+    '{"name": "@", "stages": ["a", 1]}',
+    '{"name": "@", "stages": "a"}',
+    '{"name": "@", "options": [1]}',
+    '{"name": "@", "target_platforms": [null]}',
+    '["@"]',
+    '{"name": "@", "stages": null, "options": 3}',
+)
+
+
+def l22_checked(v: Views) -> DataFrame:
+    body = F.element_at(F.array(*[F.lit(x) for x in RECIPES]), (F.col("p_partkey") % len(RECIPES) + 1).cast("int"))
+    long = F.repeat("p_name", (F.col("p_partkey") % 20 + 1).cast("int"))
+    r = v.table("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 1, F.concat(F.lit(" "), "p_brand")).alias("client_id"), F.replace(body, F.lit("@"), long).alias("body"))
+    c = library.checked_recipes(r)
+    return c.withColumns({n: F.array_join(n, "|") for n in ("stages", "target_platforms")})
+
+
 def l23_asr(v: Views) -> DataFrame:
-    a = v.events().select("job_id", F.col("job_id").alias("job"), F.col("event_type").alias("backend"), (F.col("value") > 20).alias("ok"), F.col("len_ms").alias("seconds"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    a = v.events().select("job_id", F.col("job_id").alias("job"), F.col("event_type").alias("backend"), (F.col("event_id") % 3).alias("model"), (F.col("value") > 20).alias("ok"), F.col("len_ms").alias("seconds"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
     return library.asr_attempts(a, 20)
 
 
@@ -472,6 +570,10 @@ QUERIES = {
             "sg",
         ),
     ),
+    "u8_translation_workload": (
+        lambda v: subtitles.translation_workload(_long_chats(v)),
+        "SELECT job_id, count(*) AS segments, CAST(sum(length(text)) AS BIGINT) AS chars, CASE WHEN count(*) >= 1201 THEN 'too many segments' WHEN sum(length(text)) >= 240001 THEN 'too many characters' END AS error FROM (SELECT doc_id % 7 + 100 * (doc_id % 13) AS job_id, text FROM documents UNION ALL SELECT conv_id % 3 - 3, text FROM conversations) GROUP BY 1",
+    ),
     "u9_merge_translations": (
         u9_merge,
         sql("SELECT job_id, seg_idx, start_ms, end_ms, CASE WHEN seg_idx % 3 = 0 THEN 'T ' || text ELSE text END AS text FROM segments WHERE seg_idx % 3 <> 0 OR seg_idx % 2 = 0"),
@@ -508,7 +610,14 @@ QUERIES = {
     "g2_platform_segments": (g2_segments, None),
     "g3_platform_checks": (
         g3_checks,
-        sql("SELECT job_id, platform, name, CASE name WHEN 'duration' THEN 720000 <= lim WHEN 'segments' THEN coalesce((SELECT max(30 * len_ms) FROM ev WHERE ev.job_id = durations.job_id AND event_id % 3 = k), 0) <= lim WHEN 'title' THEN job_id % 4 <> 0 ELSE job_id % 3 = 0 END AS ok FROM durations, (VALUES ('short', 60000, 0), ('medium', 180000, 1), ('long', 600000, 2)) p(platform, lim, k), (VALUES ('duration'), ('segments'), ('title'), ('cover')) n(name)"),
+        sql(
+            "WITH j AS (SELECT job_id, CASE WHEN job_id % 10 <> 0 THEN duration_ms - job_id % 70 * 10100 END AS dur FROM durations), pf AS (SELECT * FROM (VALUES ('douyin', 180, '1080x1920', 0), ('bilibili', 600, '1920x1080', 1), ('youtube_shorts', 60, '1080x1920', 2)) p(platform, lim, pic, k)),"
+            " lg AS (SELECT job_id, event_id % 3 AS k, max(30 * len_ms) AS most FROM ev WHERE job_id % 5 <> 0 OR event_id % 3 = 1 GROUP BY 1, 2), a AS (SELECT j.*, pf.*, most FROM j CROSS JOIN pf LEFT JOIN lg USING (job_id, k))"
+            " SELECT job_id, platform, 'duration_limit' AS name, dur <= lim * 1000 AS ok, (dur // 1000) || '.' || (dur // 100 % 10) || 's / max ' || lim || 's' AS message FROM a WHERE dur <> 0"
+            " UNION ALL SELECT job_id, platform, 'segment_duration', most <= lim * 1000, 'max ' || lim || 's' FROM a WHERE most IS NOT NULL UNION ALL SELECT job_id, platform, 'video_exists', job_id % 6 <> 0, 'v' || job_id FROM a"
+            " UNION ALL SELECT job_id, platform, 'metadata_ready', job_id % 4 <> 0, 'title available' FROM a UNION ALL SELECT job_id, platform, 'cover_ready', job_id % 3 = 0, 'cover_vertical/landscape or selected cover' FROM a"
+            " UNION ALL SELECT job_id, platform, 'resolution_advice', true, 'target ' || pic FROM a UNION ALL SELECT job_id, platform, 'manual_review', true, 'Review platform policy and copyright before upload.' FROM a"
+        ).replace("\nWITH j AS", ",\nj AS", 1),
     ),
     "g5_gate_policy": (
         lambda v: _gate_jobs(v).select("job_id", "aspect", "max_lines", "max_chars", "cover_required", "duration_min_seconds", "duration_max_seconds", "loudness_min_lufs", "loudness_max_lufs"),
@@ -516,8 +625,20 @@ QUERIES = {
     ),
     "g6_quality_gate": (g6_gate, G6_SQL),
     "g7_vertical_crop": (
-        lambda v: platform.vertical_crop_plan(v.table("part").select(F.col("p_partkey").alias("job_id"), (F.col("p_size") * 40 + 200).alias("width"), F.lit(1080).alias("height"))),
-        "SELECT job_id, w AS crop_w, h AS crop_h, CAST(least(greatest(round_even(width * 0.5 - w / 2.0, 0), 0), width - w) AS INTEGER) AS crop_x, CAST(least(greatest(round_even(540 - h / 2.0, 0), 0), 1080 - h) AS INTEGER) AS crop_y FROM (SELECT p_partkey AS job_id, p_size * 40 + 200 AS width, CAST(least(p_size * 40 + 200, round_even(1080 * 9 / 16.0, 0)) AS INTEGER) AS w, CAST(least(1080, round_even((p_size * 40 + 200) * 16 / 9.0, 0)) AS INTEGER) AS h FROM part)",
+        lambda v: platform.vertical_crop_plan(_frames(v), anchor_y=0.25),
+        _crop_sql(_CUT, "'crop=' || w || ':' || h || ':' || x || ':' || y", " || ',scale=1080:1920'"),
+    ),
+    "g7_vertical_pad": (
+        lambda v: platform.vertical_crop_plan(_frames(v), mode="pad"),
+        _crop_sql(_WHOLE, "'scale=1080:1920:force_original_aspect_ratio=decrease,'", " || 'pad=1080:1920:(ow-iw)/2:(oh-ih)/2:black'"),
+    ),
+    "g7_vertical_blur": (
+        lambda v: platform.vertical_crop_plan(_frames(v), mode="blur"),
+        _crop_sql(
+            _WHOLE,
+            "'split=2[fg][bg];[bg]scale=1080:1920:force_original_aspect_ratio=increase,crop=1080:1920,gblur=sigma=28,eq=brightness=-0.08:saturation=0.9[bgv];'",
+            " || '[fg]scale=1080:1920:force_original_aspect_ratio=decrease[fgv];[bgv][fgv]overlay=(W-w)/2:(H-h)/2,setsar=1'",
+        ),
     ),
     "g8_publish_queue": (
         lambda v: platform.publish_queue(v.jobs(), v.files().filter("name = 'final.mp4'")).select("job_name", "status"),
@@ -598,10 +719,13 @@ QUERIES = {
         l6_kits,
         sql("SELECT job_name, kit, CASE WHEN kit IS NOT NULL AND kit NOT IN (SELECT r_regionkey FROM region) THEN 'unknown kit' END AS error FROM (SELECT job_name, CAST(coalesce(CASE WHEN batch_id % 4 = 0 THEN batch_id % 9 END, default_kit_id) AS INTEGER) AS kit FROM jobs LEFT JOIN projects ON id = batch_id % 30)"),
     ),
-    "l7_list_projects": (lambda v: library.list_projects(v.projects()).select("id", "name"), sql("SELECT id, name FROM projects WHERE NOT archived")),
+    "l7_list_projects": (lambda v: library.list_projects(v.projects().withColumn("updated_at", F.col("id") % 4)).select("id", "name"), sql("SELECT id, name FROM projects WHERE NOT archived")),
     "l8_runs_per_job": (
         l8_runs,
-        sql("SELECT job, run_id, started_at, CAST(nth AS INTEGER) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY started_at DESC, run_id DESC) AS nth FROM (SELECT seq AS job, run_id, max(started_at) AS started_at FROM stage_runs GROUP BY 1, 2)) WHERE nth <= 5"),
+        sql(
+            "SELECT job, run_id, started_at, CAST(nth AS INTEGER) AS nth, stages FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY started_at DESC, run_id DESC) AS nth FROM (SELECT seq AS job, run_id, max(started_at) AS started_at FROM stage_runs GROUP BY 1, 2))"
+            " JOIN (SELECT run_id, string_agg(stage[7:] || ':' || status || ':' || CAST(duration_seconds AS INTEGER), ',' ORDER BY CAST(stage[7:] AS INTEGER), status, duration_seconds) AS stages FROM stage_runs GROUP BY 1) USING (run_id) WHERE nth <= 5"
+        ),
     ),
     "l9_latest_stage_state": (
         l9_stage_state,
@@ -611,6 +735,10 @@ QUERIES = {
         lambda v: library.stage_timings(v.stage_runs()),
         sql("SELECT stage, count(*) AS runs, sum(duration_seconds) AS total_seconds, max(duration_seconds) AS longest FROM stage_runs GROUP BY 1"),
     ),
+    "l10_run_timings": (
+        l10_runs,
+        "SELECT l_orderkey AS run_id, count(*) AS stages, round(sum(CAST(l_quantity AS DOUBLE)), 3) AS total_seconds, round(coalesce(sum(CAST(l_tax * 10 AS DOUBLE)) FILTER (l_partkey % 7 <> 0), 0), 3) AS wait_seconds, round(sum(CAST(l_quantity AS DOUBLE)) - sum(CAST(l_discount AS DOUBLE)), 3) AS execution_seconds FROM lineitem GROUP BY 1",
+    ),
     "l11_queue_order": (
         l11_queue,
         "SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_nationkey % 3 DESC, s_nationkey, s_acctbal, s_suppkey) AS place FROM supplier WHERE s_suppkey % 4 <> 0",
@@ -648,17 +776,25 @@ QUERIES = {
     ),
     "l18_dashboard_view": (
         l18_dashboard,
-        sql("SELECT job_name, source_path, g AS status_group FROM (SELECT *, CASE status WHEN 'failed' THEN 'failed' WHEN 'done' THEN 'done' WHEN 'needs_review' THEN 'review' ELSE 'processing' END AS g FROM jobs WHERE contains(lower(source_path || ' ' || job_name), 'src-1')) ORDER BY CASE g WHEN 'review' THEN 0 WHEN 'failed' THEN 1 WHEN 'processing' THEN 2 ELSE 3 END, updated_at DESC, job_name LIMIT 100"),
+        _canceled(" SELECT job_name, source_path, g AS status_group FROM jg WHERE contains(lower(source_path || ' ' || job_name), 'src-1') ORDER BY CASE g WHEN 'review' THEN 0 WHEN 'failed' THEN 1 WHEN 'processing' THEN 2 ELSE 3 END, updated_at DESC, job_name LIMIT 100"),
     ),
+    "l18_dashboard_group": (l18_failed, _canceled(" SELECT job_name, source_path, g AS status_group FROM jg WHERE g = 'failed' ORDER BY updated_at DESC, job_name LIMIT 100")),
     "l19_batch_groups": (
-        lambda v: library.batch_groups(v.jobs()),
-        sql("SELECT batch_id, count(*) AS jobs, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'needs_review') AS review, count(*) FILTER (status = 'transcribing') AS processing FROM jobs GROUP BY 1 HAVING count(*) >= 2"),
+        lambda v: library.batch_groups(_some_canceled(v)),
+        _canceled(
+            " SELECT batch_id, count(*) AS jobs, count(*) FILTER (g = 'failed') AS failed, count(*) FILTER (g = 'done') AS done, count(*) FILTER (g = 'review') AS review, count(*) FILTER (g = 'processing') AS processing,"
+            " CAST(floor(sum(pct) / count(*) + 0.5) AS INTEGER) AS progress FROM jg WHERE batch_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 2"
+        ),
+    ),
+    "l19_batch_order": (
+        lambda v: library.batch_order(_some_canceled(v)).select("job_name", "batch_id", "place"),
+        _canceled(" SELECT job_name, batch_id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY coalesce(batch_index, 1000000), updated_at DESC, job_name) AS place, count(*) OVER (PARTITION BY batch_id) AS n FROM jg WHERE batch_id IS NOT NULL) WHERE n > 1"),
     ),
     "l20_merge_snapshots": (
         l20_merge,
         sql(
-            "SELECT job_name, CASE WHEN u THEN v ELSE nv END AS version, CASE WHEN u THEN status ELSE status || '!' END AS status, nb IS NULL AS missing FROM (SELECT *, nb IS NULL OR (cb IS NOT NULL AND v > 0 AND (nv = 0 OR nv < v)) AS u FROM"
-            " (SELECT job_name, status, state_version AS v, state_version * 3 % 7 AS nv, CASE WHEN batch_id >= 100 THEN 1 END AS nb, CASE WHEN batch_id < 400 THEN 1 END AS cb FROM jobs))"
+            "SELECT job_name, CASE WHEN u THEN v ELSE nv END AS version, CASE WHEN u THEN status ELSE status || '!' END AS status, CASE WHEN u OR (cb AND k % 3 = 0) THEN 'f' || k WHEN k % 3 <> 0 THEN 'f' || k || '!' END AS files, NOT nb AS missing FROM (SELECT *, NOT nb OR (cb AND v > 0 AND nv < v) AS u FROM"
+            " (SELECT job_name, status, batch_id AS k, state_version % 6 AS v, CASE state_version % 6 * 3 % 7 WHEN 2 THEN 0 ELSE state_version % 6 * 3 % 7 END AS nv, batch_id >= 100 AS nb, batch_id < 400 AS cb FROM jobs))"
         ),
     ),
     "l21_drop_deleted": (l21_deleted, sql("SELECT * FROM files WHERE job_name NOT IN (SELECT job_name FROM jobs WHERE batch_id % 2 = 0)")),
@@ -666,9 +802,16 @@ QUERIES = {
         l22_recipes,
         "WITH p AS (SELECT p_partkey AS id, p_brand || '/' || p_type AS client_id, p_name AS name FROM part) SELECT * FROM p WHERE id < 20 UNION ALL SELECT id, client_id, name FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY id) AS n FROM p WHERE id >= 20) WHERE n = 1 AND client_id NOT IN (SELECT client_id FROM p WHERE id < 20)",
     ),
+    "l22_checked_recipes": (
+        l22_checked,
+        "WITH r AS (SELECT p_partkey AS id, p_partkey % 9 AS k, CASE WHEN p_size > 1 THEN p_brand END AS client_id, trim(repeat(p_name, CAST(p_partkey % 20 + 1 AS INTEGER))) AS long FROM part), e AS (SELECT *, CASE WHEN client_id IS NULL THEN 'without a client id' ELSE"
+        " [NULL, NULL, 'without a name', 'stages are no list of texts', 'stages are no list of texts', 'options are no object', 'target_platforms are no list of texts', 'not an object', 'stages are no list of texts'][k + 1] END AS error FROM r)"
+        " SELECT id, client_id, CASE WHEN error IS NULL THEN long[:120] END AS name, CASE WHEN error IS NULL THEN CASE k WHEN 0 THEN 'a|b' ELSE '' END END AS stages, CASE WHEN error IS NULL THEN CASE k WHEN 0 THEN '{\"k\":1}' ELSE '{}' END END AS options,"
+        " CASE WHEN error IS NULL AND k = 0 THEN '7' END AS creator_kit_id, CASE WHEN error IS NULL THEN CASE k WHEN 0 THEN 'x' ELSE '' END END AS target_platforms, error FROM e",
+    ),
     "l23_asr_attempts": (
         l23_asr,
-        sql("SELECT backend, count(*) AS attempts, count(*) FILTER (ok) AS succeeded, CAST(sum(len_ms) AS BIGINT) AS seconds FROM (SELECT event_type AS backend, value > 20 AS ok, len_ms, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS n FROM ev) WHERE n <= 20 GROUP BY 1"),
+        sql("SELECT backend, model, count(*) AS attempts, count(*) FILTER (ok) AS succeeded, CAST(sum(len_ms) AS BIGINT) AS seconds FROM (SELECT event_type AS backend, event_id % 3 AS model, value > 20 AS ok, len_ms, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS n FROM ev) WHERE n <= 20 GROUP BY 1, 2"),
     ),
     "l24_duplicate_media": (
         l24_duplicates,

@@ -398,3 +398,78 @@ def test_job_states_are_compacted_once(spark, tmp_path):
     assert held() == {("a", "done", 2), ("b", "done", 4), ("c", "pending", 0)}
     assert compaction.compact_job_states(spark, str(root), table) == 0
     assert sorted(p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("date="))[-1] == "date=2026-01-07"
+
+
+# ---- reports ----
+
+
+def test_runs_carry_their_stages(spark):
+    runs = spark.createDataFrame([("j", i, i) for i in range(7)] + [("k", 9, 1)], "job string, run_id int, started_at int")
+    stages = spark.createDataFrame([(6, 2, "skipped"), (6, 1, "complete"), (1, 1, "old")], "run_id int, stage_number int, status string")
+    got = {(r.job, r.run_id): [(s.stage_number, s.status) for s in r.stages] for r in library.runs_per_job(runs, 5, stages).collect()}
+    assert sorted(got) == [("j", 2), ("j", 3), ("j", 4), ("j", 5), ("j", 6), ("k", 9)]
+    assert got["j", 6] == [(1, "complete"), (2, "skipped")] and got["k", 9] == []
+    assert "stages" in library.runs_per_job(runs, 5, stages.limit(0)).columns
+
+
+def test_run_timings(spark):
+    t = spark.createDataFrame([(1, 3.75, 1.25, 2.5), (1, 0.0004, None, None), (2, None, None, None)], "run_id int, duration_seconds double, resource_wait_seconds double, execution_seconds double")
+    got = {r.run_id: tuple(r)[1:] for r in library.run_timings(t).collect()}
+    assert got == {1: (2, 3.75, 1.25, 2.5), 2: (1, 0.0, 0.0, 0.0)}
+
+
+def test_dashboard_and_batches(spark):
+    rows = [("a", "canceled", " x ", None, None, "2"), ("b", "done", "x", 2, None, "1"), ("c", "rendering_final", "x", 1, "", "1"), ("d", "done", " ", 1, None, "1"), ("e", "done", None, 1, None, "1"), ("f", "odd", "y", 1, None, "9")]
+    jobs = spark.createDataFrame(rows, "job_name string, status string, batch_id string, batch_index int, current_stage string, updated_at string").withColumn("source_path", F.lit("S"))
+    assert [(r.job_name, r.status_group) for r in library.dashboard_view(jobs, group="failed").collect()] == [("a", "failed")]
+    assert [r.job_name for r in library.dashboard_view(jobs, "s", 4).collect()] == ["a", "f", "c", "b"]
+    # 100, 100 and 15 of 16 stages
+    assert [tuple(r) for r in library.batch_groups(jobs).collect()] == [("x", 3, 1, 1, 0, 1, 98)]
+    assert [(r.job_name, r.place) for r in library.batch_order(jobs).orderBy("place").collect()] == [("c", 1), ("b", 2), ("a", 3)]
+    p = spark.createDataFrame([(1, "b", False, 5), (2, "A", False, 5), (3, "c", False, 7), (4, "z", True, 9)], "id int, name string, archived boolean, updated_at int")
+    assert [r.id for r in library.list_projects(p).collect()] == [3, 2, 1]
+    assert [r.id for r in library.list_projects(p, True).collect()] == [4, 3, 2, 1]
+
+
+def test_snapshots_keep_files(spark):
+    s = lambda rows: spark.createDataFrame(rows, "job_name string, version int, status string, files string")
+    current = s([("a", 9, "done", "f"), ("b", 3, "x", "f"), ("c", None, "x", "f"), ("d", 1, "x", "f")])
+    got = library.merge_snapshots(current, s([("a", None, "y", "g"), ("b", 3, "y", None), ("c", None, "y", "g"), ("e", None, "y", None)]))
+    assert sorted((r.job_name, r.version, r.status, r.files) for r in got.collect()) == [("a", 9, "done", "f"), ("b", 3, "y", "f"), ("c", 0, "y", "g"), ("e", 0, "y", None)]
+
+
+def test_recipes_are_checked(spark):
+    bodies = ['{"name": " n ", "stages": [" a", " "], "creator_kit_id": " "}', '{"name": null}', '{"name": "n", "stages": [1]}', '{"name": "n", "options": []}', '{"name": "n", "target_platforms": {}}', "[]", "no json", None]
+    r = spark.createDataFrame([(i, "c", b) for i, b in enumerate(bodies)] + [(99, " ", bodies[0])], "id int, client_id string, body string")
+    got = {x.id: x for x in library.checked_recipes(r).collect()}
+    assert (got[0].name, got[0].stages, got[0].options, got[0].creator_kit_id, got[0].target_platforms, got[0].error) == ("n", ["a"], "{}", None, [], None)
+    assert [got[i].error for i in (1, 2, 3, 4, 5, 6, 7, 99)] == [
+        "without a name", "stages are no list of texts", "options are no object", "target_platforms are no list of texts", "not an object", "not an object", "not an object", "without a client id"
+    ]
+
+
+def test_platform_checks_by_what_is_known(spark):
+    jobs = spark.createDataFrame([(1, 90_000, "v.mp4", True, "t", None), (2, None, None, None, None, True)], "job_id int, duration_ms long, video string, has_video boolean, title string, cover boolean")
+    parts = spark.createDataFrame([(1, "a", 0, 60_001)], "job_id int, platform string, start_ms long, end_ms long")
+    got = {(r.job_id, r.platform, r.name): (r.ok, r.message) for r in platform.platform_checks(jobs, parts, {"a": 60, "b": None}, {"a": "1x2"}).collect()}
+    assert len(got) == 7 + 5 + 5 + 5
+    assert got[1, "a", "duration_limit"] == (False, "90.0s / max 60s") and got[1, "a", "segment_duration"] == (False, "max 60s")
+    assert got[1, "a", "resolution_advice"] == (True, "target 1x2") and got[1, "b", "resolution_advice"] == (True, "target source")
+    assert [got[2, "a", n][0] for n in ("video_exists", "metadata_ready", "cover_ready", "manual_review")] == [False, False, True, True]
+
+
+def test_upright_pictures(spark):
+    f = spark.createDataFrame([(1, 1920, 1080, 1900, 1000, 10, 40), (2, 720, 1280, None, None, None, None), (3, 0, 1080, None, None, None, None)], "job_id int, width int, height int, content_w int, content_h int, content_x int, content_y int")
+    got = {r.job_id: r for r in platform.vertical_crop_plan(f, anchor=2.0).collect()}
+    assert tuple(got[1])[1:] == (562, 1000, 1338, 0, "crop=1900:1000:10:40,crop=562:1000:1338:0,scale=1080:1920")
+    assert tuple(got[2])[1:] == (720, 1280, 0, 0, "crop=720:1280:0:0,scale=1080:1920")
+    assert tuple(got[3])[1:] == (None,) * 5
+    assert platform.vertical_crop_plan(f, mode="pad").filter("job_id = 1").first()["filter"].startswith("crop=1900:1000:10:40,scale=1080:1920:")
+    with pytest.raises(ValueError):
+        platform.vertical_crop_plan(f, mode="zoom")
+
+
+def test_translation_workload_bounds(spark):
+    rows = [(1, "x")] * 1200 + [(2, "x")] * 1201 + [(3, "x" * 120_000)] * 2 + [(4, "x" * 240_001), (5, None)]
+    got = {r.job_id: (r.chars, r.error) for r in subtitles.translation_workload(spark.createDataFrame(rows, "job_id int, text string")).collect()}
+    assert got == {1: (1200, None), 2: (1201, "too many segments"), 3: (240_000, None), 4: (240_001, "too many characters"), 5: (0, None)}
