@@ -607,7 +607,16 @@ QUERIES = {
         lambda v: platform.clip_boundaries(_clips(v)),
         sql("SELECT DISTINCT job_id, at_ms FROM (SELECT job_id, CAST(offset_ms + end_ms - start_ms AS BIGINT) AS at_ms, sum(end_ms - start_ms) OVER (PARTITION BY job_id) AS al FROM timeline) WHERE at_ms > 500 AND at_ms < al - 500"),
     ),
-    "g2_platform_segments": (g2_segments, None),
+    "g2_platform_segments": (
+        g2_segments,
+        recursive(
+            "WITH bo AS MATERIALIZED (SELECT job_id, list(at_ms ORDER BY at_ms) AS bounds FROM (SELECT DISTINCT job_id, CAST(offset_ms + end_ms - start_ms AS BIGINT) AS at_ms, sum(end_ms - start_ms) OVER (PARTITION BY job_id) AS al FROM timeline) WHERE at_ms > 500 AND at_ms < al - 500 GROUP BY 1),"
+            " plan AS (SELECT job_id, platform, longest, coalesce(bounds, []) AS bounds, -1 AS part, CAST(0 AS BIGINT) AS start_ms, CAST(0 AS BIGINT) AS end_ms FROM durations CROSS JOIN (VALUES ('douyin', 180000), ('bilibili', 600000), ('youtube_shorts', 60000)) p(platform, longest) LEFT JOIN bo USING (job_id)"
+            " UNION ALL SELECT job_id, platform, longest, bounds, part + 1, end_ms, CASE WHEN 720000 - end_ms <= longest + 500 THEN 720000 ELSE coalesce(list_max(list_filter(bounds, lambda b: b >= end_ms + least(longest * 35 // 100, 60000) AND b <= end_ms + longest)), end_ms + longest) END FROM plan WHERE end_ms < 720000)"
+            " SELECT job_id, platform, part, start_ms, end_ms, CAST(NULL AS VARCHAR) AS error FROM plan WHERE part >= 0",
+            "bo",
+        ),
+    ),
     "g3_platform_checks": (
         g3_checks,
         sql(
