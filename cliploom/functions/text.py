@@ -16,6 +16,15 @@ def char_width(c: str) -> int:
     return 2 if unicodedata.east_asian_width(c) in "FW" else 1
 
 
+def narrow(text: str) -> bool:
+    """Whether every character surely is one wide: the first wide one is U+1100."""
+    return text.isascii() or max(text) < "\u1100"
+
+
+def text_width(text: str) -> int:
+    return len(text) if narrow(text) else sum(map(char_width, text))
+
+
 def _wide_ranges() -> str:
     """A character class of all that is two wide, from the Unicode table Python has."""
     wide = [p for p in range(sys.maxunicode + 1) if char_width(chr(p)) == 2]

@@ -473,3 +473,22 @@ def test_translation_workload_bounds(spark):
     rows = [(1, "x")] * 1200 + [(2, "x")] * 1201 + [(3, "x" * 120_000)] * 2 + [(4, "x" * 240_001), (5, None)]
     got = {r.job_id: (r.chars, r.error) for r in subtitles.translation_workload(spark.createDataFrame(rows, "job_id int, text string")).collect()}
     assert got == {1: (1200, None), 2: (1201, "too many segments"), 3: (240_000, None), 4: (240_001, "too many characters"), 5: (0, None)}
+
+
+# ---- words without rows of their own ----
+
+
+def test_words_are_timed_where_their_text_is(spark):
+    rows = [(1, 0, 0, 999, "a  bb ccc"), (1, 1, 1000, 2001, " lead 漢字 é "), (1, 2, 3, 4, ""), (1, 3, 0, 5, None), (2, 0, 7, 7, "x y"), (2, 1, 0, 10, "   ")]
+    s = spark.createDataFrame(rows, "job_id int, seg_idx int, start_ms long, end_ms long, text string")
+    want = []
+    for job, seg, a, z, text in rows:
+        words, upto = [(i, w) for i, w in enumerate((text or "").split(" ")) if w], 0
+        total = sum(len(w) for _, w in words)
+        for i, w in words:
+            want.append((job, seg, i, a + (z - a) * upto // total, a + (z - a) * (upto + len(w)) // total, w))
+            upto += len(w)
+    made = transcript.spread_words(s)
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
