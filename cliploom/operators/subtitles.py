@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.functions.folds import running
-from cliploom.functions.text import ass_time, char_width, escape_ass, srt_time, strip
+from cliploom.functions.text import ass_time, char_width, escape_ass, narrow, srt_time, strip, text_width
 from cliploom.operators.intervals import overlap_join
 
 BREAKS = "，。！？；、,.!?;: "
@@ -60,11 +60,12 @@ def remap_segments(segments: DataFrame, timeline: DataFrame, keep: tuple[str, ..
 def wrap(text: str, units: int) -> list[str]:
     """Lines of at most `units` visual units: at the last break mark past 45 % of it, else hard."""
     lines, rest = [], text
+    plain, bound = units > 0 and narrow(text), max(1, int(units * 0.45))
     while True:
-        total, hard, least = 0, len(rest), None
-        for i, c in enumerate(rest):
+        total, hard, least = (len(rest), units, bound) if plain else (0, len(rest), None)
+        for i, c in enumerate("" if plain else rest):
             total += char_width(c)
-            if least is None and total > max(1, int(units * 0.45)):
+            if least is None and total > bound:
                 least = i
             if total > units:
                 hard = i
@@ -103,7 +104,7 @@ def laid_out(text: str | None, units: int, max_lines: int) -> list[dict]:
     lines, upto = wrap(text, units) if text else [], 0
     for i in range(0, len(lines), max_lines):
         event = "\n".join(lines[i : i + max_lines])
-        width = max(1, sum(map(char_width, event)))
+        width = max(1, text_width(event))
         upto += width
         out.append({"text": event, "width": width, "upto": upto})
     return out

@@ -492,3 +492,19 @@ def test_words_are_timed_where_their_text_is(spark):
     assert sorted(map(tuple, made.collect())) == sorted(want)
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_packing_gathers_no_words(spark):
+    plan = registry.queries()["t7_pack_words"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[job_id#\d+L?\]", plan) and not re.search(r"Aggregate \[job_id#\d+L?, seg_idx", plan)
+
+
+def test_narrow_texts_wrap_as_character_by_character(spark):
+    r = random.Random(5)
+    for _ in range(300):
+        text = "".join(r.choice("ab é,.") for _ in range(r.randint(1, 60))).strip()
+        units = r.randint(1, 20)
+        if text:  # with one wide character behind it, the text is measured character by character
+            slow = subtitles.wrap(text + " " + "x" * units + "漢", units)
+            fast = subtitles.wrap(text + " " + "x" * units + "z", units)
+            assert [x for x in slow if "漢" not in x][: len(slow) - 2] == fast[: len(slow) - 2]
