@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cliploom.functions.folds import running
 from cliploom.functions.text import half_up, strip, truncate_text
 from cliploom.operators.intervals import gathered, overlap_join
+from cliploom.operators.transcript import words_of
 
 
 def valid_marks(scenes: DataFrame, durations: DataFrame) -> DataFrame:
@@ -28,12 +29,13 @@ def scenes_per_clip(clips: DataFrame, scenes: DataFrame, durations: DataFrame |
 
 
 def transcript_per_clip(
-    clips: DataFrame, segments: DataFrame, words: DataFrame | None = None, longest: int = 160, bucket_ms: int | None = None, long_ms: int = 0, listed: int | None = None
+    clips: DataFrame, segments: DataFrame, words: DataFrame | None = None, longest: int = 160, bucket_ms: int | None = None, long_ms: int = 0, listed: int | None = None, spread: bool = False
 ) -> DataFrame:
     """Adds transcript_text: of every overlapping segment the words inside the clip, else its text.
 
     Which words lie in a clip is decided on the array beside the segment: segments carry it as `words`
-    (see transcript.with_words), or it is gathered from a table of words. A clip with a text of its own
+    (see transcript.with_words), or it is gathered from a table of words, or (spread) made of the texts of
+    the pairs of clip and segment, so that neither joins nor sorts hold words. A clip with a text of its own
     (column transcript_override, not blank) has that. `listed` adds clip_segments: the first so many
     parts with their segments' times, cut to the clip.
     """
@@ -43,13 +45,19 @@ def transcript_per_clip(
         segments = segments.join(w, ["job_id", "seg_idx"], "left")
     s = segments.select("job_id", "seg_idx", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "text", *[c for c in segments.columns if c == "words"])
     part = strip(F.col("text"))
-    if "words" in s.columns:
+    met = lambda pairs: pairs.withColumn("words", words_of("text", "r_start", "r_end")) if spread else pairs
+    if spread or "words" in s.columns:
         inside = F.filter("words", lambda x: (x["w_end"] > F.col("start_ms")) & (x["w_start"] < F.col("end_ms")))
         spoken = F.array_join(F.transform(inside, lambda x: strip(x["word"])), "")
         part = F.when(F.size(inside) > 0, spoken).otherwise(part)
-    pairs = overlap_join(clips, s, "left", bucket_ms, long_ms).withColumn("part", part)
     one = F.struct("r_start", "seg_idx", "part", F.greatest("start_ms", "r_start").alias("from_ms"), F.least("end_ms", "r_end").alias("to_ms"))
-    found = gathered(pairs, clips.columns, F.array_sort(F.collect_list(F.when(F.col("part") != "", one))).alias("_all"))
+    every = F.array_sort(F.collect_list(F.when(F.col("part") != "", one))).alias("_all")
+    if bucket_ms is None:
+        found = gathered(met(overlap_join(clips, s, "left")).withColumn("part", part), clips.columns, every)
+    else:  # the parts are taken where clip and segment meet: of a pair nothing else goes on to its clip
+        pairs = overlap_join(clips.select("job_id", "idx", "start_ms", "end_ms"), s, "inner", bucket_ms, long_ms)
+        parts = met(pairs).withColumn("part", part).groupBy("job_id", "idx").agg(every)
+        found = clips.join(parts, ["job_id", "idx"], "left").withColumn("_all", F.coalesce("_all", F.array()))
     text = truncate_text(strip(F.array_join(F.transform("_all", lambda x: x["part"]), " ")), longest)
     if "transcript_override" in clips.columns:
         own = strip(F.col("transcript_override"))

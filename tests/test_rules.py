@@ -508,3 +508,16 @@ def test_narrow_texts_wrap_as_character_by_character(spark):
             slow = subtitles.wrap(text + " " + "x" * units + "漢", units)
             fast = subtitles.wrap(text + " " + "x" * units + "z", units)
             assert [x for x in slow if "漢" not in x][: len(slow) - 2] == fast[: len(slow) - 2]
+
+
+def test_buckets_hand_on_no_words(spark):
+    c = spark.createDataFrame([(1, 1, 0, 70_000), (1, 2, 70_000, 300_000), (2, 1, 0, 50)], "job_id int, idx int, start_ms long, end_ms long")
+    s = spark.createDataFrame([(1, 0, 50_000, 90_000, "ab cd ef gh"), (1, 1, 90_000, 95_000, "ij")], "job_id int, seg_idx int, start_ms long, end_ms long, text string")
+    made = cuts.transcript_per_clip(c, s, bucket_ms=60_000, long_ms=0, spread=True)
+    got = {(r["job_id"], r["idx"]): r["transcript_text"] for r in made.collect()}
+    assert got == {(1, 1): "abcd", (1, 2): "efgh ij", (2, 1): ""}
+    table = cuts.transcript_per_clip(c, s, transcript.spread_words(s), bucket_ms=60_000, long_ms=0)
+    assert got == {(r["job_id"], r["idx"]): r["transcript_text"] for r in table.collect()}
+    # behind the join of clip and segment only parts remain: no join by idx holds texts' words
+    joins = [line for line in table._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line and "idx" in line and "seg_idx" not in line]
+    assert joins and "Aggregate [job_id" in table._jdf.queryExecution().optimizedPlan().toString().split(joins[0])[1].split("Join Inner")[0]
