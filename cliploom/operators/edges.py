@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cliploom.functions.lineage import checkpointed
 from cliploom.operators.intervals import overlap_join
+from cliploom.operators.transcript import words_of
 
 MAX_SHIFT_MS, TOLERANCE_MS, LEAST_MS = 750, 80, 2000
 
@@ -48,23 +49,32 @@ def edge_in_word(
 ) -> DataFrame:
     """window_edges() that lie inside a word, with the first such word as w_start, w_end.
 
-    words: a table of words, or segments that carry theirs as an array; of those only the segments
-    whose words reach around an edge are joined, and the array is searched beside the edge.
+    words: a table of words, or segments that carry theirs as an array, or segments whose words follow
+    from their texts (transcript.with_words); of segments only those that reach around an edge are
+    joined, and their words are searched (or made first) beside the edge.
     """
     e = window_edges(windows, durations, tolerance_ms)
     inside = lambda x: (x["w_start"] + tolerance_ms < F.col("at_ms")) & (F.col("at_ms") < x["w_end"] - tolerance_ms)
-    if "words" in words.columns:
+    first = F.array_min(F.transform(F.filter("words", inside), lambda x: F.struct(x["w_start"].alias("w_start"), x["w_end"].alias("w_end"))))
+    spread = "words" not in words.columns and "w_start" not in words.columns
+    if spread:
+        w = words.select("job_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "text")
+    elif "words" in words.columns:
         w = words.filter(F.size("words") > 0).select(
             "job_id", F.array_min(F.transform("words", lambda x: x["w_start"])).alias("r_start"), F.array_max(F.transform("words", lambda x: x["w_end"])).alias("r_end"), "words"
         )
-        first = F.array_min(F.transform(F.filter("words", inside), lambda x: F.struct(x["w_start"].alias("w_start"), x["w_end"].alias("w_end"))))
     else:
         w = words.select("job_id", F.col("w_start").alias("r_start"), F.col("w_end").alias("r_end"))
         first = F.when((F.col("r_start") + tolerance_ms < F.col("at_ms")) & (F.col("at_ms") < F.col("r_end") - tolerance_ms), F.struct(F.col("r_start").alias("w_start"), F.col("r_end").alias("w_end")))
     # an edge is a range of one millisecond here; its window's times wait under other names
     points = e.withColumnsRenamed({"start_ms": "_from", "end_ms": "_to"}).withColumns({"start_ms": F.col("at_ms"), "end_ms": F.col("at_ms") + 1})
     key = ["job_id", "idx", "edge", "at_ms", "_from", "_to", "low_ms", "high_ms"]
-    hit = overlap_join(points, w, "inner", bucket_ms, long_ms).withColumn("w", first).filter("w is not null")
+    # the optimizer puts a filter before a join's own condition; so the search asks for the cheap one itself
+    near = (F.col("start_ms") < F.col("r_end")) & (F.col("r_start") < F.col("end_ms"))
+    pairs = overlap_join(points, w, "inner", bucket_ms, long_ms)
+    if spread:
+        pairs = pairs.withColumn("words", words_of("text", "r_start", "r_end"))
+    hit = pairs.withColumn("w", F.when(near, first)).filter("w is not null")
     return hit.groupBy(*key).agg(F.min("w").alias("w")).select(
         "job_id", "idx", "edge", "at_ms", F.col("_from").alias("start_ms"), F.col("_to").alias("end_ms"), "low_ms", "high_ms", "w.w_start", "w.w_end"
     )
@@ -136,7 +146,7 @@ def refine_boundaries(
     score or more blocking issues than at first: the job has its first windows again). The rounds are
     bounded, so the plan is unrolled; each is cut from its lineage, and so is a table of words.
     """
-    if "words" not in words.columns:  # else a written table
+    if "w_start" in words.columns:  # else a written table
         words = checkpointed(words)
     open_ = windows.withColumns({"_start": F.col("start_ms"), "_end": F.col("end_ms")}).join(
         window_fingerprint(windows).select("job_id", F.array("fingerprint").alias("_seen")), "job_id"
@@ -146,7 +156,7 @@ def refine_boundaries(
     for attempt in range(max_attempts + 1):
         last = attempt == max_attempts
         hits = edge_in_word(open_, words, durations, tolerance_ms)
-        moves = edge_proposal(hits, excluded, max_shift_ms, least_ms)
+        moves = checkpointed(edge_proposal(hits, excluded, max_shift_ms, least_ms))  # a few rows a job, used twice
         issues = window_issues(open_, durations.join(open_, "job_id", "left_semi"), least_ms)
         report = quality_report(issues, moves, open_).select("job_id", F.col("score").alias("_now"), F.col("blocking").alias("_b"), F.col("passed").alias("_ok"))
         first = moves.filter("to_ms is not null").groupBy("job_id").agg(F.min(F.struct("idx", (F.col("edge") == "end").alias("late"), "to_ms")).alias("m"))

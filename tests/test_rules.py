@@ -521,3 +521,15 @@ def test_buckets_hand_on_no_words(spark):
     # behind the join of clip and segment only parts remain: no join by idx holds texts' words
     joins = [line for line in table._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line and "idx" in line and "seg_idx" not in line]
     assert joins and "Aggregate [job_id" in table._jdf.queryExecution().optimizedPlan().toString().split(joins[0])[1].split("Join Inner")[0]
+
+
+def test_words_are_searched_near_an_edge_only(spark):
+    d = spark.createDataFrame([(1, 100_000)], "job_id int, duration_ms long")
+    w = spark.createDataFrame([(1, 1, 5_000, 20_000)], "job_id int, idx int, start_ms long, end_ms long")
+    s = spark.createDataFrame([(1, 0, 0, 10_000, "one two"), (1, 1, 10_000, 30_000, "three")], "job_id int, seg_idx int, start_ms long, end_ms long, text string")
+    forms = [edges.edge_in_word(w, x, d) for x in (s, transcript.with_words(s), transcript.spread_words(s))]
+    got = [sorted(map(tuple, f.collect())) for f in forms]
+    assert got[0] == got[1] == got[2] and [r[2] for r in got[0]] == ["end"]
+    for f in forms[:2]:
+        lines = [x for x in f._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and "r_end" in x]
+        assert lines and all("array_min" not in x or "CASE WHEN" in x.split("array_min")[0] for x in lines)
