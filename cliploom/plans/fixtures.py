@@ -94,7 +94,7 @@ class Views:
         return transcript.clean_segments(transcript.allocate_untimed(self.untimed(), self.durations()), self.durations())
 
     def library(self) -> Library:
-        """The recordings of this folder as bucketed tables, written once in a session."""
+        """The recordings of this folder as bucketed tables, each written once in a session, when a query first asks for it."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         with _LOCK:
             if key not in _WRITTEN:
@@ -106,8 +106,10 @@ class Views:
                         ("highlights", self.highlights()),
                         ("invalid", lambda made: intervals.invalid_segments(self.silences(), self.freezes(), made["durations"])),
                         ("clips", lambda made: intervals.keep_clips(made["invalid"], made["durations"])),
-                        ("segments", transcript.with_words(self.segments())),
+                        ("segments", self.segments()),
+                        ("spoken", lambda made: transcript.with_words(made["segments"])),
                     ],
+                    lazy=True,
                 )
         return _WRITTEN[key]
 

@@ -6,12 +6,13 @@ Joins, groupings and windows by job on these tables need no exchange: both sides
 from __future__ import annotations
 
 import uuid
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cliploom.functions.lineage import shared_folder
 
-#: Sort columns of each table, behind the job. segments carry their words as an array.
+#: Sort columns of each table, behind the job. spoken: segments with their words as an array.
 TABLES = {
     "durations": (),
     "invalid": ("start_ms", "end_ms"),
@@ -19,16 +20,25 @@ TABLES = {
     "scenes": ("time_ms",),
     "highlights": ("start_ms",),
     "segments": ("start_ms", "seg_idx"),
+    "spoken": ("start_ms", "seg_idx"),
 }
 
 
 class Library:
-    """Bucketed tables by name; drop() removes them and their files."""
+    """Bucketed tables by name; drop() removes them and their files. Those that wait are written when first asked for."""
 
-    def __init__(self, spark: SparkSession, prefix: str, path: str, names: list[str]):
+    def __init__(self, spark: SparkSession, prefix: str, path: str, names: list[str], waiting: dict | None = None, buckets: int = 1):
         self.spark, self.prefix, self.path, self.names = spark, prefix, path, names
+        self._waiting, self._buckets, self._lock = waiting or {}, buckets, RLock()
 
     def __getitem__(self, name: str) -> DataFrame:
+        with self._lock:
+            if name in self._waiting:
+                df = self._waiting[name]
+                df = df(self) if callable(df) else df
+                write_table(df, f"{self.prefix}_{name}", f"{self.path}/{name}", TABLES.get(name, ()), self._buckets)
+                del self._waiting[name]
+                self.names.append(name)
         return self.spark.table(f"{self.prefix}_{name}")
 
     def drop(self) -> None:
@@ -44,15 +54,13 @@ def write_table(df: DataFrame, name: str, path: str, sort: tuple[str, ...], buck
     dealt.write.format("parquet").option("path", path).bucketBy(buckets, "job_id").sortBy("job_id", *sort).saveAsTable(name)
 
 
-def write_library(spark: SparkSession, tables, buckets: int | None = None, folder: str | None = None) -> Library:
-    """tables: pairs of name and DataFrame, taken in turn, each with a column job_id; a later one may be
-    built on what the Library so far has, if it is a function of it. All get the same number of buckets (default: the
-    session's shuffle partitions)."""
+def write_library(spark: SparkSession, tables, buckets: int | None = None, folder: str | None = None, lazy: bool = False) -> Library:
+    """tables: pairs of name and DataFrame, each with a column job_id; one may be built on others, if it is a
+    function of the Library. All get the same number of buckets (default: the session's shuffle partitions).
+    With lazy=True each is written when it is first asked for, else all are written in turn."""
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     prefix = f"library_{uuid.uuid4().hex}"
-    out = Library(spark, prefix, f"{folder or shared_folder(spark)}/{prefix}", [])
-    for name, df in tables:
-        df = df(out) if callable(df) else df
-        write_table(df, f"{prefix}_{name}", f"{out.path}/{name}", TABLES.get(name, ()), buckets)
-        out.names.append(name)
+    out = Library(spark, prefix, f"{folder or shared_folder(spark)}/{prefix}", [], dict(tables), buckets)
+    for name in [] if lazy else list(out._waiting):
+        out[name]
     return out

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cliploom.operators import cuts, edges, intervals, library, logs, platform, subtitles, transcript, waveform
 from cliploom.plans import registry
 from cliploom.sources import compaction, incremental, ranged
+from cliploom.sources.library import write_library
 
 SF = "/root/testdata/sf0.001"
 
@@ -533,3 +534,10 @@ def test_words_are_searched_near_an_edge_only(spark):
     for f in forms[:2]:
         lines = [x for x in f._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and "r_end" in x]
         assert lines and all("array_min" not in x or "CASE WHEN" in x.split("array_min")[0] for x in lines)
+
+
+def test_library_writes_what_is_asked_for(spark, tmp_path):
+    t = spark.createDataFrame([(1, 2)], "job_id int, time_ms long")
+    made = write_library(spark, [("scenes", t), ("clips", lambda m: m["scenes"].withColumn("idx", F.lit(1))), ("segments", lambda m: 1 / 0)], 2, str(tmp_path), lazy=True)
+    assert made.names == [] and made["clips"].count() == 1 and made.names == ["scenes", "clips"]
+    made.drop()
