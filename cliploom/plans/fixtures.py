@@ -107,7 +107,7 @@ class Views:
                         ("invalid", lambda made: intervals.invalid_segments(self.silences(), self.freezes(), made["durations"])),
                         ("clips", lambda made: intervals.keep_clips(made["invalid"], made["durations"])),
                         ("segments", self.segments()),
-                        ("spoken", lambda made: transcript.with_words(made["segments"])),
+                        ("spoken", lambda made: (made["segments"], transcript.with_words)),
                     ],
                     lazy=True,
                 )

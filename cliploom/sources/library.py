@@ -6,6 +6,7 @@ Joins, groupings and windows by job on these tables need no exchange: both sides
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,8 @@ class Library:
             if name in self._waiting:
                 df = self._waiting[name]
                 df = df(self) if callable(df) else df
-                write_table(df, f"{self.prefix}_{name}", f"{self.path}/{name}", TABLES.get(name, ()), self._buckets)
+                df, *then = df if isinstance(df, tuple) else (df,)
+                write_table(df, f"{self.prefix}_{name}", f"{self.path}/{name}", TABLES.get(name, ()), self._buckets, *then)
                 del self._waiting[name]
                 self.names.append(name)
         return self.spark.table(f"{self.prefix}_{name}")
@@ -48,15 +50,15 @@ class Library:
         there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def write_table(df: DataFrame, name: str, path: str, sort: tuple[str, ...], buckets: int) -> None:
-    """df bucketed by job: dealt by the buckets' own hash first, so each bucket is one file."""
-    dealt = df.repartition(buckets, "job_id")
+def write_table(df: DataFrame, name: str, path: str, sort: tuple[str, ...], buckets: int, then: Callable[[DataFrame], DataFrame] = lambda d: d) -> None:
+    """df bucketed by job: dealt by the buckets' own hash first, so each bucket is one file; `then` may widen the dealt rows."""
+    dealt = then(df.repartition(buckets, "job_id"))
     dealt.write.format("parquet").option("path", path).bucketBy(buckets, "job_id").sortBy("job_id", *sort).saveAsTable(name)
 
 
 def write_library(spark: SparkSession, tables, buckets: int | None = None, folder: str | None = None, lazy: bool = False) -> Library:
     """tables: pairs of name and DataFrame, each with a column job_id; one may be built on others, if it is a
-    function of the Library. All get the same number of buckets (default: the session's shuffle partitions).
+    function of the Library, and may be a pair with what widens its rows once they are dealt. All get the same number of buckets (default: the session's shuffle partitions).
     With lazy=True each is written when it is first asked for, else all are written in turn."""
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     prefix = f"library_{uuid.uuid4().hex}"
