@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cliploom.llm import labelled, quality, resemblance, simhash
@@ -65,6 +67,55 @@ def test_near_duplicates_equal_brute_force(spark, limit):
     assert got == stay_by_force(rows)
 
 
+def just_below(n=300):
+    """Texts with 85 shingles in common and 12 of their own, 0.78 alike; some with a closer copy, one in other case."""
+    base = [f"w{i}" for i in range(89)]
+    texts = [base + [f"own{i}_{k}" for k in range(12)] for i in range(n)]
+    texts += [t[:-1] + ["x"] for t in texts[:40:4]] + [[w.upper() for w in texts[7]]]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("limit", [512, 64])
+def test_no_table_has_the_pairs_of_a_group(spark, monkeypatch, limit):
+    made, prefixes = {}, []
+
+    def counted(f):
+        def run(df, name="links", **options):
+            made[name] = max(made.get(name, 0), df.count())
+            prefixes.extend([name] if "prefix" in df.columns else [])
+            return f(df, name) if f is stored else f(df, **options)
+
+        return run
+
+    stored, components = resemblance.stored, resemblance.connected_components
+    monkeypatch.setattr(resemblance, "stored", counted(stored))
+    monkeypatch.setattr(resemblance, "connected_components", counted(components))
+    rows = just_below()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = resemblance.resembling(docs, limit=limit).groupBy("class").agg({"doc_id": "min"}).collect()
+    assert sorted(r[1] for r in got) == stay_by_force(rows)
+    # 20 of the 97 shingles are in the tables; two leaders, or s cells of a bucket
+    assert max(made.values()) < 20 * len(rows) * 3 < len(rows) ** 2 / 2
+    assert prefixes == ["shingles"]
+
+
+def test_parity_discards_without_loss():
+    r = np.random.default_rng(5)
+    dropped = 0
+    for n in [0, 1, 2, 4, 5, 7, 16, 17, 63, 64, 65, 300, 3000] * 12:
+        own = np.unique(r.integers(0, 1 << 64, n, np.uint64, False))
+        for share in (0.0, 0.02, 0.1, 0.2, 0.25, 0.5, 1.0):
+            other = own[r.random(len(own)) >= share * r.random()]
+            other = np.unique(np.concatenate([other, r.integers(0, 1 << 64, int(share * n * r.random()), np.uint64, False)]))
+            x, y = (pa.scalar(s, pa.binary()) for s in (own.tobytes(), other.tobytes()))
+            p, q = (pa.scalar(resemblance._parity(s), pa.binary()) for s in (own, other))
+            may = resemblance._may_be_similar(p, q, 0.8)
+            assert may or not resemblance._similar(x, y, 0.8)
+            assert may == resemblance._may_be_similar(q, p, 0.8)
+            dropped += not may
+    assert dropped > 200
+
+
 def test_pipeline_stage_drops_near_copies_of_many_bits(spark):
     import corpus_pipeline
 
