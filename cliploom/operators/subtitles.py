@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliploom.functions.arrays import bytes_of, characters, spaces, widths
 from cliploom.functions.folds import running
-from cliploom.functions.text import ass_time, char_width, escape_ass, narrow, srt_time, strip, text_width
-from cliploom.operators.intervals import overlap_join
+from cliploom.functions.text import ass_time, char_width, escape_ass, narrow, srt_time, strip
 
 BREAKS = "，。！？；、,.!?;: "
 
@@ -32,13 +34,17 @@ def remap_segments(segments: DataFrame, timeline: DataFrame, keep: tuple[str, ..
     if "subtitle_override" not in t.columns:
         t = t.withColumn("subtitle_override", F.lit(None).cast("string"))
     s = segments.select("job_id", "seg_idx", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "text", *keep)
-    shift = F.col("offset_ms") - F.col("start_ms")
-    cut = overlap_join(t.filter("subtitle_override is null"), s).select(
+    # jobs without clips are told by a mark, so that the segments, which may be costly to make, are made once
+    s = s.join(t.select("job_id").distinct().withColumn("_edited", F.lit(True)), "job_id", "left")
+    clip = t.filter("subtitle_override is null").select(F.col("job_id").alias("_job"), "idx", "start_ms", "end_ms", (F.col("offset_ms") - F.col("start_ms")).alias("_shift"))
+    meets = (F.col("job_id") == F.col("_job")) & (F.col("start_ms") < F.col("r_end")) & (F.col("r_start") < F.col("end_ms"))
+    met = F.col("_job").isNotNull()
+    cut = s.join(clip, meets, "left").filter(met | F.col("_edited").isNull()).select(
         "job_id",
         "idx",
         "seg_idx",
-        (F.greatest("start_ms", "r_start") + shift).alias("out_start"),
-        (F.least("end_ms", "r_end") + shift).alias("out_end"),
+        F.when(met, F.greatest("start_ms", "r_start") + F.col("_shift")).otherwise(F.col("r_start")).alias("out_start"),
+        F.when(met, F.least("end_ms", "r_end") + F.col("_shift")).otherwise(F.col("r_end")).alias("out_end"),
         "text",
         *keep,
     )
@@ -51,10 +57,7 @@ def remap_segments(segments: DataFrame, timeline: DataFrame, keep: tuple[str, ..
         strip(F.col("subtitle_override")).alias("text"),
         *[F.lit(None).cast(segments.schema[c].dataType).alias(c) for c in keep],
     )
-    rest = s.join(t.select("job_id").distinct(), "job_id", "left_anti").select(
-        "job_id", F.lit(None).cast("int").alias("idx"), "seg_idx", F.col("r_start").alias("out_start"), F.col("r_end").alias("out_end"), "text", *keep
-    )
-    return cut.unionByName(own).unionByName(rest)
+    return cut.unionByName(own)
 
 
 def wrap(text: str, units: int) -> list[str]:
@@ -98,28 +101,78 @@ def wrap_lines(c: Column, units: int) -> Column:
     return split.asNondeterministic()(plain_text(c))
 
 
-def laid_out(text: str | None, units: int, max_lines: int) -> list[dict]:
-    """The events of one plain text: at most max_lines lines each, with the width up to their end."""
-    out: list[dict] = []
-    lines, upto = wrap(text, units) if text else [], 0
-    for i in range(0, len(lines), max_lines):
-        event = "\n".join(lines[i : i + max_lines])
-        width = max(1, text_width(event))
-        upto += width
-        out.append({"text": event, "width": width, "upto": upto})
-    return out
+def wrapped(text: pa.StringArray, units: int, max_lines: int) -> pa.Array:
+    """The events of a batch of plain texts, wrap() of all at once: lists of at most max_lines lines each as
+    (text, width, upto), upto being the width up to the event's end.
+
+    The texts' lines are ranges of one array of characters; every round takes the next line of all texts that have one.
+    """
+    kind = [pa.field("text", pa.string()), pa.field("width", pa.int32()), pa.field("upto", pa.int32())]
+    data, offsets = bytes_of(pc.fill_null(text.cast(pa.string()), ""))
+    points, at = characters(data)
+    n = len(points)
+    byte = np.append(at, len(data))
+    wide = widths(points)
+    even = bool((wide == 1).all())
+    upto = np.concatenate([[0], np.cumsum(wide, dtype=np.int64)])
+    here = np.arange(n)
+    marks = np.maximum.accumulate(np.where(np.isin(points, [ord(c) for c in BREAKS]), here, -1))  # the last break mark up to here
+    shown = ~spaces(points)
+    onward = np.minimum.accumulate(np.append(np.where(shown, here, n), n)[::-1])[::-1]  # the first visible character from here on
+    back = np.maximum.accumulate(np.append(0, np.where(shown, here + 1, 0)))  # the end of the last visible one before
+    bound = max(1, int(units * 0.45))
+    begins = np.searchsorted(at, offsets)
+    row, a, z = np.arange(len(text)), begins[:-1], begins[1:]
+    found = []
+    while len(row):
+        rest = z > a
+        row, a, z = row[rest], a[rest], z[rest]
+        fits = upto[z] - upto[a] <= units
+        found.append((row[fits], a[fits], z[fits]))
+        row, a, z = row[~fits], a[~fits], z[~fits]
+        if even and units > 0:
+            hard, least = a + units, a + bound
+        else:
+            over = np.searchsorted(upto, upto[a] + units, "right") - 1
+            least = np.searchsorted(upto, upto[a] + bound, "right") - 1
+            least, hard = np.where(least <= over, least, a), np.maximum(a + 1, over)
+        mark = marks[np.minimum(hard, z - 1)]
+        cut = np.where(mark >= np.maximum(a + 1, least), mark + 1, hard)
+        first, last = onward[a], back[cut]
+        line = last > first
+        found.append((row[line], first[line], last[line]))
+        a, z = np.minimum(onward[cut], z), back[z]
+    row, a, z = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
+    order = np.argsort(row, kind="stable")
+    row, a, z = row[order], a[order], z[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    opens = nth % max_lines == 0
+    # a further line of an event takes the byte before it too, which then becomes the line break
+    more = (~opens).astype(np.int64)
+    size = byte[z] - byte[a] + more
+    to = np.cumsum(size) - size
+    made = data[np.repeat(byte[a] - more - to, size) + np.arange(size.sum())]
+    made[to[~opens]] = ord("\n")
+    event = np.flatnonzero(opens)
+    width = np.maximum(1, np.add.reduceat(upto[z] - upto[a] + more, event)) if len(event) else np.empty(0, np.int64)
+    total, own = np.cumsum(width), row[event]
+    before = (total - width)[np.searchsorted(own, own)] if len(event) else total
+    ends = np.append(to[event], len(made)).astype(np.int32)
+    columns = [pa.StringArray.from_buffers(len(event), pa.py_buffer(ends), pa.py_buffer(made)), pa.array(width.astype(np.int32)), pa.array((total - before).astype(np.int32))]
+    shares = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(text)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(shares), pa.StructArray.from_arrays(columns, fields=kind))
 
 
 def subtitle_events(segments: DataFrame, units: int, max_lines: int = 2) -> DataFrame:
     """Segments (job_id, seg_idx, out_start, out_end, text) as events of at most max_lines lines, sharing
     the segment's time by width; the last ends exactly where the segment does.
 
-    One Arrow pass wraps a text and measures its events; nothing is shuffled.
+    One Arrow pass wraps a batch of texts and measures their events; nothing is shuffled.
     """
 
-    @F.pandas_udf("array<struct<text:string,width:int,upto:int>>")
-    def events(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: laid_out(t, units, max_lines))
+    @F.arrow_udf("array<struct<text:string,width:int,upto:int>>")
+    def events(text: pa.Array) -> pa.Array:
+        return wrapped(text, units, max_lines)
 
     # marked nondeterministic so that the optimizer keeps one call a row
     made = segments.select("job_id", "seg_idx", "out_start", "out_end", events.asNondeterministic()(plain_text(F.col("text"))).alias("_all"))

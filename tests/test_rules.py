@@ -7,9 +7,13 @@ import struct
 import wave
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cliploom.functions.arrays import characters, spaces, widths
+from cliploom.functions.text import char_width, text_width
 from cliploom.operators import cuts, edges, intervals, library, logs, platform, subtitles, transcript, waveform
 from cliploom.plans import registry
 from cliploom.sources import compaction, incremental, ranged
@@ -546,3 +550,73 @@ def test_narrow_texts_wrap_as_character_by_character(spark):
             slow = subtitles.wrap(text + " " + "x" * units + "漢", units)
             fast = subtitles.wrap(text + " " + "x" * units + "z", units)
             assert [x for x in slow if "漢" not in x][: len(slow) - 2] == fast[: len(slow) - 2]
+
+
+# ---- packing, wrapping and remapping in whole batches ----
+
+
+def _odd_text(r, n):
+    return "".join(r.choice("abc d,.! éß漢字。！？　 \x1f'\"9🚀") for _ in range(n))
+
+
+def test_batches_pack_as_word_by_word():
+    r = random.Random(7)
+    for case in range(400):
+        batch = []
+        for _ in range(r.randint(0, 6)):
+            at, words = r.randint(-50, 10_000), []
+            for _ in range(r.randint(0, 40)):
+                at += r.choice([0, 0, 0, 100, 549, 550, -300 if case % 3 == 0 else 5])
+                end = at + r.choice([-1, 0, 1, 200, 400, 1800, 2500])
+                words.append({"w_start": r.choice([at] * 20 + [None]), "w_end": end, "word": r.choice([None, "", " ", _odd_text(r, r.randint(1, 9)), "x" * r.randint(1, 40), "end."]), "probability": r.choice([None, 1.0, 0.5, 1 / 3, 0.25, 0.1, 1e17, float("inf")] if case % 4 == 0 else [1.0, 0.5, 1 / 3, 0.25])})
+                at = end if case % 2 else at + 150
+            batch.append(r.choice([words] * 9 + [None]))
+        kind = pa.list_(pa.struct([("w_start", pa.int64()), ("w_end", pa.int64()), ("word", pa.string()), ("probability", pa.float64())]))
+        got = transcript.packed_batch(pa.array([[], *batch], kind)[1:]).to_pylist()
+        assert str(got) == str([transcript.pack(words or []) for words in batch])
+
+
+def test_batches_wrap_as_text_by_text():
+    r = random.Random(8)
+    for case in range(400):
+        units, most = r.randint(1, 24), r.randint(1, 3)
+        texts = [r.choice([None, "", " ", "x" * r.randint(1, 90), _odd_text(r, r.randint(1, 120)), "ab, cd é. " * r.randint(1, 9)][: 6 if case % 2 else 4]) for _ in range(r.randint(0, 9))]
+        want = []
+        for text in texts:
+            lines, events, upto = subtitles.wrap(text, units) if text else [], [], 0
+            for i in range(0, len(lines), most):
+                event = "\n".join(lines[i : i + most])
+                upto += max(1, text_width(event))
+                events.append({"text": event, "width": max(1, text_width(event)), "upto": upto})
+            want.append(events)
+        assert subtitles.wrapped(pa.array(["ab", *texts], pa.string())[1:], units, most).to_pylist() == want
+
+
+def test_characters_and_white_space_are_those_of_python():
+    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    text = "".join(map(chr, points))
+    got, at = characters(np.frombuffer(text.encode(), np.uint8))
+    assert got.tolist() == points and at[-1] == len(text.encode()) - 4
+    assert spaces(got).tolist() == [c.isspace() for c in text] and widths(got).tolist() == [char_width(c) for c in text]
+
+
+def test_packing_makes_the_words_of_texts(spark):
+    rows = [(1, 0, 0, 20_000, "A longer one. it goes  on and on, 漢字 é " * 3), (1, 1, 20_000, 20_400, " bare"), (1, 2, 20_400, 20_400, "no time"), (1, 3, 21_000, 22_000, None), (2, 0, 0, 900, "")]
+    s = spark.createDataFrame(rows, "job_id int, seg_idx int, start_ms long, end_ms long, text string")
+    said = transcript.with_words(s).withColumn("words", F.transform("words", lambda x: x.withField("probability", F.lit(1.0) / (1 + x["word_idx"] % 4))))
+    want = sorted(map(tuple, transcript.pack_words(said).collect()))
+    assert len(want) > 3 and sorted(map(tuple, transcript.pack_words(s, lambda n: 1 / (1 + n % 4)).collect())) == want
+    assert {r.avg_probability for r in transcript.pack_words(s).collect()} == {None}
+
+
+def test_flow_packs_its_segments_once(spark):
+    plan = registry.queries()["u_subtitle_flow"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[packed", plan)) == 1
+    assert "timed(" not in plan
+
+
+def test_remapping_leaves_jobs_without_clips_as_they_are(spark):
+    s = spark.createDataFrame([(1, 0, 0, 90, "a"), (1, 1, 100, 300, "b"), (2, 0, 50, 60, "c"), (3, 0, 10, 20, "d")], "job_id int, seg_idx int, start_ms long, end_ms long, text string")
+    t = spark.createDataFrame([(1, 1, 150, 200, 0, None), (1, 2, 280, 400, 50, None), (3, 1, 0, 100, 0, " own ")], "job_id int, idx int, start_ms long, end_ms long, offset_ms long, subtitle_override string")
+    made = subtitles.remap_segments(s, t)
+    assert sorted((r.job_id, r.idx or 0, r.out_start, r.out_end, r.text) for r in made.collect()) == [(1, 1, 0, 50, "b"), (1, 2, 50, 70, "b"), (2, 0, 50, 60, "c"), (3, 1, 0, 100, "own")]
