@@ -60,6 +60,33 @@ def remap_segments(segments: DataFrame, timeline: DataFrame, keep: tuple[str, ..
     return cut.unionByName(own)
 
 
+def clips_beside(segments: DataFrame, timeline: DataFrame) -> DataFrame:
+    """Segments that overlap a clip, with `clips`, an array of those; null in jobs without clips, whose segments all stay.
+
+    What is made of a segment later and lies within its time is remapped by remap_beside() without a join of its own.
+    """
+    clip = F.struct("start_ms", "end_ms", "idx", (F.col("offset_ms") - F.col("start_ms")).alias("shift"))
+    per = timeline.groupBy("job_id").agg(F.array_sort(F.collect_list(clip)).alias("_every"))
+    meets = F.filter("_every", lambda c: (c["start_ms"] < F.col("end_ms")) & (F.col("start_ms") < c["end_ms"]))
+    return segments.join(per, "job_id", "left").withColumn("clips", meets).drop("_every").filter("clips is null or size(clips) > 0")
+
+
+def remap_beside(segments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """remap_segments() of segments that carry their `clips`, see clips_beside()."""
+    each = segments.select("job_id", "seg_idx", "start_ms", "end_ms", "text", *keep, F.explode_outer("clips").alias("_c"))
+    c, alone = F.col("_c"), F.col("_c").isNull()
+    met = (c["start_ms"] < F.col("end_ms")) & (F.col("start_ms") < c["end_ms"])
+    return each.filter(alone | met).select(
+        "job_id",
+        c["idx"].alias("idx"),
+        "seg_idx",
+        F.when(alone, F.col("start_ms")).otherwise(F.greatest(c["start_ms"], F.col("start_ms")) + c["shift"]).alias("out_start"),
+        F.when(alone, F.col("end_ms")).otherwise(F.least(c["end_ms"], F.col("end_ms")) + c["shift"]).alias("out_end"),
+        "text",
+        *keep,
+    )
+
+
 def wrap(text: str, units: int) -> list[str]:
     """Lines of at most `units` visual units: at the last break mark past 45 % of it, else hard."""
     lines, rest = [], text
@@ -87,7 +114,8 @@ def wrap(text: str, units: int) -> list[str]:
 def plain_text(c: Column) -> Column:
     """A text on one line: literal break marks and runs of white space become one blank."""
     c = F.replace(F.replace(c, F.lit(r"\N"), F.lit(" ")), F.lit(r"\n"), F.lit(" "))
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    # blanks that stand alone aren't matched, so a text without other white space isn't rewritten
+    return strip(F.regexp_replace(c, r"[\t-\r]\s*| \s+", " "))
 
 
 def wrap_lines(c: Column, units: int) -> Column:

@@ -619,4 +619,24 @@ def test_remapping_leaves_jobs_without_clips_as_they_are(spark):
     s = spark.createDataFrame([(1, 0, 0, 90, "a"), (1, 1, 100, 300, "b"), (2, 0, 50, 60, "c"), (3, 0, 10, 20, "d")], "job_id int, seg_idx int, start_ms long, end_ms long, text string")
     t = spark.createDataFrame([(1, 1, 150, 200, 0, None), (1, 2, 280, 400, 50, None), (3, 1, 0, 100, 0, " own ")], "job_id int, idx int, start_ms long, end_ms long, offset_ms long, subtitle_override string")
     made = subtitles.remap_segments(s, t)
-    assert sorted((r.job_id, r.idx or 0, r.out_start, r.out_end, r.text) for r in made.collect()) == [(1, 1, 0, 50, "b"), (1, 2, 50, 70, "b"), (2, 0, 50, 60, "c"), (3, 1, 0, 100, "own")]
+    want = [(1, 1, 0, 50, "b"), (1, 2, 50, 70, "b"), (2, 0, 50, 60, "c")]
+    show = lambda d: sorted((r.job_id, r.idx or 0, r.out_start, r.out_end, r.text) for r in d.collect())
+    assert show(made) == [*want, (3, 1, 0, 100, "own")]
+    near = subtitles.clips_beside(s, t.filter("job_id = 1"))
+    assert show(subtitles.remap_beside(near)) == [*want, (3, 0, 10, 20, "d")]
+    # what was made of a segment is remapped by its own time
+    part = near.filter("text = 'b'").withColumns({"start_ms": F.lit(190), "end_ms": F.lit(270)})
+    assert show(subtitles.remap_beside(part)) == [(1, 1, 40, 50, "b")]
+
+
+def test_flow_deals_no_pieces_by_job(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.queries()["u_subtitle_flow"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # the tables lie by job, so only the finished lines are dealt
+    assert plan.count("Exchange hashpartitioning") == 1
